@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunked_bpe, language_id, pii_scan, secret_scan, token_frames, transport_stream, warc
+from . import chunked_bpe, language_id, pii_scan, secret_scan, suffix_array, token_frames, transport_stream, warc
 from .runtime import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -29,6 +29,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(table(spark, sf_dir, "documents"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_frames.digest(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -42,7 +46,7 @@ def op9_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_records, op2_chunked_bpe, op3_language_id, op4_secret_scan, op7_token_frames, op8_pii_scan, op9_transport_stream)}
+    return {f.__name__: f for f in (op1_warc_records, op2_chunked_bpe, op3_language_id, op4_secret_scan, op6_decontaminate, op7_token_frames, op8_pii_scan, op9_transport_stream)}
 
 
 def oracle_sql() -> dict[str, str]:
