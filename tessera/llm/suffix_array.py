@@ -3,14 +3,15 @@
 Each task turns its documents into shards of about SHARD_WORDS words and sorts all suffixes of a shard (as sequences of
 word hashes, by DEPTH words; documents end in a mark that no test has). Every suffix of every test item is then looked
 up by binary search: the range of suffixes that begin with its window of WINDOW words gives all occurrences and their
-locations, and the neighbours of its place give its longest verbatim match. Words are compared as words where hashes
-agree. Documents with an occurrence of any window are affected, and `clean(df, items)` removes them.
+locations, and each run of occurrences is followed to the end of its longest verbatim match. Words are compared as words
+where hashes agree. Documents with an occurrence of any window are affected, and `clean(df, items)` removes them.
 
 Words are runs of letters, digits and all that isn't ASCII, A-Z lowered. A window is WINDOW consecutive words of an item;
 an item of fewer words, but not none, is one window.
 
 `matches(df, items)` gives per document: n_words, hits (merged [start, end) word ranges inside occurrences), items (ids,
-ascending) and longest (words of the longest verbatim match of any test suffix, at most LONGEST, with its place).
+ascending) and longest (words, place and item of the longest verbatim match, followed for LONGEST words at most; null
+without a hit).
 
 Defined results: a null text has no words; an item with a null text or without words has no window; a null item_id is no
 id (its windows still hit); items of equal text are all reported; repeated rows of documents stay; no items means no
@@ -150,34 +151,35 @@ def search(found: Words, tests: Tests) -> list[dict]:
     h = np.full(len(own) + docs, _END, _U)
     h[np.arange(len(own)) + doc] = own
     order = suffix_array(h)
-    every = np.arange(len(tests.h))
-    # Longest matches: next to a suffix's place stand those that agree with it longest.
-    place = _bound(h, order, tests, every, np.minimum(tests.stop - every, DEPTH), False)
-    best: dict[int, tuple[int, int, int]] = {}
-    for side in (place - 1, place):
-        i = np.flatnonzero((side >= 0) & (side < len(order)))
-        at = order[side[i]]
-        size = _same(h, at, tests, every[i])
-        # Only suffixes that no longer match of the same item covers are kept.
-        for s, a, k in zip(i[size > 0].tolist(), at[size > 0].tolist(), size[size > 0].tolist(), strict=True):
-            d = int(np.searchsorted(base, a, "right")) - 1
-            if k > best.get(d, (0, 0, 0))[0]:
-                best[d] = (k, a - int(base[d]), s)
-    for d, (k, a, s) in best.items():
-        rows[d]["longest"] = {"words": k, "at": a, "item_id": tests.ids[int(tests.item[s])]}
     which = np.flatnonzero(tests.window > 0)
     size = tests.window[which]
     low, high = _bound(h, order, tests, which, size, False), _bound(h, order, tests, which, size, True)
+    # All occurrences as (test suffix, place in the shard), confirmed on the words themselves.
+    some = np.flatnonzero(high > low)
+    count = high[some] - low[some]
+    test = np.repeat(which[some], count)
+    width = np.repeat(size[some], count)
+    at = order[np.repeat(low[some] - np.cumsum(count) + count, count) + np.arange(count.sum())]
+    row = np.searchsorted(base, at, "right") - 1
     spans: dict[int, list[tuple[int, int]]] = {}
     items: dict[int, set[int]] = {}
-    for s, k, a, b in zip(which[high > low].tolist(), size[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist(), strict=True):
-        wanted = tests.words[s : s + k]
-        at = order[a:b]
-        for d, p in zip((np.searchsorted(base, at, "right") - 1).tolist(), at.tolist(), strict=True):
-            w = p - d
-            if all(found.data[found.start[w + j] : found.end[w + j]].tobytes() == wanted[j] for j in range(k)):
-                spans.setdefault(d, []).append((p - int(base[d]), p - int(base[d]) + k))
-                items.setdefault(d, set()).add(int(tests.item[s]))
+    pairs = set()
+    for s, k, p, d in zip(test.tolist(), width.tolist(), at.tolist(), row.tolist(), strict=True):
+        w = p - d
+        if all(found.data[a:b].tobytes() == t for a, b, t in zip(found.start[w : w + k].tolist(), found.end[w : w + k].tolist(), tests.words[s : s + k], strict=True)):
+            begin = p - int(base[d])
+            spans.setdefault(d, []).append((begin, begin + k))
+            items.setdefault(d, set()).add(int(tests.item[s]))
+            pairs.add((s, p, d))
+    # A match is as long as the agreement from its first window on.
+    heads = [x for x in pairs if (x[0] - 1, x[1] - 1, x[2]) not in pairs]
+    if heads:
+        s, p, d = (np.array(x) for x in zip(*sorted(heads), strict=True))
+        best: dict[int, tuple[int, int, int]] = {}
+        for s1, p1, d1, k in zip(s.tolist(), p.tolist(), d.tolist(), _same(h, p, tests, s).tolist(), strict=True):
+            best[d1] = max(best.get(d1, (0, 0, 0)), (k, -(p1 - int(base[d1])), -s1))
+        for d1, (k, a, s1) in best.items():
+            rows[d1]["longest"] = {"words": k, "at": -a, "item_id": tests.ids[int(tests.item[-s1])]}
     for d, found_spans in spans.items():
         rows[d]["hits"] = [{"start": a, "end": b} for a, b in merged(found_spans)]
         rows[d]["items"] = sorted({tests.ids[i] for i in items[d]} - {None})
