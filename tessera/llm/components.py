@@ -1,0 +1,28 @@
+"""Connected components of a table of links, by minimum labels and pointer jumping; nothing is collected."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .runtime import dropped, stored
+
+
+def components(links: DataFrame) -> DataFrame:
+    """node and label (the least node of its component) for every node of links (u, v); both are long.
+
+    A round gives each node the least label among its neighbours and itself and then that label's own label, so a path
+    of n nodes takes about log n rounds. Each round is written to the shared folder.
+    """
+    edges = stored(links.select("u", "v").union(links.select("v", "u")).where("u <> v").distinct().toDF("u", "v"), "edges")
+    labels = stored(edges.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("label")), "labels")
+    while True:
+        near = edges.join(labels, edges["v"] == labels["node"]).groupBy("u").agg(F.min("label").alias("near"))
+        lower = labels.join(near, labels["node"] == near["u"]).select("node", F.col("label").alias("before"), F.least("label", "near").alias("label"))
+        jump = labels.select(F.col("node").alias("target"), F.col("label").alias("further"))
+        after = stored(lower.join(jump, lower["label"] == jump["target"], "left").select("node", "before", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
+        dropped(labels)
+        labels = after.select("node", "label")
+        if not after.where("before <> label").limit(1).count():
+            dropped(edges)
+            return labels

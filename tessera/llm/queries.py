@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunked_bpe, language_id, pii_scan, secret_scan, suffix_array, token_frames, transport_stream, warc
+from . import chunked_bpe, language_id, minhash, pii_scan, secret_scan, suffix_array, token_frames, transport_stream, warc
 from .runtime import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -45,8 +45,12 @@ def op9_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport_stream.digest(table(spark, sf_dir, "documents"))
 
 
+def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_records, op2_chunked_bpe, op3_language_id, op4_secret_scan, op6_decontaminate, op7_token_frames, op8_pii_scan, op9_transport_stream)}
+    return {f.__name__: f for f in (op1_warc_records, op2_chunked_bpe, op3_language_id, op4_secret_scan, op6_decontaminate, op7_token_frames, op8_pii_scan, op9_transport_stream, op10_minhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
