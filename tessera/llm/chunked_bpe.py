@@ -172,6 +172,27 @@ def decode(df: DataFrame, path: str) -> DataFrame:
     return map_batches(kept, step, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "decoded string"]))
 
 
+def tokenized(df: DataFrame, path: str) -> DataFrame:
+    """df's columns but text, then n_tokens, ids (array of int) and decoded_sha256 (hex digest of the decoded text)."""
+    outputs = ("n_tokens", "ids", "decoded_sha256")
+    kept = df.drop(*outputs)
+    kept = kept.select(*[c for c in kept.columns if c != "text"], text_or_empty().alias("_text"))
+    names = kept.columns[:-1]
+
+    def step(batch: pa.RecordBatch) -> Iterator[dict]:
+        width = codec(path).words.width
+        for block, rows in _rows(batch, "_text", path):
+            ids = [np.frombuffer(b"".join(r[0]), width).astype(np.int32) for r in rows]
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+            yield dict(zip(names, block.columns, strict=False)) | {
+                "n_tokens": pa.array(np.diff(ends).astype(np.int64)),
+                "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))),
+                "decoded_sha256": pa.array([hashlib.sha256(b" ".join(r[2])).hexdigest() for r in rows], pa.string()),
+            }
+
+    return map_batches(kept, step, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.drop("_text").schema), "n_tokens long, ids array<int>, decoded_sha256 string"]))
+
+
 def digest(df: DataFrame, path: str) -> DataFrame:
     """The contract's row per document, from the chunks' ids and decoded texts."""
 

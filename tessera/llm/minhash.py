@@ -286,10 +286,11 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80) -> DataF
 def deduplicated(df: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The rows of df that stay: one document of each group, that of the least doc_id; of its equal rows one."""
     found = near_duplicates(df, shingle, percent)
-    kept = found.where("kept").select("doc_id").distinct()
-    out = df.join(_small(kept), df["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    stay = found.where("kept").select("doc_id")
+    gone = found.where("not kept").select("doc_id").distinct()
+    out = df.join(gone, df["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
     # Only where rows share an id does anything have to be compared.
-    return out.dropDuplicates() if found.groupBy("doc_id").count().where("count > 1").limit(1).count() else out
+    return out.dropDuplicates() if stay.groupBy("doc_id").count().where("count > 1").limit(1).count() else out
 
 
 def digest(df: DataFrame, shingle: int = 4) -> DataFrame:

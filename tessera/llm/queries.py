@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunked_bpe, language_id, minhash, pii_scan, secret_scan, suffix_array, token_frames, transport_stream, warc
+from . import chunked_bpe, language_id, minhash, ngram_bloom, pii_scan, secret_scan, suffix_array, token_frames, transport_stream, warc
 from .runtime import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -29,6 +29,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_bloom.digest(table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -50,7 +54,7 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_records, op2_chunked_bpe, op3_language_id, op4_secret_scan, op6_decontaminate, op7_token_frames, op8_pii_scan, op9_transport_stream, op10_minhash_dedup)}
+    return {f.__name__: f for f in (op1_warc_records, op2_chunked_bpe, op3_language_id, op4_secret_scan, op5_lm_score, op6_decontaminate, op7_token_frames, op8_pii_scan, op9_transport_stream, op10_minhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
