@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from ..operators.components import components
 from .runtime import byte_blocks, dropped, map_batches, stored, text_or_empty
 from .words import NOT_BLANK, mix, runs, scan
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,6 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import dropped, shared_folder, stored
+
+__all__ = ["BLOCK_BYTES", "byte_blocks", "dropped", "id_remainder", "map_batches", "raw_bytes", "shared_folder", "stored", "table", "text_or_empty"]
+
 #: A sub-batch of texts is closed at this many bytes, whatever the Arrow batch holds.
 BLOCK_BYTES = 4 << 20
 
@@ -19,38 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below spark.checkpoint.dir, removed when the driver's JVM ends.
-
-    Only where that setting is absent (tests) is a temporary folder used and the setting made.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.deleteOnExit(target)
-    return fs.makeQualified(target).toString()
-
-
-def stored(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
-    """df written to the shared folder and reread: lineage is cut and lost executors lose nothing."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.options(**(options or {})).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def dropped(df: DataFrame) -> None:
-    """Deletes what stored() wrote for df, once nothing reads it any more."""
-    spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
