@@ -11,16 +11,18 @@ import functools
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 
 #: Words that one worker remembers, and the longest word that it does; beyond, it starts anew.
-CACHED_WORDS, CACHED_BYTES = 700_000, 64
+CACHED_WORDS, CACHED_BYTES = 1_500_000, 48
 #: Bytes of a text that are split into words at a time.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 2 << 20
 _BLANK = re.compile(rb"[ \t\n\r\x0b\x0c]")
 #: A word that ends in marks: the marks are a piece of their own for the pre-tokenizer.
+_MARKS = frozenset(b"!,.?;:")
 _TAIL = re.compile(rb"(.*[A-Za-z])([!,.?;:]+)", re.DOTALL)
 
 
@@ -49,49 +51,61 @@ class WordEncoder:
 
     def library(self, words: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(e.ids, self.width).tobytes() for e in found]
+        return [array(self.width.char, e.ids).tobytes() for e in found]
 
-    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of each word, as bytes; the words not known yet are encoded by the library."""
+    def learn(self, words: set[bytes]) -> list[bytes]:
+        """Makes self.known hold the ids of each word, as bytes; parts not known yet are encoded by the library.
+
+        Returns the words too long to be kept.
+        """
         if len(self.known) + len(words) > CACHED_WORDS:
             self.known = {}
-        new = words.difference(self.known)
-        tails = {w: (m[1], m[2]) for w in new if (m := _TAIL.fullmatch(w))}
-        parts = {p for w in new for p in tails.get(w, (w,))}.difference(self.known)
-        parts = list(parts)
-        got = dict(zip(parts, self.library(parts), strict=True))
-        out = self.known
-        for p, ids in got.items():
-            if len(p) <= CACHED_BYTES:
-                out[p] = ids
-        extra = {}
-        for w in new:
-            if w in tails:
-                head, tail = tails[w]
-                extra[w] = (got.get(head) or out[head]) + (got.get(tail) or out[tail])
-            elif len(w) > CACHED_BYTES:
-                extra[w] = got[w]
-        for w, ids in extra.items():
-            if len(w) <= CACHED_BYTES:
-                out[w] = ids
-        if all(len(w) <= CACHED_BYTES for w in extra):
-            return out
-        return out | extra
+        known = self.known
+        whole: dict[bytes, bytes] = {}
+        split: dict[bytes, tuple[bytes, bytes]] = {}
+        for w in words.difference(known):
+            # Lowering changes nothing where no composition can (ASCII) and no special token may stand.
+            k = w.lower() if w.isascii() and b"<|" not in w else w
+            if k[-1] in _MARKS and (m := _TAIL.fullmatch(k)):
+                split[w] = m.groups()
+            else:
+                whole[w] = k
+        wanted = list({*whole.values(), *(p for ps in split.values() for p in ps)}.difference(known))
+        known.update(zip(wanted, self.library(wanted), strict=True))
+        for w, k in whole.items():
+            known[w] = known[k]
+        for w, (head, tail) in split.items():
+            known[w] = known[head] + known[tail]
+        return [w for w in {*wanted, *whole, *split} if len(w) > CACHED_BYTES]
+
+    def _together(self, texts: list[bytes]) -> list[bytes]:
+        split = [_folded(t).split() for t in texts]
+        long = self.learn(set().union(*split))
+        out = [b"".join(map(self.known.__getitem__, words)) for words in split]
+        for w in long:
+            del self.known[w]
+        return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text as little-endian integers of self.width."""
-        if sum(map(len, texts)) <= 2 * PIECE_BYTES:
-            split = [t.split() for t in texts]
-            known = self.learn(set().union(*split))
-            return [b"".join(map(known.__getitem__, words)) for words in split]
-        out = []
+        """Ids of each text as little-endian integers of self.width; some PIECE_BYTES are split into words at a time."""
+        out: list[bytes] = []
+        group: list[bytes] = []
+        size = 0
         for t in texts:
-            ids = []
-            for piece in pieces(t):
-                words = piece.split()
-                ids.append(b"".join(map(self.learn(set(words)).__getitem__, words)))
-            out.append(b"".join(ids))
-        return out
+            if size + len(t) > PIECE_BYTES and group:
+                out += self._together(group)
+                group, size = [], 0
+            if len(t) > PIECE_BYTES:
+                out.append(b"".join([self._together([piece])[0] for piece in pieces(t)]))
+            else:
+                group.append(t)
+                size += len(t)
+        return out + self._together(group) if group else out
+
+
+def _folded(text: bytes) -> bytes:
+    """ASCII texts are lowered at once, as the normalizer does later; the text of a special token stays."""
+    return text.lower() if text.isascii() and b"<|" not in text else text
 
 
 def pieces(text: bytes) -> Iterator[bytes]:
