@@ -106,18 +106,17 @@ def _bound(h: np.ndarray, order: np.ndarray, tests: Tests, which: np.ndarray, si
         mid = (low + high) >> 1
         at = order[np.minimum(mid, len(order) - 1)]
         below = np.zeros(len(which), bool)
-        open_ = go.copy()
+        same = go.copy()
         for d in range(depth):
-            open_ &= size > d
-            i = np.flatnonzero(open_)
+            i = np.flatnonzero(same & (size > d))
             if not i.size:
                 break
             a, b = h[np.minimum(at[i] + d, len(h) - 1)], tests.h[np.minimum(which[i] + d, len(tests.h) - 1)]
             a = np.where(at[i] + d < len(h), a, _END)
             below[i[a < b]] = True
-            open_[i[a != b]] = False
+            same[i[a != b]] = False
         if upper:
-            below |= open_
+            below |= same
         low, high = np.where(go & below, mid + 1, low), np.where(go & ~below, mid, high)
     return low
 
