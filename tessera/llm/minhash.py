@@ -10,8 +10,9 @@ A group of copies never becomes all its pairs:
 1. every class is tried against one centre of its buckets; links give components;
 2. in buckets that still hold several components, classes outside the first one are tried against one of it and one of
    themselves; links give components again;
-3. what remains are pairs of different components in one bucket: classes outside the first component against all of the
-   bucket, in blocks of BLOCK classes; only survivors leave a block.
+3. what remains are pairs of different components in one bucket. Components that buckets connect form a family; its
+   classes outside its largest component meet all of its classes in blocks of BLOCK by BLOCK. A block looks at pairs that
+   share a band, prunes, verifies full sets, and gives one link per two components at most.
 Pairs inside a component are never looked at: a link between them would change nothing. So the result is that of testing
 all candidates. A candidate pair of similarity s exactly is missed with probability (1 - s ** ROWS) ** BANDS: 5e-6 at
 0.8. Components come from distributed label propagation.
@@ -40,7 +41,7 @@ from .words import NOT_BLANK, mix, runs, scan
 
 ROWS, BANDS = 6, 40
 HASHES = ROWS * BANDS
-MISS, BATCH, BLOCK = 1e-6, 24, 2048
+MISS, BATCH, BLOCK = 1e-6, 24, 512
 #: Rows of ids (16 bytes each) that may be broadcast; beyond, joins shuffle.
 BROADCAST_ROWS = 1_000_000
 _U, _V = np.uint64, np.uint32
@@ -197,8 +198,8 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members with their labels, of buckets that hold several components; first is the least label there."""
     rows = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
     # The member of the first component and the one outside it that later steps try others against.
-    first = rows.groupBy("bucket").agg(F.min(F.struct("label", "node")).alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where("low.label < high")
-    return rows.join(first, "bucket").select("bucket", "node", "label", F.col("low.label").alias("first"), F.col("low.node").alias("centre"), "n")
+    first = rows.groupBy("bucket").agg(F.min(F.struct("label", "node")).alias("low"), F.max("label").alias("high")).where("low.label < high")
+    return rows.join(first, "bucket").select("bucket", "node", "label", F.col("low.label").alias("first"), F.col("low.node").alias("centre"))
 
 
 def _second_pairs(rows: DataFrame) -> DataFrame:
@@ -207,52 +208,73 @@ def _second_pairs(rows: DataFrame) -> DataFrame:
     return outside.select(F.col("node").alias("u"), F.col("centre").alias("v")).union(outside.join(own, "bucket").select("node", "other"))
 
 
-def _remaining_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Surviving pairs of different components that share a bucket, found block against block."""
-    counts = rows.groupBy("bucket").agg(F.count(F.when(F.col("label") != F.col("first"), 1)).alias("outside"))
+def _block_links(nodes: list, labels: list, sigs: list, sets: list, out: list, percent: int) -> tuple[list, list]:
+    """Links between components among the classes of one block: of several between two components, one is enough."""
+    node, outside = np.array(nodes, np.int64), np.array(out, bool)
+    sig = np.frombuffer(b"".join(sigs), "<u2").reshape(-1, HASHES)
+    keys = bands(sig)
+    values = [np.frombuffer(x, _U) for x in sets]
+    names, root = np.unique(np.array(labels, np.int64), return_inverse=True)
+    among = np.flatnonzero(~outside)
+    u, v = [], []
+    for i in np.flatnonzero(outside).tolist():
+        j = among[root[among] != root[i]]
+        j = j[(keys[j] == keys[i]).any(axis=1)]
+        j = j[surviving(sig, sig, np.full(len(j), i), j, percent)]
+        if not len(j):
+            continue
+        size = np.array([len(values[k]) for k in j.tolist()], np.int64)
+        place = np.searchsorted(values[i], every := np.concatenate([values[k] for k in j.tolist()]))
+        found = values[i][np.minimum(place, len(values[i]) - 1)] == every
+        both = np.add.reduceat(found.astype(np.int64), np.cumsum(size) - size)
+        for k in j[100 * both >= percent * (size + len(values[i]) - both)].tolist():
+            if root[k] != root[i]:
+                u.append(node[i])
+                v.append(node[k])
+                root[root == root[k]] = root[i]
+    return u, v
+
+
+def _remaining_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different components whose classes share buckets, found block against block within families.
+
+    A family is all components that buckets connect. Classes outside its largest component meet all of its classes.
+    """
+    rows = stored(rows.select("node", "label", "first").distinct(), "unsettled")
+    families = components(rows.select(F.col("label").alias("u"), F.col("first").alias("v")).where("u <> v").distinct()).select(F.col("node").alias("label"), F.col("label").alias("family"))
+    nodes = rows.select("node", "label").distinct().join(families, "label")
+    sizes = nodes.groupBy("family", "label").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.groupBy("family").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most"))
     blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
-    rows = rows.join(counts, "bucket").withColumns({"wide": blocks(F.col("n")), "high": blocks(F.col("outside"))})
+    sizes = sizes.select("family", F.col("most.label").alias("largest"), blocks(F.col("n")).alias("wide"), blocks(F.col("n") - F.col("most.n")).alias("high"))
     spot = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    base = rows.join(sets.select("node", "sig").dropDuplicates(["node"]), "node")
-    across = base.select("bucket", "node", "label", "sig", F.lit(False).alias("out"), spot(F.col("wide")).alias("x"), every(F.col("high")).alias("y"))
-    down = base.where("label <> first").select("bucket", "node", "label", "sig", F.lit(True).alias("out"), spot(F.col("high")).alias("y"), every(F.col("wide")).alias("x"))
-    keyed = across.unionByName(down).repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
-
-    def pairs(nodes: list, labels: list, sigs: list, out: list) -> tuple[np.ndarray, np.ndarray]:
-        node, label, outside = np.array(nodes, np.int64), np.array(labels, np.int64), np.array(out, bool)
-        sig = np.frombuffer(b"".join(sigs), "<u2").reshape(-1, HASHES)
-        l, m = np.flatnonzero(outside), np.flatnonzero(~outside)
-        u, v = [], []
-        # One row of the block at a time: at most BLOCK (or so) pairs are held.
-        for i in l.tolist():
-            # Pairs of two classes outside the first component would come twice.
-            j = m[(label[m] != label[i])]
-            j = j[surviving(sig, sig, np.full(len(j), i), j, percent)]
-            u += [node[i]] * len(j)
-            v += node[j].tolist()
-        return np.array(u, np.int64), np.array(v, np.int64)
+    base = nodes.join(sizes, "family").withColumn("outside", F.col("label") != F.col("largest"))
+    across = base.select("family", "node", "label", F.lit(False).alias("out"), spot(F.col("wide")).alias("x"), every(F.col("high")).alias("y"))
+    down = base.where("outside").select("family", "node", "label", F.lit(True).alias("out"), spot(F.col("high")).alias("y"), every(F.col("wide")).alias("x"))
+    keyed = across.unionByName(down).join(sets, "node").select("family", "x", "y", "node", "label", "sig", "set", "out")
+    keyed = keyed.repartition("family", "x", "y").sortWithinPartitions("family", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, ([], [], [], [])
+        key, held = None, ([], [], [], [], [])
 
         def done() -> Iterator[pa.RecordBatch]:
-            if key is not None and any(held[3]) and not all(held[3]):
-                u, v = pairs(*held)
-                if len(u):
-                    yield pa.RecordBatch.from_pydict({"u": pa.array(u), "v": pa.array(v)})
+            if key is not None and any(held[4]) and not all(held[4]):
+                u, v = _block_links(*held, percent)
+                if u:
+                    yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("bucket", "x", "y", "node", "label", "sig", "out")]
-            for b, x, y, *row in zip(*columns, strict=True):
-                if (b, x, y) != key:
+            columns = [batch.column(c).to_pylist() for c in ("family", "x", "y", "node", "label", "sig", "set", "out")]
+            for f, x, y, *row in zip(*columns, strict=True):
+                if (f, x, y) != key:
                     yield from done()
-                    key, held = (b, x, y), ([], [], [], [])
+                    key, held = (f, x, y), ([], [], [], [], [])
                 for into, value in zip(held, row, strict=True):
                     into.append(value)
         yield from done()
 
-    return keyed.mapInArrow(run, "u long, v long").distinct()
+    return stored(keyed.mapInArrow(run, "u long, v long"), "links")
 
 
 def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -269,7 +291,7 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80) -> DataF
     labels = components(links)
     links = links.union(_verified(_second_pairs(_labelled(members, labels)), sets, percent))
     labels = components(links)
-    links = links.union(_verified(_remaining_pairs(_labelled(members, labels), sets, percent), sets, percent))
+    links = links.union(_remaining_links(_labelled(members, labels), sets, percent))
     labels = components(links)
 
     own = classes.select("node", F.col("doc_id").alias("least"))
