@@ -1,7 +1,7 @@
 """BPE encoding and decoding by content-defined chunk reuse.
 
 A rolling hash over the last 32 bytes cuts each text where its high bits are all ones, so that texts that share passages
-share chunks. A worker encodes (and decodes) a chunk once and reuses it for all its documents. A cut may fall inside a
+share chunks. A task encodes (and decodes) a chunk once and reuses it for all its documents. A cut may fall inside a
 word, so each join of chunks is repaired: what stands between the last point before the cut and the first point after it
 where both sides agree is encoded anew. Such points are ASCII blanks (see word_bpe); a chunk without one agrees with
 nothing, and the window grows over it until it meets a blank in a later chunk. The result is exactly the whole text's.
@@ -10,8 +10,8 @@ nothing, and the window grows over it until it meets a blank in a later chunk. T
 
 Defined results: a null text counts as empty; an empty text has no ids and decodes to an empty text; texts of any length
 are encoded whole; repeated rows get equal results; columns named as the outputs are replaced, others pass through; an
-empty table gives an empty one. The chunk store is bounded (STORE_BYTES a worker), so sharing is within a worker: no text
-is shuffled.
+empty table gives an empty one. The chunk store is bounded (STORE_BYTES) and lives as long as its task, so sharing is among
+a task's documents: no text is shuffled.
 """
 
 from __future__ import annotations
@@ -28,7 +28,9 @@ from .runtime import byte_blocks, map_batches, raw_bytes, text_or_empty
 from .word_bpe import encoder
 
 #: One cut in so many bytes; the longest chunk; what a worker's chunk store may hold.
-MEAN_BYTES, MOST_BYTES, STORE_BYTES = 1024, 1 << 16, 64 << 20
+MEAN_BYTES, MOST_BYTES, STORE_BYTES = 1024, 1 << 16, 48 << 20
+#: Words that a worker remembers beside its chunks.
+WORDS = 250_000
 _GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, dtype=np.uint32)
 _BLANKS = b" \t\n\r\x0b\x0c"
 
@@ -58,11 +60,14 @@ class ChunkCodec:
     """Encodes texts by reused chunks. A chunk is kept as its head and tail (up to its outer blanks) and the ids between."""
 
     def __init__(self, path: str):
-        self.words = encoder(path)
+        self.words = encoder(path, WORDS)
         self.store: dict[bytes, tuple | None] = {}
         self.held = 0
         self.hits = self.misses = 0
 
+    def forget(self) -> None:
+        self.store, self.held = {}, 0
+
     def _decoded(self, ids: bytes) -> tuple[bytes, bytes, bytes]:
         """ids, their decimals joined by blanks, and the text that decode() gives."""
         numbers = np.frombuffer(ids, self.words.width).tolist()
@@ -70,7 +75,7 @@ class ChunkCodec:
 
     def _chunks(self, wanted: set[bytes]) -> dict[bytes, tuple | None]:
         if self.held > STORE_BYTES:
-            self.store, self.held = {}, 0
+            self.forget()
         new = [c for c in wanted if c not in self.store]
         self.misses += len(new)
         bounds = []
@@ -81,7 +86,7 @@ class ChunkCodec:
         bodies = self.words.encode([c[b[0] : b[1]] if b else b"" for c, b in zip(new, bounds, strict=True)])
         for c, b, ids in zip(new, bounds, bodies, strict=True):
             self.store[c] = (c[: b[0]], *self._decoded(ids), c[b[1] :]) if b else None
-            self.held += 4 * len(c) + 400
+            self.held += 6 * len(c) + 600
         return self.store
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[list[bytes], list[bytes], list[bytes]]]:
@@ -155,7 +160,7 @@ def encode(df: DataFrame, path: str) -> DataFrame:
             ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             yield dict(zip(names, block.columns, strict=True)) | {"ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))}
 
-    return map_batches(kept, step, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "ids array<int>"]))
+    return map_batches(kept, step, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "ids array<int>"]), lambda: codec(path).forget())
 
 
 def decode(df: DataFrame, path: str) -> DataFrame:
@@ -164,7 +169,7 @@ def decode(df: DataFrame, path: str) -> DataFrame:
     names = kept.columns
 
     def step(batch: pa.RecordBatch) -> Iterator[dict]:
-        library = encoder(path).tokenizer
+        library = encoder(path, WORDS).tokenizer
         batch = batch.rename_columns(names)
         texts = [None if x is None else library.decode(x, skip_special_tokens=False) for x in batch.column("ids").to_pylist()]
         yield dict(zip(names, batch.columns, strict=True)) | {"decoded": pa.array(texts, pa.string())}
@@ -190,7 +195,7 @@ def tokenized(df: DataFrame, path: str) -> DataFrame:
                 "decoded_sha256": pa.array([hashlib.sha256(b" ".join(r[2])).hexdigest() for r in rows], pa.string()),
             }
 
-    return map_batches(kept, step, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.drop("_text").schema), "n_tokens long, ids array<int>, decoded_sha256 string"]))
+    return map_batches(kept, step, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.drop("_text").schema), "n_tokens long, ids array<int>, decoded_sha256 string"]), lambda: codec(path).forget())
 
 
 def digest(df: DataFrame, path: str) -> DataFrame:
@@ -207,4 +212,4 @@ def digest(df: DataFrame, path: str) -> DataFrame:
             }
 
     kept = df.select("doc_id", text_or_empty().alias("text"))
-    return map_batches(kept, step, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_batches(kept, step, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string", lambda: codec(path).forget())

@@ -30,14 +30,18 @@ def id_remainder(modulus: int, column: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
-    """mapInArrow with a step from one batch to dicts of output columns."""
+def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], Iterator[dict]], schema: str, last: Callable[[], None] | None = None) -> DataFrame:
+    """mapInArrow with a step from one batch to dicts of output columns; last() is called when a task is done."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 for columns in step(batch):
                     yield pa.RecordBatch.from_pydict(columns)
+        # A worker lives on with other tasks; what Arrow holds in reserve is given back.
+        if last:
+            last()
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

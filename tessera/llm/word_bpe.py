@@ -16,8 +16,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: Words that one worker remembers, and the longest word that it does; beyond, it starts anew.
-CACHED_WORDS, CACHED_BYTES = 1_500_000, 48
+#: Words that one worker remembers (some 200 bytes each), and the longest word that it does; beyond, it starts anew.
+CACHED_WORDS, CACHED_BYTES = 1_200_000, 48
 #: Bytes of a text that are split into words at a time.
 PIECE_BYTES = 2 << 20
 _BLANK = re.compile(rb"[ \t\n\r\x0b\x0c]")
@@ -38,7 +38,8 @@ def checked(path: str) -> None:
 class WordEncoder:
     """encode(text) gives what the library gives for the whole text; also what decode() gives for those ids."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, words: int = CACHED_WORDS):
+        self.most = words
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -58,7 +59,7 @@ class WordEncoder:
 
         Returns the words too long to be kept.
         """
-        if len(self.known) + len(words) > CACHED_WORDS:
+        if len(self.known) + len(words) > self.most:
             self.known = {}
         known = self.known
         whole: dict[bytes, bytes] = {}
@@ -119,6 +120,6 @@ def pieces(text: bytes) -> Iterator[bytes]:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
-    """One encoder for each file and worker."""
-    return WordEncoder(path)
+def encoder(path: str, words: int = CACHED_WORDS) -> WordEncoder:
+    """One encoder for each file, size and worker."""
+    return WordEncoder(path, words)
