@@ -20,21 +20,36 @@ import numpy as np
 CACHED_WORDS, CACHED_BYTES = 1_200_000, 48
 #: Bytes of a text that are split into words at a time.
 PIECE_BYTES = 2 << 20
+#: Words that the normalizer and the pre-tokenizer leave as they are: lower-case Latin letters.
+_PLAIN = re.compile("[a-zß-öø-ÿ]+")
 _BLANK = re.compile(rb"[ \t\n\r\x0b\x0c]")
 #: A word that ends in marks: the marks are a piece of their own for the pre-tokenizer.
 _MARKS = frozenset(b"!,.?;:")
 _TAIL = re.compile(rb"(.*[A-Za-z])([!,.?;:]+)", re.DOTALL)
 
 
+# What the supported files' normalizers and pre-tokenizers consist of.
+NORMALIZER, PRE_TOKENIZER = ("NFC", "Replace", "Lowercase"), ("Split", "ByteLevel")
+
+
 def checked(path: str) -> None:
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    pre = spec.get("pre_tokenizer") or {}
-    split = (pre.get("pretokenizers") or [{}])[0]
-    if split.get("type") != "Split" or split.get("behavior") != "Removed" or not split.get("invert") or r"[^\s\p{L}\p{N}]+" not in (split.get("pattern") or {}).get("Regex", "") or spec.get("post_processor") or spec.get("decoder"):
+    steps, parts = (spec.get("normalizer") or {}).get("normalizers") or [{}], (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    split = parts[0]
+    pattern = (split.get("pattern") or {}).get("Regex", "")
+    kinds = tuple(x.get("type") for x in steps) == NORMALIZER and tuple(x.get("type") for x in parts) == PRE_TOKENIZER
+    if not kinds or split.get("behavior") != "Removed" or not split.get("invert") or r"[\p{L}]+" not in pattern or r"[^\s\p{L}\p{N}]+" not in pattern or spec.get("post_processor") or spec.get("decoder"):
         raise ValueError("only files that drop white space between pre-tokens, without post-processor and decoder, are supported")
 
 
+def byte_letters() -> str:
+    """The letter that stands for each byte: itself where it prints in Latin-1, else the next one from U+0100 on."""
+    prints = [33 <= b <= 126 or 161 <= b <= 172 or b >= 174 for b in range(256)]
+    more = iter(range(256, 512))
+    return "".join(chr(b) if p else chr(next(more)) for b, p in enumerate(prints))
+
+
 class WordEncoder:
     """encode(text) gives what the library gives for the whole text; also what decode() gives for those ids."""
 
@@ -47,12 +62,25 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        # The file's model alone, for words that need none of the steps before it.
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.letters = dict(enumerate(byte_letters()))
         self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[bytes, bytes] = {}
 
     def library(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [array(self.width.char, e.ids).tobytes() for e in found]
+        """Ids by the library: by its model for plain words, by the whole tokenizer for others."""
+        texts = [w.decode() for w in words]
+        plain = [i for i, t in enumerate(texts) if _PLAIN.fullmatch(t)]
+        mapped = [texts[i] if words[i].isascii() else words[i].decode("latin-1").translate(self.letters) for i in plain]
+        out = [b""] * len(words)
+        code = self.width.char
+        for i, e in zip(plain, self.bare.encode_batch_fast(mapped, add_special_tokens=False), strict=True):
+            out[i] = array(code, e.ids).tobytes()
+        others = sorted(set(range(len(words))).difference(plain))
+        for i, e in zip(others, self.tokenizer.encode_batch_fast([texts[i] for i in others], add_special_tokens=False), strict=True):
+            out[i] = array(code, e.ids).tobytes()
+        return out
 
     def learn(self, words: set[bytes]) -> list[bytes]:
         """Makes self.known hold the ids of each word, as bytes; parts not known yet are encoded by the library.
