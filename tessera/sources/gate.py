@@ -207,7 +207,7 @@ def auxiliary_table(spark: SparkSession, uri: str, manifest: str | bytes | dict)
 # ---------------------------------------------------------------------------------------------------------------- sinks
 
 
-def _fresh(path: str) -> tuple[pafs.FileSystem, str]:
+def fresh(path: str) -> tuple[pafs.FileSystem, str]:
     fs, at = pafs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
     if fs.get_file_info(at).type != pafs.FileType.NotFound:
         raise Refused(f"{path} exists; nothing is overwritten")
@@ -217,7 +217,7 @@ def _fresh(path: str) -> tuple[pafs.FileSystem, str]:
 def write_json(path: str, value: object) -> None:
     """A new file, indented; NaN and infinities are refused."""
     text = json.dumps(value, indent=2, allow_nan=False, ensure_ascii=False) + "\n"
-    fs, at = _fresh(path)
+    fs, at = fresh(path)
     fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
     with fs.open_output_stream(at) as f:
         f.write(text.encode())
@@ -225,7 +225,7 @@ def write_json(path: str, value: object) -> None:
 
 def write_rows(df: DataFrame, path: str, report: dict | None = None) -> None:
     """JSON lines in a new folder, and a report beside them."""
-    _fresh(path)
+    fresh(path)
     df.write.mode("errorifexists").json(f"{path}/observations")
     if report is not None:
         write_json(f"{path}/report.json", report)
@@ -233,7 +233,7 @@ def write_rows(df: DataFrame, path: str, report: dict | None = None) -> None:
 
 def write_predictions(df: DataFrame, path: str, targets: tuple[str, ...] = TARGETS) -> None:
     """Fixed columns, then value, lower and upper of each target; reasons joined by |; refused cells are blank."""
-    _fresh(path)
+    fresh(path)
     if not df.limit(1).count():
         raise Refused("no rows to predict")
     columns = [*PREDICTION, *[f"{t}{s}" for t in targets for s in ("", "_lower", "_upper")]]
@@ -243,7 +243,7 @@ def write_predictions(df: DataFrame, path: str, targets: tuple[str, ...] = TARGE
 
 def write_bundle(df: DataFrame, path: str, manifest: dict, report: dict) -> None:
     """Rows with a manifest whose permissions are all withdrawn: a second approval is needed before they are used."""
-    _fresh(path)
+    fresh(path)
     df.write.mode("errorifexists").parquet(f"{path}/rows")
     write_json(f"{path}/manifest.json", manifest | {k: False for k in manifest if k.endswith("_allowed")} | {"rights_status": "pending"})
     write_json(f"{path}/report.json", report)
