@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .probe_table import ProbeTable
-from .runtime import id_remainder, map_batches, text_or_empty
+from .runtime import id_remainder, map_batches
 
 ORDER, SAMPLE_BYTES, MOST_LANGUAGES = 3, 1 << 19, 200
 BIT = 4096
@@ -150,16 +150,15 @@ def learn(df: DataFrame, learned: Column, order: int = ORDER) -> ContextTrees |
     return ContextTrees.learn(samples, order) if samples else None
 
 
-def identify(df: DataFrame, trees: ContextTrees | None) -> DataFrame:
+def identify(df: DataFrame, trees: ContextTrees | None, keep_text: bool = True) -> DataFrame:
     """df with lang_pred, score (the best language's share of 2 ** -length) and bits_per_byte (of its code)."""
-    outputs = ("lang_pred", "score", "bits_per_byte")
-    kept = df.drop(*outputs).withColumn("_text", text_or_empty())
-    names = kept.columns[:-1]
+    kept = df.drop("lang_pred", "score", "bits_per_byte")
+    names = [c for c in kept.columns if keep_text or c != "text"]
     shared = df.sparkSession.sparkContext.broadcast(trees)
 
     def step(batch: pa.RecordBatch) -> Iterator[dict]:
         trees = shared.value
-        for first, texts in _lowered(batch.column(len(names))):
+        for first, texts in _lowered(batch.column("text").fill_null("")):
             n = len(texts)
             langs, scores, bits = ["und"] * n, np.zeros(n), [None] * n
             lettered = [i for i, t in enumerate(texts) if trees is not None and _LETTER.search(t)]
@@ -172,9 +171,9 @@ def identify(df: DataFrame, trees: ContextTrees | None) -> DataFrame:
                 for i, b, s, c, t in zip(lettered, best.tolist(), share.tolist(), least.tolist(), coded, strict=True):
                     langs[i], scores[i], bits[i] = trees.languages[b], s, c / BIT / len(t)
             block = batch.slice(first, n)
-            yield dict(zip(names, block.columns, strict=False)) | {"lang_pred": pa.array(langs), "score": pa.array(scores), "bits_per_byte": pa.array(bits, pa.float64())}
+            yield {c: block.column(c) for c in names} | {"lang_pred": pa.array(langs), "score": pa.array(scores), "bits_per_byte": pa.array(bits, pa.float64())}
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.drop("_text").schema), "lang_pred string, score double, bits_per_byte double"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.select(*names).schema), "lang_pred string, score double, bits_per_byte double"])
     return map_batches(kept, step, schema)
 
 
@@ -204,5 +203,5 @@ def learned_rows() -> Column:
 def digest(df: DataFrame) -> DataFrame:
     """The contract's row per document; bits_per_byte is extra."""
     trees = learn(df.select("doc_id", "text", "lang"), learned_rows())
-    found = identify(df.select("doc_id", "text"), trees)
+    found = identify(df.select("doc_id", "text"), trees, keep_text=False)
     return found.select("doc_id", (id_remainder(4) == 2).alias("held_out"), "lang_pred", "score", "bits_per_byte")
