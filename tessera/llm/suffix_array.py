@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import byte_blocks, map_batches, text_or_empty
+from .runtime import byte_blocks, map_batches
 from .words import ALPHANUMERIC, Words, scan
 
 WINDOW, DEPTH, LONGEST = 10, 16, 1 << 16
@@ -211,33 +211,42 @@ def _blocks(items: DataFrame) -> Iterator[Tests]:
         yield Tests.of([r["item_id"] for r in got], [r["text"] for r in got])
 
 
-def _searched(rows: DataFrame, tests: Tests) -> DataFrame:
-    """rows, whose last column is _text (without nulls), with the outputs in its place."""
-    names = rows.columns[:-1]
+def _searched(rows: DataFrame, tests: Tests, names: list[str]) -> DataFrame:
+    """The named columns of rows, which have a text, with the outputs."""
     shared = rows.sparkSession.sparkContext.broadcast(tests)
 
     def step(batch: pa.RecordBatch) -> Iterator[dict]:
-        for block in byte_blocks(batch, "_text", SHARD_BYTES):
-            found = search(scan(block.column("_text"), ALPHANUMERIC), shared.value)
-            yield dict(zip(names, block.columns, strict=False)) | {
+        filled = batch.set_column(batch.schema.get_field_index("text"), "text", batch.column("text").fill_null(""))
+        for block, own in zip(byte_blocks(filled, "text", SHARD_BYTES), _aligned(batch, filled), strict=True):
+            found = search(scan(block.column("text"), ALPHANUMERIC), shared.value)
+            yield {c: own.column(c) for c in names} | {
                 "n_words": pa.array([r["n_words"] for r in found], pa.int64()),
                 "hits": pa.array([r["hits"] for r in found], _HITS_TYPE),
                 "items": pa.array([r["items"] for r in found], pa.list_(pa.int64())),
                 "longest": pa.array([r["longest"] for r in found], _LONGEST_TYPE),
             }
 
-    return map_batches(rows, step, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("_text").schema), OUTPUTS]))
+    return map_batches(rows, step, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema), OUTPUTS]))
 
 
-def matches(df: DataFrame, items: DataFrame) -> DataFrame:
+def _aligned(batch: pa.RecordBatch, filled: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of batch that belong to each block of filled."""
+    first = 0
+    for block in byte_blocks(filled, "text", SHARD_BYTES):
+        yield batch.slice(first, block.num_rows)
+        first += block.num_rows
+
+
+def matches(df: DataFrame, items: DataFrame, keep_text: bool = True) -> DataFrame:
     """df (without columns named as the outputs) with n_words, hits, items and longest."""
     kept = df.drop("n_words", "hits", "items", "longest")
+    names = [c for c in kept.columns if keep_text or c != "text"]
     blocks = list(_blocks(items))
     if len(blocks) == 1:
-        return _searched(kept.withColumn("_text", text_or_empty()), blocks[0])
+        return _searched(kept, blocks[0], names)
     # Several blocks of tests: each document's results are brought together by its place in the table.
     numbered = kept.withColumn("_row", F.monotonically_increasing_id())
-    each = [_searched(numbered.select("_row", text_or_empty().alias("_text")), tests) for tests in blocks]
+    each = [_searched(numbered.select("_row", "text"), tests, ["_row"]) for tests in blocks]
     union = each[0]
     for more in each[1:]:
         union = union.unionByName(more)
@@ -247,7 +256,7 @@ def matches(df: DataFrame, items: DataFrame) -> DataFrame:
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         F.max_by("longest", F.col("longest.words")).alias("longest"),
     )
-    return numbered.join(found, "_row").drop("_row")
+    return numbered.select("_row", *names).join(found, "_row").drop("_row")
 
 
 def merged_column(hits):
@@ -270,7 +279,7 @@ def clean(df: DataFrame, items: DataFrame) -> DataFrame:
 def digest(df: DataFrame, items: DataFrame) -> DataFrame:
     """The contract's row per document; longest_match (in words) is extra."""
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    return matches(df.select("doc_id", "text"), items).select(
+    return matches(df.select("doc_id", "text"), items, keep_text=False).select(
         "doc_id",
         "n_words",
         n_hit.alias("n_hit"),
