@@ -124,25 +124,24 @@ def spans_of(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def find_pii(df: DataFrame) -> DataFrame:
+def find_pii(df: DataFrame, keep_text: bool = True) -> DataFrame:
     """df with the column `pii`; a column of that name is replaced."""
     kept = df.drop("pii").withColumn("text", text_or_empty())
-    names = kept.columns
-    at = names.index("text")
+    names = [c for c in kept.columns if keep_text or c != "text"]
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in spans_of(t.as_py())] for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], names=[*names, "pii"])
+            rows = [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in spans_of(t.as_py())] for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(rows, kind)], names=[*names, "pii"])
 
-    return kept.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), f"pii {SPAN}"]))
+    return kept.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.select(*names).schema), f"pii {SPAN}"]))
 
 
 def digest(df: DataFrame) -> DataFrame:
     """The contract's row per document; base spans and all spans are those of find_pii()."""
     spans = F.col("pii")
-    return find_pii(df.select("doc_id", "text")).select(
+    return find_pii(df.select("doc_id", "text"), keep_text=False).select(
         "doc_id",
         *(count(spans, k).alias(f"n_{k}") for k in BASE_KINDS),
         F.sha2(joined(of_kinds(spans, BASE_KINDS)), 256).alias("base_sha256"),
