@@ -19,7 +19,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import chunked_bpe, language_id, minhash, secret_scan, suffix_array
-from tessera.llm.runtime import stored, table
+from tessera.llm.runtime import dropped, stored, table
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -58,6 +58,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    for k, (name, stage) in enumerate(STAGES):
+        after = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        if k:
+            dropped(docs)
+        docs = after
     return docs
