@@ -471,7 +471,7 @@ def hourly_trace(spark: SparkSession, sf_dir: str, by: bool = False) -> DataFram
     replicate = F.col("event_type") if by else F.lit("all")
     sums = events.groupBy(replicate.alias("replicate"), hour.alias("i")).agg(F.sum("value").alias("v"))
     names = events.select(replicate.alias("replicate")).distinct()
-    grid = names.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(719))).cast("long"))
+    grid = names.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(719).cast("long"))))
     return grid.join(sums, ["replicate", "i"], "left").select("replicate", F.lit("value").alias("observable"), F.col("i").cast("int").alias("i"), F.col("i").cast("double").alias("t"), F.coalesce("v", F.lit(0.0)).alias("value"))
 
 
