@@ -19,28 +19,33 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import chunked_bpe, language_id, minhash, secret_scan, suffix_array
-from tessera.llm.runtime import dropped, stored, table
+from tessera.llm.runtime import bounded, dropped, stored, table
 
 TOKENIZER = "word_bpe_49k.json"
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded(spark)
     return language_id.accepted(docs, language_id.learn(docs, language_id.learned_rows()))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded(spark)
     return minhash.deduplicated(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded(spark)
     return suffix_array.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded(spark)
     return secret_scan.redacted(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded(spark)
     return chunked_bpe.tokenized(docs, public_tokenizers.path(TOKENIZER))
 
 

@@ -8,49 +8,49 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chunked_bpe, language_id, minhash, ngram_bloom, pii_scan, secret_scan, suffix_array, token_frames, transport_stream, warc
-from .runtime import table
+from .runtime import bounded, table
 
 TOKENIZER = "word_bpe_49k.json"
 
 
 def op1_warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.digest(table(spark, sf_dir, "pages"))
+    return warc.digest(table(bounded(spark), sf_dir, "pages"))
 
 
 def op2_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunked_bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    return chunked_bpe.digest(table(bounded(spark), sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_id.digest(table(spark, sf_dir, "documents"))
+    return language_id.digest(table(bounded(spark), sf_dir, "documents"))
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.digest(table(spark, sf_dir, "documents"))
+    return secret_scan.digest(table(bounded(spark), sf_dir, "documents"))
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_bloom.digest(table(spark, sf_dir, "documents"))
+    return ngram_bloom.digest(table(bounded(spark), sf_dir, "documents"))
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_array.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return suffix_array.digest(table(bounded(spark), sf_dir, "documents"), table(bounded(spark), sf_dir, "benchmark"))
 
 
 def op7_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_frames.digest(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    return token_frames.digest(table(bounded(spark), sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
 def op8_pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii_scan.digest(table(spark, sf_dir, "documents"))
+    return pii_scan.digest(table(bounded(spark), sf_dir, "documents"))
 
 
 def op9_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transport_stream.digest(table(spark, sf_dir, "documents"))
+    return transport_stream.digest(table(bounded(spark), sf_dir, "documents"))
 
 
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.digest(table(spark, sf_dir, "documents"))
+    return minhash.digest(table(bounded(spark), sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -11,12 +11,25 @@ from pyspark.sql import functions as F
 
 from ..storage import dropped, shared_folder, stored
 
-__all__ = ["BLOCK_BYTES", "byte_blocks", "dropped", "id_remainder", "map_batches", "raw_bytes", "shared_folder", "stored", "table", "text_or_empty"]
+__all__ = ["BLOCK_BYTES", "bounded", "byte_blocks", "dropped", "id_remainder", "map_batches", "raw_bytes", "shared_folder", "stored", "table", "text_or_empty"]
 
 #: A sub-batch of texts is closed at this many bytes, whatever the Arrow batch holds.
 BLOCK_BYTES = 4 << 20
 
 
+#: Arrow batches between the JVM and its workers, which both hold several.
+BATCH_BYTES = 16 << 20
+
+
+def bounded(spark: SparkSession) -> SparkSession:
+    """The session, with Arrow batches of BATCH_BYTES at most (Spark's default is 64 MB)."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = spark.conf.get(key)
+    if not size.rstrip("b").isdigit() or int(size.rstrip("b")) > BATCH_BYTES or int(size.rstrip("b")) <= 0:
+        spark.conf.set(key, str(BATCH_BYTES))
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
