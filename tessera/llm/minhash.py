@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .runtime import byte_blocks, dropped, map_batches, stored, text_or_empty
+from .runtime import byte_blocks, dropped, give_back, map_batches, stored, text_or_empty
 from .words import NOT_BLANK, mix, runs, scan
 
 ROWS, BANDS = 6, 40
@@ -273,6 +273,8 @@ def _remaining_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFram
                 for into, value in zip(held, row, strict=True):
                     into.append(value)
         yield from done()
+        key, held = None, ([], [], [], [], [])
+        give_back()
 
     return stored(keyed.mapInArrow(run, "u long, v long"), "links")
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import text_or_empty
+from .runtime import give_back, text_or_empty
 from .spans import SPAN, count, joined, of_kinds
 
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -134,6 +134,7 @@ def find_pii(df: DataFrame, keep_text: bool = True) -> DataFrame:
         for batch in batches:
             rows = [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in spans_of(t.as_py())] for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(rows, kind)], names=[*names, "pii"])
+        give_back()
 
     return kept.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.select(*names).schema), f"pii {SPAN}"]))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..storage import dropped, shared_folder, stored
 
-__all__ = ["BLOCK_BYTES", "bounded", "byte_blocks", "dropped", "id_remainder", "map_batches", "raw_bytes", "shared_folder", "stored", "table", "text_or_empty"]
+__all__ = ["BLOCK_BYTES", "bounded", "byte_blocks", "dropped", "give_back", "id_remainder", "map_batches", "raw_bytes", "shared_folder", "stored", "table", "text_or_empty"]
 
 #: A sub-batch of texts is closed at this many bytes, whatever the Arrow batch holds.
 BLOCK_BYTES = 4 << 20
@@ -43,6 +45,22 @@ def id_remainder(modulus: int, column: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def give_back() -> None:
+    """Returns to the system what Arrow and the C library hold in reserve: a worker lives on beside those of other tasks."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
+@functools.lru_cache
+def _trim() -> Callable[[int], int] | None:
+    """malloc_trim, where the C library has it."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return None
+
+
 def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], Iterator[dict]], schema: str, last: Callable[[], None] | None = None) -> DataFrame:
     """mapInArrow with a step from one batch to dicts of output columns; last() is called when a task is done."""
 
@@ -51,10 +69,10 @@ def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], Iterator[dict]],
             if batch.num_rows:
                 for columns in step(batch):
                     yield pa.RecordBatch.from_pydict(columns)
-        # A worker lives on with other tasks; what Arrow holds in reserve is given back.
+                give_back()
         if last:
             last()
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import text_or_empty
+from .runtime import give_back, text_or_empty
 from .spans import SPAN, count, joined, of_kinds
 
 BASE_KINDS = ("assign", "access", "hex")
@@ -96,6 +96,7 @@ def find_secrets(df: DataFrame, keep_text: bool = True) -> DataFrame:
         for batch in batches:
             rows = [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in spans_of(t.as_py())] for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(rows, kind)], names=[*names, "secrets"])
+        give_back()
 
     return kept.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.select(*names).schema), f"secrets {SPAN}"]))
 
@@ -125,6 +126,7 @@ def redacted(df: DataFrame) -> DataFrame:
             columns = list(batch.columns)
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        give_back()
 
     out = kept.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema))
     out = out.withColumn("text", F.when(~F.col("_null"), F.col("text")))

@@ -32,7 +32,7 @@ from .runtime import byte_blocks, map_batches
 from .words import ALPHANUMERIC, Words, scan
 
 WINDOW, DEPTH, LONGEST = 10, 16, 1 << 16
-SHARD_BYTES, BLOCK_BYTES = 8 << 20, 16 << 20
+SHARD_BYTES, BLOCK_BYTES = 4 << 20, 16 << 20
 _U = np.uint64
 _END = _U(0)
 
