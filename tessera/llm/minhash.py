@@ -191,7 +191,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         kept = [i for i in surviving(su, sv, each, each, percent).tolist() if linked(*(np.frombuffer(batch.column(c)[i].as_buffer(), _U) for c in ("tu", "tv")), percent)]
         yield {c: batch.column(c).take(pa.array(kept, pa.int64())) for c in ("u", "v")}
 
-    return stored(map_batches(left.join(right, ["u", "v"]), step, "u long, v long"), "links")
+    # Rebalanced: a few links from many tasks would be as many files.
+    return stored(map_batches(left.join(right, ["u", "v"]), step, "u long, v long").hint("rebalance"), "links")
 
 
 def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -276,7 +277,7 @@ def _remaining_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFram
         key, held = None, ([], [], [], [], [])
         give_back()
 
-    return stored(keyed.mapInArrow(run, "u long, v long"), "links")
+    return stored(keyed.mapInArrow(run, "u long, v long").hint("rebalance"), "links")
 
 
 def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -285,7 +286,7 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80) -> DataF
     classes = stored(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("bands").alias("bands")), "classes")
     banded = classes.select("node", F.explode("bands").alias("bucket"))
     centres = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("centre")).where("n > 1").drop("n")
-    members = stored(banded.join(centres, "bucket").select("bucket", "node", "centre"), "members")
+    members = stored(banded.join(centres, "bucket").select("bucket", "node", "centre").hint("rebalance"), "members")
     wanted = classes.select("node", "doc_id").join(members.select("node").distinct(), "node", "left_semi")
     sets = stored(_full_sets(df, stored(wanted, "wanted"), shingle), "sets")
 
