@@ -20,8 +20,9 @@ all candidates. A candidate pair of similarity s exactly is missed with probabil
 `near_duplicates(df, shingle)` gives per row doc_id, n_shingles, component_id (least doc_id reachable) and kept.
 
 Defined results: null, empty and blank texts have no set, are linked with nothing and kept; texts of any length are used
-whole; equal sets are linked; rows that share doc_id and text are one document, all kept or none; a null doc_id is never
-the least id unless its component has no other; an empty table gives an empty one; other columns are not carried.
+whole; equal sets are linked; rows that share doc_id and text are one document, all kept or none; of the documents of a
+component that share its least id one is kept (by a hash of id and text); a null doc_id is an id like others, but never the
+least one unless its component has no other; an empty table gives an empty one; other columns are not carried.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
@@ -133,9 +134,14 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def _row_key(df: DataFrame) -> Column:
+    """A signed 64-bit hash of all columns: the same for equal rows, whenever df is read."""
+    return F.xxhash64(*(F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema))
+
+
 def _described(df: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, n_shingles, node (key of the set; null without one) and keys of its bands."""
-    kept = df.select("doc_id", text_or_empty().alias("text"))
+    """doc_id, key (of the row), n_shingles, node (key of the set; null without one) and keys of its bands."""
+    kept = df.select("doc_id", _row_key(df).alias("key"), text_or_empty().alias("text"))
 
     def step(batch: pa.RecordBatch) -> Iterator[dict]:
         for block in byte_blocks(batch, "text"):
@@ -146,12 +152,13 @@ def _described(df: DataFrame, shingle: int) -> DataFrame:
             ends = np.concatenate([[0], np.cumsum(np.where(has, BANDS, 0))]).astype(np.int32)
             yield {
                 "doc_id": block.column("doc_id"),
+                "key": block.column("key"),
                 "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
                 "node": pa.array([class_key(s) if len(s) else None for s in sets], pa.int64()),
                 "bands": pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.reshape(-1))),
             }
 
-    return map_batches(kept, step, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, n_shingles long, node long, bands array<long>")
+    return map_batches(kept, step, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, key long, n_shingles long, node long, bands array<long>")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -280,14 +287,16 @@ def _remaining_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFram
     return stored(keyed.mapInArrow(run, "u long, v long").hint("rebalance"), "links")
 
 
-def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of df."""
+def _grouped(df: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """doc_id, key (of the row), n_shingles, component_id and kept of every row of df; kept are the rows of one key in each component."""
     rows = stored(_described(df, shingle), "described")
-    classes = stored(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("bands").alias("bands")), "classes")
+    # The row that stands for a class or component: that of the least id (null comes last), then of the least key.
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    classes = stored(rows.where("node IS NOT NULL").groupBy("node").agg(F.min(order).alias("least"), F.any_value("bands").alias("bands")), "classes")
     banded = classes.select("node", F.explode("bands").alias("bucket"))
     centres = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("centre")).where("n > 1").drop("n")
     members = stored(banded.join(centres, "bucket").select("bucket", "node", "centre").hint("rebalance"), "members")
-    wanted = classes.select("node", "doc_id").join(members.select("node").distinct(), "node", "left_semi")
+    wanted = classes.select("node", "least.doc_id").join(members.select("node").distinct(), "node", "left_semi")
     sets = stored(_full_sets(df, stored(wanted, "wanted"), shingle), "sets")
 
     links = _verified(members.groupBy("node").agg(F.min("centre").alias("centre")).toDF("u", "v"), sets, percent)
@@ -297,25 +306,42 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80) -> DataF
     links = links.union(_remaining_links(_labelled(members, labels), sets, percent))
     labels = components(links)
 
-    own = classes.select("node", F.col("doc_id").alias("least"))
+    own = classes.select("node", "least")
     least = labels.join(own, "node").groupBy("label").agg(F.min("least").alias("least"))
     found = own.join(labels.join(least, "label").select("node", F.col("least").alias("joined")), "node", "left").select("node", F.coalesce("joined", "least").alias("least"))
-    out = rows.select("doc_id", "n_shingles", "node").join(found, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least"))
-    out = stored(out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")), "duplicates")
+    out = rows.select("doc_id", "key", "n_shingles", "node").join(found, "node", "left")
+    alone = F.col("node").isNull()
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("least.doc_id"))
+    kept = alone | (F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("key") == F.col("least.key")))
+    out = stored(out.select("doc_id", "key", "n_shingles", component.alias("component_id"), kept.alias("kept")), "duplicates")
     for done in (rows, classes, members, sets):
         dropped(done)
     return out
 
 
+def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row of df."""
+    return _grouped(df.select("doc_id", "text"), shingle, percent).drop("key")
+
+
 def deduplicated(df: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of df that stay: one document of each group, that of the least doc_id; of its equal rows one."""
-    found = near_duplicates(df, shingle, percent)
-    stay = found.where("kept").select("doc_id")
-    gone = found.where("not kept").select("doc_id").distinct()
-    out = df.join(gone, df["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
-    # Only where rows share an id does anything have to be compared.
-    return out.dropDuplicates() if stay.groupBy("doc_id").count().where("count > 1").limit(1).count() else out
+    """The rows of df that stay: one of each group (of the least doc_id, then by a hash of the whole row), and those without a set; of equal rows one."""
+    found = _grouped(df, shingle, percent)
+    names = [F.col(f"d.`{c}`") for c in df.columns]
+    keyed = df.withColumn("_row_key", _row_key(df)).alias("d")
+
+    def match(other: DataFrame) -> Column:
+        return F.col("d.doc_id").eqNullSafe(other["doc_id"]) & (F.col("d._row_key") == other["key"])
+
+    gone = _small(found.where("not kept").select("doc_id", "key").distinct())
+    twice = stored(found.where("kept").groupBy("doc_id", "key").count().where("count > 1").select("doc_id", "key"), "repeated")
+    out = keyed.join(gone, match(gone), "left_anti")
+    # Only rows that are there several times are shuffled.
+    if not twice.limit(1).count():
+        return out.select(*names)
+    twice = _small(twice)
+    once = out.join(twice, match(twice), "left_anti").select(*names)
+    return once.unionByName(keyed.join(twice, match(twice), "left_semi").dropDuplicates(["doc_id", "_row_key"]).select(*names))
 
 
 def digest(df: DataFrame, shingle: int = 4) -> DataFrame:

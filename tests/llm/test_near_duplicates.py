@@ -76,6 +76,26 @@ def test_one_document_of_each_group_stays(spark):
     assert collections.Counter(ids) == collections.Counter([None, *{c for _, c in want.values()}])
 
 
+def test_rows_that_share_an_id_stay_or_go_by_themselves(spark):
+    copy = "one text of eight words that comes back"
+    near = " ".join(f"w{i}" for i in range(60))
+    data = [
+        (1, copy, "a"), (None, copy, "b"), (None, "this clean text has a null id", "c"), (None, "and so has this clean text", "d"),
+        (2, copy, "e"), (2, "a clean text under the id of a copy", "f"),
+        (3, near, "g"), (3, near + " more", "h"), (3, near, "i"),
+        (None, "a pair of equal texts without ids", "j"), (None, "a pair of equal texts without ids", "k"),
+        (4, None, "l"), (4, None, "l"), (4, " ", "m"), (None, None, "n"), (None, None, "n"),
+    ]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").selectExpr("*", "map(source, 1) AS extra", "0 AS `a.b`")
+    got = minhash.deduplicated(df)
+    assert got.columns == df.columns
+    left = [r.source for r in got.select("source").collect()]
+    assert sorted(x for x in left if x not in "ghijk") == list("acdflmn")
+    assert len(left) == 9 and sum(x in "ghi" for x in left) == 1 and sum(x in "jk" for x in left) == 1
+    flagged = minhash.near_duplicates(df).where("doc_id = 3").collect()
+    assert {r.component_id for r in flagged} == {3} and sum(r.kept for r in flagged) in (1, 2)
+
+
 def test_empty(spark):
     assert minhash.near_duplicates(empty(spark)).collect() == []
     assert minhash.deduplicated(empty(spark)).collect() == []
