@@ -167,15 +167,17 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def _full_sets(df: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """node, signature (binary) and set (binary) of the wanted classes (node, doc_id), each from its document."""
-    kept = df.select("doc_id", text_or_empty().alias("text")).join(_small(wanted), "doc_id")
+    """node, signature (binary) and set (binary) of the wanted classes (node, doc_id, key), each from one row of that id and key."""
+    wanted = _small(wanted)
+    keyed = df.select("doc_id", _row_key(df).alias("key"), text_or_empty().alias("text"))
+    kept = keyed.join(wanted, keyed["doc_id"].eqNullSafe(wanted["doc_id"]) & (keyed["key"] == wanted["key"]))
+    # Equal rows share id and key: one of them is enough.
+    kept = kept.groupBy("node").agg(F.any_value("text").alias("text"))
 
     def step(batch: pa.RecordBatch) -> Iterator[dict]:
         for block in byte_blocks(batch, "text"):
-            nodes = block.column("node").to_pylist()
-            # Of several texts under one doc_id only the class's own counts.
-            sets = [(k, s) for k, s in zip(nodes, shingle_sets(block.column("text"), shingle), strict=True) if len(s) and class_key(s) == k]
-            sig = signatures([s for _, s in sets]) if sets else np.zeros((0, HASHES), _V)
+            sets = list(zip(block.column("node").to_pylist(), shingle_sets(block.column("text"), shingle), strict=True))
+            sig = signatures([s for _, s in sets])
             yield {
                 "node": pa.array([k for k, _ in sets], pa.int64()),
                 "sig": pa.array([x.astype("<u2").tobytes() for x in sig], pa.binary()),
@@ -296,7 +298,7 @@ def _grouped(df: DataFrame, shingle: int, percent: int) -> DataFrame:
     banded = classes.select("node", F.explode("bands").alias("bucket"))
     centres = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("centre")).where("n > 1").drop("n")
     members = stored(banded.join(centres, "bucket").select("bucket", "node", "centre").hint("rebalance"), "members")
-    wanted = classes.select("node", "least.doc_id").join(members.select("node").distinct(), "node", "left_semi")
+    wanted = classes.select("node", "least.doc_id", "least.key").join(members.select("node").distinct(), "node", "left_semi")
     sets = stored(_full_sets(df, stored(wanted, "wanted"), shingle), "sets")
 
     links = _verified(members.groupBy("node").agg(F.min("centre").alias("centre")).toDF("u", "v"), sets, percent)

@@ -96,6 +96,23 @@ def test_rows_that_share_an_id_stay_or_go_by_themselves(spark):
     assert {r.component_id for r in flagged} == {3} and sum(r.kept for r in flagged) in (1, 2)
 
 
+def test_null_ids_link_as_others_do(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    # Every third text has an id, and those of 60 words none at all.
+    texts = list(dict.fromkeys(families(3)))
+    data = [(i if i % 3 == 0 and len(t.split()) != 60 else None, t) for i, t in enumerate(texts)]
+    want = brute(list(enumerate(texts)), 5)
+    ids = collections.defaultdict(list)
+    for n, (i, _) in enumerate(data):
+        ids[want[n][1]].append(i)
+    least = {c: min((i for i in own if i is not None), default=None) for c, own in ids.items()}
+    assert None in least.values() and len(ids) < len(data) // 3
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(df).collect())
+    assert got == collections.Counter((i, want[n][0], least[want[n][1]]) for n, (i, _) in enumerate(data))
+    assert collections.Counter(r.doc_id for r in minhash.deduplicated(df).collect()) == collections.Counter(least.values())
+
+
 def test_empty(spark):
     assert minhash.near_duplicates(empty(spark)).collect() == []
     assert minhash.deduplicated(empty(spark)).collect() == []
