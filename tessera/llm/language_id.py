@@ -10,8 +10,8 @@ Code lengths are integers of 1/4096 bit, so sums do not depend on batches or par
 
 Defined results: `und` with score 0 where the text is null, has no letter, or nothing could be learned; texts of any
 length are scored whole; repeated rows get equal results; other columns pass through, but columns named as the outputs
-are replaced; an empty table gives an empty one. SAMPLE_BYTES bounds the labelled text learned per language (chosen by a
-hash of doc_id); MOST_LANGUAGES bounds the languages (more are an error).
+are replaced; an empty table gives an empty one. of each language texts are learned in order of
+a hash of doc_id and text until they have SAMPLE_BYTES (one at least, and SAMPLE_BYTES letters of one text at most); MOST_LANGUAGES bounds the languages (more are an error).
 """
 
 from __future__ import annotations
@@ -22,13 +22,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .probe_table import ProbeTable
 from .runtime import id_remainder, map_batches
 
 ORDER, SAMPLE_BYTES, MOST_LANGUAGES = 3, 1 << 19, 200
+#: Bits of the hash by which sizes are first summed.
+PREFIX_BITS = 12
 BIT = 4096
 _U = np.uint64
 _LETTER = re.compile(r"[^\W\d_]")
@@ -123,25 +125,30 @@ class ContextTrees:
 
 
 def _sample(df: DataFrame, learned: Column) -> dict[str, list[bytes]]:
-    """Whole lowered texts of each language, in order of a hash, about SAMPLE_BYTES of them."""
+    """Lowered texts of each language, the first ones by a hash until they have SAMPLE_BYTES; of a longer text as many letters."""
     rows = df.where(learned & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    sizes = {r["lang"]: r["size"] for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text").cast("long")).alias("size")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(sizes) > MOST_LANGUAGES:
+    size = F.octet_length("text").cast("long")
+    order = F.xxhash64(F.lit("sample"), F.col("doc_id").cast("string"), "text")
+    part = F.shiftrightunsigned("o", 64 - PREFIX_BITS)
+    rows = rows.select(order.alias("o"), "lang", "text", F.least(size, F.lit(SAMPLE_BYTES)).alias("size")).withColumn("part", part)
+    # The prefix of the hash in which a language reaches the bound (its last one if it doesn't): rows beyond are not looked at again.
+    parts = rows.groupBy("lang", "part").agg(F.sum("size").alias("size"))
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("lang").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    reached = parts.withColumn("before", before).where(F.col("before") < SAMPLE_BYTES)
+    last = {r["lang"]: r["part"] for r in reached.groupBy("lang").agg(F.max("part").alias("part")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(last) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    if not sizes:
+    if not last:
         return {}
-    million = 1_000_000
-    share = F.create_map(*[F.lit(x) for name, size in sizes.items() for x in (name, min(million, 1 + million * 2 * SAMPLE_BYTES // max(size, 1)))])
-    order = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id").cast("string")), F.lit(million))
+    bound = F.create_map(*[F.lit(x) for pair in last.items() for x in pair])
+    cut = F.when(F.col("size") < SAMPLE_BYTES, F.col("text")).otherwise(F.substring("text", 1, SAMPLE_BYTES))
+    # Equal rows have equal hashes and are sent once, with their number.
+    near = rows.where(F.col("part") <= bound[F.col("lang")]).groupBy("lang", "part", "o", "size", cut.alias("text")).agg(F.count(F.lit(1)).alias("n"))
+    order_in = Window.partitionBy("lang").orderBy("part", "o", "text").rowsBetween(Window.unboundedPreceding, -1)
+    near = near.withColumn("before", F.coalesce(F.sum(F.col("size") * F.col("n")).over(order_in), F.lit(0))).where(F.col("before") < SAMPLE_BYTES)
     found: dict[str, list[bytes]] = {}
-    held: dict[str, int] = {}
-    # About twice the bound is expected per language; a language's share falls as its texts grow.
-    drawn = rows.select(order.alias("o"), "lang", "text").where(F.col("o") < share[F.col("lang")]).collect()
-    for _, lang, text in sorted(drawn):
-        if held.setdefault(lang, 0) < SAMPLE_BYTES:
-            t = text.lower().encode()
-            found.setdefault(lang, []).append(t)
-            held[lang] += len(t)
+    for lang, _, text, each, n, held in sorted(near.select("lang", "before", "text", "size", "n", "before").collect()):
+        found.setdefault(lang, []).extend([text.lower().encode()] * min(n, -(-(SAMPLE_BYTES - held) // each)))
     return found
 
 

@@ -71,6 +71,23 @@ def test_held_out_accuracy(spark):
     assert sum(a == b for a, b in held) >= 0.99 * len(held)
 
 
+def test_every_language_is_learned_up_to_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE_BYTES", 5000)
+    texts = [("long", f"{k} " + "ab " * 300_000) for k in range(3)]
+    texts += [(f"l{k}", f"{k} " + "some text " * 4000) for k in range(20) for _ in range(2)]
+    texts += [("mixed", f"{k} " + "x" * 96) for k in range(300)] + [("mixed", "é" * 1_000_000)]
+    texts += [("copies", "the same row")] * 1000 + [("few", "abc"), ("few", "de")]
+    ids = [None if lang == "copies" else i for i, (lang, _) in enumerate(texts)]
+    df = spark.createDataFrame([(i, t, lang) for i, (lang, t) in zip(ids, texts, strict=True)], "doc_id long, text string, lang string")
+    got = language_id._sample(df, F.lit(True))
+    assert set(got) == {lang for lang, _ in texts}
+    for lang, found in got.items():
+        size = sum(map(len, found))
+        assert sorted(found) == [b"abc", b"de"] if lang == "few" else 5000 <= size <= 4 * 5000, (lang, size)
+    again = language_id._sample(df.repartition(7), F.lit(True))
+    assert again == got
+
+
 def test_awkward_rows(spark):
     df = documents(spark).withColumn("lang_pred", F.col("source"))
     got = language_id.digest(df.drop("lang_pred")).collect()
