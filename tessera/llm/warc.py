@@ -34,8 +34,7 @@ from .runtime import shared_folder, stored
 VERSION = b"WARC/1.1\r\n"
 END = "\r\n\r\n"
 BROADCAST_ROWS = 500_000
-#: A header longer than this is no header.
-HEADER_BYTES = 1 << 16
+LENGTH = re.compile(rb"\r\nContent-Length:[ \t]*([0-9]{1,18})[ \t]*(?=\r\n|$)", re.IGNORECASE)
 SCHEMA = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, offset long"
 # Digits of Spark's base 32 and of RFC 4648.
 _DIGITS, _RFC = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -94,10 +93,17 @@ def write_archives(pages: DataFrame, path: str, records: int = 4096) -> None:
 def candidates(data: bytes) -> tuple[np.ndarray, np.ndarray, list[int]]:
     """Offsets of all version lines that a length follows, their successors' offsets, and where their blocks begin."""
     at, after, blocks = [], [], []
+    end, m = -1, None
     i = data.find(VERSION)
     while i >= 0:
-        end = data.find(b"\r\n\r\n", i, i + HEADER_BYTES)
-        m = re.search(rb"\r\nContent-Length:[ \t]*([0-9]{1,18})[ \t]*(?=\r\n|$)", data[i:end], re.IGNORECASE) if end >= 0 else None
+        # Headers may be of any length: the first blank line and length behind i are sought anew only once i has passed them.
+        if end < i:
+            end = data.find(b"\r\n\r\n", i)
+            if end < 0:
+                break
+            m = LENGTH.search(data, i, end)
+        elif m and m.start() < i:
+            m = LENGTH.search(data, i, end)
         if m:
             at.append(i)
             after.append(end + 4 + int(m[1]) + 4)

@@ -41,6 +41,14 @@ def test_payloads_read_back(spark, tmp_path):
     assert len(list((tmp_path / "w").glob("part-*"))) > 4
 
 
+def test_headers_of_any_length(spark, tmp_path):
+    pages = [(1, "data:," + "x" * 100_000, "a"), (2, "http://h/WARC/1.1", "b"), (3, "http://h/" + "y" * 70_000 + "WARC/1.1", "a"), (4, "http://h", "WARC/1.1\r\n" * 50_000), (5, "http://i", "c")]
+    df = spark.createDataFrame(pages, SCHEMA)
+    assert sorted((tuple(r) for r in warc.digest(df).collect()), key=repr) == expected(pages)
+    warc.write_archives(df, f"file://{tmp_path}/w")
+    assert {r.page_id: r.url for r in warc.read_archives(spark, f"file://{tmp_path}/w").collect()} == {i: u for i, u, _ in pages}
+
+
 def test_pointer_jumping_keeps_the_chain():
     at, after = np.array([0, 10, 25, 40]), np.array([25, 40, 60, 60])
     assert warc.reachable(at, after, 60).tolist() == [0, 2]
