@@ -11,8 +11,8 @@ level stands for, C1 the count of the token before (texts begin after an end) an
 probability, p = LAMBDA * min(1, C2 / C1) + (1 - LAMBDA) * p1; a text's score is the sum of log10 p.
 
 Sizes. Exact counts of the most frequent tokens (at most FREQUENT, all with a count of at least some power of two) are
-broadcast; occurrences of other tokens meet their exact counts by a shuffled join, so base_score is exact. In the model a
-token outside the broadcast stands for the mean count of such tokens. The filter is broadcast FILTER_BYTES at a time:
+broadcast; occurrences of other tokens, and of tokens after them, meet the exact counts by shuffled joins. So base_score is
+exact, and p1 and C1 are at every size: FREQUENT changes no result. The filter is broadcast FILTER_BYTES at a time:
 each group of segments takes one pass over the documents, and a text's parts are summed. So nothing that is broadcast
 grows with the corpus; on larger executors FILTER_BYTES may be raised to save passes.
 
@@ -146,7 +146,6 @@ class Frequent:
     count: np.ndarray
     total: int
     distinct: int
-    rare_mean: float
 
     def of(self, h: np.ndarray) -> np.ndarray:
         """Counts; -1 outside this table."""
@@ -272,51 +271,54 @@ def train(df: DataFrame) -> Model:
     least = 1 << (bits - 1)
     rows = _listed(counts, least, 1 << 62).toArrow()
     token, count = rows.column("token").to_numpy().view(_U), rows.column("count").to_numpy()
-    rare = (total - int(count.sum())) / max(1, distinct - len(count)) if distinct > len(count) else 0.0
-    return Model(counts, Frequent(ProbeTable(token), count, total, distinct, rare), least, segments)
+    return Model(counts, Frequent(ProbeTable(token), count, total, distinct), least, segments)
 
 
-_PART = "row long, doc_id {}, held_out boolean, n_tokens long, known long, base double, part double, rare array<struct<token:bigint,times:bigint>>"
+#: Open places of a row, equal ones once: count and before are those of a place's token and of the token before, -1 where
+#: a join has to find it, of the token key; if both are, of the token before by the token other.
+_OPEN = [("key", pa.int64()), ("other", pa.int64()), ("count", pa.int64()), ("before", pa.int64()), ("level", pa.int32()), ("times", pa.int64())]
+_PART = "row long, doc_id {}, held_out boolean, n_tokens long, known long, base double, part double, open array<struct<key:bigint,other:bigint,count:bigint,before:bigint,level:int,times:bigint>>"
 
 
 def _part(rows: DataFrame, model: Model, filters: Filters, first: bool) -> DataFrame:
     """What one group of filters adds to each row; the first pass also has the counts."""
     shared = rows.sparkSession.sparkContext.broadcast((model.frequent, filters))
-    rare_type = pa.list_(pa.struct([("token", pa.int64()), ("times", pa.int64())]))
 
     def step(batch: pa.RecordBatch) -> Iterator[dict]:
         frequent, filters = shared.value
         for block in byte_blocks(batch, "text"):
             h, at = tokens(block.column("text"))
-            c = frequent.of(h)
-            n = len(at) - 1
-            stand = np.where(c >= 0, c, frequent.rare_mean)
-            context = np.empty_like(stand)
-            context[1:] = stand[:-1]
-            end = frequent.of(np.array([END], _U))[0]
-            context[at[:-1]] = end if end >= 0 else frequent.rare_mean
+            c, n = frequent.of(h), len(at) - 1
+            context = np.empty_like(c)
+            context[1:] = c[:-1]
+            context[at[:-1]] = frequent.of(np.array([END], _U))[0]
             grams = pairs(h, at)
             own = np.flatnonzero(filters.covers(grams))
             level = filters.level(grams[own])
-            p1 = (stand[own] + 0.1) / frequent.scale
-            share = np.minimum(1.0, STANDS_FOR[level] / np.maximum(context[own], 1.0))
+            closed = (c[own] >= 0) & (context[own] >= 0)
+            exact = own[closed]
+            p1 = (c[exact] + 0.1) / frequent.scale
+            share = np.minimum(1.0, STANDS_FOR[level[closed]] / np.maximum(context[exact], 1))
             logs = np.zeros(len(h))
-            logs[own] = np.log10(LAMBDA * share + (1 - LAMBDA) * p1)
-            out = {"row": block.column("row"), "doc_id": block.column("doc_id"), "held_out": block.column("held_out"), "n_tokens": pa.array(np.diff(at)), "part": pa.array(np.add.reduceat(logs, at[:-1]))}
-            if first:
-                base = np.where(c >= 0, np.log10(np.maximum(c, 0) + 0.1), 0.0)
-                lost = np.flatnonzero(c < 0)
-                doc = np.searchsorted(at, lost, "right") - 1
-                order = np.lexsort((h[lost], doc))
-                lost, doc = lost[order], doc[order]
-                heads = np.flatnonzero(np.concatenate([[True], (h[lost][1:] != h[lost][:-1]) | (doc[1:] != doc[:-1])])) if len(lost) else np.zeros(0, np.int64)
-                times = np.diff(np.append(heads, len(lost)))
-                items = pa.StructArray.from_arrays([pa.array(h[lost[heads]].view(np.int64)), pa.array(times.astype(np.int64))], ["token", "times"])
-                ends = np.searchsorted(doc[heads], np.arange(n + 1)).astype(np.int32)
-                out |= {"known": pa.array(np.add.reduceat((c > 0).astype(np.int64), at[:-1])), "base": pa.array(np.add.reduceat(base, at[:-1])), "rare": pa.ListArray.from_arrays(pa.array(ends), items)}
-            else:
-                out |= {"known": pa.array(np.zeros(n, np.int64)), "base": pa.array(np.zeros(n)), "rare": pa.array([[]] * n, rare_type)}
-            yield {k: out[k] for k in ("row", "doc_id", "held_out", "n_tokens", "known", "base", "part", "rare")}
+            logs[exact] = np.log10(LAMBDA * share + (1 - LAMBDA) * p1)
+            lost, level = own[~closed], level[~closed]
+            doc = np.searchsorted(at, lost, "right") - 1
+            order = np.lexsort((grams[lost], doc))
+            lost, level, doc = lost[order], level[order], doc[order]
+            heads = np.flatnonzero(np.concatenate([[True], (grams[lost][1:] != grams[lost][:-1]) | (doc[1:] != doc[:-1])])) if len(lost) else np.zeros(0, np.int64)
+            times = np.diff(np.append(heads, len(lost)))
+            ends = np.searchsorted(doc[heads], np.arange(n + 1)).astype(np.int32)
+            lost, level = lost[heads], level[heads]
+            token, previous = h[lost].view(np.int64), before(h, at)[lost].view(np.int64)
+            columns = [np.where(c[lost] < 0, token, previous), np.where((c[lost] < 0) & (context[lost] < 0), previous, 0), c[lost], context[lost], level, times]
+            places = pa.StructArray.from_arrays([pa.array(x).cast(kind) for x, (_, kind) in zip(columns, _OPEN, strict=True)], [name for name, _ in _OPEN])
+            known = (c > 0).astype(np.int64) if first else np.zeros(len(h), np.int64)
+            base = np.where(c >= 0, np.log10(np.maximum(c, 0) + 0.1), 0.0) if first else np.zeros(len(h))
+            yield {
+                "row": block.column("row"), "doc_id": block.column("doc_id"), "held_out": block.column("held_out"), "n_tokens": pa.array(np.diff(at)),
+                **{k: pa.array(np.add.reduceat(v, at[:-1])) for k, v in (("known", known), ("base", base), ("part", logs))},
+                "open": pa.ListArray.from_arrays(pa.array(ends), places),
+            }
 
     return map_batches(rows, step, _PART.format(rows.schema["doc_id"].dataType.simpleString()))
 
@@ -329,18 +331,31 @@ def score(df: DataFrame, model: Model, held_out: Column) -> DataFrame:
     for filters in model.groups():
         part = _part(rows, model, filters, parts is None)
         parts = part if parts is None else parts.unionByName(part)
-    # Each row keeps an entry of no weight, under a key that spreads, so that it survives without rare tokens.
-    none = F.struct(F.xxhash64("row").alias("token"), F.lit(0).cast("long").alias("times"))
-    entries = parts.select("row", "doc_id", "held_out", "n_tokens", F.posexplode(F.concat(F.array(none), "rare")).alias("at", "entry"), "known", "base", "part")
-    head = F.col("at") == 0
-    entries = entries.select("row", "doc_id", "held_out", "n_tokens", F.col("entry.token").alias("token"), F.col("entry.times").alias("times"), *(F.when(head, F.col(c)).otherwise(F.lit(0)).alias(c) for c in ("known", "base", "part")))
+    parts = stored(parts, "lm-parts")
     counts = _listed(model.counts, 1, model.least).withColumnRenamed("count", "c")
-    c = F.coalesce("c", F.lit(0))
-    summed = entries.join(counts, "token", "left").groupBy("row", "doc_id", "held_out", "n_tokens").agg(
-        (F.sum("known") + F.sum(F.when(c > 0, F.col("times")).otherwise(F.lit(0)))).alias("n_known"),
-        (F.sum("base") + F.sum(F.col("times") * F.log10(c + 0.1))).alias("base"),
-        F.sum("part").alias("score"),
-    )
+    places = parts.select("row", F.explode("open").alias("o")).select("row", "o.*")
+    both = (F.col("count") < 0) & (F.col("before") < 0)
+    found = F.coalesce("c", F.lit(0))
+
+    def looked_up(places: DataFrame, key: str) -> DataFrame:
+        return places.join(counts, places[key] == counts["token"], "left")
+
+    # A place whose count and context are both open is joined twice, any other once.
+    once = looked_up(places.where(~both), "key").withColumns({"n": F.when(F.col("count") < 0, found).otherwise(F.col("count")), "m": F.when(F.col("before") < 0, found).otherwise(F.col("before"))})
+    twice = looked_up(looked_up(places.where(both), "key").withColumn("n", found).drop("c", "token"), "other").withColumn("m", found)
+    names = ["row", "count", "level", "times", "n", "m"]
+    closed = once.select(*names).unionByName(twice.select(*names))
+    stands = F.element_at(F.array(*[F.lit(float(x)) for x in STANDS_FOR]), F.col("level") + 1)
+    p = LAMBDA * F.least(F.lit(1.0), stands / F.greatest(F.col("m"), F.lit(1))) + (1 - LAMBDA) * (F.col("n") + 0.1) / F.lit(float(frequent.scale))
+    late = F.col("count") < 0
+    added = closed.select(
+        "row", *(F.lit(None).cast(parts.schema[k].dataType).alias(k) for k in ("doc_id", "held_out", "n_tokens")),
+        F.when(late & (F.col("n") > 0), F.col("times")).otherwise(F.lit(0)).alias("known"),
+        F.when(late, F.col("times") * F.log10(F.col("n") + 0.1)).otherwise(F.lit(0.0)).alias("base"),
+        (F.col("times") * F.log10(p)).alias("part"),
+    )
+    heads = parts.drop("open")
+    summed = heads.unionByName(added).groupBy("row").agg(*(F.max(k).alias(k) for k in ("doc_id", "held_out", "n_tokens")), F.sum("known").alias("n_known"), F.sum("base").alias("base"), F.sum("part").alias("score"))
     return summed.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(frequent.total).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(float(np.log10(frequent.scale)))).alias("base_score"), "score")
 
 

@@ -43,6 +43,19 @@ def test_scores(spark, small, monkeypatch, frequent, filter_bytes):
         assert sum(g[6] - w[6] for g, w in zip(got, want, strict=True)) <= 0.02 * sum(w[2] for w in want)
 
 
+def test_score_does_not_depend_on_what_is_broadcast(spark, small, monkeypatch):
+    texts = [r.text for r in spark.read.parquet(f"{small}/documents.parquet").limit(60).collect()]
+    df = documents(spark, [None, "", "never never seen never seen", "x " * 30_000, *texts])
+    key = lambda r: (r[0] is not None, r[0] or 0, r[2])
+    whole = sorted(map(tuple, ngram_bloom.digest(df).collect()), key=key)
+    for frequent, filter_bytes in ((40, 400), (0, 64 << 20)):
+        monkeypatch.setattr(ngram_bloom, "FREQUENT", frequent)
+        monkeypatch.setattr(ngram_bloom, "FILTER_BYTES", filter_bytes)
+        got = sorted(map(tuple, ngram_bloom.digest(df).collect()), key=key)
+        assert [g[:5] for g in got] == [w[:5] for w in whole]
+        assert all(abs(g[k] - w[k]) <= 1e-9 * max(1, abs(w[k])) for g, w in zip(got, whole, strict=True) for k in (5, 6))
+
+
 def test_empty_and_untrained(spark):
     assert ngram_bloom.digest(empty(spark)).collect() == []
     held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 10 == 0)
