@@ -1,17 +1,18 @@
 """BPE encoding and decoding by content-defined chunk reuse.
 
 A rolling hash over the last 32 bytes cuts each text where its high bits are all ones, so that texts that share passages
-share chunks. A task encodes (and decodes) a chunk once and reuses it for all its documents. A cut may fall inside a
-word, so each join of chunks is repaired: what stands between the last point before the cut and the first point after it
-where both sides agree is encoded anew. Such points are ASCII blanks (see word_bpe); a chunk without one agrees with
-nothing, and the window grows over it until it meets a blank in a later chunk. The result is exactly the whole text's.
+share chunks. A worker encodes a chunk once and reuses its ids for all documents that it meets. A cut may fall inside a
+word, and context may reach over it, so each join is repaired: the last two words before the cut and the first two after
+it are encoded together, and the new ids have to begin and end exactly as the chunks' own ids of the outer two words do.
+Where they don't, the chunks on both sides are given up and the window grows over them to the next ones (at last over the
+whole text), and is encoded again until both sides agree. A chunk of fewer than three words only widens the window.
 
 `encode(df, path)` adds `ids` (array of int); `decode(df, path)` adds `decoded` from `ids`.
 
 Defined results: a null text counts as empty; an empty text has no ids and decodes to an empty text; texts of any length
 are encoded whole; repeated rows get equal results; columns named as the outputs are replaced, others pass through; an
-empty table gives an empty one. The chunk store is bounded (STORE_BYTES) and lives as long as its task, so sharing is among
-a task's documents: no text is shuffled.
+empty table gives an empty one. A chunk is known by 128 bits of xxh3. The store is bounded (STORE_BYTES; the chunks not met for longest go)
+and each worker's own, kept from task to task: no text is shuffled for the sake of sharing.
 """
 
 from __future__ import annotations
@@ -22,17 +23,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 
-from .runtime import byte_blocks, map_batches, raw_bytes, text_or_empty
-from .word_bpe import encoder
+from .runtime import byte_blocks, map_batches, raw_bytes, schema_of, text_or_empty
+from .word_bpe import WordEncoder, encoder
 
 #: One cut in so many bytes; the longest chunk; what a worker's chunk store may hold.
-MEAN_BYTES, MOST_BYTES, STORE_BYTES = 1024, 1 << 16, 48 << 20
-#: Words that a worker remembers beside its chunks.
-WORDS = 250_000
+MEAN_BYTES, MOST_BYTES, STORE_BYTES = 1024, 1 << 16, 32 << 20
+#: Pieces that a worker remembers beside its chunks; ids that are rendered at a time.
+PIECES, RENDERED = 750_000, 1 << 20
 _GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, dtype=np.uint32)
-_BLANKS = b" \t\n\r\x0b\x0c"
 
 
 def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -57,94 +58,187 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class ChunkCodec:
-    """Encodes texts by reused chunks. A chunk is kept as its head and tail (up to its outer blanks) and the ids between."""
+    """Encodes texts by reused chunks.
 
-    def __init__(self, path: str):
-        self.words = encoder(path, WORDS)
+    Of a chunk are kept its ids (as bytes), the text up to the end of its second word, the text from its last word but
+    one on, and where in the ids the second word, the last but one and the last begin and the second ends.
+    """
+
+    def __init__(self, words: WordEncoder):
+        self.words = words
         self.store: dict[bytes, tuple | None] = {}
+        self.older: dict[bytes, tuple | None] = {}
         self.held = 0
-        self.hits = self.misses = 0
-
-    def forget(self) -> None:
-        self.store, self.held = {}, 0
-
-    def _decoded(self, ids: bytes) -> tuple[bytes, bytes, bytes]:
-        """ids, their decimals joined by blanks, and the text that decode() gives."""
-        numbers = np.frombuffer(ids, self.words.width).tolist()
-        return ids, " ".join(map(str, numbers)).encode(), self.words.tokenizer.decode(numbers, skip_special_tokens=False).encode()
-
-    def _chunks(self, wanted: set[bytes]) -> dict[bytes, tuple | None]:
-        if self.held > STORE_BYTES:
-            self.forget()
-        new = [c for c in wanted if c not in self.store]
+        self.hits = self.misses = self.regrown = 0
+
+    def _known(self, chunks: list[bytes]) -> list[tuple | None]:
+        """What is kept of each chunk (None: fewer than three words); new ones are encoded together."""
+        keys = [xxhash.xxh3_128_digest(c) for c in chunks]
+        known: dict[bytes, tuple | None] = {}
+        new: dict[bytes, bytes] = {}
+        for key, c in zip(keys, chunks, strict=True):
+            if key in known or key in new:
+                continue
+            if key in self.store:
+                known[key] = self.store[key]
+            elif key in self.older:
+                known[key] = self._keep(key, self.older[key])
+            else:
+                new[key] = c
+        self.hits += len(chunks) - len(new)
         self.misses += len(new)
-        bounds = []
-        for c in new:
-            rest = c.lstrip(_BLANKS)
-            left = 0 if len(rest) < len(c) else _first_blank(c)
-            bounds.append((left, _last_blank(c)) if left >= 0 else None)
-        bodies = self.words.encode([c[b[0] : b[1]] if b else b"" for c, b in zip(new, bounds, strict=True)])
-        for c, b, ids in zip(new, bounds, bodies, strict=True):
-            self.store[c] = (c[: b[0]], *self._decoded(ids), c[b[1] :]) if b else None
-            self.held += 6 * len(c) + 600
-        return self.store
-
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[list[bytes], list[bytes], list[bytes]]]:
-        """For each row the parts of its ids, of its ids as decimals and of its decoded text."""
+        for key, made in zip(new, self._encoded(list(new.values())), strict=True):
+            known[key] = self._keep(key, made)
+        return [known[key] for key in keys]
+
+    def _keep(self, key: bytes, made: tuple | None) -> tuple | None:
+        if self.held > STORE_BYTES // 2:
+            self.older, self.store, self.held = self.store, {}, 0
+        self.store[key] = made
+        self.held += 400 + (len(made[0]) + len(made[1]) + len(made[2]) if made else 0)
+        return made
+
+    def _encoded(self, chunks: list[bytes]) -> Iterator[tuple | None]:
+        offsets = np.cumsum([0, *map(len, chunks)])
+        e = self.words.encode(np.frombuffer(b"".join(chunks), np.uint8), offsets)
+        width = self.words.width.itemsize
+        first, offsets = np.searchsorted(e.word_start, offsets).tolist(), offsets.tolist()
+        for i, c in enumerate(chunks):
+            a, b = first[i], first[i + 1]
+            if b - a < 3:
+                yield None
+                continue
+            at, start = e.word_at, offsets[i]
+            begin = int(at[a])
+            places = ((at[[a + 1, a + 2, b - 2, b - 1]] - begin) * width).tolist()
+            yield e.ids[begin : at[b]].tobytes(), c[: e.word_end[a + 1] - start], c[e.word_start[b - 2] - start :], *places
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """The ids of each row, as bytes."""
         at = cuts(data, offsets)
-        raw = data.tobytes()
-        bounds = at.tolist()
+        raw, bounds = data.tobytes(), at.tolist()
         first = np.searchsorted(at, offsets).tolist()
         chunks = [raw[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        self.hits += len(chunks)
-        known = self._chunks(set(chunks))
-        # Joins first, all at once: None stands for the next repaired join.
-        rows, joins = [], []
-        for r in range(len(offsets) - 1):
-            parts: list = []
-            open_ = b""
-            for c in chunks[first[r] : first[r + 1]]:
-                k = known[c]
-                if k is None:
-                    open_ += c
-                    continue
-                if open_ or k[0]:
-                    joins.append(open_ + k[0])
-                    parts.append(None)
-                parts.append(k)
-                open_ = k[4]
-            if open_:
-                joins.append(open_)
-                parts.append(None)
-            rows.append(parts)
-        repaired = iter([self._decoded(ids) for ids in self.words.encode(joins)])
-        out = []
-        for parts in rows:
-            three = [next(repaired) if p is None else p[1:4] for p in parts]
-            three = [t for t in three if t[0]]
-            out.append(([t[0] for t in three], [t[1] for t in three], [t[2] for t in three]))
+        known = self._known(chunks)
+        out: list[bytes] = [b""] * (len(offsets) - 1)
+        todo = range(len(out))
+        while todo:
+            rows = [self._parted(first[r], first[r + 1], chunks, known) for r in todo]
+            windows = {w: None for _, joins in rows for w, *_ in joins}
+            ids = self._joined(list(windows))
+            again = []
+            for r, (parts, joins) in zip(todo, rows, strict=True):
+                repaired, wrong = [], False
+                for window, left, right, before, after in joins:
+                    own = ids[window]
+                    vacuous = (before is not None and not left) or (after is not None and not right)
+                    if vacuous or len(own) < len(left) + len(right) or not own.startswith(left) or not own.endswith(right):
+                        # No agreement, or nothing to agree on: both neighbours become part of the window.
+                        wrong = True
+                        for k in (before, after):
+                            if k is not None:
+                                known[k] = None
+                    repaired.append(own[len(left) : len(own) - len(right)])
+                if wrong:
+                    self.regrown += 1
+                    again.append(r)
+                else:
+                    more = iter(repaired)
+                    out[r] = b"".join([next(more) if p is None else p for p in parts])
+            todo = again
         return out
 
-
-def _first_blank(chunk: bytes) -> int:
-    found = [i for i in map(chunk.find, (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")) if i >= 0]
-    return min(found, default=-1)
-
-
-def _last_blank(chunk: bytes) -> int:
-    """The end of the last blank in a chunk that has one."""
-    return 1 + max(map(chunk.rfind, (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")))
+    @staticmethod
+    def _parted(a: int, b: int, chunks: list[bytes], known: list[tuple | None]) -> tuple[list, list]:
+        """A row's parts (None: the next join) and its joins: window, ids that it has to begin and end with, chunks on both sides."""
+        parts: list[bytes | None] = []
+        joins = []
+        open_ = left = b""
+        before = None
+        for k in range(a, b):
+            if known[k] is None:
+                open_ += chunks[k]
+                continue
+            ids, head, tail, second, third, last_but_one, last = known[k]
+            joins.append((open_ + head, left, ids[second:third], before, k))
+            parts += [None, ids[second:last]]
+            open_, left, before = tail, ids[last_but_one:last], k
+        if open_:
+            joins.append((open_, left, b"", before, None))
+            parts.append(None)
+        return parts, joins
+
+    def _joined(self, windows: list[bytes]) -> dict[bytes, bytes]:
+        e = self.words.encode(np.frombuffer(b"".join(windows), np.uint8), np.cumsum([0, *map(len, windows)]))
+        width, ids, at = self.words.width.itemsize, e.ids.tobytes(), e.at.tolist()
+        return {w: ids[a * width : b * width] for w, a, b in zip(windows, at[:-1], at[1:], strict=True)}
 
 
 @functools.lru_cache(maxsize=2)
 def codec(path: str) -> ChunkCodec:
     """One chunk store for each file and worker."""
-    return ChunkCodec(path)
+    return ChunkCodec(encoder(path, PIECES))
+
+
+class Renderer:
+    """SHA-256 of the decimals of rows of ids, and of their decoded texts; RENDERED ids are written out at a time."""
+
+    def __init__(self, texts: list[bytes]):
+        self.texts = [t + b" " for t in texts]
+        self.text_size = np.array([len(t) for t in self.texts], np.int64)
+        width = len(str(len(texts))) + 1
+        self.digits = np.frombuffer(b"".join(f"{i} ".encode().ljust(width, b"\0") for i in range(len(texts))), np.uint8).reshape(-1, width)
+        self.digit_size = (self.digits != 0).sum(axis=1)
+
+    def _decimals(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        wide = self.digits[ids].reshape(-1)
+        return wide[wide != 0].tobytes(), self.digit_size[ids]
+
+    def _decoded(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        return b"".join(map(self.texts.__getitem__, ids.tolist())), self.text_size[ids]
+
+    def decimals(self, ids: np.ndarray, at: np.ndarray) -> list[str]:
+        return self._digests(ids, at, self._decimals)
+
+    def decoded(self, ids: np.ndarray, at: np.ndarray) -> list[str]:
+        return self._digests(ids, at, self._decoded)
+
+    @staticmethod
+    def _digests(ids: np.ndarray, at: np.ndarray, render) -> list[str]:
+        """Of each row ids[at[r]:at[r + 1]], without the blank behind the last one."""
+        out: list[str] = []
+        r = 0
+        while r < len(at) - 1:
+            last = max(r + 1, int(np.searchsorted(at, at[r] + RENDERED, "right")) - 1)
+            if last == r + 1:
+                whole = hashlib.sha256()
+                for a in range(int(at[r]), int(at[last]), RENDERED):
+                    b = min(a + RENDERED, int(at[last]))
+                    text = render(ids[a:b])[0]
+                    whole.update(text[:-1] if b == at[last] else text)
+                out.append(whole.hexdigest())
+            else:
+                text, size = render(ids[at[r] : at[last]])
+                ends = np.concatenate([[0], np.cumsum(size)])[at[r : last + 1] - at[r]].tolist()
+                out += [hashlib.sha256(text[a : max(a, b - 1)]).hexdigest() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            r = last
+        return out
 
 
-def _rows(batch: pa.RecordBatch, column: str, path: str) -> Iterator[tuple[pa.RecordBatch, list]]:
-    for block in byte_blocks(batch, column):
-        yield block, codec(path).encode(*raw_bytes(block.column(column)))
+@functools.lru_cache(maxsize=2)
+def renderer(path: str) -> Renderer:
+    return Renderer(encoder(path, PIECES).texts)
+
+
+def _ids(block: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts end to end, and where each begins."""
+    rows = codec(path).encode(*raw_bytes(block))
+    width = codec(path).words.width
+    return np.frombuffer(b"".join(rows), width), np.concatenate([[0], np.cumsum([len(x) // width.itemsize for x in rows])]).astype(np.int64)
+
+
+def _listed(ids: np.ndarray, at: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))
 
 
 def encode(df: DataFrame, path: str) -> DataFrame:
@@ -153,14 +247,11 @@ def encode(df: DataFrame, path: str) -> DataFrame:
     names = kept.columns
 
     def step(batch: pa.RecordBatch) -> Iterator[dict]:
-        width = codec(path).words.width
         batch = batch.rename_columns(names)
-        for block, rows in _rows(batch, "text", path):
-            ids = [np.frombuffer(b"".join(r[0]), width).astype(np.int32) for r in rows]
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            yield dict(zip(names, block.columns, strict=True)) | {"ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))}
+        for block in byte_blocks(batch, "text"):
+            yield dict(zip(names, block.columns, strict=True)) | {"ids": _listed(*_ids(block.column("text"), path))}
 
-    return map_batches(kept, step, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "ids array<int>"]), lambda: codec(path).forget())
+    return map_batches(kept, step, f"{schema_of(kept)}, ids array<int>")
 
 
 def decode(df: DataFrame, path: str) -> DataFrame:
@@ -169,47 +260,44 @@ def decode(df: DataFrame, path: str) -> DataFrame:
     names = kept.columns
 
     def step(batch: pa.RecordBatch) -> Iterator[dict]:
-        library = encoder(path, WORDS).tokenizer
+        library = encoder(path, PIECES).tokenizer
         batch = batch.rename_columns(names)
         texts = [None if x is None else library.decode(x, skip_special_tokens=False) for x in batch.column("ids").to_pylist()]
         yield dict(zip(names, batch.columns, strict=True)) | {"decoded": pa.array(texts, pa.string())}
 
-    return map_batches(kept, step, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "decoded string"]))
+    return map_batches(kept, step, f"{schema_of(kept)}, decoded string")
 
 
 def tokenized(df: DataFrame, path: str) -> DataFrame:
     """df's columns but text, then n_tokens, ids (array of int) and decoded_sha256 (hex digest of the decoded text)."""
-    outputs = ("n_tokens", "ids", "decoded_sha256")
-    kept = df.drop(*outputs)
-    kept = kept.select(*[c for c in kept.columns if c != "text"], text_or_empty().alias("_text"))
-    names = kept.columns[:-1]
+    kept = df.drop("n_tokens", "ids", "decoded_sha256").withColumn("text", text_or_empty())
+    names = kept.columns
 
     def step(batch: pa.RecordBatch) -> Iterator[dict]:
-        width = codec(path).words.width
-        for block, rows in _rows(batch, "_text", path):
-            ids = [np.frombuffer(b"".join(r[0]), width).astype(np.int32) for r in rows]
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            yield dict(zip(names, block.columns, strict=False)) | {
-                "n_tokens": pa.array(np.diff(ends).astype(np.int64)),
-                "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))),
-                "decoded_sha256": pa.array([hashlib.sha256(b" ".join(r[2])).hexdigest() for r in rows], pa.string()),
+        batch = batch.rename_columns(names)
+        for block in byte_blocks(batch, "text"):
+            ids, at = _ids(block.column("text"), path)
+            yield {c: block.column(c) for c in names if c != "text"} | {
+                "n_tokens": pa.array(np.diff(at)),
+                "ids": _listed(ids, at),
+                "decoded_sha256": pa.array(renderer(path).decoded(ids, at), pa.string()),
             }
 
-    return map_batches(kept, step, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.drop("_text").schema), "n_tokens long, ids array<int>, decoded_sha256 string"]), lambda: codec(path).forget())
+    return map_batches(kept, step, ", ".join(x for x in (schema_of(kept.drop("text")), "n_tokens long, ids array<int>, decoded_sha256 string") if x))
 
 
 def digest(df: DataFrame, path: str) -> DataFrame:
-    """The contract's row per document, from the chunks' ids and decoded texts."""
+    """The contract's row per document, from the chunks' ids."""
+    kept = df.select("doc_id", text_or_empty().alias("text"))
 
     def step(batch: pa.RecordBatch) -> Iterator[dict]:
-        width = codec(path).words.width.itemsize
-        for block, rows in _rows(batch, "text", path):
+        for block in byte_blocks(batch, "text"):
+            ids, at = _ids(block.column("text"), path)
             yield {
                 "doc_id": block.column("doc_id"),
-                "n_tokens": pa.array([sum(map(len, r[0])) // width for r in rows], pa.int64()),
-                "ids_sha256": pa.array([hashlib.sha256(b" ".join(r[1])).hexdigest() for r in rows], pa.string()),
-                "decoded_sha256": pa.array([hashlib.sha256(b" ".join(r[2])).hexdigest() for r in rows], pa.string()),
+                "n_tokens": pa.array(np.diff(at)),
+                "ids_sha256": pa.array(renderer(path).decimals(ids, at), pa.string()),
+                "decoded_sha256": pa.array(renderer(path).decoded(ids, at), pa.string()),
             }
 
-    kept = df.select("doc_id", text_or_empty().alias("text"))
-    return map_batches(kept, step, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string", lambda: codec(path).forget())
+    return map_batches(kept, step, f"{schema_of(kept.select('doc_id'))}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..storage import dropped, shared_folder, stored
 
-__all__ = ["BLOCK_BYTES", "bounded", "byte_blocks", "dropped", "give_back", "id_remainder", "map_batches", "raw_bytes", "shared_folder", "stored", "table", "text_or_empty"]
+__all__ = ["BLOCK_BYTES", "bounded", "byte_blocks", "dropped", "give_back", "id_remainder", "map_batches", "raw_bytes", "schema_of", "shared_folder", "stored", "table", "text_or_empty"]
 
 #: A sub-batch of texts is closed at this many bytes, whatever the Arrow batch holds.
 BLOCK_BYTES = 4 << 20
@@ -45,6 +45,11 @@ def id_remainder(modulus: int, column: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def schema_of(df: DataFrame) -> str:
+    """The schema of df as text, for mapInArrow; any name may stand in it."""
+    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema)
+
+
 def give_back() -> None:
     """Returns to the system what Arrow and the C library hold in reserve: a worker lives on beside those of other tasks."""
     pa.default_memory_pool().release_unused()

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import byte_blocks, map_batches, shared_folder, stored, text_or_empty
+from .runtime import byte_blocks, map_batches, raw_bytes, shared_folder, stored, text_or_empty
 from .word_bpe import encoder
 
 END_ID = 2
@@ -134,8 +134,10 @@ def encoded(df: DataFrame, tokenizer: str, bounds: list[int]) -> DataFrame:
         for block in byte_blocks(batch, "text"):
             doc_id = block.column("doc_id")
             shard = np.searchsorted(edges, doc_id.fill_null(-(2**63)).to_numpy(zero_copy_only=False), "right")
-            ids = words.encode(block.column("text").cast(pa.binary()).to_pylist())
-            yield {"doc_id": doc_id, "shard": pa.array(shard, pa.int32()), "ids": pa.array([i + end for i in ids], pa.binary())}
+            e = words.encode(*raw_bytes(block.column("text")))
+            ids, at, width = e.ids.tobytes(), e.at.tolist(), words.width.itemsize
+            rows = [ids[a * width : b * width] + end for a, b in zip(at[:-1], at[1:], strict=True)]
+            yield {"doc_id": doc_id, "shard": pa.array(shard, pa.int32()), "ids": pa.array(rows, pa.binary())}
 
     return map_batches(df.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")), step, "doc_id long, shard int, ids binary")
 

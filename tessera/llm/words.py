@@ -16,7 +16,7 @@ _LOWER[65:91] += 32
 #: Bytes of words: all but blanks, or letters, digits and whatever isn't ASCII (after A-Z are lowered).
 NOT_BLANK = ~np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 ALPHANUMERIC = np.array([b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 for b in range(256)])
-_KEEP = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], dtype=_U)
+KEEP = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], dtype=_U)
 _LONG = 64
 
 
@@ -46,19 +46,24 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of each span: eight bytes a round; spans over _LONG bytes by xxhash."""
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each offset on (zeros behind the end) as one number each."""
     padded = np.zeros(len(data) + 8, np.uint8)
     padded[: len(data)] = data
-    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each span: eight bytes a round; spans over _LONG bytes by xxhash."""
+    eight = eights(data)
     length = end - start
     out = length.astype(_U) * _U(0x9E3779B97F4A7C15)
-    out = mix(out ^ (eight[start] & _KEEP[np.minimum(length, 8)]))
+    out = mix(out ^ (eight[start] & KEEP[np.minimum(length, 8)]))
     active = np.flatnonzero((length > 8) & (length <= _LONG))
     done = 8
     while active.size:
         rest = length[active] - done
-        out[active] = mix(out[active] ^ (eight[start[active] + done] & _KEEP[np.minimum(rest, 8)]))
+        out[active] = mix(out[active] ^ (eight[start[active] + done] & KEEP[np.minimum(rest, 8)]))
         active = active[rest > 8]
         done += 8
     for i in np.flatnonzero(length > _LONG):

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -7,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tessera.llm import chunked_bpe, token_frames, word_bpe
+from tessera.llm import chunked_bpe, piece_table, token_frames, word_bpe
 
 from .fixtures import AWKWARD, documents, empty
 
@@ -50,13 +51,79 @@ def test_general_interface(spark, library):
         assert r.ids == ids_of(library, r.text) and r.decoded == library.decode(r.ids, skip_special_tokens=False)
 
 
+def laid_out(texts):
+    return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+
+
 def test_chunks_are_shared_and_found_again_after_a_shift():
     shared = " ".join(f"token{i * i % 7919}" for i in range(3000))
-    codec = chunked_bpe.ChunkCodec(PATH)
-    texts = [shared.encode(), b"a shift " + shared.encode(), shared.encode()]
-    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
-    codec.encode(data, offsets)
-    assert codec.misses < 0.5 * codec.hits
+    codec = chunked_bpe.ChunkCodec(word_bpe.WordEncoder(PATH))
+    codec.encode(*laid_out([shared.encode(), b"a shift " + shared.encode(), shared.encode()]))
+    assert codec.hits > 1.5 * codec.misses and codec.regrown == 0
+    before = codec.misses
+    codec.encode(*laid_out([b"later " + shared.encode()]))
+    assert codec.misses <= before + 2
+
+
+class Joining:
+    """An encoder whose ids reach over blanks: runs of words that begin with `j` are one id (their number + 1000)."""
+
+    width = np.dtype("<u2")
+
+    def encode(self, data, offsets):
+        ids, at, starts, ends, word_at = [], [0], [], [], []
+        for a, b in zip(offsets[:-1], offsets[1:]):
+            row, run = bytes(data[a:b]), 0
+            for m in re.finditer(rb"[^ ]+", row):
+                starts.append(a + m.start())
+                ends.append(a + m.end())
+                if m[0][:1] == b"j":
+                    if run:
+                        ids[-1] += 1
+                    else:
+                        ids.append(1001)
+                    word_at.append(len(ids) - 1)
+                    run = 1
+                else:
+                    word_at.append(len(ids))
+                    ids.append(sum(m[0]) % 997)
+                    run = 0
+            at.append(len(ids))
+        word_at.append(len(ids))
+        return word_bpe.Encoded(np.array(ids, self.width), np.array(at), np.array(starts, np.int64), np.array(ends, np.int64), np.array(word_at))
+
+
+def test_windows_grow_until_both_sides_agree(monkeypatch):
+    monkeypatch.setattr(chunked_bpe, "MEAN_BYTES", 64)
+    r = random.Random(3)
+    texts = [" ".join(("j" if r.random() < share else "w") + str(r.randrange(50)) for _ in range(900)).encode() for share in (0.1, 0.5, 0.9, 1.0)]
+    codec = chunked_bpe.ChunkCodec(Joining())
+    data, offsets = laid_out(texts)
+    whole = Joining().encode(data, offsets)
+    got = codec.encode(data, offsets)
+    assert codec.regrown and codec.misses > 20
+    for i, ids in enumerate(got):
+        assert np.frombuffer(ids, "<u2").tolist() == whole.ids[whole.at[i] : whole.at[i + 1]].tolist()
+
+
+def test_pieces_of_one_hash_are_told_apart(monkeypatch, library):
+    monkeypatch.setattr(piece_table, "hashes", lambda data, start, end: (end - start).astype(np.uint64) % np.uint64(3))
+    words = word_bpe.WordEncoder(PATH)
+    for t in [*ODD, *mixed(5)]:
+        assert words.texts_of([t.encode()])[0] == ids_of(library, t)
+
+
+def test_long_texts_are_rendered_in_spans(monkeypatch, library):
+    monkeypatch.setattr(chunked_bpe, "RENDERED", 7)
+    monkeypatch.setattr(word_bpe, "SPAN_BYTES", 50)
+    texts = ["", *mixed(10), "a", ""]
+    ids = [ids_of(library, t) for t in texts]
+    words = word_bpe.WordEncoder(PATH)
+    assert words.texts_of([t.encode() for t in texts]) == ids
+    flat, at = np.array([i for x in ids for i in x], "<u2"), np.cumsum([0, *map(len, ids)])
+    out = chunked_bpe.Renderer(words.texts)
+    assert out.decimals(flat, at) == [hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest() for x in ids]
+    assert out.decoded(flat, at) == [hashlib.sha256(library.decode(x, skip_special_tokens=False).encode()).hexdigest() for x in ids]
 
 
 def test_other_kinds_of_files_are_refused():
@@ -65,10 +132,10 @@ def test_other_kinds_of_files_are_refused():
 
 
 def test_a_full_cache_starts_anew(library):
-    words = word_bpe.WordEncoder(PATH, words=50)
+    words = word_bpe.WordEncoder(PATH, pieces=50)
     for t in mixed(20) + ODD:
-        assert np.frombuffer(words.encode([t.encode()])[0], words.width).tolist() == ids_of(library, t)
-    assert len(words.known) < 5000
+        assert words.texts_of([t.encode()])[0] == ids_of(library, t)
+    assert words.known.n < 500
 
 
 def test_shards(spark, library, tmp_path):
