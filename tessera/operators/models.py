@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from dataclasses import dataclass
 
 import numpy as np
@@ -255,69 +257,118 @@ SCALAR_GRID = (("ridge", 0.1), ("ridge", 1.0), ("ridge", 10.0), ("rbf", 0.1), ("
 
 @dataclass
 class ScalarHead:
-    """exp(level + correction) of a positive target; families count alike. Ridge or a kernel exp(-d2 / features)."""
+    """exp(correction) of a positive target, from features standardised under weights by which families count alike.
+
+    Kind `ridge` holds a linear head of the logarithm. Kind `rbf` holds a weight per training row for the kernel
+    exp(-d2 / features) and an intercept that isn't penalised.
+    """
 
     kind: str
     alpha: float
-    centre: np.ndarray
-    scale: np.ndarray
-    active: np.ndarray
-    level: float
-    coef: np.ndarray
-    train: np.ndarray | None = None
-    row_mean: np.ndarray | None = None
-    all_mean: float = 0.0
-    weight: np.ndarray | None = None
+    linear: heads.LinearHead
+    active: list[str]
+    rows: np.ndarray | None = None
+    dual: np.ndarray | None = None
+    intercept: float = 0.0
 
-    @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, family: np.ndarray, kind: str, alpha: float) -> ScalarHead:
-        if not (np.isfinite(x).all() and np.isfinite(y).all() and (y > 0).all()):
-            raise ValueError("finite features and positive targets are needed")
-        _, at, n = np.unique(family, return_inverse=True, return_counts=True)
-        w = 1 / (len(n) * n[at])
-        active = x.min(0) != x.max(0)
-        if not active.any():
-            raise ValueError("no feature varies")
-        centre = w @ x
-        scale = np.sqrt(w @ (x - centre) ** 2)
-        z = (x - centre)[:, active] / scale[active]
-        level = float(w @ np.log(y))
-        r, root = np.log(y) - level, np.sqrt(w)
-        if kind == "ridge":
-            zw = z * root[:, None]
-            return cls(kind, alpha, centre, scale, active, level, np.linalg.solve(zw.T @ zw + alpha * np.eye(z.shape[1]), zw.T @ (r * root)))
-        k = np.exp(-heads.distances(z, z) / x.shape[1])
-        rows = k @ w
-        centred = k - rows[:, None] - rows[None, :] + w @ rows
-        dual = root * np.linalg.solve(root[:, None] * centred * root[None, :] + alpha * np.eye(len(x)), r * root)
-        return cls(kind, alpha, centre, scale, active, level, dual, z, rows, float(w @ rows), w)
+    def _scaled(self, x: np.ndarray) -> np.ndarray:
+        at = [self.linear.features.index(c) for c in self.active]
+        return ((x - self.linear.mean) / self.linear.scale)[:, at]
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        z = (x - self.centre)[:, self.active] / self.scale[self.active]
         if self.kind == "ridge":
-            return np.exp(self.level + z @ self.coef)
-        k = np.exp(-heads.distances(z, self.train) / x.shape[1])
-        return np.exp(self.level + (k - (k @ self.weight)[:, None] - self.row_mean[None, :] + self.all_mean) @ self.coef)
-
-
-def select_scalar(df: DataFrame, features: list[str], target: str, family: str) -> tuple[ScalarHead, list[float]]:
-    """The head of SCALAR_GRID with the least family-balanced squared error out of five folds, in the target's own unit."""
-    rows = df.select(*[F.col(c).cast("double") for c in [*features, target]], F.col(family).cast("string")).limit(heads.MOST_KERNEL_ROWS + 1).toPandas()
-    if len(rows) > heads.MOST_KERNEL_ROWS:
-        raise ValueError(f"scalar heads take at most {heads.MOST_KERNEL_ROWS} rows")
-    x, y, group = rows[features].to_numpy(float), rows[target].to_numpy(float), rows[family].to_numpy(str)
-    fold_of = grouping.size_balanced_folds(list(zip(*np.unique(group, return_counts=True), strict=True)), 5)
+            return np.exp((x - self.linear.mean) / self.linear.scale @ np.array(self.linear.coef[0]) + self.linear.intercept[0])
+        return np.exp(np.exp(-heads.distances(self._scaled(x), self.rows) / len(self.linear.features)) @ self.dual + self.intercept)
+
+    def column(self) -> Column:
+        """The prediction of a ridge as an expression."""
+        return F.exp(self.linear.predict()[self.linear.targets[0]])
+
+
+def _log_rows(df: DataFrame, features: list[str], target: str, family: str) -> DataFrame:
+    """Features, target, its logarithm, family and the share of one row of its family; refused unless all is finite and positive."""
+    rows = df.select(*[F.col(c).cast("double").alias(c) for c in features], F.col(target).cast("double").alias("y"), F.col(family).cast("string").alias("family"))
+    bad = functools.reduce(operator.or_, [~refuse.finite(F.col(c)) for c in [*features, "y"]], F.col("family").isNull() | (F.col("y") <= 0))
+    if rows.where(F.coalesce(bad, F.lit(True))).limit(1).count():
+        raise ValueError("finite features, positive targets and families are needed")
+    sizes = rows.groupBy("family").agg((1 / F.count(F.lit(1))).alias("share"))
+    return rows.join(sizes, "family").withColumn("log_y", F.log("y"))
+
+
+def _linear(g: heads.Gram, features: list[str], alpha: float) -> tuple[heads.LinearHead, list[str]]:
+    """The ridge of sums whose weights are made to add up to one, and the features that vary."""
+    one = heads.Gram(1.0, g.total / g.weight, g.product / g.weight)
+    spread = np.diag(one.product)[: len(features)] - one.total[: len(features)] ** 2
+    active = [c for c, v, p in zip(features, spread, np.diag(one.product), strict=False) if v > 1e-14 * max(p, 1e-300)]
+    if not active:
+        raise ValueError("no feature varies")
+    return heads.LinearHead.solve(one, features, ["log_y"], alpha), active
+
+
+def _with_kernel(head: ScalarHead, x: np.ndarray, log_y: np.ndarray, weight: np.ndarray) -> ScalarHead:
+    """head with the solution of (K + alpha / w) dual + intercept = log y under sum(dual) = 0: one bordered system."""
+    head.rows = head._scaled(x)
+    n = len(x)
+    system = np.ones((n + 1, n + 1))
+    system[:n, :n] = np.exp(-heads.distances(head.rows, head.rows) / x.shape[1]) + np.diag(head.alpha / weight)
+    system[n, n] = 0
+    found = np.linalg.solve(system, np.append(log_y, 0.0))
+    head.dual, head.intercept = found[:n], float(found[n])
+    return head
+
+
+def fit_scalar(df: DataFrame, features: list[str], target: str, family: str, kind: str, alpha: float) -> ScalarHead:
+    """One head of all rows: a ridge of any number, a kernel of heads.MOST_KERNEL_ROWS at most."""
+    rows = _log_rows(df, features, target, family)
+    g = heads.grams(rows, [*features, "log_y"], weight="share")
+    if not g:
+        raise ValueError("no training rows")
+    head = ScalarHead(kind, alpha, *_linear(g[None], features, alpha))
+    if kind == "ridge":
+        return head
+    x = heads.matrix(rows, [*features, "log_y", "share"])
+    return _with_kernel(head, x[:, :-2], x[:, -2], x[:, -1] / g[None].weight)
+
+
+def select_scalar(df: DataFrame, features: list[str], target: str, family: str, grid: tuple[tuple[str, float], ...] = SCALAR_GRID) -> tuple[ScalarHead, list[float]]:
+    """The head of the grid with the least family-balanced squared error out of five folds, in the target's own unit.
+
+    Ridges come from the folds' sums, so a grid without kernels takes any number of rows; kernels take a bounded one.
+    """
+    rows = _log_rows(df, features, target, family)
+    fold_of = grouping.size_balanced_folds([(r["family"], r["count"]) for r in rows.groupBy("family").count().collect()], 5)
     if len(fold_of) < 5:
         raise ValueError("five families are needed")
-    fold = np.array([fold_of[g] for g in group])
-    scores = []
-    for kind, alpha in SCALAR_GRID:
-        p = np.empty(len(y))
-        for k in range(5):
-            p[fold == k] = ScalarHead.fit(x[fold != k], y[fold != k], group[fold != k], kind, alpha).predict(x[fold == k])
-        scores.append(float(np.mean([np.mean((p - y)[group == g] ** 2) for g in np.unique(group)])))
-    kind, alpha = SCALAR_GRID[int(np.argmin(scores))]
-    return ScalarHead.fit(x, y, group, kind, alpha), scores
+    folds = df.sparkSession.createDataFrame([(name, fold, i) for i, (name, fold) in enumerate(fold_of.items())], "family string, fold int, number int")
+    dealt = stored(rows.join(folds, "family"), "scalar-folds")
+    parts = {int(k): g for k, g in heads.grams(dealt, [*features, "log_y"], by="fold", weight="share").items()}
+    whole = sum(list(parts.values())[1:], next(iter(parts.values())))
+    errors = {}
+    for i, (kind, alpha) in enumerate(grid):
+        if kind == "ridge":
+            p = F.lit(None).cast("double")
+            for k, g in parts.items():
+                p = F.when(F.col("fold") == k, ScalarHead(kind, alpha, *_linear(whole - g, features, alpha)).column()).otherwise(p)
+            errors[i] = (p - F.col("y")) * (p - F.col("y"))
+    scores: dict[int, float] = {}
+    if errors:
+        names = [f"e{i}" for i in errors]
+        within = dealt.groupBy("family").agg(*[F.avg(e).alias(n) for n, e in zip(names, errors.values(), strict=True)])
+        scores |= dict(zip(errors, within.agg(*[F.avg(n) for n in names]).first(), strict=True))
+    if kernels := [i for i in range(len(grid)) if i not in errors]:
+        columns = heads.matrix(dealt, [*features, "y", "log_y", "share", "fold", "number"])
+        x, (y, log_y, share, fold, number) = columns[:, : len(features)], columns[:, len(features) :].T
+        for i in kernels:
+            squares = np.empty(len(y))
+            for k, g in parts.items():
+                rest, kind, alpha = whole - g, *grid[i]
+                own = fold != k
+                head = _with_kernel(ScalarHead(kind, alpha, *_linear(rest, features, alpha)), x[own], log_y[own], share[own] / rest.weight)
+                squares[~own] = (head.predict(x[~own]) - y[~own]) ** 2
+            at = number.astype(np.int64)
+            scores[i] = float((np.bincount(at, squares) / np.bincount(at)).mean())
+    best = min(scores, key=lambda i: (scores[i], i))
+    return fit_scalar(df, features, target, family, *grid[best]), [scores[i] for i in range(len(grid))]
 
 
 # ---------------------------------------------------------------------------------------------- simulation cells and sites
@@ -347,7 +398,7 @@ def frame_cohesion(particles: DataFrame, excluded: DataFrame, volume_nm3: float)
         raise ValueError("a molecule's charges do not add up to zero")
     a, b = particles.alias("a"), particles.alias("b")
     pairs = a.join(b, "frame").where((F.col("a.place") < F.col("b.place")) & (F.col("a.molecule") != F.col("b.molecule")))
-    pairs = pairs.join(F.broadcast(excluded), (F.col("a.place") == F.col("place_a")) & (F.col("b.place") == F.col("place_b")), "left_anti")
+    pairs = pairs.join(excluded, (F.col("a.place") == F.col("place_a")) & (F.col("b.place") == F.col("place_b")), "left_anti")
     r2 = sum(((F.col(f"a.{c}") - F.col(f"b.{c}")) * (F.col(f"a.{c}") - F.col(f"b.{c}")) for c in "yz"), (F.col("a.x") - F.col("b.x")) * (F.col("a.x") - F.col("b.x")))
     s6 = F.pow((F.col("a.sigma") + F.col("b.sigma")) / 2, 6) / F.pow(r2, 3)
     lj = 4 * F.sqrt(F.col("a.epsilon") * F.col("b.epsilon")) * (s6 * s6 - s6)

@@ -195,6 +195,11 @@ def test_traces(spark):
     x = np.array(ar) - np.mean(ar)
     direct = [float((x[: len(x) - k] * x[k:]).sum() / (x * x).sum()) for k in range(5)]
     assert np.allclose(got["o"].acf[:5], direct)
+    for n, width in ((1, 8), (7, 4), (64, 8), (100, 16), (33, 32), (50, 64)):
+        v = rng.normal(size=n)
+        for most in {0, n // 2, n - 1}:
+            assert np.allclose(diagnostics.lag_sums(v, most, width), [v[: n - k] @ v[k:] for k in range(most + 1)])
+    assert np.allclose(diagnostics.autocorrelation(1e200 * np.array(ar)), diagnostics.autocorrelation(np.array(ar)))
     for bad, fault in ((trace(spark, range(31)), "too_few"), (trace(spark, range(33)), "divide"), (trace(spark, [*range(31), math.nan]), "nonfinite"), (trace(spark, range(32)).withColumn("t", F.col("t") * F.col("t")), "uniform")):
         with pytest.raises(ValueError, match=fault):
             diagnostics.diagnose_trace(bad, 4)
