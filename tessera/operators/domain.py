@@ -1,82 +1,103 @@
-"""Nearest training rows and kernels of a query set against all rows, in blocks."""
+"""Nearest training rows and kernels of a query set against all rows, block against block.
+
+Both sides are packed into rows of many values. Packed training rows fall into slots, each block of queries goes to every
+slot, and the two meet by an equality of slots: one plan and one pass whatever the number of queries, nothing broadcast
+or collected, and the work spread over as many tasks as there are pairs of block and slot.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Queries that one pass sends to the workers.
-QUERY_BLOCK = 4096
+from ..storage import stored
+
+#: Rows of a packed block of queries and of training rows.
+QUERY_BLOCK, TRAIN_BLOCK = 4096, 65536
+
+
+def _packed(df: DataFrame, block: int, kinds: list[type]) -> DataFrame:
+    """df's columns as binaries of at most `block` rows each; a column of arrays is a matrix, row by row."""
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = [[] for _ in names]
+        size = 0
+
+        def done(part: list[np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({n: pa.array([x.tobytes()], pa.binary()) for n, x in zip(names, part, strict=True)} | {"rows": [len(part[0])]})
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            for into, column, kind in zip(held, batch.columns, kinds, strict=True):
+                into.append(np.array(column.to_pylist(), kind))
+            size += batch.num_rows
+            if size >= block:
+                whole = [np.concatenate(x) for x in held]
+                for a in range(0, size - block + 1, block):
+                    yield done([x[a : a + block] for x in whole])
+                held, size = [[x[size - size % block :]] for x in whole], size % block
+        if size:
+            yield done([np.concatenate(x) for x in held])
 
+    return df.mapInArrow(run, ", ".join([*(f"`{n}` binary" for n in names), "rows long"]))
 
-def _blocks(queries: DataFrame, key: str, value: str) -> Iterator[tuple[np.ndarray, list]]:
-    """The queries in blocks; they come to the driver one partition at a time."""
-    keys, values = [], []
-    for row in queries.select(key, value).toLocalIterator():
-        keys.append(row[0])
-        values.append(row[1])
-        if len(keys) == QUERY_BLOCK:
-            yield np.array(keys, np.int64), values
-            keys, values = [], []
-    if keys:
-        yield np.array(keys, np.int64), values
+
+def _against(train: DataFrame, queries: DataFrame, key: str, value: str, kind: type, result: str, combine: Callable[[Column], Column], work: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """Per distinct query key and value the combination of work(queries, training rows) over all training rows, one number per query."""
+    valid = F.col(value).isNotNull()
+    rows = stored(_packed(train.select(value).where(valid), TRAIN_BLOCK, [kind]).toDF("train", "n"), "packed-rows")
+    asked = stored(_packed(queries.select(F.col(key).cast("long"), value).where(valid & F.col(key).isNotNull()), QUERY_BLOCK, [np.int64, kind]).toDF("keys", "values", "m"), "packed-queries")
+    slots = max(1, rows.count())
+    slotted = rows.withColumn("slot", F.pmod(F.xxhash64("train"), F.lit(slots)))
+    pairs = asked.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1)))).join(slotted, "slot").select("keys", "values", "m", "train", "n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for keys, values, m, rows, n in zip(*(batch.column(i) for i in range(5)), strict=True):
+                q = np.frombuffer(values.as_buffer(), kind).reshape(m.as_py(), -1)
+                t = np.frombuffer(rows.as_buffer(), kind).reshape(n.as_py(), -1)
+                yield pa.RecordBatch.from_pydict({"key": pa.array(np.frombuffer(keys.as_buffer(), np.int64)), "part": pa.array(work(q, t))})
+
+    return pairs.mapInArrow(run, "key long, part double").groupBy("key").agg(combine(F.col("part")).alias(result))
 
 
 def nearest_tanimoto(train: DataFrame, queries: DataFrame, key: str, bits: str, threshold: float = 0.35) -> DataFrame:
-    """Per query its largest Tanimoto similarity to any training row and whether that is below the threshold.
+    """Per query key its largest Tanimoto similarity to any training row and whether that is below the threshold.
 
-    Both have a long key and a long of bits. A block of queries is sent to all partitions of train; each partition gives
-    one number per query, which are combined by a maximum.
+    Both have a long of bits, queries a long key. Keys with several values get the largest of all. Both outputs are null
+    for a query without a value or if there are no training rows.
     """
-    parts = []
-    for keys, values in _blocks(queries, key, bits):
-        shared = train.sparkSession.sparkContext.broadcast((keys, np.array(values, np.int64)))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            keys, q = shared.value
-            best = np.full(len(q), -1.0)
-            count = np.bitwise_count(q)
-            for batch in batches:
-                t = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                own = np.bitwise_count(t)
-                for a in range(0, len(t), 256):
-                    both = np.bitwise_count(q[:, None] & t[None, a : a + 256]).astype(np.int64)
-                    either = count[:, None].astype(np.int64) + own[None, a : a + 256] - both
-                    best = np.maximum(best, (both / np.maximum(either, 1)).max(axis=1))
-            if (best >= 0).any():
-                yield pa.RecordBatch.from_pydict({"key": pa.array(keys), "similarity": pa.array(best)})
-
-        parts.append(train.select(bits).where(F.col(bits).isNotNull()).mapInArrow(run, "key long, similarity double"))
-    if not parts:
-        return queries.select(F.col(key), F.lit(None).cast("double").alias("similarity"), F.lit(None).cast("boolean").alias("ood")).limit(0)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("key").agg(F.max("similarity").alias("similarity")).select(F.col("key").alias(key), "similarity", (F.col("similarity") < threshold).alias("ood"))
+
+    def best(q: np.ndarray, t: np.ndarray) -> np.ndarray:
+        q, t = q[:, 0], t[:, 0]
+        count, own, out = np.bitwise_count(q).astype(np.int64), np.bitwise_count(t).astype(np.int64), np.zeros(len(q))
+        for a in range(0, len(t), 256):
+            both = np.bitwise_count(q[:, None] & t[None, a : a + 256]).astype(np.int64)
+            out = np.maximum(out, (both / np.maximum(count[:, None] + own[None, a : a + 256] - both, 1)).max(axis=1))
+        return out
+
+    found = _against(train, queries, key, bits, np.int64, "similarity", F.max, best)
+    out = queries.select(F.col(key)).distinct().join(found.withColumnRenamed("key", "_key"), F.col(key) == F.col("_key"), "left")
+    return out.select(key, "similarity", (F.col("similarity") < threshold).alias("ood"))
 
 
 def kernel_sums(train: DataFrame, queries: DataFrame, key: str, vector: str, gamma: float, columns: int = 1) -> DataFrame:
-    """Per query the sum over all training rows of exp(-gamma d2 / columns): a block product per partition, then a sum."""
-    parts = []
-    for keys, values in _blocks(queries, key, vector):
-        shared = train.sparkSession.sparkContext.broadcast((keys, np.array(values, float)))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            keys, q = shared.value
-            total = np.zeros(len(q))
-            for batch in batches:
-                t = np.array(batch.column(0).to_pylist(), float)
-                for a in range(0, len(t), 1024):
-                    d = (q * q).sum(1)[:, None] + (t[a : a + 1024] ** 2).sum(1)[None, :] - 2 * q @ t[a : a + 1024].T
-                    total += np.exp(-gamma * np.maximum(d, 0) / columns).sum(axis=1)
-            yield pa.RecordBatch.from_pydict({"key": pa.array(keys), "kernel_sum": pa.array(total)})
-
-        parts.append(train.select(vector).where(F.col(vector).isNotNull()).mapInArrow(run, "key long, kernel_sum double"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("key").agg(F.sum("kernel_sum").alias("kernel_sum")).withColumnRenamed("key", key)
+    """Per query key the sum over all training rows of exp(-gamma d2 / columns); 0 without training rows, null without a vector."""
+
+    def total(q: np.ndarray, t: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(q))
+        for a in range(0, len(t), 1024):
+            d = (q * q).sum(1)[:, None] + (t[a : a + 1024] ** 2).sum(1)[None, :] - 2 * q @ t[a : a + 1024].T
+            out += np.exp(-gamma * np.maximum(d, 0) / columns).sum(axis=1)
+        return out
+
+    found = _against(train, queries, key, vector, np.float64, "kernel_sum", F.sum, total)
+    asked = queries.groupBy(key).agg(F.max(F.col(vector).isNotNull()).alias("_valid"))
+    out = asked.join(found.withColumnRenamed("key", "_key"), F.col(key) == F.col("_key"), "left")
+    return out.select(key, F.coalesce("kernel_sum", F.when(F.col("_valid"), F.lit(0.0))).alias("kernel_sum"))

@@ -16,8 +16,11 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import canonical_digest
 from .grouping import hash_folds
+from .metrics import kth_smallest
 
 MOST_KERNEL_ROWS, MOST_FEATURES = 4096, 2000
+#: Rows whose medians one aggregate may take.
+MEDIAN_ROWS = 1 << 20
 ALPHAS = (0.01, 0.1, 1.0, 10.0, 100.0, 1000.0, 10000.0)
 TIE = 1e-12
 
@@ -209,10 +212,17 @@ def standardised(df: DataFrame, columns: list[str], train: Column | None = None)
     return df.join(F.broadcast(stats)).withColumns(z).drop(*stats.columns)
 
 
+def _median(df: DataFrame, column: str) -> float | None:
+    """The mean of the two middle values, by ranks; F.median would hold every distinct value in one place."""
+    n = df.where(F.col(column).isNotNull()).count()
+    low, high = (kth_smallest(df, column, k).first()[0] for k in ((n + 1) // 2, n // 2 + 1))
+    return None if low is None else (float(low) + float(high)) / 2
+
+
 def median_imputed(df: DataFrame, columns: list[str], train: Column | None = None) -> DataFrame:
     """Columns with the training median in place of nulls, and `missing_<column>`; columns without any training value go."""
     rows = df if train is None else df.where(train)
-    medians = rows.agg(*[F.median(c).alias(c) for c in columns]).first()
+    medians = {c: _median(rows, c) for c in columns} if rows.count() > MEDIAN_ROWS else rows.agg(*[F.median(c).alias(c) for c in columns]).first()
     kept = [c for c in columns if medians[c] is not None]
     out = df.withColumns({f"missing_{c}": F.col(c).isNull().cast("int") for c in kept})
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(medians[c])) for c in kept}).drop(*[c for c in columns if c not in kept])
@@ -391,7 +401,12 @@ def fit_logistic(df: DataFrame, features: list[str], label: str, weight: str, al
     stats = df.agg(F.count_distinct(label).alias("classes"), F.sum(weight).alias("w"), *[f(c).alias(f"{n}_{c}") for c in features for n, f in (("m", F.avg), ("s", F.stddev_pop), ("lo", F.min), ("hi", F.max))]).first()
     if stats["classes"] != 2:
         raise ValueError("both classes are needed")
-    categories = sorted(r[0] for r in df.select(category).distinct().limit(MOST_FEATURES).collect()) if category else []
+    known = df.select(category).where(F.col(category).isNotNull()).distinct().limit(MOST_FEATURES + 1).collect() if category else []
+    if len(known) + len(features) > MOST_FEATURES:
+        raise ValueError(f"at most {MOST_FEATURES} features and categories")
+    if category and df.where(F.col(category).isNull()).limit(1).count():
+        raise ValueError("missing categories in a fit")
+    categories = sorted(r[0] for r in known)
     scale = [stats[f"s_{c}"] if stats[f"s_{c}"] > 1e-12 else 0.0 for c in features]
     head = LogisticHead(features, category, categories, [stats[f"m_{c}"] for c in features], scale, [0.0] * (len(features) + len(categories)), 0.0, [stats[f"lo_{c}"] for c in features], [stats[f"hi_{c}"] for c in features])
     p = len(head.coef)

@@ -29,22 +29,38 @@ def subset_metrics(df: DataFrame, truth: Column, prediction: Column, flags: list
     return component_metrics(tagged, truth, prediction, ["subset"])
 
 
+#: Distinct values that one task may rank.
+RANKED = 100_000
+
+
 def kth_smallest(df: DataFrame, value: str, k: Column | int) -> DataFrame:
     """One row with `value` of rank k (from 1), null if there are fewer rows.
 
-    A sketch brackets the rank and only rows inside the bracket are ranked, so no task sorts the whole column.
+    A sketch brackets the rank, again and again, until few distinct values are left inside: only those are ranked, so no
+    task sorts the column however long it is.
     """
-    n = df.where(F.col(value).isNotNull()).count()
+    df = df.select(value).where(F.col(value).isNotNull())
+    n = df.count()
     rank = k if isinstance(k, int) else df.sparkSession.range(1).select(k.alias("k")).first()[0]
     if not 1 <= rank <= n:
         return df.sparkSession.range(1).select(F.lit(None).cast(df.schema[value].dataType).alias(value))
-    width = 1e-4
-    share = rank / n
-    low, high = df.approxQuantile(value, [max(0.0, share - 2 * width), min(1.0, share + 2 * width)], width)
-    below = df.where(F.col(value) < low).count()
-    near = df.where((F.col(value) >= low) & (F.col(value) <= high)).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
+    near, below, width, v = df, 0, 1e-4, F.col(value)
+    while near.distinct().limit(RANKED + 1).count() > RANKED:
+        share = (rank - below) / n
+        low, high = near.approxQuantile(value, [max(0.0, share - 2 * width), min(1.0, share + 2 * width)], width)
+        # The rank is found among four parts; ties with the bracket's ends are answers, so each round has fewer rows.
+        parts = [v < low, v == low, (v > low) & (v < high), (v == high) & F.lit(high > low), v > high]
+        counts = near.agg(*[F.count(F.when(p, 1)) for p in parts]).first()
+        at = 0
+        while rank > below + counts[at]:
+            below += counts[at]
+            at += 1
+        near, n = near.where(parts[at]), counts[at]
+        if at in (1, 3):
+            break
+    counts = near.groupBy(value).agg(F.count(F.lit(1)).alias("n"))
     upto = F.sum("n").over(Window.orderBy(value)) + below
-    return near.withColumn("upto", upto).where(F.col("upto") >= rank).agg(F.min(value).alias(value))
+    return counts.withColumn("upto", upto).where(F.col("upto") >= rank).agg(F.min(value).alias(value))
 
 
 def conformal_radius(df: DataFrame, group: str, errors: dict[str, Column], alpha: float) -> DataFrame:

@@ -460,24 +460,32 @@ def polar_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --------------------------------------------------------------------------------------------------------- diagnostics
 
-_TRACE = """g AS (SELECT unnest(range(720)) i), s AS (SELECT CAST(floor(epoch(ts - TIMESTAMP '2024-01-01') / 3600) AS BIGINT) i, sum(value) v FROM events GROUP BY 1),
-t AS (SELECT g.i, coalesce(v, 0) v FROM g LEFT JOIN s ON g.i = s.i)"""
+#: All hours from the first event's to the last one's, filled up to a multiple of ten.
+HOURS = """h AS (SELECT min(x) h0, CAST(ceil((max(x) - min(x) + 1) / 10.0) * 10 AS BIGINT) n FROM (SELECT CAST(floor(epoch(ts) / 3600) AS BIGINT) x FROM events)), g AS (SELECT unnest(range(n)) i FROM h)"""
+_TRACE = f"""{HOURS}, s AS (SELECT CAST(floor(epoch(ts) / 3600) AS BIGINT) - h0 i, sum(value) v FROM events, h GROUP BY 1), t AS (SELECT g.i, coalesce(v, 0) v FROM g LEFT JOIN s ON g.i = s.i)"""
+_MOMENTS = """b AS (SELECT i // (n // 10) k, avg(v) m FROM t, h GROUP BY 1),
+w AS (SELECT count(*) AS n, avg(v) AS mean, stddev_samp(v) AS sd, avg(v) FILTER (i < h.n // 2) AS first_half_mean, avg(v) FILTER (i >= h.n - h.n // 2) AS last_half_mean, regr_slope(v, i / (h.n - 1)) AS trend, (SELECT var_samp(m) FROM b) AS block_variance FROM t, h)"""
+_ACF = """m AS (SELECT avg(v) m FROM t), c AS (SELECT i, v - m c FROM t, m), l AS (SELECT b.i - a.i lag, sum(a.c * b.c) s FROM c a, c b, h WHERE b.i - a.i BETWEEN 0 AND h.n // 2 GROUP BY 1),
+r AS (SELECT lag, s / (SELECT s FROM l WHERE lag = 0) acf FROM l), p AS (SELECT lag // 2 k, sum(acf) s FROM r, h WHERE lag < 2 * ((h.n // 2 + 1) // 2) GROUP BY 1),
+x AS (SELECT coalesce(min(k), (SELECT max(k) + 1 FROM p)) x, min(k) IS NOT NULL AS truncated FROM p WHERE s <= 0), y AS (SELECT k, min(s) OVER (ORDER BY k) s FROM p, x WHERE k < x), z AS (SELECT count(*) pairs, 2 * sum(s) - 1 raw_g FROM y),
+e AS (SELECT pairs, truncated, raw_g, greatest(1, least(h.n, raw_g)) g, h.n / greatest(1, least(h.n, raw_g)) ess, raw_g < 1 OR raw_g > h.n AS ess_bound_applied FROM z, x, h)"""
 
 
 def hourly_trace(spark: SparkSession, sf_dir: str, by: bool = False) -> DataFrame:
-    """720 hourly sums of event values from 2024-01-01; hours without events are 0. by: a replicate per event type."""
+    """Hourly sums of event values from the first event's hour to the last one's, filled up to a multiple of ten hours; hours without events are 0. by: a replicate per event type."""
     events = table(spark, sf_dir, "events")
-    hour = F.floor((F.unix_timestamp(F.col("ts").cast("timestamp")) - F.lit(1704067200)) / 3600)
+    hour = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600)
+    first, hours = events.agg(F.min(hour), F.ceil((F.max(hour) - F.min(hour) + 1) / 10) * 10).first()
     replicate = F.col("event_type") if by else F.lit("all")
-    sums = events.groupBy(replicate.alias("replicate"), hour.alias("i")).agg(F.sum("value").alias("v"))
+    sums = events.groupBy(replicate.alias("replicate"), (hour - F.lit(first)).alias("i")).agg(F.sum("value").alias("v"))
     names = events.select(replicate.alias("replicate")).distinct()
-    grid = names.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(719).cast("long"))))
+    grid = names.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(hours).cast("long") - 1)))
     return grid.join(sums, ["replicate", "i"], "left").select("replicate", F.lit("value").alias("observable"), F.col("i").cast("int").alias("i"), F.col("i").cast("double").alias("t"), F.coalesce("v", F.lit(0.0)).alias("value"))
 
 
 @query(f"""
-WITH {_TRACE}, b AS (SELECT i // 72 k, avg(v) m FROM t GROUP BY 1)
-SELECT count(*) AS n, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS sd, round(avg(v) FILTER (i >= 360) - avg(v) FILTER (i < 360), 4) AS half_shift, round(regr_slope(v, i / 719.0), 3) AS trend, round((SELECT var_samp(m) FROM b), 3) AS block_variance, 'descriptive_only' AS status FROM t
+WITH {_TRACE}, {_MOMENTS}
+SELECT n, round(mean, 4) AS mean, round(sd, 4) AS sd, round(last_half_mean - first_half_mean, 4) AS half_shift, round(trend, 3) AS trend, round(block_variance, 3) AS block_variance, 'descriptive_only' AS status FROM w
 """)
 def trace_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = diagnostics.trace_moments(hourly_trace(spark, sf_dir), 10).select("n", "mean", "sd", "half_shift", "trend", "block_variance", "status")
@@ -485,19 +493,17 @@ def trace_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_TRACE}, m AS (SELECT avg(v) m FROM t), c AS (SELECT i, v - m c FROM t, m), l AS (SELECT b.i - a.i lag, sum(a.c * b.c) s FROM c a JOIN c b ON b.i - a.i BETWEEN 0 AND 360 GROUP BY 1),
-r AS (SELECT lag, s / (SELECT s FROM l WHERE lag = 0) acf FROM l), p AS (SELECT lag // 2 k, sum(acf) s FROM r WHERE lag < 360 GROUP BY 1),
-x AS (SELECT coalesce(min(k), 180) x FROM p WHERE s <= 0), y AS (SELECT k, min(s) OVER (ORDER BY k) s FROM p, x WHERE k < x), z AS (SELECT count(*) n, 2 * sum(s) - 1 g FROM y)
-SELECT n AS pairs, round(g, 6) AS raw_g, round(greatest(1, least(720, g)), 6) AS g, round(720 / greatest(1, least(720, g)), 4) AS ess FROM z
+WITH {_TRACE}, {_ACF}
+SELECT pairs, round(raw_g, 6) AS raw_g, round(g, 6) AS g, round(ess, 4) AS ess FROM e
 """)
 def trace_acf(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = diagnostics.trace_correlations(hourly_trace(spark, sf_dir)).select("pairs", "raw_g", "g", "ess")
     return _rounded(_rounded(out, 6, "raw_g", "g"), 4, "ess")
 
 
-@query("""
-WITH e AS (SELECT DISTINCT event_type FROM events), g AS (SELECT event_type, i FROM e, (SELECT unnest(range(720)) i)), s AS (SELECT event_type, CAST(floor(epoch(ts - TIMESTAMP '2024-01-01') / 3600) AS BIGINT) i, sum(value) v FROM events GROUP BY 1, 2),
-t AS (SELECT g.event_type, coalesce(v, 0) v FROM g LEFT JOIN s ON g.i = s.i AND g.event_type = s.event_type), m AS (SELECT event_type, avg(v) m FROM t GROUP BY 1)
+@query(f"""
+WITH {HOURS}, k AS (SELECT DISTINCT event_type FROM events), s AS (SELECT event_type, CAST(floor(epoch(ts) / 3600) AS BIGINT) - h0 i, sum(value) v FROM events, h GROUP BY 1, 2),
+t AS (SELECT k.event_type, coalesce(v, 0) v FROM k CROSS JOIN g LEFT JOIN s ON g.i = s.i AND k.event_type = s.event_type), m AS (SELECT event_type, avg(v) m FROM t GROUP BY 1)
 SELECT 'value' AS observable, count(*) AS replicates, round(avg(m), 6) AS mean_of_means, round(var_samp(m), 6) AS between_variance, round(sqrt(var_samp(m) / count(*)), 6) AS standard_error FROM m
 """)
 def replicate_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -505,10 +511,19 @@ def replicate_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(out, 6, "mean_of_means", "between_variance", "standard_error")
 
 
-@query()
+@query(f"""
+WITH {_TRACE}, {_MOMENTS}, {_ACF}
+SELECT 'all' AS replicate, 'value' AS observable, w.n, round(mean, 4) AS mean, round(sd, 4) AS sd, round(first_half_mean, 4) AS first_half_mean, round(last_half_mean, 4) AS last_half_mean, round(last_half_mean - first_half_mean, 4) AS half_shift,
+  round(trend, 3) AS trend, round(block_variance, 3) AS block_variance, round(sqrt(block_variance / 10), 4) AS block_se, 'descriptive_only' AS status, pairs, truncated, round(raw_g, 6) AS raw_g, round(g, 6) AS g, round(ess, 4) AS ess, ess_bound_applied, round(sd / sqrt(ess), 4) AS acf_se,
+  array_to_string(list_filter([CASE WHEN abs(last_half_mean - first_half_mean) / sd > 0.5 OR abs(trend / sd) > 1 THEN 'large_descriptive_drift' END, CASE WHEN ess < 20 THEN 'low_estimated_effective_sample_size' END,
+    CASE WHEN w.n / 10 < 10 * g THEN 'blocks_short_relative_to_estimated_correlation' END, CASE WHEN NOT truncated THEN 'positive_sequence_reaches_available_lag_window' END], lambda x: x IS NOT NULL), '|') AS warnings, false AS accuracy_validated
+FROM w, e
+""")
 def trace_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All diagnostics of the hourly trace; its parts are compared by trace_moments and trace_acf."""
-    return diagnostics.diagnose_trace(hourly_trace(spark, sf_dir), 10).drop("acf")
+    """All diagnostics of the hourly trace."""
+    out = diagnostics.diagnose_trace(hourly_trace(spark, sf_dir), 10).drop("acf").withColumn("warnings", F.array_join("warnings", "|"))
+    out = _rounded(out, 4, "mean", "sd", "first_half_mean", "last_half_mean", "half_shift", "block_se", "ess", "acf_se")
+    return _rounded(_rounded(out, 3, "trend", "block_variance"), 6, "raw_g", "g")
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

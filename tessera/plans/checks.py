@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar
 from ..operators import diagnostics, metrics, refuse
 from ..sources import contracts
-from .catalog import hourly_trace, query, table
+from .catalog import HOURS, hourly_trace, query, table
 
 
 @query("""
@@ -46,7 +46,7 @@ def support_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count(F.lit(1)).alias("unsupported"))
 
 
-@query("SELECT 'all' AS replicate, 'value' AS observable, CAST(720 AS BIGINT) AS n, 0.0::DOUBLE AS t0, 719.0::DOUBLE AS t1, CAST(NULL AS VARCHAR) AS fault")
+@query(f"WITH {HOURS} SELECT 'all' AS replicate, 'value' AS observable, n, 0.0::DOUBLE AS t0, CAST(n - 1 AS DOUBLE) AS t1, CAST(NULL AS VARCHAR) AS fault FROM h")
 def trace_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnostics.checked_trace(hourly_trace(spark, sf_dir), 10)
 

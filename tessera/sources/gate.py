@@ -188,7 +188,10 @@ class _NpzReader(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         import numpy as np
 
-        with np.load(partition.value.removeprefix("file://"), allow_pickle=False) as data:
+        # A random-access file of any file system that Arrow opens; members are read one by one.
+        uri = partition.value
+        fs, path = pafs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri.removeprefix('file:')}")
+        with fs.open_input_file(path) as f, np.load(f, allow_pickle=False) as data:
             smiles, targets, names = data["smiles"], data["targets"], data["target_names"]
             if smiles.ndim != 1 or names.ndim != 1 or targets.shape != (len(smiles), len(names)):
                 raise Refused("shapes do not agree")

@@ -1,4 +1,6 @@
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -41,6 +43,21 @@ def test_contract(spark):
     assert os.path.isdir(driver.ROOT)
 
 
+@pytest.mark.parametrize("missing", ["ahocorasick", "zstandard", "xxhash", "public_tokenizers", "regex"])
+def test_core_queries_stay_without_third_party_modules(missing):
+    """Where a module is missing that only the training-data operators need, the others are still registered."""
+    code = f"""
+import sys, warnings
+sys.modules[{missing!r}] = None
+warnings.simplefilter("ignore")
+import __spark_entry__ as e
+names = set(e.queries())
+assert "group_metrics" in names and not any(n.startswith("op") and n[2].isdigit() for n in names) and "pipeline" not in names
+assert set(e.oracle_sql()) <= names
+"""
+    subprocess.run([sys.executable, "-c", code], cwd=driver.ROOT, check=True)
+
+
 @pytest.mark.parametrize("partitions", ["1", "7"])
 def test_results_do_not_depend_on_partitions(spark, small, partitions):
     names = ["hash_folds", "alias_components", "conformal_radius", "dedupe_first_wins"]

@@ -306,3 +306,82 @@ def test_scalars(spark):
     vectors = spark.createDataFrame([(i, int(b)) for i, b in enumerate([0b1111, 0b1110, 0, 0b1])], "k long, bits long")
     near = {r.k: r.similarity for r in domain.nearest_tanimoto(vectors.where("k > 0"), vectors.where("k = 0"), "k", "bits").collect()}
     assert near == {0: 0.75}
+
+
+def test_queries_against_all_rows_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    bits = [None, *map(int, rng.integers(0, 1 << 20, 90))]
+    df = spark.createDataFrame(list(enumerate(bits)), "k long, bits long").repartition(3)
+    asked = df.where("k % 5 = 0").unionByName(spark.createDataFrame([(5, bits[7]), (5, None), (None, 1)], "k long, bits long"))
+    share = lambda a, b: (a & b).bit_count() / max((a | b).bit_count(), 1)
+    want = {k: max((share(b, t) for t in bits[1:]), default=None) if b is not None else None for k, b in enumerate(bits) if k % 5 == 0}
+    want[None] = None
+    vectors = df.select("k", F.when(F.col("k") % 7 != 0, F.array(F.col("k") / 10, F.col("k") % 3 + F.lit(0.0))).alias("v"))
+    x = {k: (k / 10, k % 3) for k in range(91) if k % 7}
+    sums = {k: sum(math.exp(-0.5 * ((a - c) ** 2 + (b - d) ** 2) / 2) for c, d in x.values()) for k, (a, b) in x.items()} | {k: None for k in range(0, 91, 7)}
+    for block in (4096, 8):
+        monkeypatch.setattr(domain, "QUERY_BLOCK", block)
+        monkeypatch.setattr(domain, "TRAIN_BLOCK", 2 * block)
+        got = {r.k: r for r in domain.nearest_tanimoto(df, asked, "k", "bits", 0.99).collect()}
+        assert {k: r.similarity for k, r in got.items()} == pytest.approx(want) and got[0].ood is None
+        assert {r.k: r.kernel_sum for r in domain.kernel_sums(vectors, vectors, "k", "v", 0.5, 2).collect()} == pytest.approx(sums)
+    none = df.limit(0)
+    assert [tuple(r) for r in domain.nearest_tanimoto(none, df.where("k = 3"), "k", "bits").collect()] == [(3, None, None)]
+    assert domain.nearest_tanimoto(df, none, "k", "bits").collect() == [] and domain.kernel_sums(vectors, vectors.limit(0), "k", "v", 0.5).collect() == []
+    assert {r.k: r.kernel_sum for r in domain.kernel_sums(vectors.limit(0), vectors.where("k < 2"), "k", "v", 0.5).collect()} == {0: None, 1: 0.0}
+
+
+def test_ranks_in_narrowing_brackets(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "RANKED", 3)
+    r = np.random.default_rng(9)
+    for values in (r.normal(size=400), r.integers(0, 5, 400) * 1.0, np.repeat([1.0, 2.0], [300, 100]), np.append(np.zeros(200), r.normal(size=201)), np.arange(30.0)):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
+        for k in (1, 2, len(values) // 2, len(values)):
+            assert metrics.kth_smallest(df, "v", k).first()[0] == np.sort(values)[k - 1]
+    monkeypatch.setattr(heads, "MEDIAN_ROWS", 10)
+    df = spark.createDataFrame([(float(v), None) for v in (5, 1, 2, 8)] * 5 + [(None, None)], "v double, w double")
+    out = heads.median_imputed(df, ["v", "w"])
+    assert out.columns == ["v", "missing_v"] and out.where("missing_v = 1").first()["v"] == 3.5
+
+
+def test_categories_are_never_dropped(spark, monkeypatch):
+    monkeypatch.setattr(heads, "MOST_FEATURES", 5)
+    df = spark.createDataFrame([(float(i), i % 2, f"c{i % 6}", 1.0) for i in range(40)], "a double, y int, k string, w double")
+    with pytest.raises(ValueError, match="at most 5"):
+        heads.fit_logistic(df, ["a"], "y", "w", 0.1, "k")
+    with pytest.raises(ValueError, match="missing"):
+        heads.fit_logistic(df.withColumn("k", F.when(F.col("a") > 3, "x")), ["a"], "y", "w", 0.1, "k")
+
+
+def test_heavy_labels_are_spread(spark, monkeypatch):
+    from tessera.operators import components
+
+    monkeypatch.setattr(components, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(components, "HEAVY", 4)
+    star = [(5, i) for i in range(6, 80)]
+    path = [(i, i + 1) for i in range(1000, 1030)]
+    got = {r.node: r.label for r in components.components(spark.createDataFrame([*star, *path], "u long, v long")).collect()}
+    assert got == {**{i: 5 for i in range(5, 80)}, **{i: 1000 for i in range(1000, 1031)}}
+    rows = spark.createDataFrame([(1, "a")] * 50 + [(2, "b"), (None, "c"), (9, "d")], "k long, s string")
+    table = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "k long, t string")
+    left = components.looked_up(rows, table, "k", "left").groupBy("k", "t").count().collect()
+    assert sorted(map(tuple, left), key=str) == sorted([(1, "x", 50), (2, "y", 1), (None, None, 1), (9, None, 1)], key=str)
+
+
+def test_streams_and_storage_without_files(spark, tmp_path):
+    from tessera import storage
+    from tessera.streaming import events
+
+    (tmp_path / "none").mkdir()
+    empty = spark.readStream.schema("k int, ts timestamp").parquet(str(tmp_path / "none"))
+    assert events.drained(empty, "none").collect() == []
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:
+            master = "yarn"
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        storage.shared_folder(Session, "x")
