@@ -115,3 +115,8 @@ def canonical_number_column(text: Column) -> Column:
 def canonical_digest(value: object) -> str:
     """SHA-256 of compact JSON with sorted keys; NaN and infinities are refused."""
     return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":"), allow_nan=False).encode()).hexdigest()
+
+
+def canonical_digest_column(fields: dict[str, Column]) -> Column:
+    """canonical_digest of an object of whole numbers, texts and truth values, as an expression; null fields are left out."""
+    return F.sha2(F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)])), 256)

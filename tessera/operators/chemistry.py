@@ -73,6 +73,21 @@ def with_periodic_alias(df: DataFrame, column: str = "smiles") -> DataFrame:
     return _per_distinct(df, column, "periodic string", lambda t: {"periodic": structures.periodic_alias(t)})
 
 
+def with_canonical(df: DataFrame, column: str = "smiles") -> DataFrame:
+    """The canonical text and the fingerprint's bits."""
+    return _per_distinct(df, column, "canonical string, bits array<int>", lambda t: {"canonical": structures.canonical(t), "bits": structures.fingerprint(t)})
+
+
+def with_charges(df: DataFrame, column: str = "smiles") -> DataFrame:
+    """The charge class, and whether the structure is one saturated chain of carbon and hydrogen."""
+    return _per_distinct(df, column, "charges string, saturated boolean", lambda t: {"charges": structures.charge_class(t), "saturated": structures.saturated_chain(t)})
+
+
+def with_source_groups(df: DataFrame, column: str = "smiles") -> DataFrame:
+    """Counts of the source groups that occur; refused where an atom belongs to none."""
+    return _per_distinct(df, column, "source_groups map<string,int>", lambda t: {"source_groups": {k: v for k, v in structures.source_groups(t).items() if v}})
+
+
 def families(df: DataFrame, row: str, column: str = "smiles") -> DataFrame:
     """row and group: rows that share an identity, topology or scaffold belong together."""
     return alias_components(with_aliases(df, column).where("structure_fault IS NULL"), row, F.col("aliases"))

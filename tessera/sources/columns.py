@@ -1,0 +1,88 @@
+"""Column-oriented JSON of any size, read as a stream: a pull parser gives one scalar at a time with its place."""
+
+from __future__ import annotations
+
+import json
+import re
+from collections.abc import Iterable, Iterator
+
+from .contracts import Refused
+
+_TOKEN = re.compile(r"""[ \t\r\n]*(?:([{}\[\],:])|("(?:[^"\\]|\\.)*")|([^\s{}\[\],:"]+))""", re.DOTALL)
+_LITERAL = re.compile(r"true|false|null|-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?")
+
+
+def tokens(pieces: Iterable[str]) -> Iterator[str]:
+    """Punctuation, strings, numbers and literals of a text that comes in pieces."""
+    held = ""
+    for piece in pieces:
+        held += piece
+        at = 0
+        while m := _TOKEN.match(held, at):
+            if m[3] and m.end() == len(held):
+                break  # It may go on in the next piece.
+            yield m[1] or m[2] or m[3]
+            at = m.end()
+        held = held[at:]
+    if held.strip():
+        if not (m := _TOKEN.fullmatch(held.rstrip())):
+            raise Refused("the text ends inside a value")
+        yield m[1] or m[2] or m[3]
+
+
+def scalars(pieces: Iterable[str]) -> Iterator[tuple[tuple[str, ...], tuple[int, ...], object]]:
+    """Every scalar with the keys and the array places that lead to it. Repeated keys and broken texts are refused."""
+    keys: list[str] = []
+    places: list[int] = []
+    # Open containers: the keys met so far, or None for an array.
+    open_: list[set[str] | None] = []
+    want = "value"
+
+    def closed() -> str:
+        return "comma" if open_ else "nothing"
+
+    for token in tokens(pieces):
+        if want == "nothing":
+            raise Refused("text after the value")
+        if token in "}]":
+            if want not in ("comma", "first") or not open_ or (open_[-1] is None) != (token == "]"):
+                raise Refused(f"unexpected {token}")
+            if open_.pop() is None:
+                places.pop()
+            elif want == "comma":
+                keys.pop()
+            want = closed()
+        elif want == "comma":
+            if token != ",":
+                raise Refused("a comma is missing")
+            if open_[-1] is None:
+                places[-1] += 1
+                want = "value"
+            else:
+                keys.pop()
+                want = "key"
+        elif want == "colon":
+            if token != ":":
+                raise Refused("a colon is missing")
+            want = "value"
+        elif want == "key" or (want == "first" and open_[-1] is not None):
+            key = json.loads(token) if token[0] == '"' else None
+            if key is None or key in open_[-1]:
+                raise Refused("a key is missing or occurs twice")
+            open_[-1].add(key)
+            keys.append(key)
+            want = "colon"
+        elif token == "{":
+            open_.append(set())
+            want = "first"
+        elif token == "[":
+            open_.append(None)
+            places.append(0)
+            want = "first"
+        elif token[0] == '"' or _LITERAL.fullmatch(token):
+            yield tuple(keys), tuple(places), json.loads(token)
+            want = closed()
+        else:
+            raise Refused(f"{token!r} is no value")
+    if want != "nothing":
+        raise Refused("the text ends too early")

@@ -54,7 +54,7 @@ def test_labelled_table_and_order_of_gates(spark, tmp_path, monkeypatch):
     assert not opened
 
 
-@pytest.mark.parametrize("row,column,value", [(3, 2, "nan"), (3, 2, "-1"), (3, 2, "x"), (3, 5, "experimental"), (3, 0, "s1"), (3, 0, " "), (3, 1, "")])
+@pytest.mark.parametrize("row,column,value", [(3, 1, "[Na+].[Cl-]"), (3, 1, "C("), (3, 1, "[CH3]"), (3, 2, "nan"), (3, 2, "-1"), (3, 2, "x"), (3, 5, "experimental"), (3, 0, "s1"), (3, 0, " "), (3, 1, "")])
 def test_one_bad_row_refuses_the_table(spark, tmp_path, row, column, value):
     path, manifest = labelled(tmp_path, change=lambda lines: lines[row].__setitem__(column, value))
     with pytest.raises(contracts.Refused):
@@ -94,6 +94,11 @@ def test_column_json_and_npz(spark, tmp_path):
         z.writestr("x.json", body)
     got = gate.column_json(spark, f"file://{tmp_path}/x.zip", "SMILES", "SOLVATION").orderBy("position").collect()
     assert [(r.position, r.key, r.value["water"]) for r in got] == [(0, "C", 1.5), (1, "CC", None)]
+    for bad in ('{"SMILES": ["C"], "SOLVATION": {"water": [1, 2]}}', '{"SOLVATION": {"water": [1]}}', '{"SMILES": [1], "SOLVATION": {"water": [1]}}', '{"SMILES": ["C"], "SOLVATION": {"water": ["x"]}}'):
+        (tmp_path / "bad.json").write_text(bad)
+        with pytest.raises(Exception, match="columns differ|is no"):
+            gate.column_json(spark, f"file://{tmp_path}/bad.json", "SMILES", "SOLVATION").collect()
+    (tmp_path / "bad.json").unlink()
     out = io.BytesIO()
     np.savez(out, smiles=np.array(["C", "O"]), targets=np.array([[1.0], [2.0]]), target_names=np.array(["mu"]))
     (tmp_path / "t.npz").write_bytes(out.getvalue())
@@ -102,11 +107,24 @@ def test_column_json_and_npz(spark, tmp_path):
     assert gate.digests(spark, str(tmp_path)).count() == 2
 
 
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_scalars_of_a_stream(size):
+    from tessera.sources import columns
+
+    body = '{"a": [1, "x, ]", -2.5e3, null, true], "b": {"c": [], "d": [[3], {"e": 4}]}, "f": "\\u00e9\\""}'
+    pieces = lambda t: [t[i : i + size] for i in range(0, len(t), size)]
+    assert list(columns.scalars(pieces(body))) == [(("a",), (0,), 1), (("a",), (1,), "x, ]"), (("a",), (2,), -2500.0), (("a",), (3,), None), (("a",), (4,), True), (("b", "d"), (0, 0), 3), (("b", "d", "e"), (1,), 4), (("f",), (), 'é"')]
+    assert list(columns.scalars(pieces(" 12 "))) == [((), (), 12)] and list(columns.scalars(pieces("{}"))) == []
+    for bad in ("", "{", "[1,]", '{"a":1,}', '{"a":1 "b":2}', "[1 2]", '{"a":1,"a":2}', "[01]", "1 2", "[}", '{"a"}', "nul", '"x', "{1:2}", "[1]]"):
+        with pytest.raises(contracts.Refused):
+            list(columns.scalars(pieces(bad)))
+
+
 def test_vectors(spark, tmp_path):
     path = tmp_path / "v.csv"
     path.write_text("smiles,e0,e1\nC,1,2\nO,3,4\n")
     assert gate.vector_table(spark, str(path), 2).count() == 2
-    for text in ("smiles,e0,e1\nC,1,2\nC,3,4\n", "smiles,e1,e0\nC,1,2\n", "smiles,e0,e1\nC,1,nan\n", "smiles,e0,e1\n"):
+    for text in ("smiles,e0,e1\nC,1,2\nC,3,4\n", "smiles,e0,e1\nOCC,1,2\nCCO,3,4\n", "smiles,e0,e1\nnone,1,2\n", "smiles,e1,e0\nC,1,2\n", "smiles,e0,e1\nC,1,nan\n", "smiles,e0,e1\n"):
         path.write_text(text)
         with pytest.raises(contracts.Refused):
             gate.vector_table(spark, str(path), 2)
