@@ -10,9 +10,10 @@ A group of copies never becomes all its pairs:
 1. every class is tried against one centre of its buckets; links give components;
 2. in buckets that still hold several components, classes outside the first one are tried against one of it and one of
    themselves; links give components again;
-3. what remains are pairs of different components in one bucket. Components that buckets connect form a family; its
-   classes outside its largest component meet all of its classes in blocks of BLOCK by BLOCK. A block looks at pairs that
-   share a band, prunes, verifies full sets, and gives one link per two components at most.
+3. what remains are pairs of different components in one bucket. In each bucket the classes outside its largest
+   component meet the others in blocks of BLOCK by BLOCK, each pair in the first bucket that both share: a first pass
+   prunes by signatures, a second verifies the full sets of the classes that have a pair left, and gives one link per two
+   components of a block at most.
 Pairs inside a component are never looked at: a link between them would change nothing. So the result is that of testing
 all candidates. A candidate pair of similarity s exactly is missed with probability (1 - s ** ROWS) ** BANDS: 5e-6 at
 0.8. Components come from distributed label propagation.
@@ -28,7 +29,7 @@ least one unless its component has no other; an empty table gives an empty one;
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,15 +37,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.components import components
-from .runtime import byte_blocks, dropped, give_back, map_batches, stored, text_or_empty
+from ..operators.components import components, looked_up
+from .runtime import byte_blocks, dropped, give_back, map_batches, masked, stored, text_or_empty
 from .words import NOT_BLANK, mix, runs, scan
 
 ROWS, BANDS = 6, 40
 HASHES = ROWS * BANDS
-MISS, BATCH, BLOCK = 1e-6, 24, 512
+MISS, BATCH, BLOCK = 1e-6, 24, 128
 #: Rows of ids (16 bytes each) that may be broadcast; beyond, joins shuffle.
 BROADCAST_ROWS = 1_000_000
+#: The same for rows of an id, a key and a flag.
+WIDE_ROWS = 100_000
 _U, _V = np.uint64, np.uint32
 _RNG = np.random.default_rng(20)
 _A = _RNG.integers(0, 1 << 32, HASHES, dtype=_V) | _V(1)
@@ -68,7 +71,7 @@ def class_key(values: np.ndarray) -> int:
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """Minimum of HASHES hash functions over each (non-empty) set, as uint32."""
+    """The low 16 bits of the minimum of HASHES hash functions over each (non-empty) set."""
     size = np.array([len(s) for s in sets], np.int64)
     out = np.empty((len(sets), HASHES), _V)
     first = 0
@@ -84,7 +87,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
             np.add(work, _B[i], out=work)
             out[first:last, i] = np.minimum.reduceat(work, at)
         first = last
-    return out
+    return out.astype("<u2")
 
 
 def bands(sig: np.ndarray) -> np.ndarray:
@@ -180,7 +183,7 @@ def _full_sets(df: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
             sig = signatures([s for _, s in sets])
             yield {
                 "node": pa.array([k for k, _ in sets], pa.int64()),
-                "sig": pa.array([x.astype("<u2").tobytes() for x in sig], pa.binary()),
+                "sig": pa.array([x.tobytes() for x in sig], pa.binary()),
                 "set": pa.array([s.tobytes() for _, s in sets], pa.binary()),
             }
 
@@ -206,10 +209,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members with their labels, of buckets that hold several components; first is the least label there."""
-    rows = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+    rows = members.join(labels, "node", "left").select("bucket", "band", "node", F.coalesce("label", "node").alias("label"))
     # The member of the first component and the one outside it that later steps try others against.
     first = rows.groupBy("bucket").agg(F.min(F.struct("label", "node")).alias("low"), F.max("label").alias("high")).where("low.label < high")
-    return rows.join(first, "bucket").select("bucket", "node", "label", F.col("low.label").alias("first"), F.col("low.node").alias("centre"))
+    return rows.join(first, "bucket").select("bucket", "band", "node", "label", F.col("low.label").alias("first"), F.col("low.node").alias("centre"))
 
 
 def _second_pairs(rows: DataFrame) -> DataFrame:
@@ -218,75 +221,118 @@ def _second_pairs(rows: DataFrame) -> DataFrame:
     return outside.select(F.col("node").alias("u"), F.col("centre").alias("v")).union(outside.join(own, "bucket").select("node", "other"))
 
 
-def _block_links(nodes: list, labels: list, sigs: list, sets: list, out: list, percent: int) -> tuple[list, list]:
-    """Links between components among the classes of one block: of several between two components, one is enough."""
-    node, outside = np.array(nodes, np.int64), np.array(out, bool)
-    sig = np.frombuffer(b"".join(sigs), "<u2").reshape(-1, HASHES)
-    keys = bands(sig)
-    values = [np.frombuffer(x, _U) for x in sets]
-    names, root = np.unique(np.array(labels, np.int64), return_inverse=True)
-    among = np.flatnonzero(~outside)
-    u, v = [], []
-    for i in np.flatnonzero(outside).tolist():
-        j = among[root[among] != root[i]]
-        j = j[(keys[j] == keys[i]).any(axis=1)]
-        j = j[surviving(sig, sig, np.full(len(j), i), j, percent)]
-        if not len(j):
-            continue
-        size = np.array([len(values[k]) for k in j.tolist()], np.int64)
-        place = np.searchsorted(values[i], every := np.concatenate([values[k] for k in j.tolist()]))
-        found = values[i][np.minimum(place, len(values[i]) - 1)] == every
-        both = np.add.reduceat(found.astype(np.int64), np.cumsum(size) - size)
-        for k in j[100 * both >= percent * (size + len(values[i]) - both)].tolist():
-            if root[k] != root[i]:
-                u.append(node[i])
-                v.append(node[k])
-                root[root == root[k]] = root[i]
-    return u, v
-
-
-def _remaining_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between different components whose classes share buckets, found block against block within families.
-
-    A family is all components that buckets connect. Classes outside its largest component meet all of its classes.
-    """
-    rows = stored(rows.select("node", "label", "first").distinct(), "unsettled")
-    families = components(rows.select(F.col("label").alias("u"), F.col("first").alias("v")).where("u <> v").distinct()).select(F.col("node").alias("label"), F.col("label").alias("family"))
-    nodes = rows.select("node", "label").distinct().join(families, "label")
-    sizes = nodes.groupBy("family", "label").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.groupBy("family").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most"))
-    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
-    sizes = sizes.select("family", F.col("most.label").alias("largest"), blocks(F.col("n")).alias("wide"), blocks(F.col("n") - F.col("most.n")).alias("high"))
-    spot = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    base = nodes.join(sizes, "family").withColumn("outside", F.col("label") != F.col("largest"))
-    across = base.select("family", "node", "label", F.lit(False).alias("out"), spot(F.col("wide")).alias("x"), every(F.col("high")).alias("y"))
-    down = base.where("outside").select("family", "node", "label", F.lit(True).alias("out"), spot(F.col("high")).alias("y"), every(F.col("wide")).alias("x"))
-    keyed = across.unionByName(down).join(sets, "node").select("family", "x", "y", "node", "label", "sig", "set", "out")
-    keyed = keyed.repartition("family", "x", "y").sortWithinPartitions("family", "x", "y")
+class Block:
+    """Classes of one bucket, some of them outside its largest component, compared with those in the block."""
+
+    def __init__(self, band: int, nodes: list, labels: list, out: list, sigs: list, percent: int):
+        self.node, self.percent, self.band = np.array(nodes, np.int64), percent, band
+        self.outside = np.array(out, bool)
+        self.inside = np.flatnonzero(~self.outside)
+        self.sig = np.frombuffer(b"".join(sigs), "<u2").reshape(-1, HASHES)
+        self.root = np.unique(np.array(labels, np.int64), return_inverse=True)[1]
+
+    def candidates(self, i: int) -> np.ndarray:
+        """The classes of other components that outlast the posterior bound beside class i; each pair in its first common band only."""
+        j = self.inside[self.root[self.inside] != self.root[i]]
+        if self.band and len(j):
+            below = slice(0, self.band * ROWS)
+            j = j[~(self.sig[j, below] == self.sig[i, below]).reshape(len(j), self.band, ROWS).all(axis=2).any(axis=1)]
+        return j[surviving(self.sig, self.sig, np.full(len(j), i), j, self.percent)] if len(j) else j
+
+    def survivors(self) -> np.ndarray:
+        """Classes that have a pair left to verify."""
+        found = np.zeros(len(self.node), bool)
+        for i in np.flatnonzero(self.outside).tolist():
+            j = self.candidates(i)
+            found[j] = True
+            found[i] |= len(j) > 0
+        return np.flatnonzero(found)
+
+    def links(self, sets: list) -> tuple[list, list]:
+        """Links between components, verified on full sets: of several between two components, one is enough."""
+        values = [np.frombuffer(x, _U) for x in sets]
+        u, v = [], []
+        for i in np.flatnonzero(self.outside).tolist():
+            j = self.candidates(i)
+            if not len(j):
+                continue
+            size = np.array([len(values[k]) for k in j.tolist()], np.int64)
+            place = np.searchsorted(values[i], every := np.concatenate([values[k] for k in j.tolist()]))
+            found = values[i][np.minimum(place, len(values[i]) - 1)] == every
+            both = np.add.reduceat(found.astype(np.int64), np.cumsum(size) - size)
+            for k in j[100 * both >= self.percent * (size + len(values[i]) - both)].tolist():
+                if self.root[k] != self.root[i]:
+                    u.append(int(self.node[i]))
+                    v.append(int(self.node[k]))
+                    self.root[self.root == self.root[k]] = self.root[i]
+        return u, v
+
+
+def _blocks(keyed: DataFrame, columns: list[str], schema: str, work: Callable[[tuple, list[list]], dict]) -> DataFrame:
+    """work() on the rows of each (bucket, x, y), which has classes outside and others; held one block at a time."""
+    keys = ["bucket", "band", "x", "y"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, ([], [], [], [], [])
+        key, held = None, [[] for _ in columns]
+        out = columns.index("out")
 
         def done() -> Iterator[pa.RecordBatch]:
-            if key is not None and any(held[4]) and not all(held[4]):
-                u, v = _block_links(*held, percent)
-                if u:
-                    yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+            if key is not None and any(held[out]) and not all(held[out]):
+                yield pa.RecordBatch.from_pydict(work(key, held))
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("family", "x", "y", "node", "label", "sig", "set", "out")]
-            for f, x, y, *row in zip(*columns, strict=True):
-                if (f, x, y) != key:
+            for *at, row in zip(*(batch.column(c).to_pylist() for c in keys), zip(*(batch.column(c).to_pylist() for c in columns), strict=True), strict=True):
+                if tuple(at) != key:
                     yield from done()
-                    key, held = (f, x, y), ([], [], [], [], [])
+                    key, held = tuple(at), [[] for _ in columns]
                 for into, value in zip(held, row, strict=True):
                     into.append(value)
         yield from done()
-        key, held = None, ([], [], [], [], [])
         give_back()
 
-    return stored(keyed.mapInArrow(run, "u long, v long").hint("rebalance"), "links")
+    # The blocks of one large bucket go to many tasks.
+    return keyed.repartition(*keys).sortWithinPartitions(*keys).select(*keys, *columns).mapInArrow(run, schema)
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Every class of a mixed bucket in the blocks (x, y) in which it meets others: out as one outside the largest component, else as any."""
+    rows = stored(rows.select("bucket", "band", "node", "label"), "unsettled")
+    sizes = rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most"))
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
+    sizes = sizes.select("bucket", F.col("most.label").alias("largest"), blocks(F.col("n")).alias("wide"), blocks(F.col("n") - F.col("most.n")).alias("high"))
+    spot = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    base = looked_up(rows, sizes, "bucket").withColumn("outside", F.col("label") != F.col("largest"))
+    across = base.select("bucket", "band", "node", "label", F.lit(False).alias("out"), spot(F.col("wide")).alias("x"), every(F.col("high")).alias("y"))
+    down = base.where("outside").select("bucket", "band", "node", "label", F.lit(True).alias("out"), spot(F.col("high")).alias("y"), every(F.col("wide")).alias("x"))
+    return across.unionByName(down)
+
+
+def _remaining_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different components whose classes share a bucket, found bucket by bucket.
+
+    In each bucket the classes outside its largest component meet all others in blocks of BLOCK by BLOCK: signatures
+    first, then full sets of the classes that have a pair left.
+    """
+    keyed = _dealt(rows)
+
+    def surviving_nodes(key: tuple, held: list[list]) -> dict:
+        node, label, out, sig = held
+        kept = Block(key[1], node, label, out, sig, percent).survivors().tolist()
+        types = {"bucket": pa.int64(), "band": pa.int32(), "x": pa.int32(), "y": pa.int32()}
+        return {**{k: pa.array([v] * len(kept), t) for (k, t), v in zip(types.items(), key, strict=True)}, "node": pa.array([node[i] for i in kept], pa.int64()), "label": pa.array([label[i] for i in kept], pa.int64()), "out": pa.array([out[i] for i in kept], pa.bool_())}
+
+    def links(key: tuple, held: list[list]) -> dict:
+        node, label, out, sig, values = held
+        u, v = Block(key[1], node, label, out, sig, percent).links(values)
+        return {"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())}
+
+    signed = keyed.join(sets.select("node", "sig"), "node")
+    left = stored(_blocks(signed, ["node", "label", "out", "sig"], "bucket long, band int, x int, y int, node long, label long, out boolean", surviving_nodes).hint("rebalance"), "survivors")
+    if not left.limit(1).count():
+        return left.select(F.col("node").alias("u"), F.col("node").alias("v"))
+    full = left.join(sets, "node")
+    return stored(_blocks(full, ["node", "label", "out", "sig", "set"], "u long, v long", links).hint("rebalance"), "links")
 
 
 def _grouped(df: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -295,9 +341,9 @@ def _grouped(df: DataFrame, shingle: int, percent: int) -> DataFrame:
     # The row that stands for a class or component: that of the least id (null comes last), then of the least key.
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     classes = stored(rows.where("node IS NOT NULL").groupBy("node").agg(F.min(order).alias("least"), F.any_value("bands").alias("bands")), "classes")
-    banded = classes.select("node", F.explode("bands").alias("bucket"))
+    banded = classes.select("node", F.posexplode("bands").alias("band", "bucket"))
     centres = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("centre")).where("n > 1").drop("n")
-    members = stored(banded.join(centres, "bucket").select("bucket", "node", "centre").hint("rebalance"), "members")
+    members = stored(banded.join(centres, "bucket").select("bucket", "band", "node", "centre").hint("rebalance"), "members")
     wanted = classes.select("node", "least.doc_id", "least.key").join(members.select("node").distinct(), "node", "left_semi")
     sets = stored(_full_sets(df, stored(wanted, "wanted"), shingle), "sets")
 
@@ -310,8 +356,9 @@ def _grouped(df: DataFrame, shingle: int, percent: int) -> DataFrame:
 
     own = classes.select("node", "least")
     least = labels.join(own, "node").groupBy("label").agg(F.min("least").alias("least"))
-    found = own.join(labels.join(least, "label").select("node", F.col("least").alias("joined")), "node", "left").select("node", F.coalesce("joined", "least").alias("least"))
-    out = rows.select("doc_id", "key", "n_shingles", "node").join(found, "node", "left")
+    found = own.join(looked_up(labels, least, "label").select("node", F.col("least").alias("joined")), "node", "left").select("node", F.coalesce("joined", "least").alias("least"))
+    # A class may be a third of all rows: its documents are joined where they are.
+    out = looked_up(rows.select("doc_id", "key", "n_shingles", "node"), stored(found, "found"), "node", "left", most=WIDE_ROWS)
     alone = F.col("node").isNull()
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("least.doc_id"))
     kept = alone | (F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("key") == F.col("least.key")))
@@ -328,24 +375,38 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80) -> DataF
 
 def deduplicated(df: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The rows of df that stay: one of each group (of the least doc_id, then by a hash of the whole row), and those without a set; of equal rows one."""
-    found = _grouped(df, shingle, percent)
-    names = [F.col(f"d.`{c}`") for c in df.columns]
-    keyed = df.withColumn("_row_key", _row_key(df)).alias("d")
+    plain = masked(df, "doc_id", "text")
+    found = _grouped(plain, shingle, percent)
+    names = [F.col(f"d.{c}") for c in plain.columns]
+    keyed = plain.withColumn("row_key", _row_key(plain)).alias("d")
 
     def match(other: DataFrame) -> Column:
-        return F.col("d.doc_id").eqNullSafe(other["doc_id"]) & (F.col("d._row_key") == other["key"])
+        return F.col("d.doc_id").eqNullSafe(other["doc_id"]) & (F.col("d.row_key") == other["key"])
 
     gone = _small(found.where("not kept").select("doc_id", "key").distinct())
     twice = stored(found.where("kept").groupBy("doc_id", "key").count().where("count > 1").select("doc_id", "key"), "repeated")
     out = keyed.join(gone, match(gone), "left_anti")
     # Only rows that are there several times are shuffled.
     if not twice.limit(1).count():
-        return out.select(*names)
+        return out.select(*names).toDF(*df.columns)
     twice = _small(twice)
     once = out.join(twice, match(twice), "left_anti").select(*names)
-    return once.unionByName(keyed.join(twice, match(twice), "left_semi").dropDuplicates(["doc_id", "_row_key"]).select(*names))
+    return once.unionByName(keyed.join(twice, match(twice), "left_semi").dropDuplicates(["doc_id", "row_key"]).select(*names)).toDF(*df.columns)
 
 
 def digest(df: DataFrame, shingle: int = 4) -> DataFrame:
     """The contract's row per document, with its own shingle width."""
     return near_duplicates(df.select("doc_id", "text"), shingle)
+
+
+#: The same rows by DuckDB, for tables without repeated or null ids: shared shingles of all pairs, then reachability.
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[k : k + 3], ' ') AS x FROM (SELECT *, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS k FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT u, v FROM p JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * c >= 80 * (a.n + b.n - c)),
+r(a, b) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.a, l.v FROM r JOIN l ON r.b = l.u),
+m AS (SELECT a AS doc_id, min(b) AS least FROM r GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(least, doc_id) AS component_id, coalesce(least, doc_id) = doc_id AS kept FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
+"""

@@ -58,4 +58,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_records": warc.ORACLE_SQL}
+    return {"op1_warc_records": warc.ORACLE_SQL, "op6_decontaminate": suffix_array.ORACLE_SQL, "op10_minhash_dedup": minhash.ORACLE_SQL}

@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 
 from ..storage import dropped, shared_folder, stored
 
-__all__ = ["BLOCK_BYTES", "bounded", "byte_blocks", "dropped", "give_back", "id_remainder", "map_batches", "raw_bytes", "schema_of", "shared_folder", "stored", "table", "text_or_empty"]
+__all__ = ["BLOCK_BYTES", "bounded", "byte_blocks", "dropped", "give_back", "id_remainder", "map_batches", "masked", "raw_bytes", "schema_of", "shared_folder", "stored", "table", "text_or_empty"]
 
 #: A sub-batch of texts is closed at this many bytes, whatever the Arrow batch holds.
 BLOCK_BYTES = 4 << 20
 
 
 #: Arrow batches between the JVM and its workers, which both hold several.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def bounded(spark: SparkSession) -> SparkSession:
@@ -45,6 +45,11 @@ def id_remainder(modulus: int, column: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def masked(df: DataFrame, *kept: str) -> DataFrame:
+    """df with numbers for names, but for the kept ones: columns that are added clash with none, toDF(*df.columns) undoes it."""
+    return df.toDF(*(c if c in kept else f"c{i}" for i, c in enumerate(df.columns)))
+
+
 def schema_of(df: DataFrame) -> str:
     """The schema of df as text, for mapInArrow; any name may stand in it."""
     return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema)
@@ -68,18 +73,20 @@ def _trim() -> Callable[[int], int] | None:
 
 def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], Iterator[dict]], schema: str, last: Callable[[], None] | None = None) -> DataFrame:
     """mapInArrow with a step from one batch to dicts of output columns; last() is called when a task is done."""
+    names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                for columns in step(batch):
+                for columns in step(batch.rename_columns(names)):
                     yield pa.RecordBatch.from_pydict(columns)
                 give_back()
         if last:
             last()
         give_back()
 
-    return df.mapInArrow(run, schema)
+    # Names with dots or backticks are no columns to mapInArrow.
+    return masked(df).mapInArrow(run, schema)
 
 
 def byte_blocks(batch: pa.RecordBatch, column: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:

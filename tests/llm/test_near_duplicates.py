@@ -113,6 +113,22 @@ def test_null_ids_link_as_others_do(spark, monkeypatch):
     assert collections.Counter(r.doc_id for r in minhash.deduplicated(df).collect()) == collections.Counter(least.values())
 
 
+def test_a_percolating_chain_grows_linearly(spark):
+    """Each text shares half its shingles with the next: none are links, but buckets tie all of them together."""
+
+    def dealt(n):
+        texts = [" ".join(f"w{j}" for j in range(15 * i, 15 * i + 100)) for i in range(n)]
+        rows = minhash._described(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5)
+        members = rows.select("node", F.posexplode("bands").alias("band", "bucket")).select("bucket", "band", "node")
+        labels = members.select("node", F.col("node").alias("label")).distinct()
+        found = minhash._dealt(minhash._labelled(members, labels)).persist()
+        pairs = found.groupBy("bucket", "x", "y").agg((F.sum(F.col("out").cast("int")) * F.sum((~F.col("out")).cast("int"))).alias("n")).agg(F.sum("n")).first()[0]
+        return found.count(), pairs
+
+    (few, few_pairs), (many, many_pairs) = dealt(100), dealt(800)
+    assert few > 50 and many < 12 * few and many_pairs < 12 * few_pairs
+
+
 def test_empty(spark):
     assert minhash.near_duplicates(empty(spark)).collect() == []
     assert minhash.deduplicated(empty(spark)).collect() == []
