@@ -1,40 +1,44 @@
 """Benchmark decontamination by suffix arrays of the training text.
 
-Each task turns its documents into shards of about SHARD_WORDS words and sorts all suffixes of a shard (as sequences of
-word hashes, by DEPTH words; documents end in a mark that no test has). Every suffix of every test item is then looked
-up by binary search: the range of suffixes that begin with its window of WINDOW words gives all occurrences and their
-locations, and each run of occurrences is followed to the end of its longest verbatim match. Words are compared as words
-where hashes agree. Documents with an occurrence of any window are affected, and `clean(df, items)` removes them.
+Each task turns its documents into shards of about SHARD_BYTES and sorts all suffixes of a shard (as sequences of word
+hashes, by DEPTH words; documents end in a mark that no test has). The suffixes of the test items are sorted too, and
+each distinct window among them is looked up in the shard by binary search: the range of suffixes that begin with it
+gives all its occurrences, however many items share it. Where an occurrence begins, the longest verbatim match of that
+document suffix stands beside it among the sorted test suffixes. Windows are compared as words where hashes agree.
+Documents with an occurrence of any window are affected, and `clean(df, items)` removes them.
 
 Words are runs of letters, digits and all that isn't ASCII, A-Z lowered. A window is WINDOW consecutive words of an item;
 an item of fewer words, but not none, is one window.
 
 `matches(df, items)` gives per document: n_words, hits (merged [start, end) word ranges inside occurrences), items (ids,
-ascending) and longest (words, place and item of the longest verbatim match, followed for LONGEST words at most; null
-without a hit).
+ascending) and longest (words, place and item of the longest verbatim match, the first of several; null without a hit).
 
 Defined results: a null text has no words; an item with a null text or without words has no window; a null item_id is no
-id (its windows still hit); items of equal text are all reported; repeated rows of documents stay; no items means no
-hits. Test windows go to the workers in blocks of BLOCK_BYTES of item text, however many items there are.
+id (its windows still hit); items of equal text are all reported, but are searched once; repeated rows of documents stay;
+no items means no hits; columns named as the outputs are replaced, but clean() returns all columns as they were. Test
+windows go to the workers in blocks of BLOCK_BYTES of item text, one block at a time, however many items there are;
+with several blocks df is written once and each block takes a pass over it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import byte_blocks, map_batches
+from .runtime import byte_blocks, map_batches, masked, schema_of, stored
 from .words import ALPHANUMERIC, Words, scan
 
-WINDOW, DEPTH, LONGEST = 10, 16, 1 << 16
-SHARD_BYTES, BLOCK_BYTES = 4 << 20, 16 << 20
+WINDOW, DEPTH = 10, 16
+SHARD_BYTES, BLOCK_BYTES = 2 << 20, 16 << 20
 _U = np.uint64
-_END = _U(0)
+_END, _BASE = _U(0), _U(0x9E3779B97F4A7C15)
 
 
 def suffix_array(h: np.ndarray, depth: int = DEPTH) -> np.ndarray:
@@ -73,29 +77,82 @@ def suffix_array(h: np.ndarray, depth: int = DEPTH) -> np.ndarray:
     return order
 
 
+def _prefix_sums(h: np.ndarray) -> np.ndarray:
+    """Sums of h[j] * _BASE ** j below each place, by which ranges of words are compared."""
+    with np.errstate(over="ignore"):
+        return np.concatenate([np.zeros(1, _U), np.cumsum(h * _powers(len(h)), dtype=_U)])
+
+
+@functools.lru_cache(maxsize=4)
+def _powers(n: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.cumprod(np.concatenate([np.ones(1, _U), np.full(max(n - 1, 0), _BASE, _U)]), dtype=_U)[:n]
+
+
 @dataclass
 class Tests:
-    """Suffixes of all items: words[w] and their hashes; suffix s starts at word s and its item's words end at stop[s]."""
+    """Suffixes of all items of distinct words, laid end to end, each with an end mark.
+
+    Place s has the word words[s] of hash h[s]; its item ends at stop[s] and is number item[s], and order sorts all
+    places by what follows. Window k, distinct from all others, is the size[k] words from which[k] on; the places that
+    begin with it are order[low[k]:high[k]], and the ids of all items that hold it are sets[ids[k]].
+    """
 
     words: list[bytes]
     h: np.ndarray
     stop: np.ndarray
     item: np.ndarray
-    ids: list[int | None]
-    window: np.ndarray  # words of the window that starts here, or 0
+    order: np.ndarray
+    named: list[int | None]
+    which: np.ndarray
+    size: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    ids: np.ndarray
+    sets: list[list[int]]
 
     @classmethod
     def of(cls, ids: list[int | None], texts: list[str | None], width: int = WINDOW) -> Tests:
         found = scan(pa.array([t or "" for t in texts], pa.string()), ALPHANUMERIC)
-        n = np.diff(found.first)
-        stop = np.repeat(found.first[1:], n)
-        left = stop - np.arange(len(stop))
-        size = np.repeat(n, n)
-        window = np.where(left >= width, width, np.where((size < width) & (left == size), size, 0))
-        words = [found.data[a:b].tobytes() for a, b in zip(found.start.tolist(), found.end.tolist(), strict=True)]
-        h = found.hashes()
-        h[h == _END] = _U(1)
-        return cls(words, h, stop, np.repeat(np.arange(len(n)), n), ids, window)
+        every = [found.data[a:b].tobytes() for a, b in zip(found.start.tolist(), found.end.tolist(), strict=True)]
+        hashed = found.hashes()
+        hashed[hashed == _END] = _U(1)
+        # Items of the same words are one, whatever their number.
+        same: dict[tuple[bytes, ...], list[int]] = {}
+        place: list[int] = []
+        for i, (a, b) in enumerate(zip(found.first[:-1].tolist(), found.first[1:].tolist(), strict=True)):
+            if a < b:
+                own = same.setdefault(tuple(every[a:b]), [])
+                if not own:
+                    place += [a, b]
+                own.append(i)
+        owners = [sorted({ids[i] for i in own} - {None}) for own in same.values()]
+        n = np.array([b - a for a, b in zip(place[0::2], place[1::2], strict=True)], np.int64)
+        words = [w for own in same for w in (*own, b"")]
+        h = np.concatenate([np.append(hashed[a:b], _END) for a, b in zip(place[0::2], place[1::2], strict=True)]) if place else np.zeros(0, _U)
+        item = np.repeat(np.arange(len(n)), n + 1)
+        stop = np.repeat(np.cumsum(n + 1) - 1, n + 1)
+        order = suffix_array(h, int(n.max(initial=0)) + 1) if len(h) else np.zeros(0, np.int64)
+        left = stop - np.arange(len(h))
+        whole = np.repeat(n, n + 1)
+        window = np.where(left >= width, width, np.where((whole < width) & (left == whole), whole, 0))
+        # Windows of full width are runs of the sorted places, an item that is shorter is one of its own.
+        at = np.flatnonzero(window[order] == width)
+        new = np.zeros(len(at), bool)
+        new[:1] = True
+        for d in range(width if len(at) else 0):
+            new[1:] |= h[order[at[1:]] + d] != h[order[at[:-1]] + d]
+        heads = np.append(np.flatnonzero(new), len(at))
+        low = [int(at[i]) for i in heads[:-1]]
+        high = [int(at[j - 1]) + 1 for j in heads[1:]]
+        short = np.flatnonzero((window[order] > 0) & (window[order] < width)).tolist()
+        low, high = np.array(low + short, np.int64), np.array(high + [k + 1 for k in short], np.int64)
+        sets: dict[tuple[int, ...], int] = {}
+        chosen = [sets.setdefault(tuple(np.unique(item[order[a:b]]).tolist()), len(sets)) for a, b in zip(low.tolist(), high.tolist(), strict=True)]
+        named = [own[0] if own else None for own in owners]
+        members = [sorted({i for k in own for i in owners[k]}) for own in sets]
+        which = order[low] if len(low) else low
+        return cls(words, h, stop, item, order, named, which, window[which] if len(which) else which, low, high, np.array(chosen, np.int64), members)
 
 
 def _bound(h: np.ndarray, order: np.ndarray, tests: Tests, which: np.ndarray, size: np.ndarray, upper: bool) -> np.ndarray:
@@ -121,18 +178,37 @@ def _bound(h: np.ndarray, order: np.ndarray, tests: Tests, which: np.ndarray, si
     return low
 
 
-def _same(h: np.ndarray, at: np.ndarray, tests: Tests, which: np.ndarray) -> np.ndarray:
-    """How many words agree from at in the shard and from which in the tests, within item and document."""
-    out = np.zeros(len(at), np.int64)
-    open_ = np.arange(len(at))
-    d = 0
-    while open_.size and d < LONGEST:
-        go = (at[open_] + d < len(h)) & (which[open_] + d < tests.stop[which[open_]])
-        open_ = open_[go]
-        open_ = open_[h[at[open_] + d] == tests.h[which[open_] + d]]
-        out[open_] += 1
-        d += 1
-    return out
+class Agreement:
+    """How many words of a shard's and of the tests' suffixes agree, by sums over ranges, whatever their length."""
+
+    def __init__(self, h: np.ndarray, stop: np.ndarray, tests: Tests):
+        self.h, self.stop, self.tests = h, stop, tests
+        self.own, self.theirs = _prefix_sums(h), _prefix_sums(tests.h)
+        self.powers = _powers(max(len(h), len(tests.h)))
+
+    def lengths(self, at: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """From at in the shard and from place in the tests, within document and item."""
+        low, high = np.zeros(len(at), np.int64), np.minimum(self.stop[at] - at, self.tests.stop[place] - place)
+        with np.errstate(over="ignore"):
+            while (low < high).any():
+                mid = (low + high + 1) >> 1
+                a = (self.own[at + mid] - self.own[at]) * self.powers[place]
+                b = (self.theirs[place + mid] - self.theirs[place]) * self.powers[at]
+                low, high = np.where(a == b, mid, low), np.where(a == b, high, mid - 1)
+        return low
+
+    def longest(self, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The longest agreement of each suffix at with those at tests.order[first:last], sorted, and whose it is: it is next to where at belongs."""
+        low, high = first.copy(), last.copy()
+        while (go := low < high).any():
+            mid = np.minimum((low + high) >> 1, last - 1)
+            place = self.tests.order[mid]
+            n = self.lengths(at, place)
+            below = self.tests.h[place + n] < self.h[at + n]
+            low, high = np.where(go & below, mid + 1, low), np.where(go & ~below, mid, high)
+        left, right = self.tests.order[np.maximum(low - 1, first)], self.tests.order[np.minimum(low, last - 1)]
+        one, two = self.lengths(at, left), self.lengths(at, right)
+        return np.maximum(one, two), np.where(one >= two, left, right)
 
 
 def search(found: Words, tests: Tests) -> list[dict]:
@@ -140,7 +216,7 @@ def search(found: Words, tests: Tests) -> list[dict]:
     docs = len(found.first) - 1
     n = np.diff(found.first)
     rows = [{"n_words": int(k), "hits": [], "items": [], "longest": None} for k in n.tolist()]
-    if not len(found.start) or not len(tests.h):
+    if not len(found.start) or not len(tests.which):
         return rows
     # Each document's words and one end mark; hashes are never the mark.
     own = found.hashes()
@@ -150,38 +226,43 @@ def search(found: Words, tests: Tests) -> list[dict]:
     h = np.full(len(own) + docs, _END, _U)
     h[np.arange(len(own)) + doc] = own
     order = suffix_array(h)
-    which = np.flatnonzero(tests.window > 0)
-    size = tests.window[which]
-    low, high = _bound(h, order, tests, which, size, False), _bound(h, order, tests, which, size, True)
-    # All occurrences as (test suffix, place in the shard), confirmed on the words themselves.
+    low, high = _bound(h, order, tests, tests.which, tests.size, False), _bound(h, order, tests, tests.which, tests.size, True)
+    # All occurrences as (distinct window, place in the shard): a place begins one window of each size at most.
     some = np.flatnonzero(high > low)
+    if not some.size:
+        return rows
     count = high[some] - low[some]
-    test = np.repeat(which[some], count)
-    width = np.repeat(size[some], count)
+    window = np.repeat(some, count)
     at = order[np.repeat(low[some] - np.cumsum(count) + count, count) + np.arange(count.sum())]
     row = np.searchsorted(base, at, "right") - 1
-    spans: dict[int, list[tuple[int, int]]] = {}
-    items: dict[int, set[int]] = {}
-    pairs = set()
-    for s, k, p, d in zip(test.tolist(), width.tolist(), at.tolist(), row.tolist(), strict=True):
-        w = p - d
-        if all(found.data[a:b].tobytes() == t for a, b, t in zip(found.start[w : w + k].tolist(), found.end[w : w + k].tolist(), tests.words[s : s + k], strict=True)):
-            begin = p - int(base[d])
-            spans.setdefault(d, []).append((begin, begin + k))
-            items.setdefault(d, set()).add(int(tests.item[s]))
-            pairs.add((s, p, d))
-    # A match is as long as the agreement from its first window on.
-    heads = [x for x in pairs if (x[0] - 1, x[1] - 1, x[2]) not in pairs]
-    if heads:
-        s, p, d = (np.array(x) for x in zip(*sorted(heads), strict=True))
-        best: dict[int, tuple[int, int, int]] = {}
-        for s1, p1, d1, k in zip(s.tolist(), p.tolist(), d.tolist(), _same(h, p, tests, s).tolist(), strict=True):
-            best[d1] = max(best.get(d1, (0, 0, 0)), (k, -(p1 - int(base[d1])), -s1))
-        for d1, (k, a, s1) in best.items():
-            rows[d1]["longest"] = {"words": k, "at": -a, "item_id": tests.ids[int(tests.item[-s1])]}
-    for d, found_spans in spans.items():
-        rows[d]["hits"] = [{"start": a, "end": b} for a, b in merged(found_spans)]
-        rows[d]["items"] = sorted({tests.ids[i] for i in items[d]} - {None})
+    size = tests.size[window]
+    # Confirmed on the words themselves.
+    start, end, data = found.start, found.end, found.data
+    same = np.ones(len(at), bool)
+    for i, (s, k, w) in enumerate(zip(tests.which[window].tolist(), size.tolist(), (at - row).tolist(), strict=True)):
+        same[i] = all(data[a:b].tobytes() == t for a, b, t in zip(start[w : w + k].tolist(), end[w : w + k].tolist(), tests.words[s : s + k], strict=True))
+    window, at, row, size = window[same], at[same], row[same], size[same]
+    if not len(at):
+        return rows
+    length, place = size.copy(), tests.which[window].copy()
+    full = np.flatnonzero(size == WINDOW)
+    if full.size:
+        agreement = Agreement(h, np.repeat(base + n, n + 1), tests)
+        length[full], place[full] = agreement.longest(at[full], tests.low[window[full]], tests.high[window[full]])
+    begin = at - base[row]
+    by = np.lexsort((place, begin, -length, row))
+    heads = by[np.flatnonzero(np.concatenate([[True], row[by][1:] != row[by][:-1]]))]
+    for i in heads.tolist():
+        item = tests.named[int(tests.item[place[i]])]
+        rows[int(row[i])]["longest"] = {"words": int(length[i]), "at": int(begin[i]), "item_id": item}
+    by = np.lexsort((begin, row))
+    cut = np.flatnonzero(np.concatenate([[True], row[by][1:] != row[by][:-1], [True]]))
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        mine = by[a:b]
+        result = rows[int(row[mine[0]])]
+        result["hits"] = [{"start": x, "end": y} for x, y in merged(list(zip(begin[mine].tolist(), (begin + size)[mine].tolist(), strict=True)))]
+        sets = [tests.sets[k] for k in np.unique(tests.ids[window[mine]]).tolist()]
+        result["items"] = sets[0] if len(sets) == 1 else sorted(set().union(*sets))
     return rows
 
 
@@ -197,28 +278,36 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 _LONGEST_TYPE = pa.struct([("words", pa.int64()), ("at", pa.int64()), ("item_id", pa.int64())])
 _HITS_TYPE = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_OUTPUT_NAMES = ("n_words", "hits", "items", "longest")
 OUTPUTS = "n_words long, hits array<struct<start:bigint,end:bigint>>, items array<bigint>, longest struct<words:bigint,at:bigint,item_id:bigint>"
 
 
-def _blocks(items: DataFrame) -> Iterator[Tests]:
-    """The items in blocks whose text is bounded, each from one pass over the (small) table of items."""
-    rows = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull())
+def _blocks(items: DataFrame) -> tuple[int, Callable[[int], Tests]]:
+    """How many blocks the items make, and one of them by its number: each is collected by itself, and its text is bounded."""
+    rows = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull()).distinct()
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
-    for b in range(blocks):
+
+    def block(b: int) -> Tests:
         part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         got = part.collect()
-        yield Tests.of([r["item_id"] for r in got], [r["text"] for r in got])
+        return Tests.of([r["item_id"] for r in got], [r["text"] for r in got])
+
+    return blocks, block
 
 
-def _searched(rows: DataFrame, tests: Tests, names: list[str]) -> DataFrame:
-    """The named columns of rows, which have a text, with the outputs."""
-    shared = rows.sparkSession.sparkContext.broadcast(tests)
+def _searched(rows: DataFrame, shared: Broadcast, names: list[str], hits_only: bool = False) -> DataFrame:
+    """The named columns of rows, which have a text, with the outputs; hits_only leaves out rows without a hit."""
 
     def step(batch: pa.RecordBatch) -> Iterator[dict]:
         filled = batch.set_column(batch.schema.get_field_index("text"), "text", batch.column("text").fill_null(""))
-        for block, own in zip(byte_blocks(filled, "text", SHARD_BYTES), _aligned(batch, filled), strict=True):
+        first = 0
+        for block in byte_blocks(filled, "text", SHARD_BYTES):
             found = search(scan(block.column("text"), ALPHANUMERIC), shared.value)
+            own, first = batch.slice(first, len(found)), first + len(found)
+            if hits_only:
+                kept = [i for i, r in enumerate(found) if r["hits"]]
+                found, own = [found[i] for i in kept], own.take(pa.array(kept, pa.int64()))
             yield {c: own.column(c) for c in names} | {
                 "n_words": pa.array([r["n_words"] for r in found], pa.int64()),
                 "hits": pa.array([r["hits"] for r in found], _HITS_TYPE),
@@ -226,37 +315,33 @@ def _searched(rows: DataFrame, tests: Tests, names: list[str]) -> DataFrame:
                 "longest": pa.array([r["longest"] for r in found], _LONGEST_TYPE),
             }
 
-    return map_batches(rows, step, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema), OUTPUTS]))
-
-
-def _aligned(batch: pa.RecordBatch, filled: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The rows of batch that belong to each block of filled."""
-    first = 0
-    for block in byte_blocks(filled, "text", SHARD_BYTES):
-        yield batch.slice(first, block.num_rows)
-        first += block.num_rows
+    return map_batches(rows, step, f"{schema_of(rows.select(*names))}, {OUTPUTS}")
 
 
 def matches(df: DataFrame, items: DataFrame, keep_text: bool = True) -> DataFrame:
     """df (without columns named as the outputs) with n_words, hits, items and longest."""
     kept = df.drop("n_words", "hits", "items", "longest")
-    names = [c for c in kept.columns if keep_text or c != "text"]
-    blocks = list(_blocks(items))
-    if len(blocks) == 1:
-        return _searched(kept, blocks[0], names)
-    # Several blocks of tests: each document's results are brought together by its place in the table.
-    numbered = kept.withColumn("_row", F.monotonically_increasing_id())
-    each = [_searched(numbered.select("_row", "text"), tests, ["_row"]) for tests in blocks]
-    union = each[0]
-    for more in each[1:]:
-        union = union.unionByName(more)
-    found = union.groupBy("_row").agg(
+    plain = masked(kept, "text")
+    names = [c for c in plain.columns if keep_text or c != "text"]
+    back = [c for c in kept.columns if keep_text or c != "text"]
+    context = df.sparkSession.sparkContext
+    blocks, block = _blocks(items)
+    if blocks == 1:
+        return _searched(plain, context.broadcast(block(0)), names).toDF(*back, *_OUTPUT_NAMES)
+    # Several blocks of tests: one action and one broadcast at a time; rows are known by their place in a written table.
+    numbered = stored(plain.withColumn("row", F.monotonically_increasing_id()), "decontaminated")
+    each = []
+    for b in range(blocks):
+        shared = context.broadcast(block(b))
+        each.append(stored(_searched(numbered.select("row", "text"), shared, ["row"], hits_only=b > 0), "block-matches"))
+        shared.destroy()
+    found = functools.reduce(DataFrame.unionByName, each).groupBy("row").agg(
         F.max("n_words").alias("n_words"),
         merged_column(F.flatten(F.collect_list("hits"))).alias("hits"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.max_by("longest", F.col("longest.words")).alias("longest"),
+        F.max_by("longest", F.struct(F.col("longest.words"), -F.col("longest.at"))).alias("longest"),
     )
-    return numbered.select("_row", *names).join(found, "_row").drop("_row")
+    return numbered.select("row", *names).join(found, "row").drop("row").toDF(*back, *_OUTPUT_NAMES)
 
 
 def merged_column(hits):
@@ -272,8 +357,9 @@ def merged_column(hits):
 
 
 def clean(df: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of df without any occurrence of a window of the items."""
-    return matches(df, items).where(F.size("hits") == 0).select(*df.columns)
+    """The rows of df without any occurrence of a window of the items; all columns as they are."""
+    plain = masked(df, "text")
+    return matches(plain, items).where(F.size("hits") == 0).select(*plain.columns).toDF(*df.columns)
 
 
 def digest(df: DataFrame, items: DataFrame) -> DataFrame:
@@ -288,3 +374,18 @@ def digest(df: DataFrame, items: DataFrame) -> DataFrame:
         (n_hit > 0).alias("contaminated"),
         F.coalesce(F.col("longest.words"), F.lit(0)).alias("longest_match"),
     )
+
+
+#: The same rows by DuckDB: all windows of all documents, joined with those of the items; runs of pairs are matches.
+ORACLE_SQL = r"""
+WITH i AS (SELECT item_id, row_number() OVER () AS t, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+iw AS (SELECT item_id, t, least(len(w), 10) AS z, k, array_to_string(w[k : k + least(len(w), 10) - 1], ' ') AS x FROM (SELECT *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k FROM i WHERE len(w) > 0)),
+d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+dw AS (SELECT r, z, k, array_to_string(w[k : k + z - 1], ' ') AS x FROM (SELECT r, w, z, unnest(range(1, len(w) - z + 2)) AS k FROM d, (SELECT DISTINCT z FROM iw) WHERE len(w) >= z)),
+h AS (SELECT dw.r, dw.k, dw.z, iw.item_id, iw.t, iw.k AS j FROM dw JOIN iw ON dw.z = iw.z AND dw.x = iw.x),
+c AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(k, k + z)) AS p FROM (SELECT DISTINCT r, k, z FROM h)) GROUP BY 1),
+g AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM h GROUP BY 1),
+m AS (SELECT r, max(n + z - 1) AS longest FROM (SELECT r, t, z, count(*) AS n FROM (SELECT *, k - j AS diagonal, k - row_number() OVER (PARTITION BY r, t, k - j ORDER BY k) AS run FROM h) GROUP BY r, t, z, diagonal, run) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(longest, 0) AS longest_match
+FROM d LEFT JOIN c USING (r) LEFT JOIN g USING (r) LEFT JOIN m USING (r)
+"""

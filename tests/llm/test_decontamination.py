@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,6 +80,55 @@ def test_empty_tables_and_clashing_columns(spark):
     assert clean.count() == sum(not r[5] for r in brute([(r.doc_id, r.text) for r in df.collect()], items))
 
 
+def found_in(text, items):
+    tests = suffix_array.Tests.of([i for i, _ in items], [t for _, t in items])
+    return tests, suffix_array.search(suffix_array.scan(pa.array([text]), suffix_array.ALPHANUMERIC), tests)[0]
+
+
+def test_equal_windows_are_searched_once():
+    line = " ".join(f"w{i}" for i in range(30))
+    # 10,000 equal items, and as many that share all but the last word; the passage comes back 1,000 times.
+    items = [(i, line) for i in range(10_000)] + [(10_000 + i, f"{line} t{i}") for i in range(10_000)]
+    tests, row = found_in(f"{line} and on. " * 1000 + f"{line} t77", items)
+    assert len(tests.which) == 21 + 10_000 and len(tests.sets) < 10_005
+    assert len(row["items"]) == 20_000 and len(row["hits"]) == 1001
+    assert row["longest"] == {"words": 31, "at": 32_000, "item_id": 10_077}
+
+
+def test_longest_matches_are_followed_to_their_end():
+    words = [f"w{i % 977}x{i}" for i in range(100_000)]
+    other = " ".join([*words[40:60], "turn", *words[70:90]])
+    _, row = found_in("begin " + " ".join(words) + " end", [(1, " ".join(words)), (2, other), (3, " ".join(words[5:90_000]))])
+    assert row["longest"] == {"words": 100_000, "at": 1, "item_id": 1} and row["items"] == [1, 2, 3] and row["hits"] == [{"start": 1, "end": 100_001}]
+    r = random.Random(8)
+    for _ in range(60):
+        items = [(i, " ".join(r.choice("ab") for _ in range(r.randrange(1, 40)))) for i in range(6)]
+        text = " ".join(r.choice("ab") for _ in range(60))
+        (want,) = brute([(0, text)], items)
+        _, row = found_in(text, items)
+        assert (row["longest"] or {"words": 0})["words"] == want[6] and len(row["items"]) == want[3] and sum(h["end"] - h["start"] for h in row["hits"]) == want[2]
+
+
+def test_one_block_of_items_is_alive_at_a_time(spark, monkeypatch):
+    docs, items = data()
+    context, alive, most = type(spark.sparkContext), set(), []
+    put = context.broadcast
+
+    def broadcast(self, value):
+        out = put(self, value)
+        if isinstance(value, suffix_array.Tests):
+            alive.add(id(out))
+            most.append(len(alive))
+            end = out.destroy
+            out.destroy = lambda: (alive.discard(id(out)), end())
+        return out
+
+    monkeypatch.setattr(context, "broadcast", broadcast)
+    monkeypatch.setattr(suffix_array, "BLOCK_BYTES", 100)
+    got = suffix_array.digest(documents(spark, docs), spark.createDataFrame(items, ITEMS))
+    assert got.count() == len(docs) + 2 and len(most) > 3 and set(most) == {1}
+
+
 @pytest.mark.parametrize("depth", [1, 4, 16])
 def test_suffixes_are_sorted(depth):
     h = np.random.default_rng(0).integers(0, 3, 400).astype(np.uint64)
