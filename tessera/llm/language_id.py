@@ -10,30 +10,33 @@ Code lengths are integers of 1/4096 bit, so sums do not depend on batches or par
 
 Defined results: `und` with score 0 where the text is null, has no letter, or nothing could be learned; texts of any
 length are scored whole; repeated rows get equal results; other columns pass through, but columns named as the outputs
-are replaced; an empty table gives an empty one. of each language texts are learned in order of
-a hash of doc_id and text until they have SAMPLE_BYTES (one at least, and SAMPLE_BYTES letters of one text at most); MOST_LANGUAGES bounds the languages (more are an error).
+are replaced (accepted() returns all columns as they were); an empty table gives an empty one. A letter is a character of
+Unicode's category L. Of each language texts are learned in order of a hash of doc_id and text until they have
+SAMPLE_BYTES (one at least, and SAMPLE_BYTES letters of one text at most); MOST_LANGUAGES bounds the languages (more are
+an error).
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .probe_table import ProbeTable
-from .runtime import id_remainder, map_batches
+from .runtime import id_remainder, map_batches, masked, schema_of
 
 ORDER, SAMPLE_BYTES, MOST_LANGUAGES = 3, 1 << 19, 200
 #: Bits of the hash by which sizes are first summed.
 PREFIX_BITS = 12
 BIT = 4096
 _U = np.uint64
-_LETTER = re.compile(r"[^\W\d_]")
+#: The same class of letters as in _sample(): Unicode's category L.
+_LETTER = regex.compile(r"\p{L}")
 _SEPARATOR = b"\n"
 #: Positions that are scored at a time.
 _SPAN = 1 << 18
@@ -180,8 +183,7 @@ def identify(df: DataFrame, trees: ContextTrees | None, keep_text: bool = True)
             block = batch.slice(first, n)
             yield {c: block.column(c) for c in names} | {"lang_pred": pa.array(langs), "score": pa.array(scores), "bits_per_byte": pa.array(bits, pa.float64())}
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.select(*names).schema), "lang_pred string, score double, bits_per_byte double"])
-    return map_batches(kept, step, schema)
+    return map_batches(kept, step, f"{schema_of(kept if keep_text else kept.drop('text'))}, lang_pred string, score double, bits_per_byte double")
 
 
 def _lowered(values: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
@@ -199,7 +201,8 @@ def _lowered(values: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, list
 
 def accepted(df: DataFrame, trees: ContextTrees | None) -> DataFrame:
     """The rows of df whose text is in some learned language: not `und`, and coded in fewer than the 8 bits a byte of no language."""
-    return identify(df, trees).where((F.col("lang_pred") != "und") & (F.col("bits_per_byte") < 8)).select(*df.columns)
+    plain = masked(df, "text")
+    return identify(plain, trees).where((F.col("lang_pred") != "und") & (F.col("bits_per_byte") < 8)).select(*plain.columns).toDF(*df.columns)
 
 
 def learned_rows() -> Column:

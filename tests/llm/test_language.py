@@ -1,4 +1,7 @@
+import collections
 import math
+import random
+import unicodedata
 import zlib
 
 import duckdb
@@ -43,6 +46,54 @@ def test_code_lengths_are_those_of_method_c():
         assert row == [cost(t, samples["x"][0]), cost(t, samples["y"][0])]
 
 
+def test_query_against_brute_force(spark):
+    r = random.Random(11)
+    say = lambda letters, n: "".join(r.choice(letters) for _ in range(n)).strip() or "x"
+    kinds = {"en": "the andof  ", "de": "deruüß nd  ", "xx": "中文の一 ", "aa": "TtHhEe  "}
+    rows = [(i, say(kinds[lang], r.randrange(5, 60)), lang) for i, lang in enumerate(r.choice(sorted(kinds)) for _ in range(120))]
+    rows += [(200, "²½ Ⅷ", "en"), (201, "ª", "en"), (202, "ⅷ 12", None), (203, "", "de"), (204, None, "de"), (205, "the and", "en"), (205, "the and", "en"), (None, "der und", None), (206, "\u0301 \u20dd", "de"), (207, "ǅ", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 4 == 2
+    samples = language_id._sample(df, language_id.learned_rows())
+    lettered = lambda t: any(unicodedata.category(c)[0] == "L" for c in t or "")
+    want = collections.Counter((lang, t.lower().encode()) for i, t, lang in rows if lang and not held(i) and lettered(t))
+    assert collections.Counter((lang, t) for lang, texts in samples.items() for t in texts) == want
+    after = {}
+    for lang, texts in samples.items():
+        stream = b"\n\n\n" + b"\n\n\n".join(texts)
+        seen = after[lang] = collections.defaultdict(collections.Counter)
+        for k in range(4):
+            for j in range(k, len(stream)):
+                seen[stream[j - k : j]][stream[j]] += 1
+
+    def cost(text, seen):
+        stream, total = b"\n\n\n" + text, 0
+        for j in range(3, len(stream)):
+            for k in (3, 2, 1, 0):
+                found = seen.get(stream[j - k : j])
+                if not found:
+                    continue
+                n, kinds_ = sum(found.values()), len(found)
+                if stream[j] in found:
+                    total += round(math.log2((n + kinds_) / found[stream[j]]) * 4096)
+                    break
+                total += round(math.log2((n + kinds_) / kinds_) * 4096)
+            else:
+                total += 8 * 4096
+        return total
+
+    got = collections.Counter((x.doc_id, x.held_out, x.lang_pred, round(x.score, 9)) for x in language_id.digest(df).collect())
+    brute = collections.Counter()
+    for i, t, _ in rows:
+        if not lettered(t):
+            brute[(i, held(i), "und", 0.0)] += 1
+            continue
+        costs = {lang: cost(t.lower().encode(), seen) for lang, seen in after.items()}
+        best = min(costs, key=lambda k: (costs[k], k))
+        brute[(i, held(i), best, round(1 / sum(2 ** (-(c - costs[best]) / 4096) for c in costs.values()), 9))] += 1
+    assert got == brute
+
+
 def test_long_texts_do_not_depend_on_spans(monkeypatch):
     trees = language_id.ContextTrees.learn({"x": [b"some text to learn from"], "y": [b"ein anderer text"]})
     texts = [b"text " * 500, b"", b"einer", b"some " * 37]
