@@ -13,8 +13,9 @@ probability, p = LAMBDA * min(1, C2 / C1) + (1 - LAMBDA) * p1; a text's score is
 Sizes. Exact counts of the most frequent tokens (at most FREQUENT, all with a count of at least some power of two) are
 broadcast; occurrences of other tokens, and of tokens after them, meet the exact counts by shuffled joins. So base_score is
 exact, and p1 and C1 are at every size: FREQUENT changes no result. The filter is broadcast FILTER_BYTES at a time:
-each group of segments takes one pass over the documents, and a text's parts are summed. So nothing that is broadcast
-grows with the corpus; on larger executors FILTER_BYTES may be raised to save passes.
+each group of segments takes one pass over the documents and is destroyed before the next is read, and a text's parts
+are summed. So what is broadcast, and what the driver holds, doesn't grow with the corpus, but the passes do; on larger
+executors raise FILTER_BYTES to save passes.
 
 Tokens are runs without blanks, A-Z lowered, by their 64-bit hashes, then one end. Defined results: a null text counts as
 empty (one end); texts of any length are scored whole; repeated rows stay; without training documents N = V = 0, c = 0
@@ -24,11 +25,13 @@ segments, and have to be a table whose files do not change meanwhile.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -280,12 +283,11 @@ _OPEN = [("key", pa.int64()), ("other", pa.int64()), ("count", pa.int64()), ("be
 _PART = "row long, doc_id {}, held_out boolean, n_tokens long, known long, base double, part double, open array<struct<key:bigint,other:bigint,count:bigint,before:bigint,level:int,times:bigint>>"
 
 
-def _part(rows: DataFrame, model: Model, filters: Filters, first: bool) -> DataFrame:
-    """What one group of filters adds to each row; the first pass also has the counts."""
-    shared = rows.sparkSession.sparkContext.broadcast((model.frequent, filters))
+def _part(rows: DataFrame, counted: Broadcast, group: Broadcast, first: bool) -> DataFrame:
+    """What one group of filters adds to each row; the first pass also has the tokens' counts."""
 
     def step(batch: pa.RecordBatch) -> Iterator[dict]:
-        frequent, filters = shared.value
+        frequent, filters = counted.value, group.value
         for block in byte_blocks(batch, "text"):
             h, at = tokens(block.column("text"))
             c, n = frequent.of(h), len(at) - 1
@@ -327,11 +329,16 @@ def score(df: DataFrame, model: Model, held_out: Column) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of df."""
     frequent = model.frequent
     rows = df.select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out.alias("held_out"), text_or_empty().alias("text"))
-    parts = None
+    context = df.sparkSession.sparkContext
+    known, each = context.broadcast(frequent), []
     for filters in model.groups():
-        part = _part(rows, model, filters, parts is None)
-        parts = part if parts is None else parts.unionByName(part)
-    parts = stored(parts, "lm-parts")
+        # One group at a time, on the driver as on the executors: it is gone before the next is read.
+        group = context.broadcast(filters)
+        del filters
+        each.append(stored(_part(rows, known, group, not each), "lm-part"))
+        group.destroy()
+    known.destroy()
+    parts = functools.reduce(DataFrame.unionByName, each)
     counts = _listed(model.counts, 1, model.least).withColumnRenamed("count", "c")
     places = parts.select("row", F.explode("open").alias("o")).select("row", "o.*")
     both = (F.col("count") < 0) & (F.col("before") < 0)

@@ -56,6 +56,26 @@ def test_score_does_not_depend_on_what_is_broadcast(spark, small, monkeypatch):
         assert all(abs(g[k] - w[k]) <= 1e-9 * max(1, abs(w[k])) for g, w in zip(got, whole, strict=True) for k in (5, 6))
 
 
+def test_one_group_of_filters_is_alive_at_a_time(spark, small, monkeypatch):
+    monkeypatch.setattr(ngram_bloom, "FILTER_BYTES", 400)
+    df = spark.read.parquet(f"{small}/documents.parquet").limit(40)
+    context, alive, most = type(spark.sparkContext), set(), []
+    put = context.broadcast
+
+    def broadcast(self, value):
+        out = put(self, value)
+        if isinstance(value, ngram_bloom.Filters):
+            alive.add(id(out))
+            most.append(len(alive))
+            end = out.destroy
+            out.destroy = lambda: (alive.discard(id(out)), end())
+        return out
+
+    monkeypatch.setattr(context, "broadcast", broadcast)
+    assert ngram_bloom.digest(df).count() == 40
+    assert len(most) > 1 and set(most) == {1} and not alive
+
+
 def test_empty_and_untrained(spark):
     assert ngram_bloom.digest(empty(spark)).collect() == []
     held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 10 == 0)
