@@ -30,9 +30,11 @@ from .runtime import byte_blocks, map_batches, raw_bytes, schema_of, text_or_emp
 from .word_bpe import WordEncoder, encoder
 
 #: One cut in so many bytes; the longest chunk; what a worker's chunk store may hold.
-MEAN_BYTES, MOST_BYTES, STORE_BYTES = 1024, 1 << 16, 32 << 20
+MEAN_BYTES, MOST_BYTES, STORE_BYTES = 1024, 1 << 16, 24 << 20
 #: Pieces that a worker remembers beside its chunks; ids that are rendered at a time.
-PIECES, RENDERED = 750_000, 1 << 20
+PIECES, RENDERED = 600_000, 1 << 18
+#: Bytes of texts that are worked on at a time: workers live on beside each other, so each holds little.
+WORKED_BYTES = 1 << 19
 _GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -247,8 +249,7 @@ def encode(df: DataFrame, path: str) -> DataFrame:
     names = kept.columns
 
     def step(batch: pa.RecordBatch) -> Iterator[dict]:
-        batch = batch.rename_columns(names)
-        for block in byte_blocks(batch, "text"):
+        for block in byte_blocks(batch, "text", WORKED_BYTES):
             yield dict(zip(names, block.columns, strict=True)) | {"ids": _listed(*_ids(block.column("text"), path))}
 
     return map_batches(kept, step, f"{schema_of(kept)}, ids array<int>")
@@ -261,7 +262,6 @@ def decode(df: DataFrame, path: str) -> DataFrame:
 
     def step(batch: pa.RecordBatch) -> Iterator[dict]:
         library = encoder(path, PIECES).tokenizer
-        batch = batch.rename_columns(names)
         texts = [None if x is None else library.decode(x, skip_special_tokens=False) for x in batch.column("ids").to_pylist()]
         yield dict(zip(names, batch.columns, strict=True)) | {"decoded": pa.array(texts, pa.string())}
 
@@ -274,8 +274,7 @@ def tokenized(df: DataFrame, path: str) -> DataFrame:
     names = kept.columns
 
     def step(batch: pa.RecordBatch) -> Iterator[dict]:
-        batch = batch.rename_columns(names)
-        for block in byte_blocks(batch, "text"):
+        for block in byte_blocks(batch, "text", WORKED_BYTES):
             ids, at = _ids(block.column("text"), path)
             yield {c: block.column(c) for c in names if c != "text"} | {
                 "n_tokens": pa.array(np.diff(at)),
@@ -291,7 +290,7 @@ def digest(df: DataFrame, path: str) -> DataFrame:
     kept = df.select("doc_id", text_or_empty().alias("text"))
 
     def step(batch: pa.RecordBatch) -> Iterator[dict]:
-        for block in byte_blocks(batch, "text"):
+        for block in byte_blocks(batch, "text", WORKED_BYTES):
             ids, at = _ids(block.column("text"), path)
             yield {
                 "doc_id": block.column("doc_id"),

@@ -34,6 +34,8 @@ from .word_bpe import encoder
 
 END_ID = 2
 FRAME_BYTES, LEVEL = 1 << 18, 3
+#: Bytes of texts that are encoded at a time.
+WORKED_BYTES = 1 << 20
 # Fixed values of the public seekable format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 _HEAD = struct.Struct("<4sII")
@@ -131,7 +133,7 @@ def encoded(df: DataFrame, tokenizer: str, bounds: list[int]) -> DataFrame:
         words = encoder(tokenizer)
         end = np.array([END_ID], words.width).tobytes()
         edges = np.array(bounds, np.int64)
-        for block in byte_blocks(batch, "text"):
+        for block in byte_blocks(batch, "text", WORKED_BYTES):
             doc_id = block.column("doc_id")
             shard = np.searchsorted(edges, doc_id.fill_null(-(2**63)).to_numpy(zero_copy_only=False), "right")
             e = words.encode(*raw_bytes(block.column("text")))
