@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import give_back, text_or_empty
+from .runtime import give_back, map_batches, masked, schema_of, text_or_empty
 from .spans import SPAN, count, joined, of_kinds
 
 BASE_KINDS = ("assign", "access", "hex")
@@ -92,13 +92,11 @@ def find_secrets(df: DataFrame, keep_text: bool = True) -> DataFrame:
     names = [c for c in kept.columns if keep_text or c != "text"]
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in spans_of(t.as_py())] for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(rows, kind)], names=[*names, "secrets"])
-        give_back()
+    def step(batch: pa.RecordBatch) -> Iterator[dict]:
+        rows = [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in spans_of(t.as_py())] for t in batch.column("text")]
+        yield {c: batch.column(c) for c in names} | {"secrets": pa.array(rows, kind)}
 
-    return kept.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.select(*names).schema), f"secrets {SPAN}"]))
+    return map_batches(kept, step, ", ".join(x for x in (schema_of(kept if keep_text else kept.drop("text")), f"secrets {SPAN}") if x))
 
 
 def redact(text: str, spans: list[tuple[int, int]]) -> str:
@@ -112,27 +110,27 @@ def redact(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def redacted(df: DataFrame) -> DataFrame:
-    """df with every span of a secret replaced by MARK and, if there, n_chars counted anew; a null text stays null.
+    """df with every span of a secret replaced by MARK and, if there and whole numbers, n_chars counted anew; a null text stays null.
 
-    Texts without secrets are left as they are. Columns keep their names, order and types.
+    Texts without secrets are left as they are. All other columns keep their values, names, order and types.
     """
-    kept = df.withColumn("_null", F.col("text").isNull()).withColumn("text", text_or_empty())
-    names = kept.columns
+    plain = masked(df, "text", "n_chars")
+    names = plain.columns
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [redact(t, [s[1:] for s in found]) if (found := spans_of(t := x.as_py())) else t for x in batch.column(at)]
+            before = batch.column(at).to_pylist()
+            after = [redact(t, [s[1:] for s in found]) if t and (found := spans_of(t)) else t for t in before]
             columns = list(batch.columns)
-            columns[at] = pa.array(texts, pa.string())
+            columns[at] = pa.array(after, pa.string())
+            if "n_chars" in names and pa.types.is_integer((size := columns[names.index("n_chars")]).type):
+                sizes = [n if a is b else len(a) for n, a, b in zip(size.to_pylist(), after, before, strict=True)]
+                columns[names.index("n_chars")] = pa.array(sizes, size.type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
         give_back()
 
-    out = kept.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema))
-    out = out.withColumn("text", F.when(~F.col("_null"), F.col("text")))
-    if "n_chars" in df.columns:
-        out = out.withColumn("n_chars", F.when(F.col("text").contains(MARK), F.length("text").cast(df.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*df.columns)
+    return plain.mapInArrow(run, schema_of(plain)).toDF(*df.columns)
 
 
 def digest(df: DataFrame) -> DataFrame:

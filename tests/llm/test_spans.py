@@ -34,7 +34,7 @@ def personal(x):
     digits = lambda m: re.sub("[^0-9]", "", m[0])
     kinds = (
         ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
-        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m[0].split("."))),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p.lstrip("0")[:4] or 0) <= 255 for p in m[0].split("."))),
         ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 13 <= len(digits(m)) <= 19 and luhn(digits(m))),
         ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(digits(m)) <= 15),
     )
@@ -47,6 +47,21 @@ def test_base_spans_are_those_of_the_patterns(module, brute):
         assert [s for s in module.spans_of(x) if s[0] in module.BASE_KINDS] == brute(x)
 
 
+def test_long_runs_of_digits():
+    for x in ("1.2.3." + "0" * 5000, "0" * 5000 + ".1.2.3", "1.2.3." + "9" * 5000, "1.2.3.0255 1.2.3.0256", "+" + "1" * 6000, "7" * 6000, "DE" + "8" * 6000):
+        assert [s for s in pii_scan.spans_of(x) if s[0] in pii_scan.BASE_KINDS] == personal(x)
+
+
+def test_added_kinds_stand_beside_longer_runs():
+    ssn = lambda x: [s[1:] for s in pii_scan.spans_of(x) if s[0] == "ssn"]
+    assert ssn("123-45-6789 10 Main St") == [(0, 11)] and ssn("123-45-6789 1980-01-02") == [(0, 11)] and ssn("no 7 123-45-6789") == [(5, 16)]
+    assert not any(map(ssn, ("1123-45-6789", "1-123-45-6789", "123-45-67890", "123-45-6789-1", "666-45-6789", "123-00-6789", "-45-6789", "12-45-6789")))
+    assert ssn("123-45-6789 234-56-7891") == [(0, 11), (12, 23)]
+    for account in ("GR1601101250000000012300695", "CZ6508000000192000145399", "TR330006100519786457841326", "RO49AAAA1B31007593840000", "HU42117730161111101800000000"):
+        assert ("iban", 0, len(account)) in pii_scan.spans_of(account)
+        assert not [s for s in pii_scan.spans_of(account[:-1] + ("1" if account[-1] != "1" else "2")) if s[0] == "iban"]
+
+
 def test_checksums_decide_on_added_spans():
     body = "abcdefghijklmnopqrstuvwxyz0123"
     good = "ghp_" + body + secret_scan.base62(zlib.crc32(body.encode()), 6)
@@ -82,3 +97,9 @@ def test_redaction_keeps_clean_rows(spark):
     assert secret_scan.redacted(df).columns == df.columns
     assert (1, "clean text") in got and (2, None) in got
     assert got[(0, "my [SECRET] ok")].n_chars == len("my [SECRET] ok")
+    odd = df.selectExpr("*", "7.5D AS `_null`", "'x' AS secrets", "array(1) AS `a.b``c`", "named_struct('text', 1) AS c1")
+    out = secret_scan.redacted(odd)
+    assert out.columns == odd.columns
+    assert all((r["_null"], r["secrets"], r["a.b`c"], r["c1"][0]) == (7.5, "x", [1], 1) for r in out.collect())
+    text = secret_scan.redacted(df.selectExpr("doc_id", "text", "'n' AS n_chars")).collect()
+    assert {r.n_chars for r in text} == {"n"}
