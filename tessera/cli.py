@@ -13,8 +13,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import structures
-from .operators import chemistry, evidence, models, prepare
+from .functions import blocks, structures
+from .operators import chemistry, cohesion, evidence, models, prepare
 from .sources import contracts, gate
 
 
@@ -135,6 +135,87 @@ def cohesion_prepare(a: argparse.Namespace) -> None:
     gate.write_rows(flagged.where("reason IS NULL").drop("reason", "source_row"), a.out, {"counts": counts, "contexts": contexts, "material_identity_qualified": False})
 
 
+def evaluate(a: argparse.Namespace) -> None:
+    """A model on an independent table; its label kind decides what may be said."""
+    gate.fresh(a.report)
+    manifest = Path(a.manifest).read_bytes()
+    df, _ = _featured(gate.labelled_table(session(), a.data, manifest, "evaluate"))
+    df = df.withColumns({f"b{i}": F.array_contains("bits", F.lit(i)).cast("double") for i in range(256)})
+    model = models.Model.restore(json.loads(Path(a.model).read_text())[a.mode])
+    gate.write_json(a.report, models.evaluate(model, df, "family", contracts.DATASET.parse(manifest)["label_kind"]))
+
+
+def _reserved(spark: SparkSession, path: str) -> DataFrame:
+    """The aliases of all structures of a JSON object with `smiles` and, if need be, `series` beside them."""
+    record = contracts.strict_json(Path(path).read_bytes())
+    texts = record["smiles"]
+    df = spark.createDataFrame([(t,) for t in texts], "smiles string") if texts else spark.createDataFrame([], "smiles string")
+    made = chemistry.with_aliases(df)
+    if made.where("structure_fault IS NOT NULL").limit(1).count():
+        raise contracts.Refused("a reserved structure cannot be read")
+    return made.select(F.explode("aliases").alias("alias")).distinct()
+
+
+def auxiliary_fit(a: argparse.Namespace) -> None:
+    """Auxiliary targets of structures that share no alias with reserved ones; a fifth of the families is held out."""
+    gate.fresh(a.model)
+    gate.fresh(a.report)
+    spark = session()
+    manifest = contracts.AUXILIARY.parse(Path(a.manifest).read_bytes())
+    names = list(manifest["target_names"])
+    rows = gate.auxiliary_table(spark, a.data, Path(a.manifest).read_bytes()).withColumn("sample_id", F.xxhash64("smiles").cast("string"))
+    df, features = _featured(rows)
+    df = chemistry.with_aliases(df.drop("structure_fault")).withColumns({f"y_{t}": F.col("targets")[i] for i, t in enumerate(names)})
+    most = df.agg(F.max(F.size("aliases"))).first()[0]
+    taken = _reserved(spark, a.reserved)
+    out = models.auxiliary_fit(df, "sample_id", features, [f"y_{t}" for t in names], [F.get("aliases", F.lit(i)) for i in range(most)], [taken] * most, "family", a.seed)
+    gate.write_json(a.model, out.pop("head"))
+    gate.write_json(a.report, out | {"units": dict(zip(names, manifest["target_units"], strict=True)), "source": manifest["source"]})
+
+
+def solquest_prepare(a: argparse.Namespace) -> None:
+    """Solvation targets of a column-oriented source: rows are prepared or skipped with one reason each."""
+    spark = session()
+    review = gate.gated(a.source, Path(a.review).read_bytes(), contracts.AUXILIARY, "train")
+    names = list(review["target_names"])
+    rows = gate.column_json(spark, a.source, "SMILES", "SOLVATION").withColumnRenamed("key", "smiles")
+    rows = rows.withColumns({f"y{i}": F.col("value")[t] for i, t in enumerate(names)}).drop("value")
+    made = chemistry.with_scope(chemistry.with_aliases(chemistry.with_canonical(rows).drop("structure_fault")).drop("structure_fault"))
+    scope = lambda word: F.exists("scope", lambda r: r.contains(word))
+    taken = _reserved(spark, a.reserved).withColumn("_taken", F.lit(True))
+    held = made.select("position", F.explode("aliases").alias("alias")).join(taken, "alias").select("position").distinct().withColumn("reserved", F.lit(True))
+    checks = [("invalid_or_unstable_structure", F.col("canonical").isNull()), ("charged_or_disconnected", scope("ionic") | scope("mixture")), ("radical_or_port", scope("radical") | scope("dummy")), ("outside_scope", ~F.col("supported")), ("reserved_identity", F.col("reserved").isNotNull())]
+    found = prepare.solvation_rows(made.join(held, "position", "left"), "position", "canonical", [f"y{i}" for i in range(len(names))], checks)
+    counts = {r["reason"]: r["n"] for r in prepare.accounting(found).collect()}
+    out = found.where("reason IS NULL").select(F.col("canonical").alias("smiles"), F.array(*[F.col(f"y{i}") for i in range(len(names))]).alias("targets"))
+    gate.write_bundle(out, a.out, review, {"counts": counts, "target_names": names, "independent_accuracy_validated": False})
+
+
+def cohesion_predict(a: argparse.Namespace) -> None:
+    """Computed references of registered materials; anything that isn't exactly registered is refused by name."""
+    gate.fresh(a.out)
+    spark = session()
+    review = contracts.SOURCE_REVIEW.authorize(contracts.SOURCE_REVIEW.parse(Path(a.review).read_bytes()), "prepare")
+    if gate.file_digest(a.support) != review["sha256"]:
+        raise contracts.Refused("the registry does not match its checksum")
+    model = contracts.strict_json(Path(a.model).read_bytes())
+    support = cohesion.registry(spark, a.support, {"source": review["source"]})
+    rows = cohesion.predicted(cohesion.requests_of(spark, Path(a.input).read_bytes()), support, model, a.mode)
+    gate.write_json(a.out, [json.loads(r["row"]) for r in rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("row")).collect()])
+
+
+def checkpoint_fetch(a: argparse.Namespace) -> None:
+    _emit({"files": gate.fetched(Path(a.review).read_bytes(), a.out)}, None)
+
+
+def licence_inventory(a: argparse.Namespace) -> None:
+    gate.write_json(a.out, gate.licence_inventory())
+
+
+def surfactant_features(a: argparse.Namespace) -> None:
+    _emit(blocks.surfactant(contracts.strict_json(Path(a.input).read_bytes())), a.out)
+
+
 def lookup(a: argparse.Namespace) -> None:
     """Exact filter over a reviewed ledger of JSON lines; the query is one JSON object."""
     spark = session()
@@ -159,6 +240,13 @@ VERBS: dict[str, tuple[Callable[[argparse.Namespace], None], tuple[str, ...]]] =
     "train": (train, ("--data", "--manifest", "--model", "--report", "--modes=A", "--seed=42")),
     "compare": (train, ("--data", "--manifest", "--model", "--report", "--modes=ABC", "--seed=42")),
     "predict": (predict, ("--data", "--model", "--out", "--mode=A")),
+    "surfactant-features": (surfactant_features, ("--input", "--out=")),
+    "evaluate": (evaluate, ("--model", "--data", "--manifest", "--report", "--mode=A")),
+    "auxiliary-fit": (auxiliary_fit, ("--data", "--manifest", "--reserved", "--model", "--report", "--seed=42")),
+    "solquest-prepare": (solquest_prepare, ("--source", "--review", "--reserved", "--out")),
+    "md-cohesion-predict": (cohesion_predict, ("--model", "--review", "--support", "--input", "--out", "--mode=A")),
+    "checkpoint-fetch": (checkpoint_fetch, ("--review", "--out")),
+    "licence-inventory": (licence_inventory, ("--out",)),
     "md-cohesion-prepare": (cohesion_prepare, ("--source", "--review", "--out")),
     "formulation-lookup": (lookup, ("--ledger", "--review", "--query", "--subject", "--formulation", "--present", "--outcome")),
     "material-lookup": (lookup, ("--ledger", "--review", "--query", "--subject", "--formulation", "--present", "--outcome")),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
-from ..functions import structures
+from ..functions import blocks, structures
 from .grouping import alias_components
 
 
@@ -88,6 +90,28 @@ def with_source_groups(df: DataFrame, column: str = "smiles") -> DataFrame:
     return _per_distinct(df, column, "source_groups map<string,int>", lambda t: {"source_groups": {k: v for k, v in structures.source_groups(t).items() if v}})
 
 
+def with_surfactant(df: DataFrame) -> DataFrame:
+    """The columns tail_smiles, head_smiles, eo_mean, po_mean and block_order with mn, mean_heavy_atoms, features and issues of the block chain, worked out once for each distinct record, or a fault."""
+    key = ["tail_smiles", "head_smiles", "eo_mean", "po_mean", "block_order"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.to_dict("records"):
+                plain = {k: None if pd.isna(v) else v for k, v in r.items()}
+                try:
+                    found = blocks.surfactant(plain | {"sequence": "block"})
+                    out.append(plain | {"mn": found["mn"], "mean_heavy_atoms": found["mean_heavy_atoms"], "features": found["features"], "issues": found["issues"], "structure_fault": None})
+                except (structures.StructureError, TypeError) as e:
+                    out.append(plain | dict.fromkeys(("mn", "mean_heavy_atoms", "features", "issues")) | {"structure_fault": str(e)})
+            yield pd.DataFrame(out, columns=[*key, "mn", "mean_heavy_atoms", "features", "issues", "structure_fault"])
+
+    texts = df.select(*[F.col(k).cast("double" if k.endswith("mean") else "string") for k in key]).distinct()
+    found = texts.mapInPandas(run, "tail_smiles string, head_smiles string, eo_mean double, po_mean double, block_order string, mn double, mean_heavy_atoms double, features map<string,double>, issues array<string>, structure_fault string")
+    same = [df[k].eqNullSafe(found[k]) for k in key]
+    return df.join(found, functools.reduce(operator.and_, same), "left").drop(*[found[k] for k in key])
+
+
 def families(df: DataFrame, row: str, column: str = "smiles") -> DataFrame:
     """row and group: rows that share an identity, topology or scaffold belong together."""
     return alias_components(with_aliases(df, column).where("structure_fault IS NULL"), row, F.col("aliases"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import chemistry, evidence, grouping, heads, models, prepare, refuse, trees
+from ..operators import chemistry, cohesion, evidence, grouping, heads, models, prepare, refuse, trees
 from ..sources import contracts, gate, singlepoint
 from ..storage import shared_folder
 from .catalog import query, table
@@ -375,3 +375,60 @@ def atoms_and_bonds(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _parts(spark, sf_dir, ("CCO", "c1ccccc1", "C[N+](=O)[O-]", "not a structure"))
     atoms = spark.sql("SELECT a.number, count(*) AS atoms FROM {parts} p, LATERAL atoms_of(p.smiles) a GROUP BY 1", parts=rows)
     return atoms.join(F.broadcast(spark.sql("SELECT count(*) AS bonds FROM {parts} p, LATERAL bonds_of(p.smiles) b", parts=rows)))
+
+
+@query("""
+SELECT p_size % 4 AS eo, p_size % 3 AS po, count(*) AS parts, round(16.043 + 44.053 * (p_size % 4 * 100) + 58.08 * (p_size % 3 * 50) + 14.027, 3)::DOUBLE AS mn, (2 + 3.0 * (p_size % 4 * 100) + 4.0 * (p_size % 3 * 50))::DOUBLE AS heavy, p_size % 3 > 0 AS tacticity_open
+FROM part WHERE p_size % 4 + p_size % 3 > 0 GROUP BY ALL
+""")
+def block_surfactants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of two units between methyl caps: masses and sizes of chains too long to be built, on a certified plane."""
+    size = F.col("p_size")
+    part = table(spark, sf_dir, "part").where((size % 4 + size % 3) > 0).select((size % 4).alias("eo"), (size % 3).alias("po"), F.lit("*C").alias("tail_smiles"), F.lit("*C").alias("head_smiles"), (size % 4 * 100).cast("double").alias("eo_mean"), (size % 3 * 50).cast("double").alias("po_mean"), F.lit("eo_then_po").alias("block_order"))
+    found = chemistry.with_surfactant(part)
+    tacticity = F.array_contains("issues", "regiochemistry_and_tacticity_of_po_unspecified")
+    return found.groupBy("eo", "po", F.round("mn", 3).alias("mn"), F.round("mean_heavy_atoms", 6).alias("heavy"), tacticity.alias("tacticity_open")).agg(F.count(F.lit(1)).alias("parts"))
+
+
+@query("""
+WITH r AS (SELECT p_size % 5 k, CASE WHEN p_size % 5 = 0 THEN '' ELSE 'C' END tail, p_size % 3 = 0 ionic, CASE WHEN p_size % 2 = 0 THEN 'Na' END ion, p_size % 4 e, p_size % 7 p FROM part)
+SELECT reasons, count(*) AS n FROM (SELECT array_to_string(list_filter([CASE WHEN tail = '' THEN 'head_or_tail_missing' END, CASE WHEN ion IS NOT NULL AND NOT ionic THEN 'counterion_without_charge' END, CASE WHEN e + p = 0 THEN 'chain_is_empty' END], lambda x: x IS NOT NULL), '|') AS reasons FROM r) GROUP BY 1
+""")
+def surfactant_validators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size")
+    s = F.struct(F.lit("s").alias("series_id"), F.lit("C").alias("head_smiles"), F.when(size % 5 == 0, "").otherwise("C").alias("tail_smiles"), F.lit(None).cast("double").alias("mn_g_mol"), (size % 3 == 0).alias("ionic"), F.when(size % 2 == 0, "Na").alias("counterion_smiles"), F.lit(298.15).alias("temperature_k"))
+    d = F.struct((size % 4).cast("double").alias("eo_mean"), (size % 7).cast("double").alias("po_mean"), *[F.lit(None).cast("double").alias(n) for n in ("eo_std", "po_std")], F.lit("block").alias("sequence"), F.lit("eo_then_po").alias("block_order"), F.lit("unknown").alias("distribution"), F.lit(None).cast("array<struct<eo:int,po:int,p:double>>").alias("joint_pmf"))
+    rows = table(spark, sf_dir, "part").select(s.alias("s"), d.alias("d"))
+    return rows.select(F.array_join(contracts.surfactant_reasons(F.col("s"), F.col("d")), "|").alias("reasons")).groupBy("reasons").agg(F.count(F.lit(1)).alias("n"))
+
+
+_UNITS = ("*CC*", "*CCO*", "*CC(C)*")
+
+
+def _reference_model(size: int) -> dict:
+    """Heads that give 20 - 5 / dp and 1 + log(1 + dp), by the features that hold them."""
+    names = [f"x{i}" for i in range(size)]
+    coef = [[0.0] * size, [0.0] * size]
+    coef[0][-2], coef[1][-4] = -5.0, 1.0
+    head = heads.LinearHead(names, ["vdw", "ele"], [0.0] * size, [1.0] * size, coef, [20.0, 1.0]).state()
+    body = {"targets": ["vdw", "ele"], "low": [-1.0] * size, "high": [1e6] * size, "heads": {"A": head}, "radii": {"A": [0.5, 0.25]}}
+    return body | {"digest": scalar.canonical_digest(body)}
+
+
+@query("""
+WITH r AS (SELECT p_partkey, p_size + 1 AS dp, CASE WHEN p_partkey % 11 = 0 THEN 'unsupported_source_protocol' WHEN p_partkey % 7 = 0 THEN 'unsupported_molecular_weight_distribution' WHEN p_partkey % 5 = 0 THEN 'unregistered_source_material'
+  WHEN p_partkey % 13 = 0 THEN 'unsupported_end_groups' WHEN p_partkey % 17 = 0 THEN 'registered_material_state_mismatch' ELSE 'none' END AS reason FROM part)
+SELECT reason, count(*) AS requests, round(sum(CASE WHEN reason = 'none' THEN 20 - 5.0 / dp - 0.5 END), 5)::DOUBLE AS vdw_lower, round(sum(CASE WHEN reason = 'none' THEN 1 + ln(1 + dp) END), 5) AS ele FROM r GROUP BY 1
+""")
+def registered_cohesion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request per part against a registry of four parts in five: exact matches are predicted, all others refused by name."""
+    key = F.col("p_partkey")
+    unit = F.element_at(F.array(*[F.lit(t) for t in _UNITS]), (key % len(_UNITS) + 1).cast("int"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_partkey").cast("string").alias("source_uuid"), unit.alias("repeat_unit_smiles"), (F.col("p_size") + 1).cast("long").alias("dp"), F.when(key % 2 == 0, "atactic").otherwise("none").alias("tacticity"), F.lit("*C").alias("left_cap"), F.lit("*C").alias("right_cap"))
+    built = cohesion.with_chain_state(rows)
+    support = built.where(key % 5 != 0).select("source_uuid", F.col("state.unit").alias("repeat_smiles"), F.col("state.capped").alias("capped_smiles"), "tacticity", "dp", F.col("state.mass").alias("mn_g_mol"), F.col("state.rebuilt").alias("features"), F.array(F.lit(0.0)).alias("embeddings"))
+    protocol = {k: F.lit(v) for k, v in cohesion.PROTOCOL.items()} | {"temperature_k": F.when(key % 11 == 0, 310.0).otherwise(300.0)}
+    asked = built.select(*rows.columns, F.col("state.mass").alias("mn_g_mol")).withColumns(protocol | {"dispersity": F.when(key % 7 == 0, 1.2).otherwise(1.0), "right_cap": F.when(key % 13 == 0, "*CC").otherwise("*C"), "mn_g_mol": F.col("mn_g_mol") + F.when(key % 17 == 0, 1.0).otherwise(0.0)})
+    size = len(cohesion.chain_state("*CC*", "*C", "*C", 2, "none")["rebuilt"])
+    out = cohesion.predicted(asked, support, _reference_model(size), "A")
+    return out.groupBy(F.coalesce("reason", F.lit("none")).alias("reason")).agg(F.count(F.lit(1)).alias("requests"), F.round(F.sum("vdw_lower"), 5).alias("vdw_lower"), F.round(F.sum("ele"), 5).alias("ele"))

@@ -197,6 +197,14 @@ COEFFICIENTS = Contract(
 )
 
 
+CHECKPOINT = Contract(
+    "checkpoint review",
+    {"encoder_id": _text(), "revision": _text(), "files": Field("record"), "weights_license": _text(), "code_license": _text(), "rights_status": _STATUS, "permission_evidence": _text(), "download_allowed": _flag()},
+    (("files have to be named", lambda r: bool(r["files"])),),
+    {"fetch": (_APPROVED, ("licences have to be permissive", lambda r: r["weights_license"] in PERMISSIVE and r["code_license"] in PERMISSIVE), ("download permission is needed", lambda r: r["download_allowed"]))},
+)
+
+
 # --------------------------------------------------------------------- the same kind of validators as columns of reasons
 
 
@@ -245,6 +253,21 @@ def distribution_reasons(d: Column) -> Column:
     ])
 
 
+def surfactant_reasons(s: Column, d: Column) -> Column:
+    """Of a struct series_id, head_smiles, tail_smiles, mn_g_mol, ionic, counterion_smiles, temperature_k and its distribution d."""
+    from ..operators.refuse import all_reasons
+
+    blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
+    own = all_reasons([
+        ("series_id_missing", blank(s["series_id"])),
+        ("head_or_tail_missing", blank(s["head_smiles"]) | blank(s["tail_smiles"])),
+        ("mn_not_positive", s["mn_g_mol"].isNotNull() & ~(s["mn_g_mol"] > 0)),
+        ("counterion_without_charge", s["counterion_smiles"].isNotNull() & ~F.coalesce(s["ionic"], F.lit(False))),
+        ("temperature_not_positive", s["temperature_k"].isNotNull() & ~(s["temperature_k"] > 0)),
+    ])
+    return F.concat(own, distribution_reasons(d))
+
+
 def mixture_reasons(components: Column, fractions: Column) -> Column:
     from ..operators.refuse import all_reasons
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 import codecs
 import contextlib
 import hashlib
+import importlib.metadata
 import json
+import urllib.request
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -20,7 +22,7 @@ from ..operators.chemistry import with_canonical, with_scope
 from ..operators.refuse import finite
 from ..storage import stored
 from .columns import scalars
-from .contracts import AUXILIARY, DATASET, Contract, Refused
+from .contracts import AUXILIARY, CHECKPOINT, DATASET, Contract, Refused
 
 TARGETS = ("delta_d", "delta_p", "delta_h")
 LABELLED = ("sample_id", "smiles", *TARGETS, "label_kind")
@@ -252,6 +254,39 @@ def auxiliary_table(spark: SparkSession, uri: str, manifest: str | bytes | dict)
     return spark.read.format("npz").option("target_names", ",".join(record["target_names"])).load(uri)
 
 
+def fetched(review: str | bytes | dict, folder: str, opened: Callable[[str], object] = urllib.request.urlopen) -> list[str]:
+    """The files of an approved review in a new folder, each under its name once its digest is right; the only network access, on request."""
+    record = CHECKPOINT.authorize(CHECKPOINT.parse(review), "fetch")
+    fs, at = fresh(folder)
+    fs.create_dir(at, recursive=True)
+    out = []
+    for name, entry in sorted(record["files"].items()):
+        if "/" in name or name.startswith(".") or set(entry) != {"url", "sha256"}:
+            raise Refused(f"{name} is no plain file name with a url and a digest")
+        part = f"{at}/{name}.part"
+        digest = hashlib.sha256()
+        with opened(entry["url"]) as source, fs.open_output_stream(part, compression=None) as target:
+            while data := source.read(1 << 20):
+                digest.update(data)
+                target.write(data)
+        if digest.hexdigest() != entry["sha256"]:
+            raise Refused(f"{name} does not match its checksum")
+        fs.move(part, f"{at}/{name}")
+        out.append(f"{at}/{name}")
+    return out
+
+
+def licence_inventory() -> list[dict]:
+    """Installed distributions with what they declare of their licence and the digests of their licence files; nothing is approved by it."""
+    out = []
+    for d in importlib.metadata.distributions():
+        declared = d.metadata
+        texts = [f for f in d.files or [] if any(word in f.name.lower() for word in ("licen", "copying", "notice"))]
+        found = {str(f): hashlib.sha256(f.locate().read_bytes()).hexdigest() for f in texts if f.locate().is_file()}
+        out.append({"name": declared["Name"], "version": d.version, "expression": declared.get("License-Expression"), "classifiers": [c for c in declared.get_all("Classifier") or [] if c.startswith("License")], "files": found, "reviewed": False})
+    return sorted(out, key=lambda r: (str(r["name"]).lower(), r["version"]))
+
+
 # ---------------------------------------------------------------------------------------------------------------- sinks
 
 
