@@ -322,8 +322,8 @@ class KernelHead:
 # ------------------------------------------------------------------------------------------------------- gradient heads
 
 
-def lbfgs(value_and_gradient, start: np.ndarray, gate: float = 1e-5, rounds: int = 500, memory: int = 20) -> np.ndarray:
-    """Limited-memory BFGS with backtracking; refused unless the gradient's largest entry passes the gate."""
+def lbfgs(value_and_gradient, start: np.ndarray, gate: float = 1e-5, rounds: int = 500, memory: int = 20, required: bool = True) -> np.ndarray:
+    """Limited-memory BFGS with backtracking; refused unless the gradient's largest entry passes the gate (if that is required)."""
     x = start.astype(float)
     value, g = value_and_gradient(x)
     steps: list[tuple[np.ndarray, np.ndarray]] = []
@@ -354,7 +354,7 @@ def lbfgs(value_and_gradient, start: np.ndarray, gate: float = 1e-5, rounds: int
         if s @ y > 1e-14 * np.sqrt((s @ s) * (y @ y)):
             steps = [*steps[-memory + 1 :], (s, y)]
         x, value, g = x + s, after, h
-    if np.abs(g).max(initial=0) > gate:
+    if required and np.abs(g).max(initial=0) > gate:
         raise ValueError("the fit did not reach its gradient gate")
     return x
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import chemistry, cohesion, evidence, grouping, heads, models, prepare, refuse, trees
+from ..operators import chemistry, cohesion, evidence, forests, grouping, heads, models, prepare, refuse, trees
 from ..sources import contracts, gate, singlepoint
 from ..storage import shared_folder
 from .catalog import query, table
@@ -301,6 +301,15 @@ def stored_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.predict_trees(table(spark, sf_dir, "part"), _TREES, "value").groupBy("value").agg(F.count(F.lit(1)).alias("parts"))
 
 
+@query("SELECT p_size > 25 AS large, count(*) AS parts, (SELECT 3.5::DOUBLE) AS predicted FROM part GROUP BY 1")
+def constant_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positive forests of a squared constant target: one leaf each, whose root is the target everywhere."""
+    part = table(spark, sf_dir, "part").withColumn("y", F.lit(3.5))
+    (state,) = forests.fit_positive_forests(part, ["p_size", "p_retailprice"], ["y"], squared=True, trees=4, depth=3)
+    out = forests.predicted(part, json.loads(json.dumps(state)))
+    return out.groupBy((F.col("p_size") > 25).alias("large")).agg(F.count(F.lit(1)).alias("parts"), F.round(F.avg("pred_y"), 9).alias("predicted"))
+
+
 @query("""
 WITH l AS (SELECT l_orderkey f, l_linenumber p, (l_linenumber + 1) // 2 m, CASE WHEN l_linenumber % 2 = 0 THEN 0.1 ELSE -0.1 END s, l_tax, l_quantity / 10 x, l_discount * 10 y, l_linenumber * 1.0 z FROM lineitem),
 q AS (SELECT *, CASE WHEN abs(sum(s) OVER (PARTITION BY f, m)) < 1e-9 THEN s ELSE 0 END c, 0.2 + l_tax e FROM l),

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import trees
+from tessera.operators import forests, trees
 from tessera.sources import singlepoint as sp
 from tessera.sources.contracts import Refused
 
@@ -59,3 +59,59 @@ def test_ensembles_as_arrays(spark):
         found = json.loads(json.dumps(fit()))
         got = trees.predict_trees(df, found, "p").agg(F.avg((F.col("p") - F.col("y")) ** 2)).first()[0]
         assert got < np.var(x[:, 0] * 2 + (x[:, 1] > 0)) / 2
+
+
+def wave(spark, n=240):
+    rng = np.random.default_rng(3)
+    x = rng.uniform(-2, 2, size=(n, 3)).astype(np.float32).astype(float)
+    y = np.column_stack([np.sin(2 * x[:, 0]) + x[:, 1] ** 2, 3 + np.abs(x[:, 2])])
+    return x, y, spark.createDataFrame([(*map(float, a), *map(float, b)) for a, b in zip(x, y, strict=True)], "a double, b double, c double, u double, v double")
+
+
+@pytest.mark.parametrize("local", [1 << 30, 0])
+def test_extra_trees(spark, monkeypatch, local):
+    monkeypatch.setattr(forests, "LOCAL_VALUES", local)
+    x, y, df = wave(spark, 80 if not local else 240)
+    small = dict(trees=2, depth=2, leaf=3, seed=1) if not local else dict(trees=20, depth=8, leaf=2, tries=2, seed=1)
+    state = json.loads(json.dumps(forests.fit_extra_trees(df.repartition(3), ["a", "b", "c"], ["u", "v"], **small)))
+    got = forests.predicted(df, state).toPandas()[["pred_u", "pred_v"]].to_numpy()
+    for t in state["trees"]:
+        at = forests._leaves(x.astype(np.float32), t)
+        for node in np.unique(at):
+            assert (at == node).sum() >= small["leaf"] and np.allclose(t["value"][node], y[at == node].mean(0))
+    if local:
+        assert ((got - y) ** 2).mean(0).max() < 0.25 * y.var(0).max()
+        monkeypatch.setattr(forests, "TOGETHER", 3)
+        again = forests.fit_extra_trees(df, ["a", "b", "c"], ["u", "v"], **small)
+        assert [t["threshold"] for t in again["trees"]] == [t["threshold"] for t in state["trees"]]
+    else:
+        monkeypatch.setattr(forests, "LOCAL_VALUES", 1 << 30)
+        same = forests.fit_extra_trees(df, ["a", "b", "c"], ["u", "v"], **small)
+        assert [t["threshold"] for t in same["trees"]] == [t["threshold"] for t in state["trees"]]
+    with pytest.raises(ValueError):
+        forests.predicted(df, state | {"root": True})
+    with pytest.raises(ValueError):
+        forests.fit_extra_trees(df.withColumn("a", F.lit(float("nan"))), ["a"], ["u"])
+
+
+def test_positive_forests(spark):
+    _, y, df = wave(spark)
+    with pytest.raises(ValueError):
+        forests.fit_positive_forests(df, ["a"], ["u"])
+    plain, root = (forests.fit_positive_forests(df, ["a", "b", "c"], ["v"], squared=s, trees=10, depth=6)[0] for s in (False, True))
+    for state in (plain, root):
+        got = forests.predicted(df, state).toPandas()["pred_v"].to_numpy()
+        assert (got >= 3).all() and ((got - y[:, 1]) ** 2).mean() < 0.2 * y[:, 1].var()
+    constant = forests.fit_extra_trees(df.withColumn("v", F.lit(2.0)), ["a"], ["v"], trees=1)
+    assert constant["trees"][0]["left"] == [-1] and constant["trees"][0]["value"] == [[2.0]]
+
+
+def test_network(spark, monkeypatch):
+    x, y, df = wave(spark)
+    state = json.loads(json.dumps(forests.fit_network(df, ["a", "b", "c"], ["u", "v"], 12, 0.01, rounds=400, gate=1e-3)))
+    got = forests.predicted(df, state).toPandas()[["pred_u", "pred_v"]].to_numpy()
+    assert ((got - y) ** 2).mean(0).max() < 0.05 * y.var(0).max() and state["converged"]
+    short = forests.fit_network(df, ["a"], ["u"], 2, 0.1, rounds=3)
+    monkeypatch.setattr(forests, "LOCAL_VALUES", 0)
+    far = forests.fit_network(df.repartition(3), ["a"], ["u"], 2, 0.1, rounds=3)
+    assert not short["converged"] and np.allclose(np.ravel(short["weights"][0]), np.ravel(far["weights"][0]))
