@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import heads, models
+from tessera.operators import cells, heads, models
 
 FEATURES, EMBEDDING, TARGETS = ["a", "b"], ["e0", "e1"], ["u"]
 
@@ -102,3 +102,29 @@ def test_sites_and_cells(spark):
     with pytest.raises(ValueError):
         models.frame_cohesion(particles.where("place <> 1"), none, 1.0)
     assert heads.ALPHAS[0] == 0.01
+
+
+def test_periodic_cells(spark):
+    # Rock salt: the sum over all images is Madelung's constant, whatever the cutoff.
+    place = [(i, j, k) for i in range(4) for j in range(4) for k in range(4)]
+    x, q = np.array(place) * 0.25, np.array([(-1.0) ** sum(p) for p in place])
+    for cutoff in (0.5, 0.35):
+        energy = cells.ewald(q, x, np.array([1.0, 1.0, 1.0]), cutoff, tolerance=1e-8)
+        assert energy / 64 == pytest.approx(-1.7475646 / 2 * cells.COULOMB / 0.25, rel=1e-5)
+    # One molecule far from its images has no cohesion but the pair tail; two apart have their own pair energy.
+    pair = [("f", 0, "p", 0.4, 0.3, 0.2, 10.0, 10.0, 10.0), ("f", 1, "p", -0.4, 0.3, 0.2, 10.1, 10.0, 10.0)]
+    other = [("f", 2, "q", 0.4, 0.3, 0.2, 10.0, 10.5, 10.0), ("f", 3, "q", -0.4, 0.3, 0.2, 10.1, 10.5, 10.0)]
+    names = "frame string, place int, molecule string, charge double, sigma double, epsilon double, x double, y double, z double"
+    alone, both = (cells.periodic_cohesion(spark.createDataFrame(rows, names), (40.0, 40.0, 40.0), 3.0).first() for rows in (pair, [*pair, *other]))
+    assert abs(alone.lj) < 1e-4 and abs(alone.coulomb) < 1e-3
+    direct = models.frame_cohesion(spark.createDataFrame([*pair, *other], names), spark.createDataFrame([], "place_a int, place_b int"), 64000.0).first()
+    assert both.lj == pytest.approx(direct.lj, abs=1e-3) and both.coulomb == pytest.approx(direct.coulomb, abs=1e-3) and both.lj_mpa == pytest.approx(-both.lj * 1e24 / 6.02214076e23 / 64000)
+    # Moving the whole cell, or wrapping a molecule around it, changes nothing; nor does leaving out a bond.
+    moved = [(*r[:6], (r[6] + 29.95) % 40, *r[7:]) for r in [*pair, *other]]
+    again = cells.periodic_cohesion(spark.createDataFrame(moved, names), (40.0, 40.0, 40.0), 3.0, [(0, 1)]).first()
+    assert again.lj == pytest.approx(both.lj, abs=1e-6) and again.coulomb == pytest.approx(both.coulomb, abs=1e-4)
+    for bad in ([pair[0]], [*pair, pair[0]]):
+        with pytest.raises(Exception, match="zero|distinct"):
+            cells.periodic_cohesion(spark.createDataFrame(bad, names), (40.0, 40.0, 40.0), 3.0).collect()
+    with pytest.raises(ValueError):
+        cells.frame_energies(spark.createDataFrame(pair, names).toPandas(), np.array([4.0, 4.0, 4.0]), 3.0, set())
