@@ -68,7 +68,7 @@ def _tail(sigma: np.ndarray, epsilon: np.ndarray, volume: float, cutoff: float)
     return float(2 * math.pi / volume * (count[:, None] * count[None, :] * each).sum())
 
 
-def frame_energies(f: pd.DataFrame, box: np.ndarray, cutoff: float, excluded: set[tuple[int, int]]) -> dict[str, float]:
+def frame_energies(f: pd.DataFrame, box: np.ndarray, cutoff: float, excluded: set[tuple[int, int]], tolerance: float = TOLERANCE) -> dict[str, float]:
     """Pair (lj) and electrostatic energies of one cell less those of its molecules alone; excluded pairs interact in neither."""
     if len(f) > MOST_PARTICLES or f["place"].duplicated().any() or not 0 < 2 * cutoff <= box.min():
         raise ValueError("a bounded frame of distinct places and a cutoff of half the box at most are needed")
@@ -83,7 +83,7 @@ def frame_energies(f: pd.DataFrame, box: np.ndarray, cutoff: float, excluded: se
     pairs = _near(x, box, cutoff)
     kept = ~np.isin(pairs[0] * len(x) + pairs[1], apart[:, 0] * len(x) + apart[:, 1])
     lj = _lennard(sigma, epsilon, *(c[kept] for c in pairs)) + _tail(sigma, epsilon, box.prod(), cutoff)
-    coulomb = ewald(q, x, box, cutoff, pairs)
+    coulomb = ewald(q, x, box, cutoff, pairs, tolerance)
     # Excluded pairs are taken out of the sum over all images at their nearest one.
     d = x[apart[:, 0]] - x[apart[:, 1]]
     d -= box * np.rint(d / box)
@@ -103,7 +103,7 @@ def frame_energies(f: pd.DataFrame, box: np.ndarray, cutoff: float, excluded: se
     return {"lj": lj, "coulomb": coulomb}
 
 
-def periodic_cohesion(particles: DataFrame, box: tuple[float, float, float], cutoff: float, excluded: list[tuple[int, int]] = ()) -> DataFrame:
+def periodic_cohesion(particles: DataFrame, box: tuple[float, float, float], cutoff: float, excluded: list[tuple[int, int]] = (), tolerance: float = TOLERANCE) -> DataFrame:
     """Per frame lj, coulomb (kJ/mol, cell less molecules) and their cohesive energy densities in MPa.
 
     particles: frame, place, molecule, charge, sigma, epsilon, x, y, z (nm, kJ/mol). excluded: pairs of places, the same
@@ -112,7 +112,7 @@ def periodic_cohesion(particles: DataFrame, box: tuple[float, float, float], cut
     sides, apart = np.array(box, float), set(map(tuple, excluded))
 
     def one(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([{"frame": key[0], **frame_energies(f, sides, cutoff, apart)}])
+        return pd.DataFrame([{"frame": key[0], **frame_energies(f, sides, cutoff, apart, tolerance)}])
 
     kind = particles.schema["frame"].dataType.simpleString()
     out = particles.groupBy("frame").applyInPandas(one, f"frame {kind}, lj double, coulomb double")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
-from ..functions import blocks, structures
+from ..functions import blocks, crippen, sites, structures
 from .grouping import alias_components
 
 
@@ -90,6 +90,20 @@ def with_source_groups(df: DataFrame, column: str = "smiles") -> DataFrame:
     return _per_distinct(df, column, "source_groups map<string,int>", lambda t: {"source_groups": {k: v for k, v in structures.source_groups(t).items() if v}})
 
 
+def with_totals(df: DataFrame, column: str = "smiles") -> DataFrame:
+    """log_p and refraction by published contributions, and the site features (null, without fault, where charges are not reviewed)."""
+
+    def work(t: str) -> dict:
+        log_p, refraction = crippen.totals(t)
+        try:
+            found = sites.site_features(t)
+        except structures.StructureError:
+            found = None
+        return {"log_p": log_p, "refraction": refraction, "sites": found}
+
+    return _per_distinct(df, column, "log_p double, refraction double, sites map<string,double>", work)
+
+
 def with_surfactant(df: DataFrame) -> DataFrame:
     """The columns tail_smiles, head_smiles, eo_mean, po_mean and block_order with mn, mean_heavy_atoms, features and issues of the block chain, worked out once for each distinct record, or a fault."""
     key = ["tail_smiles", "head_smiles", "eo_mean", "po_mean", "block_order"]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import chemistry, cohesion, evidence, forests, grouping, heads, models, prepare, refuse, trees
+from ..operators import cells, chemistry, cohesion, evidence, forests, grouping, heads, models, prepare, refuse, trees
 from ..sources import contracts, gate, singlepoint
 from ..storage import shared_folder
 from .catalog import query, table
@@ -441,3 +441,30 @@ def registered_cohesion(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = len(cohesion.chain_state("*CC*", "*C", "*C", 2, "none")["rebuilt"])
     out = cohesion.predicted(asked, support, _reference_model(size), "A")
     return out.groupBy(F.coalesce("reason", F.lit("none")).alias("reason")).agg(F.count(F.lit(1)).alias("requests"), F.round(F.sum("vdw_lower"), 5).alias("vdw_lower"), F.round(F.sum("ele"), 5).alias("ele"))
+
+
+_TOTALS = [("CCO", -0.0014, 12.7598, 0.333333, 0.333333, 1), ("c1ccccc1", 1.6866, 26.442, 0.0, 0.0, 1), ("Oc1ccccc1", 1.3922, 28.1068, 0.142857, 0.142857, 1), ("NC(N)=O", -0.9762, 13.7708, 0.5, 0.25, 1), ("C[NH3+]", None, None, None, None, 0)]
+
+
+@query(f"""WITH {_texts(tuple(r[0] for r in _TOTALS))}, c AS (SELECT * FROM (VALUES {_values([(t, *('NULL' if x is None else x for x in r)) for t, *r in _TOTALS]).replace("'NULL'", "NULL")}) v(smiles, l, m, d, a, s))
+SELECT smiles, count(*) AS parts, CASE WHEN s = 1 THEN l::DOUBLE END AS log_p, CASE WHEN s = 1 THEN m::DOUBLE END AS refraction, CASE WHEN s = 1 THEN d::DOUBLE END AS donors, CASE WHEN s = 1 THEN a::DOUBLE END AS acceptors FROM p JOIN c USING (smiles) GROUP BY ALL""")
+def structure_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Published contributions and site counts per heavy atom, worked out by hand on the other side."""
+    rows = chemistry.with_totals(_parts(spark, sf_dir, tuple(r[0] for r in _TOTALS)))
+    known = F.col("sites").isNotNull()
+    rows = rows.select("smiles", F.when(known, F.round("log_p", 4)).alias("log_p"), F.when(known, F.round("refraction", 4)).alias("refraction"), F.round(F.col("sites")["donors"], 6).alias("donors"), F.round(F.col("sites")["acceptors"], 6).alias("acceptors"))
+    return rows.groupBy("smiles", "log_p", "refraction", "donors", "acceptors").agg(F.count(F.lit(1)).alias("parts"))
+
+
+@query("""
+WITH k AS (SELECT s_suppkey f, 0.3 + s_nationkey % 5 * 0.1 q FROM supplier)
+SELECT count(*) AS frames, round(avg(-138.935458 * q * q * 8 * 1.7475645946 / 0.25 / 2 + 4 * 138.935458 * q * q / 0.25), 4) AS coulomb FROM k
+""")
+def periodic_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rock salt cells of eight ions with charges by supplier: the lattice's energy less that of its four pairs."""
+    charges = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("frame"), (0.3 + F.col("s_nationkey") % 5 * 0.1).alias("q"))
+    ions = [(4 * i + 2 * j + k, 2 * i + j, float((-1) ** (i + j + k)), i * 0.25, j * 0.25, k * 0.25) for i in (0, 1) for j in (0, 1) for k in (0, 1)]
+    lattice = spark.createDataFrame(ions, "place int, molecule int, sign double, x double, y double, z double")
+    rows = charges.join(F.broadcast(lattice)).select("frame", "place", "molecule", (F.col("q") * F.col("sign")).alias("charge"), F.lit(0.1).alias("sigma"), F.lit(0.0).alias("epsilon"), "x", "y", "z")
+    out = cells.periodic_cohesion(rows, (0.5, 0.5, 0.5), 0.24, tolerance=1e-10)
+    return out.agg(F.count(F.lit(1)).alias("frames"), F.round(F.avg("coulomb"), 4).alias("coulomb"))
