@@ -175,7 +175,8 @@ def write_shards(df: DataFrame, tokenizer: str, path: str, shards: int | None =
         if writer:
             yield done()
 
-    return stored(ordered.mapInArrow(run, MANIFEST), "token-manifest")
+    # Rebalanced: a row from each task would be a file each.
+    return stored(ordered.mapInArrow(run, MANIFEST).hint("rebalance"), "token-manifest")
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
