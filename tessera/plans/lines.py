@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import json
 
 import numpy as np
@@ -301,23 +302,25 @@ def stored_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.predict_trees(table(spark, sf_dir, "part"), _TREES, "value").groupBy("value").agg(F.count(F.lit(1)).alias("parts"))
 
 
-@query("SELECT p_size > 25 AS large, count(*) AS parts, (SELECT 3.5::DOUBLE) AS predicted FROM part GROUP BY 1")
-def constant_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Positive forests of a squared constant target: one leaf each, whose root is the target everywhere."""
-    part = table(spark, sf_dir, "part").withColumn("y", F.lit(3.5))
-    (state,) = forests.fit_positive_forests(part, ["p_size", "p_retailprice"], ["y"], squared=True, trees=4, depth=3)
-    out = forests.predicted(part, json.loads(json.dumps(state)))
-    return out.groupBy((F.col("p_size") > 25).alias("large")).agg(F.count(F.lit(1)).alias("parts"), F.round(F.avg("pred_y"), 9).alias("predicted"))
+@query("SELECT p_size > 25 AS large, count(*) AS parts, round(avg(p_retailprice), 6) AS mean, round(sqrt(avg(p_retailprice * p_retailprice)), 6) AS root FROM part GROUP BY 1")
+def two_leaf_forests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Randomised trees over one column of two values: whatever threshold is drawn, leaves are the means (or roots of mean squares) of both sides."""
+    part = table(spark, sf_dir, "part").select((F.col("p_size") > 25).alias("large"), (F.col("p_size") > 25).cast("double").alias("x"), F.col("p_retailprice").alias("y"))
+    out = part
+    for name, squared in (("mean", False), ("root", True)):
+        (state,) = forests.fit_positive_forests(part, ["x"], ["y"], squared=squared, trees=3)
+        out = forests.predicted(out, json.loads(json.dumps(state))).withColumnRenamed("pred_y", name)
+    return out.groupBy("large").agg(F.count(F.lit(1)).alias("parts"), F.round(F.avg("mean"), 6).alias("mean"), F.round(F.avg("root"), 6).alias("root"))
 
 
 @query("""
 WITH l AS (SELECT l_orderkey f, l_linenumber p, (l_linenumber + 1) // 2 m, CASE WHEN l_linenumber % 2 = 0 THEN 0.1 ELSE -0.1 END s, l_tax, l_quantity / 10 x, l_discount * 10 y, l_linenumber * 1.0 z FROM lineitem),
 q AS (SELECT *, CASE WHEN abs(sum(s) OVER (PARTITION BY f, m)) < 1e-9 THEN s ELSE 0 END c, 0.2 + l_tax e FROM l),
-d AS (SELECT a.f, sqrt(a.e * b.e) e, a.c * b.c c, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) r FROM q a JOIN q b ON a.f = b.f AND a.p < b.p AND a.m <> b.m)
+d AS (SELECT a.f, sqrt(a.e * b.e) e, a.c * b.c c, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) r FROM q a JOIN q b ON a.f = b.f AND a.p < b.p AND a.m <> b.m AND NOT (a.p = 1 AND b.p = 3))
 SELECT count(DISTINCT f) AS frames, round(sum(4 * e * ((0.3 / r) ** 12 - (0.3 / r) ** 6)), 6) AS lj, round(sum(138.935458 * c / r), 5) AS coulomb FROM d
 """)
 def cell_cohesion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as cells, lines as particles, two lines a molecule: pair energies between molecules."""
+    """Orders as cells, lines as particles, two lines a molecule: pair energies between molecules, but for an excluded pair."""
     from pyspark.sql import Window
 
     line = F.col("l_linenumber")
@@ -326,7 +329,7 @@ def cell_cohesion(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_quantity") / 10).alias("x"), (F.col("l_discount") * 10).alias("y"), line.cast("double").alias("z"),
     )
     whole = F.abs(F.sum("s").over(Window.partitionBy("frame", "molecule"))) < 1e-9
-    out = models.frame_cohesion(rows.withColumn("charge", F.when(whole, F.col("s")).otherwise(0.0)), spark.createDataFrame([], "place_a int, place_b int"), 1.0)
+    out = models.frame_cohesion(rows.withColumn("charge", F.when(whole, F.col("s")).otherwise(0.0)), spark.createDataFrame([(1, 3)], "place_a int, place_b int"), 1.0)
     return out.agg(F.count(F.lit(1)).alias("frames"), F.round(F.sum("lj"), 6).alias("lj"), F.round(F.sum("coulomb"), 5).alias("coulomb"))
 
 
@@ -468,3 +471,120 @@ def periodic_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = charges.join(F.broadcast(lattice)).select("frame", "place", "molecule", (F.col("q") * F.col("sign")).alias("charge"), F.lit(0.1).alias("sigma"), F.lit(0.0).alias("epsilon"), "x", "y", "z")
     out = cells.periodic_cohesion(rows, (0.5, 0.5, 0.5), 0.24, tolerance=1e-10)
     return out.agg(F.count(F.lit(1)).alias("frames"), F.round(F.avg("coulomb"), 4).alias("coulomb"))
+
+
+# ------------------------------------------------------------------------------------------------------- named archives
+
+
+def _archive(spark: SparkSession, arrays: dict) -> str:
+    """A NumPy archive in a fresh folder below the shared one."""
+    folder = shared_folder(spark, "archive")
+    fs, path = gate.located(folder)
+    fs.create_dir(path, recursive=True)
+    with fs.open_output_stream(f"{path}/a.npz", compression=None) as f:
+        buffer = io.BytesIO()
+        np.savez(buffer, **arrays)
+        f.write(buffer.getvalue())
+    return f"{folder}/a.npz".replace("file:/", "file:///") if folder.startswith("file:/") and not folder.startswith("file://") else f"{folder}/a.npz"
+
+
+@query("SELECT n_regionkey AS region, count(*) AS rows, CAST(sum(n_nationkey) AS DOUBLE) AS first, CAST(sum(n_nationkey * n_regionkey) AS DOUBLE) AS second FROM nation GROUP BY 1")
+def archive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as a gated archive of structures and targets."""
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey").orderBy("n_nationkey").collect()
+    uri = _archive(spark, {"smiles": np.array([f"C{'C' * r[1]}" for r in rows]), "targets": np.array([[float(r[0]), float(r[0] * r[1])] for r in rows]), "target_names": np.array(["first", "second"])})
+    manifest = {k: v for k, v in MANIFEST.items() if k not in ("label_kind", "approved_by")} | {"sha256": gate.file_digest(uri), "target_names": ["first", "second"], "target_units": ["1", "1"]}
+    out = gate.auxiliary_table(spark, uri, manifest)
+    return out.groupBy((F.length("smiles") - 1).alias("region")).agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("targets")[0]).alias("first"), F.sum(F.col("targets")[1]).alias("second"))
+
+
+@query("SELECT tacticity, count(*) AS rows, CAST(sum(n_nationkey + 1) AS BIGINT) AS dp, round(sum(100.5 + n_regionkey), 6)::DOUBLE AS mass, CAST(sum(n_regionkey) AS DOUBLE) AS feature FROM (SELECT *, CASE WHEN n_nationkey % 2 = 0 THEN 'atactic' ELSE 'none' END AS tacticity FROM nation) GROUP BY 1")
+def registry_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as a registry of materials: named arrays, their kinds and the metadata are checked as a whole."""
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey").orderBy("n_nationkey").collect()
+    key, region = (np.array([r[i] for r in rows]) for i in (0, 1))
+    arrays = {"source_uuid": key.astype(str), "repeat_smiles": np.array(["*CC*"] * len(rows)), "capped_smiles": np.array(["CCCC"] * len(rows)), "tacticity": np.where(key % 2 == 0, "atactic", "none"), "dp": key + 1, "mn_g_mol": 100.5 + region, "features": np.column_stack([region, key]).astype(float), "embeddings": np.zeros((len(rows), 2))}
+    found = cohesion.registry(spark, _archive(spark, arrays | {"metadata_json": np.array('{"source": "nations"}')}), {"source": "nations"})
+    return found.groupBy("tacticity").agg(F.count(F.lit(1)).alias("rows"), F.sum("dp").alias("dp"), F.round(F.sum("mn_g_mol"), 6).alias("mass"), F.sum(F.col("features")[0]).alias("feature"))
+
+
+@query("SELECT p_brand, count(*) AS rows, CAST(sum(n_nationkey) AS DOUBLE) AS first, CAST(sum(n_regionkey) AS DOUBLE) AS second FROM part JOIN nation ON p_size % 25 = n_nationkey GROUP BY 1")
+def vector_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frozen vectors of nations' structures from a CSV file; every part has to find its own."""
+    folder = shared_folder(spark, "vectors")
+    chain = lambda n: F.repeat(F.lit("C"), (n + 1).cast("int"))
+    table(spark, sf_dir, "nation").select(chain(F.col("n_nationkey")).alias("smiles"), F.col("n_nationkey").alias("e0"), F.col("n_regionkey").alias("e1")).coalesce(1).write.option("header", True).csv(folder)
+    vectors = gate.vector_table(spark, _file(spark, folder), 2)
+    found = table(spark, sf_dir, "part").select("p_brand", chain(F.col("p_size") % 25).alias("smiles")).join(vectors, "smiles", "left")
+    refuse.asserted(found, "vector", F.col("vector").isNull())
+    return found.groupBy("p_brand").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("vector")[0]).alias("first"), F.sum(F.col("vector")[1]).alias("second"))
+
+
+# ------------------------------------------------------------------------------------------------------ folds and jobs
+
+
+@query("""
+WITH RECURSIVE s AS (SELECT p_brand, count(*) n FROM part GROUP BY 1), o AS (SELECT p_brand, n, row_number() OVER (ORDER BY n DESC, p_brand) k FROM s),
+r AS (SELECT CAST(0 AS BIGINT) k, [CAST(0 AS BIGINT), 0, 0, 0] load, CAST(NULL AS VARCHAR) p_brand, CAST(-1 AS BIGINT) fold UNION ALL
+  SELECT o.k, list_transform(load, lambda x, i: x + CASE WHEN i = list_position(load, list_min(load)) THEN o.n ELSE 0 END), o.p_brand, list_position(load, list_min(load)) - 1 FROM r JOIN o ON o.k = r.k + 1)
+SELECT p_brand, fold FROM r WHERE k > 0
+""")
+def size_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands dealt to four folds, the largest first, each to the fold with the fewest parts."""
+    sizes = [(r["p_brand"], r["count"]) for r in table(spark, sf_dir, "part").groupBy("p_brand").count().collect()]
+    return spark.createDataFrame(list(grouping.size_balanced_folds(sizes, 4).items()), "p_brand string, fold long")
+
+
+@query("""
+WITH b AS (SELECT p_brand, (row_number() OVER (ORDER BY sha256('residual-42' || chr(0) || p_brand), p_brand) - 1) % 4 f FROM (SELECT DISTINCT p_brand FROM part)),
+r AS (SELECT f, CAST(p_size AS DOUBLE) x, CAST(p_partkey % 7 AS DOUBLE) e, p_retailprice y FROM part JOIN b USING (p_brand)), k AS (SELECT DISTINCT f FROM r),
+s AS (SELECT k.f, count(*) n, avg(x) mx, stddev_pop(x) sx, avg(y) my, covar_pop(x, y) c FROM k JOIN r ON r.f <> k.f GROUP BY 1),
+d AS (SELECT e, y - (my + (x - mx) / sx * (n * c / sx / (n + 1))) z FROM r JOIN s ON r.f = s.f),
+w AS (SELECT count(*) n, avg(x) mx, stddev_pop(x) sx, avg(y) my, covar_pop(x, y) c FROM r), v AS (SELECT count(*) n, avg(e) me, stddev_pop(e) se, avg(z) mz, covar_pop(e, z) c FROM d)
+SELECT round(w.n * w.c / sx / (w.n + 1), 5) AS first_coef, round(my, 5) AS first_level, round(v.n * v.c / se / (v.n + 10), 5) AS second_coef, round(mz, 5) AS second_level FROM w, v
+""")
+def residual_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ridge, and another of its out-of-fold residuals (folds of brands by hash) on another column."""
+    part = table(spark, sf_dir, "part").select("p_brand", F.col("p_size").cast("double").alias("x"), (F.col("p_partkey") % 7).cast("double").alias("e"), F.col("p_retailprice").alias("y"))
+    head = heads.fit_residual(part, ["x"], ["e"], ["y"], "p_brand")
+    values = [head.first.coef[0][0], head.first.intercept[0], head.second.coef[0][0], head.second.intercept[0]]
+    return spark.createDataFrame([tuple(round(float(v), 5) for v in values)], "first_coef double, first_level double, second_coef double, second_level double")
+
+
+@query("""
+WITH t AS (SELECT * FROM part WHERE p_brand <> 'Brand#11' AND p_size <> 7), g AS (SELECT p_brand, row_number() OVER (ORDER BY sha256('42' || chr(0) || p_brand), p_brand) - 1 k FROM (SELECT DISTINCT p_brand FROM t)),
+n AS (SELECT CAST(ceil(count(*) * 0.2) AS BIGINT) n FROM g) SELECT (SELECT count(*) FROM t) AS rows, count(*) AS held FROM t JOIN g USING (p_brand), n WHERE k < n
+""")
+def auxiliary_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts clear of reserved brands and sizes, a fifth of the brands held out for the metrics of a ridge."""
+    part = table(spark, sf_dir, "part").withColumns({"x": F.col("p_size").cast("double"), "brand": F.col("p_brand")})
+    reserved = [spark.createDataFrame([("Brand#11",)], "v string"), spark.createDataFrame([("7",)], "v string")]
+    found = models.auxiliary_fit(part, "p_partkey", ["x"], ["p_retailprice"], [F.col("brand"), F.col("p_size").cast("string")], reserved, "p_brand")
+    return spark.createDataFrame([(found["rows"], found["metrics"]["p_retailprice"]["rows"])], "rows long, held long")
+
+
+_GC = {"methyl": (400, 0, 0, 30), "methylene": (270, 0, 0, 16), "methine": (80, 0, 0, -1), "alcohol": (210, 500, 20000, 10), "ester": (390, 490, 7000, 18), "vinyl_methine": (200, 0, 0, 13)}
+_GC_SUMS = [("CCO", 880, 500.0, 20000, 56), ("CC(C)C", 1280, 0.0, 0, 89), ("CC(=O)OC", 1190, 490.0, 7000, 78), ("CC=CC", 1200, 0.0, 0, 86)]
+
+
+@query(f"WITH {_texts(_SOURCED)}, c AS {_counted(_GC_SUMS, 'smiles, d, p, e, v')} SELECT smiles, count(*) AS parts, round(d / v::DOUBLE, 9) AS delta_d, round(c.p / v::DOUBLE, 9)::DOUBLE AS delta_p, round(sqrt(e / v::DOUBLE), 9) AS delta_h FROM p JOIN c USING (smiles) GROUP BY ALL")
+def group_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of solubility from counted groups and a table of coefficients; structures with an uncounted atom have none."""
+    coefficients = spark.createDataFrame([(k, *map(float, v)) for k, v in _GC.items()], "name string, fd double, fp double, eh double, volume double")
+    rows = chemistry.with_source_groups(_parts(spark, sf_dir, _SOURCED))
+    found = rows.select("p_partkey", "smiles", F.explode("source_groups").alias("name", "n")).join(F.broadcast(coefficients), "name")
+    n = F.col("n")
+    sums = found.groupBy("p_partkey", "smiles").agg(F.sum(n * F.col("fd")).alias("fd"), F.sum(n * F.col("fp") * F.col("fp")).alias("fp2"), F.sum(n * F.col("eh")).alias("eh"), F.sum(n * F.col("volume")).alias("v"))
+    d, p, h = scalar.polar_parts(F.col("fd"), F.array(F.sqrt("fp2")), F.col("eh"), F.col("v"))
+    return sums.groupBy("smiles", F.round(d, 9).alias("delta_d"), F.round(p, 9).alias("delta_p"), F.round(h, 9).alias("delta_h")).agg(F.count(F.lit(1)).alias("parts"))
+
+
+@query("SELECT 2 AS rank, true AS positive, true AS reconstructed, count(*) AS rows FROM nation")
+def spectral_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A softplus response over a kernel of two columns: its rank, its responses above zero and the kernel rebuilt from its spectrum."""
+    rows = heads.matrix(table(spark, sf_dir, "nation").orderBy("n_nationkey"), ["n_nationkey", "n_regionkey"])
+    z = (rows - rows.mean(0)) / rows.std(0)
+    kernel = z @ z.T / 2
+    found = heads.fit_softplus(kernel, rows[:, 1] + 1, 0.5)
+    response = np.logaddexp(0, kernel @ found["dual"] + found["intercept"])
+    return spark.createDataFrame([(found["rank"], bool((response > 0).all()), found["reconstruction_error"] < 1e-9, len(rows))], "rank int, positive boolean, reconstructed boolean, rows long")
