@@ -14,8 +14,10 @@ Sizes. Exact counts of the most frequent tokens (at most FREQUENT, all with a co
 broadcast; occurrences of other tokens, and of tokens after them, meet the exact counts by shuffled joins. So base_score is
 exact, and p1 and C1 are at every size: FREQUENT changes no result. The filter is broadcast FILTER_BYTES at a time:
 each group of segments takes one pass over the documents and is destroyed before the next is read, and a text's parts
-are summed. So what is broadcast, and what the driver holds, doesn't grow with the corpus, but the passes do; on larger
-executors raise FILTER_BYTES to save passes.
+are summed. Beyond MOST_PASSES groups the pairs go to the filter instead: each block of documents sends its distinct
+pairs to their segments by a shuffle and gets their levels back, with the same scores. So neither what is broadcast nor
+the number of passes grows with the corpus. A reducer holds one segment's pairs: raise spark.sql.shuffle.partitions
+along with the corpus, as for any aggregate.
 
 Tokens are runs without blanks, A-Z lowered, by their 64-bit hashes, then one end. Defined results: a null text counts as
 empty (one end); texts of any length are scored whole; repeated rows stay; without training documents N = V = 0, c = 0
@@ -41,6 +43,8 @@ from .words import NOT_BLANK, mix, scan
 
 BITS_SET, ENTRY_BITS, LAMBDA = 5, 10, 0.75
 FREQUENT, FILTER_BYTES = 1 << 20, 64 << 20
+#: Groups of filters that are broadcast; of a larger filter each pair is sent to its segment.
+MOST_PASSES = 8
 #: Distinct pairs that a counting task holds before it sends them.
 HELD = 3_000_000
 LEVELS = 48
@@ -240,6 +244,9 @@ class Model:
     least: int
     segments: int
 
+    def filter_bytes(self) -> int:
+        return self.counts.where("n = 2").agg(F.coalesce(F.sum(F.octet_length("filter").cast("long")), F.lit(0))).first()[0]
+
     def groups(self) -> Iterator[Filters]:
         """The filters, FILTER_BYTES at a time (one segment at least)."""
         sizes = {r[0]: r[1] for r in self.counts.where("n = 2").select("segment", F.octet_length("filter")).collect()}
@@ -283,6 +290,37 @@ _OPEN = [("key", pa.int64()), ("other", pa.int64()), ("count", pa.int64()), ("be
 _PART = "row long, doc_id {}, held_out boolean, n_tokens long, known long, base double, part double, open array<struct<key:bigint,other:bigint,count:bigint,before:bigint,level:int,times:bigint>>"
 
 
+def _scored(h: np.ndarray, at: np.ndarray, frequent: Frequent, own: np.ndarray, level: np.ndarray, first: bool) -> dict:
+    """What the pairs at the places `own`, of these levels, add to each row; with first also the tokens' counts."""
+    c, n = frequent.of(h), len(at) - 1
+    context = np.empty_like(c)
+    context[1:] = c[:-1]
+    context[at[:-1]] = frequent.of(np.array([END], _U))[0]
+    closed = (c[own] >= 0) & (context[own] >= 0)
+    exact = own[closed]
+    p1 = (c[exact] + 0.1) / frequent.scale
+    share = np.minimum(1.0, STANDS_FOR[level[closed]] / np.maximum(context[exact], 1))
+    logs = np.zeros(len(h))
+    logs[exact] = np.log10(LAMBDA * share + (1 - LAMBDA) * p1)
+    lost, level = own[~closed], level[~closed]
+    gram, doc = pairs(h, at)[lost], np.searchsorted(at, lost, "right") - 1
+    order = np.lexsort((gram, doc))
+    lost, level, gram, doc = lost[order], level[order], gram[order], doc[order]
+    heads = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (doc[1:] != doc[:-1])])) if len(lost) else np.zeros(0, np.int64)
+    times = np.diff(np.append(heads, len(lost)))
+    ends = np.searchsorted(doc[heads], np.arange(n + 1)).astype(np.int32)
+    lost, level = lost[heads], level[heads]
+    token, previous = h[lost].view(np.int64), before(h, at)[lost].view(np.int64)
+    columns = [np.where(c[lost] < 0, token, previous), np.where((c[lost] < 0) & (context[lost] < 0), previous, 0), c[lost], context[lost], level, times]
+    places = pa.StructArray.from_arrays([pa.array(x).cast(kind) for x, (_, kind) in zip(columns, _OPEN, strict=True)], [name for name, _ in _OPEN])
+    known = (c > 0).astype(np.int64) if first else np.zeros(len(h), np.int64)
+    base = np.where(c >= 0, np.log10(np.maximum(c, 0) + 0.1), 0.0) if first else np.zeros(len(h))
+    return {"n_tokens": pa.array(np.diff(at)), **{k: pa.array(np.add.reduceat(v, at[:-1])) for k, v in (("known", known), ("base", base), ("part", logs))}, "open": pa.ListArray.from_arrays(pa.array(ends), places)}
+
+
+_ROW = ("row", "doc_id", "held_out")
+
+
 def _part(rows: DataFrame, counted: Broadcast, group: Broadcast, first: bool) -> DataFrame:
     """What one group of filters adds to each row; the first pass also has the tokens' counts."""
 
@@ -290,55 +328,94 @@ def _part(rows: DataFrame, counted: Broadcast, group: Broadcast, first: bool) ->
         frequent, filters = counted.value, group.value
         for block in byte_blocks(batch, "text"):
             h, at = tokens(block.column("text"))
-            c, n = frequent.of(h), len(at) - 1
-            context = np.empty_like(c)
-            context[1:] = c[:-1]
-            context[at[:-1]] = frequent.of(np.array([END], _U))[0]
             grams = pairs(h, at)
             own = np.flatnonzero(filters.covers(grams))
-            level = filters.level(grams[own])
-            closed = (c[own] >= 0) & (context[own] >= 0)
-            exact = own[closed]
-            p1 = (c[exact] + 0.1) / frequent.scale
-            share = np.minimum(1.0, STANDS_FOR[level[closed]] / np.maximum(context[exact], 1))
-            logs = np.zeros(len(h))
-            logs[exact] = np.log10(LAMBDA * share + (1 - LAMBDA) * p1)
-            lost, level = own[~closed], level[~closed]
-            doc = np.searchsorted(at, lost, "right") - 1
-            order = np.lexsort((grams[lost], doc))
-            lost, level, doc = lost[order], level[order], doc[order]
-            heads = np.flatnonzero(np.concatenate([[True], (grams[lost][1:] != grams[lost][:-1]) | (doc[1:] != doc[:-1])])) if len(lost) else np.zeros(0, np.int64)
-            times = np.diff(np.append(heads, len(lost)))
-            ends = np.searchsorted(doc[heads], np.arange(n + 1)).astype(np.int32)
-            lost, level = lost[heads], level[heads]
-            token, previous = h[lost].view(np.int64), before(h, at)[lost].view(np.int64)
-            columns = [np.where(c[lost] < 0, token, previous), np.where((c[lost] < 0) & (context[lost] < 0), previous, 0), c[lost], context[lost], level, times]
-            places = pa.StructArray.from_arrays([pa.array(x).cast(kind) for x, (_, kind) in zip(columns, _OPEN, strict=True)], [name for name, _ in _OPEN])
-            known = (c > 0).astype(np.int64) if first else np.zeros(len(h), np.int64)
-            base = np.where(c >= 0, np.log10(np.maximum(c, 0) + 0.1), 0.0) if first else np.zeros(len(h))
-            yield {
-                "row": block.column("row"), "doc_id": block.column("doc_id"), "held_out": block.column("held_out"), "n_tokens": pa.array(np.diff(at)),
-                **{k: pa.array(np.add.reduceat(v, at[:-1])) for k, v in (("known", known), ("base", base), ("part", logs))},
-                "open": pa.ListArray.from_arrays(pa.array(ends), places),
-            }
+            yield {c: block.column(c) for c in _ROW} | _scored(h, at, frequent, own, filters.level(grams[own]), first)
 
     return map_batches(rows, step, _PART.format(rows.schema["doc_id"].dataType.simpleString()))
 
 
-def score(df: DataFrame, model: Model, held_out: Column) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of df."""
-    frequent = model.frequent
-    rows = df.select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out.alias("held_out"), text_or_empty().alias("text"))
-    context = df.sparkSession.sparkContext
-    known, each = context.broadcast(frequent), []
+def _passes(rows: DataFrame, model: Model, counted: Broadcast) -> DataFrame:
+    """All parts, by a pass over the documents for each group of filters."""
+    context, each = rows.sparkSession.sparkContext, []
     for filters in model.groups():
         # One group at a time, on the driver as on the executors: it is gone before the next is read.
         group = context.broadcast(filters)
         del filters
-        each.append(stored(_part(rows, known, group, not each), "lm-part"))
+        each.append(stored(_part(rows, counted, group, not each), "lm-part"))
         group.destroy()
+    return functools.reduce(DataFrame.unionByName, each)
+
+
+def _routed(rows: DataFrame, model: Model, counted: Broadcast) -> DataFrame:
+    """All parts, by sending each block's distinct pairs to the segments that hold their filters, and the levels back.
+
+    Documents are read once, as blocks of token hashes; what is sent grows with the text alone, and a task holds one
+    segment's filter or one block.
+    """
+    kind, segments = rows.schema["doc_id"].dataType.simpleString(), model.segments
+
+    def pack(batch: pa.RecordBatch) -> Iterator[dict]:
+        for block in byte_blocks(batch, "text"):
+            h, at = tokens(block.column("text"))
+            whole = [0, block.num_rows]
+            yield {"block": block.column("row").slice(0, 1)} | {c: pa.ListArray.from_arrays(whole, block.column(c)) for c in _ROW} | {"size": pa.ListArray.from_arrays(whole, pa.array(np.diff(at))), "tokens": pa.array([h.tobytes()], pa.binary())}
+
+    blocks = stored(map_batches(rows, pack, f"block long, row array<long>, doc_id array<{kind}>, held_out array<boolean>, size array<long>, tokens binary"), "lm-blocks")
+
+    def unpacked(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
+        size = batch.column("size")[i].values.to_numpy()
+        return np.frombuffer(batch.column("tokens")[i].as_buffer(), _U), np.concatenate([[0], np.cumsum(size)])
+
+    def ask(batch: pa.RecordBatch) -> Iterator[dict]:
+        for i, block in enumerate(batch.column("block").to_pylist()):
+            grams = np.unique(pairs(*unpacked(batch, i)))
+            cut = np.searchsorted(segment(grams, segments), np.arange(segments + 1))
+            full = np.flatnonzero(np.diff(cut)).tolist()
+            yield {"segment": pa.array(full, pa.int32()), "block": pa.array([block] * len(full), pa.int64()), "payload": pa.array([grams[cut[s] : cut[s + 1]].tobytes() for s in full], pa.binary())}
+
+    asked = map_batches(blocks.select("block", "size", "tokens"), ask, "segment int, block long, payload binary")
+    filters = model.counts.where("n = 2").select("segment", F.lit(None).cast("long").alias("block"), F.col("filter").alias("payload"))
+    dealt = asked.unionByName(filters).repartition("segment").sortWithinPartitions("segment", F.col("block").asc_nulls_first())
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = None, -1
+        for batch in batches:
+            out: tuple[list, list, list] = ([], [], [])
+            for s, block, payload in zip(*batch.columns, strict=True):
+                words = np.frombuffer(payload.as_buffer(), _U)
+                if not block.is_valid:
+                    held, at = Filters(words.copy(), np.array([len(words)]), s.as_py(), segments), s.as_py()
+                    continue
+                # A segment without pairs has no filter: no pair of it was ever seen.
+                level = held.level(words) if at == s.as_py() else np.zeros(len(words), np.int64)
+                for into, value in zip(out, (block.as_py(), s.as_py(), level.astype(np.uint8).tobytes()), strict=True):
+                    into.append(value)
+            yield pa.RecordBatch.from_pydict({"block": pa.array(out[0], pa.int64()), "segment": pa.array(out[1], pa.int32()), "levels": pa.array(out[2], pa.binary())})
+
+    levels = dealt.mapInArrow(answer, "block long, segment int, levels binary")
+    back = blocks.join(levels.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("segment", "levels"))).alias("levels")), "block")
+
+    def close(batch: pa.RecordBatch) -> Iterator[dict]:
+        frequent = counted.value
+        for i in range(batch.num_rows):
+            h, at = unpacked(batch, i)
+            grams, which = np.unique(pairs(h, at), return_inverse=True)
+            found = np.frombuffer(b"".join(x["levels"] for x in batch.column("levels")[i].as_py()), np.uint8).astype(np.int64)
+            if len(found) != len(grams):
+                raise ValueError("levels of some pairs are missing")
+            yield {c: batch.column(c)[i].values for c in _ROW} | _scored(h, at, frequent, np.arange(len(h)), found[which], True)
+
+    return stored(map_batches(back, close, _PART.format(kind)), "lm-parts")
+
+
+def score(df: DataFrame, model: Model, held_out: Column) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of df."""
+    frequent = model.frequent
+    rows = df.select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out.alias("held_out"), text_or_empty().alias("text"))
+    known = df.sparkSession.sparkContext.broadcast(frequent)
+    parts = (_passes if model.filter_bytes() <= MOST_PASSES * FILTER_BYTES else _routed)(rows, model, known)
     known.destroy()
-    parts = functools.reduce(DataFrame.unionByName, each)
     counts = _listed(model.counts, 1, model.least).withColumnRenamed("count", "c")
     places = parts.select("row", F.explode("open").alias("o")).select("row", "o.*")
     both = (F.col("count") < 0) & (F.col("before") < 0)

@@ -48,7 +48,8 @@ def test_score_does_not_depend_on_what_is_broadcast(spark, small, monkeypatch):
     df = documents(spark, [None, "", "never never seen never seen", "x " * 30_000, *texts])
     key = lambda r: (r[0] is not None, r[0] or 0, r[2])
     whole = sorted(map(tuple, ngram_bloom.digest(df).collect()), key=key)
-    for frequent, filter_bytes in ((40, 400), (0, 64 << 20)):
+    for frequent, filter_bytes, passes in ((40, 400, 1000), (0, 64 << 20, 8), (1 << 20, 400, 1), (40, 400, 0)):
+        monkeypatch.setattr(ngram_bloom, "MOST_PASSES", passes)
         monkeypatch.setattr(ngram_bloom, "FREQUENT", frequent)
         monkeypatch.setattr(ngram_bloom, "FILTER_BYTES", filter_bytes)
         got = sorted(map(tuple, ngram_bloom.digest(df).collect()), key=key)
@@ -58,6 +59,7 @@ def test_score_does_not_depend_on_what_is_broadcast(spark, small, monkeypatch):
 
 def test_one_group_of_filters_is_alive_at_a_time(spark, small, monkeypatch):
     monkeypatch.setattr(ngram_bloom, "FILTER_BYTES", 400)
+    monkeypatch.setattr(ngram_bloom, "MOST_PASSES", 10_000)
     df = spark.read.parquet(f"{small}/documents.parquet").limit(40)
     context, alive, most = type(spark.sparkContext), set(), []
     put = context.broadcast
@@ -76,6 +78,15 @@ def test_one_group_of_filters_is_alive_at_a_time(spark, small, monkeypatch):
     assert len(most) > 1 and set(most) == {1} and not alive
 
 
+def test_routed_pairs_of_awkward_tables(spark, monkeypatch):
+    monkeypatch.setattr(ngram_bloom, "MOST_PASSES", 0)
+    df = documents(spark, [None, "", " ", "a b a b", "x " * 30_000]).repartition(3)
+    routed = sorted(map(tuple, ngram_bloom.digest(df).collect()), key=repr)
+    monkeypatch.undo()
+    assert [r[:5] for r in routed] == [r[:5] for r in sorted(map(tuple, ngram_bloom.digest(df).collect()), key=repr)]
+    assert ngram_bloom.digest(empty(spark)).collect() == []
+
+
 def test_empty_and_untrained(spark):
     assert ngram_bloom.digest(empty(spark)).collect() == []
     held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 10 == 0)
