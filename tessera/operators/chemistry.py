@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
-from ..functions import blocks, crippen, sites, structures
+from ..functions import blocks, crippen, sites, structures, tautomers
 from .grouping import alias_components
 
 
@@ -80,6 +80,11 @@ def with_canonical(df: DataFrame, column: str = "smiles") -> DataFrame:
     return _per_distinct(df, column, "canonical string, bits array<int>", lambda t: {"canonical": structures.canonical(t), "bits": structures.fingerprint(t)})
 
 
+def with_tautomer_parent(df: DataFrame, column: str = "smiles") -> DataFrame:
+    """The tautomer parent; a set of forms beyond the bounds is a fault."""
+    return _per_distinct(df, column, "parent string", lambda t: {"parent": tautomers.parent(t)})
+
+
 def with_charges(df: DataFrame, column: str = "smiles") -> DataFrame:
     """The charge class, and whether the structure is one saturated chain of carbon and hydrogen."""
     return _per_distinct(df, column, "charges string, saturated boolean", lambda t: {"charges": structures.charge_class(t), "saturated": structures.saturated_chain(t)})

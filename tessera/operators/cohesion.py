@@ -40,7 +40,7 @@ def chain_state(unit: str, left: str, right: str, dp: int, tacticity: str) -> di
         raise structures.StructureError("a bounded chain of one unit at least is needed")
     shape = [*blocks.composed(blocks.populations(first)).values(), math.log1p(dp), math.log1p(mass), 1 / dp, float(tacticity == "atactic")]
     plain = not any(a.charge or a.isotope or structures.radical(m) for a in m.atoms)
-    return {"unit": structures.canonical(unit), "plain": plain, "capped": structures.write(first), "mass": mass, "rebuilt": shape}
+    return {"unit": structures.canonical(unit), "plain": plain, "capped": structures.write(first, marks=True), "mass": mass, "rebuilt": shape}
 
 
 def with_chain_state(df: DataFrame) -> DataFrame:

@@ -364,6 +364,26 @@ def canonical_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("canonical", "bits").agg(F.min("p_partkey").alias("first_part"), F.count(F.lit(1)).alias("parts"), F.count_distinct("smiles").alias("texts"), F.max(F.col("structure_fault").isNotNull()).alias("refused")).drop("canonical", "bits")
 
 
+_TAUTOMERS = [("CC(C)=O", 1), ("CC(O)=C", 1), ("CC(=O)N", 2), ("CC(O)=N", 2), ("CC(=O)CC(C)=O", 3), ("CC(O)=CC(C)=O", 3), ("O=C1C=CC=CN1", 4), ("Oc1ccccn1", 4), ("O=C1CC=CC=C1", 5), ("Oc1ccccc1", 5), ("CCO", 6), ("N[C@@H](C)C(=O)O", 7), ("N[C@H](C)C(=O)O", 7)]
+
+
+@query(f"WITH {_texts(tuple(r[0] for r in _TAUTOMERS))}, c AS {_counted(_TAUTOMERS, 'smiles, form')} SELECT min(p_partkey) AS first_part, count(*) AS parts, count(DISTINCT smiles) AS texts FROM p JOIN c USING (smiles) GROUP BY form")
+def tautomer_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forms that shifts of hydrogen connect have one parent (mirror images too, since parents have no marks)."""
+    rows = chemistry.with_tautomer_parent(_parts(spark, sf_dir, tuple(r[0] for r in _TAUTOMERS)))
+    return rows.groupBy("parent").agg(F.min("p_partkey").alias("first_part"), F.count(F.lit(1)).alias("parts"), F.count_distinct("smiles").alias("texts")).drop("parent")
+
+
+_MARKED = [("N[C@@H](C)C(=O)O", 1), ("C[C@H](N)C(=O)O", 1), ("N[C@H](C)C(=O)O", 2), ("F/C=C/F", 3), ("C(\\F)=C/F", 3), ("F/C=C\\F", 4), ("C[C@H](C)O", 5), ("CC(C)O", 5)]
+
+
+@query(f"WITH {_texts(tuple(r[0] for r in _MARKED))}, c AS {_counted(_MARKED, 'smiles, form')} SELECT min(p_partkey) AS first_part, count(*) AS parts, count(DISTINCT smiles) AS texts FROM p JOIN c USING (smiles) GROUP BY form")
+def marked_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mirror images and sides of double bonds are told apart, spellings are not."""
+    rows = chemistry.with_canonical(_parts(spark, sf_dir, tuple(r[0] for r in _MARKED)))
+    return rows.groupBy("canonical").agg(F.min("p_partkey").alias("first_part"), F.count(F.lit(1)).alias("parts"), F.count_distinct("smiles").alias("texts")).drop("canonical")
+
+
 _SIZES = [("CCO", 46.069, 3, 0, 1, 0), ("c1ccccc1", 78.114, 6, 1, 0, 0), ("CC(=O)OCC", 88.106, 6, 0, 0, 2), ("CC1CCCCC1", 98.189, 7, 1, 0, 0)]
 
 
