@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Callable
 
 import numpy as np
@@ -12,8 +13,8 @@ from .structures import GROUP_NAMES, Molecule, StructureError, joined, owned_gro
 # The units, in order of their ports, and the orders of blocks.
 EO, PO = "[1*]OCC[2*]", "[1*]OCC(C)[2*]"
 ORDERS = ("eo_then_po", "po_then_eo")
-#: Units that are built atom by atom; beyond, populations are continued on a plane.
-BUILT, NEAR, FAR = 64, 4, 16
+#: Chains of so many units at most are built atom by atom; longer ones lie on a plane through chains of these block lengths.
+BUILT, LATTICE = 48, (5, 9, 23)
 #: What is counted: groups, then additive descriptors, unassigned and heavy atoms.
 COUNTED = (*GROUP_NAMES, "weight", "rings", "rotatable", "polar_area", "unassigned", "heavy")
 
@@ -33,18 +34,15 @@ def populations(m: Molecule) -> np.ndarray:
 
 
 def plane(build: Callable[[int, int], np.ndarray], present: tuple[bool, bool]) -> np.ndarray:
-    """Coefficients (eo, po, 1) of populations beyond NEAR units of each block that is there, certified at twice FAR.
+    """Coefficients (eo, po, 1) of the populations of long blocks: the least squares over a lattice of built chains.
 
-    The three coefficients solve the populations of the least corner and of one long block each.
+    The lattice has more chains than coefficients; unless the plane goes through all of them, populations don't add up.
     """
-    corner = [NEAR if p else 0 for p in present]
-    corners = [corner, *([FAR if i == k else n for i, n in enumerate(corner)] for k in range(2) if present[k])]
-    active = [k for k in range(2) if present[k]]
-    design = np.array([[c[k] for k in active] + [1] for c in corners], float)
-    found = np.zeros((3, len(COUNTED)))
-    found[[*active, 2]] = np.linalg.solve(design, np.array([build(*c) for c in corners]))
-    far = [2 * FAR if p else 0 for p in present]
-    if not np.allclose(np.array([*far, 1]) @ found, build(*far), atol=1e-7, rtol=1e-9):
+    lattice = list(itertools.product(*(LATTICE if p else (0,) for p in present)))
+    design = np.array([[*n, 1.0] for n in lattice])
+    built = np.array([build(*n) for n in lattice])
+    found = np.linalg.lstsq(design, built, rcond=None)[0]
+    if not np.allclose(design @ found, built, atol=1e-7, rtol=1e-9):
         raise StructureError("populations are no plane in the numbers of units")
     return found
 
