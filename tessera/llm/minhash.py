@@ -204,7 +204,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         yield {c: batch.column(c).take(pa.array(kept, pa.int64())) for c in ("u", "v")}
 
     # Rebalanced: a few links from many tasks would be as many files.
-    return stored(map_batches(left.join(right, ["u", "v"]), step, "u long, v long").hint("rebalance"), "links")
+    links = stored(map_batches(left.join(right, ["u", "v"]), step, "u long, v long").hint("rebalance"), "links")
+    dropped(pairs)
+    return links
 
 
 def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -296,7 +298,6 @@ def _blocks(keyed: DataFrame, columns: list[str], schema: str, work: Callable[[t
 
 def _dealt(rows: DataFrame) -> DataFrame:
     """Every class of a mixed bucket in the blocks (x, y) in which it meets others: out as one outside the largest component, else as any."""
-    rows = stored(rows.select("bucket", "band", "node", "label"), "unsettled")
     sizes = rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most"))
     blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
     sizes = sizes.select("bucket", F.col("most.label").alias("largest"), blocks(F.col("n")).alias("wide"), blocks(F.col("n") - F.col("most.n")).alias("high"))
@@ -314,6 +315,7 @@ def _remaining_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFram
     In each bucket the classes outside its largest component meet all others in blocks of BLOCK by BLOCK: signatures
     first, then full sets of the classes that have a pair left.
     """
+    rows = stored(rows.select("bucket", "band", "node", "label"), "unsettled")
     keyed = _dealt(rows)
 
     def surviving_nodes(key: tuple, held: list[list]) -> dict:
@@ -329,10 +331,13 @@ def _remaining_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFram
 
     signed = keyed.join(sets.select("node", "sig"), "node")
     left = stored(_blocks(signed, ["node", "label", "out", "sig"], "bucket long, band int, x int, y int, node long, label long, out boolean", surviving_nodes).hint("rebalance"), "survivors")
+    dropped(rows)
     if not left.limit(1).count():
         return left.select(F.col("node").alias("u"), F.col("node").alias("v"))
     full = left.join(sets, "node")
-    return stored(_blocks(full, ["node", "label", "out", "sig", "set"], "u long, v long", links).hint("rebalance"), "links")
+    out = stored(_blocks(full, ["node", "label", "out", "sig", "set"], "u long, v long", links).hint("rebalance"), "links")
+    dropped(left)
+    return out
 
 
 def _grouped(df: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -345,25 +350,27 @@ def _grouped(df: DataFrame, shingle: int, percent: int) -> DataFrame:
     centres = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("centre")).where("n > 1").drop("n")
     members = stored(banded.join(centres, "bucket").select("bucket", "band", "node", "centre").hint("rebalance"), "members")
     wanted = classes.select("node", "least.doc_id", "least.key").join(members.select("node").distinct(), "node", "left_semi")
-    sets = stored(_full_sets(df, stored(wanted, "wanted"), shingle), "sets")
+    wanted = stored(wanted, "wanted")
+    sets = stored(_full_sets(df, wanted, shingle), "sets")
 
-    links = _verified(members.groupBy("node").agg(F.min("centre").alias("centre")).toDF("u", "v"), sets, percent)
-    labels = components(links)
-    links = links.union(_verified(_second_pairs(_labelled(members, labels)), sets, percent))
-    labels = components(links)
-    links = links.union(_remaining_links(_labelled(members, labels), sets, percent))
-    labels = components(links)
+    found = [_verified(members.groupBy("node").agg(F.min("centre").alias("centre")).toDF("u", "v"), sets, percent)]
+    labels = components(found[0])
+    for further in (lambda rows: _verified(_second_pairs(rows), sets, percent), lambda rows: _remaining_links(rows, sets, percent)):
+        found.append(further(_labelled(members, labels)))
+        dropped(labels)
+        labels = components(functools.reduce(DataFrame.union, found))
 
     own = classes.select("node", "least")
     least = labels.join(own, "node").groupBy("label").agg(F.min("least").alias("least"))
-    found = own.join(looked_up(labels, least, "label").select("node", F.col("least").alias("joined")), "node", "left").select("node", F.coalesce("joined", "least").alias("least"))
+    joined = own.join(looked_up(labels, least, "label").select("node", F.col("least").alias("joined")), "node", "left").select("node", F.coalesce("joined", "least").alias("least"))
     # A class may be a third of all rows: its documents are joined where they are.
-    out = looked_up(rows.select("doc_id", "key", "n_shingles", "node"), stored(found, "found"), "node", "left", most=WIDE_ROWS)
+    joined = stored(joined, "joined")
+    out = looked_up(rows.select("doc_id", "key", "n_shingles", "node"), joined, "node", "left", most=WIDE_ROWS)
     alone = F.col("node").isNull()
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("least.doc_id"))
     kept = alone | (F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("key") == F.col("least.key")))
     out = stored(out.select("doc_id", "key", "n_shingles", component.alias("component_id"), kept.alias("kept")), "duplicates")
-    for done in (rows, classes, members, sets):
+    for done in (rows, classes, members, wanted, sets, *found, labels, joined):
         dropped(done)
     return out
 
