@@ -8,10 +8,10 @@ as a skippable frame: per frame its compressed and plain size and the low 32 bit
 `write_shards(df, tokenizer, path)` returns the manifest, one row per shard; shards are ranges of doc_id, ascending, and
 so are the documents within each. `read_shards(manifest)` gives a row per document.
 
-Defined results: a null text counts as empty and has the end id only; a null doc_id comes before all others; rows that
-share a doc_id stay and follow each other by their ids; other columns are not written; an empty table gives no shards
-and an empty result. A task streams its shard to the shared folder under a name of its own attempt; only the manifest's
-names count, so a lost or repeated task does no harm.
+Defined results: a null text counts as empty and has the end id only; doc_id is cast to a 64-bit integer (what can't be is
+null); a null doc_id comes before all others; rows that share a doc_id stay and follow each other by their ids; other
+columns are not written; an empty table gives no shards and an empty result. A task streams its shard to the shared
+folder under a name of its own attempt; only the manifest's names count, so a lost or repeated task does no harm.
 """
 
 from __future__ import annotations
@@ -141,14 +141,14 @@ def encoded(df: DataFrame, tokenizer: str, bounds: list[int]) -> DataFrame:
             rows = [ids[a * width : b * width] + end for a, b in zip(at[:-1], at[1:], strict=True)]
             yield {"doc_id": doc_id, "shard": pa.array(shard, pa.int32()), "ids": pa.array(rows, pa.binary())}
 
-    return map_batches(df.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")), step, "doc_id long, shard int, ids binary")
+    return map_batches(df.select(F.col("doc_id").try_cast("long"), text_or_empty().alias("text")), step, "doc_id long, shard int, ids binary")
 
 
 def write_shards(df: DataFrame, tokenizer: str, path: str, shards: int | None = None) -> DataFrame:
     """Writes df's documents below path in shards (as many as df has partitions) and returns the stored manifest."""
     shards = shards or max(1, df.rdd.getNumPartitions())
     # Quantiles of doc_id alone: a range exchange would encode every text twice to sample the keys.
-    bounds = sorted({int(q) for q in df.select(F.col("doc_id").cast("double")).approxQuantile("doc_id", [i / shards for i in range(1, shards)], 0.25 / shards)}) if shards > 1 else []
+    bounds = sorted({int(q) for q in df.select(F.col("doc_id").try_cast("long").cast("double").alias("doc_id")).approxQuantile("doc_id", [i / shards for i in range(1, shards)], 0.25 / shards)}) if shards > 1 else []
     ordered = encoded(df, tokenizer, bounds).repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
     folder = path.rstrip("/")
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import text_or_empty
+from .runtime import masked, schema_of, text_or_empty
 
 PAD, BLOCK = 255, 576
 UNIT, GROUP = 16 * BLOCK, 8
@@ -168,7 +168,7 @@ _UNITS = pa.list_(pa.struct([("pts", pa.int64()), ("packet", pa.int64()), ("rand
 
 
 def _declared(df: DataFrame, *more: str) -> str:
-    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *more])
+    return ", ".join(x for x in (schema_of(df), *more) if x)
 
 
 def to_streams(df: DataFrame) -> DataFrame:
@@ -181,11 +181,11 @@ def to_streams(df: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], names=[*kept_names, "media"])
 
     kept_names = kept.columns
-    return kept.mapInArrow(run, _declared(kept, "media binary"))
+    return masked(kept).mapInArrow(run, _declared(kept, "media binary"))
 
 
 def from_streams(df: DataFrame) -> DataFrame:
-    kept = df.drop("payload", "units", "fault").select(*[c for c in df.columns if c not in ("media", "payload", "units", "fault")], "media")
+    kept = df.drop("payload", "units", "fault").select(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns if c not in ("media", "payload", "units", "fault")], "media")
     names = kept.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +203,7 @@ def from_streams(df: DataFrame) -> DataFrame:
                     faults.append(str(e) if type(e) is ValueError else "stream_cut_short")
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(payloads, pa.binary()), pa.array(units, _UNITS), pa.array(faults, pa.string())], names=[*names, "payload", "units", "fault"])
 
-    return kept.mapInArrow(run, _declared(kept.drop("media"), "payload binary", "units array<struct<pts:bigint,packet:bigint,random_access:boolean>>", "fault string"))
+    return masked(kept).mapInArrow(run, _declared(kept.drop("media"), "payload binary", "units array<struct<pts:bigint,packet:bigint,random_access:boolean>>", "fault string"))
 
 
 def digest(df: DataFrame) -> DataFrame:

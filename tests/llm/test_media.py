@@ -36,5 +36,7 @@ def test_awkward_rows(spark):
     assert ts.digest(empty(spark)).collect() == []
     media = ts.from_streams(ts.to_streams(df.withColumnRenamed("source", "payload")).withColumnRenamed("media", "media"))
     assert media.columns.count("payload") == 1 and not media.where("fault IS NOT NULL").count()
+    odd = ts.from_streams(ts.to_streams(df.selectExpr("*", "1 AS `a.b`", "'x' AS `c``d`")))
+    assert {(r["a.b"], r["c`d"], r["fault"]) for r in odd.collect()} == {(1, "x", None)} and "source" in odd.columns
     bad = ts.from_streams(spark.createDataFrame([(1, None), (2, bytearray(b"zz"))], "doc_id long, media binary")).collect()
     assert [r.fault for r in bad] == ["length_not_in_packets"] * 2 and all(r.payload is None for r in bad)

@@ -154,6 +154,8 @@ def test_shards(spark, library, tmp_path):
     found = token_frames.read_documents(shard["path"], [wanted])
     assert found[wanted][0].tolist()[:-1] == ids_of(library, rows[-1][2])
     assert token_frames.digest(empty(spark), PATH).collect() == []
+    texts = spark.createDataFrame([("7", "a"), ("x", "b"), ("11", "a b")], "doc_id string, text string")
+    assert [(r.doc_id, r.start, r.n_tokens) for r in token_frames.digest(texts, PATH).orderBy("start").collect()] == [(None, 0, 2), (7, 2, 2), (11, 4, 3)]
 
 
 def test_only_wanted_frames_are_read_and_damage_is_found(tmp_path):
