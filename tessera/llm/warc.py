@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import looked_up
 from .runtime import shared_folder, stored
 
 VERSION = b"WARC/1.1\r\n"
@@ -57,9 +58,8 @@ def record_rows(pages: DataFrame) -> DataFrame:
     rows = rows.withColumns({"payload_digest": sha1_base32(F.col("html")), "payload_bytes": F.octet_length("html").cast("long")})
     # Only groups with several ids take part in the join, so it is as small as the copies are few.
     firsts = stored(rows.groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "warc-firsts")
-    # Some 50 bytes a row: broadcast only below a checked size, else payloads are shuffled by digest.
-    small = firsts.count() <= BROADCAST_ROWS
-    rows = rows.join(F.broadcast(firsts) if small else firsts, "payload_digest", "left")
+    # Some 50 bytes a row: broadcast below a checked size; else payloads are shuffled by digest, but for those of large groups.
+    rows = looked_up(rows, firsts, "payload_digest", "left", most=BROADCAST_ROWS)
     first = F.col("first_id").isNull() | F.col("page_id").eqNullSafe(F.col("first_id"))
     return rows.withColumns({"record_type": F.when(first, "response").otherwise("revisit"), "refers_to": F.when(~first, F.col("first_id"))}).drop("first_id")
 

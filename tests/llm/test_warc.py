@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from tessera.llm import warc
+from tessera.operators import components
 
 SCHEMA = "page_id long, url string, html string"
 
@@ -33,6 +34,14 @@ def test_records_survive_magic_in_payloads(spark):
     assert warc.digest(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_copies_beyond_what_is_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(components, "HEAVY", 5)
+    pages = [(i, f"u{i}", "hot" if i % 3 == 0 else f"pair {i // 2}" if i < 40 else str(i)) for i in range(90)]
+    got = warc.digest(spark.createDataFrame(pages, SCHEMA)).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == expected(pages)
+
+
 def test_payloads_read_back(spark, tmp_path):
     pages = [(i, f"http://h/{i}", f"<p>{i % 3}</p>" * (i + 1)) for i in range(30)]
     warc.write_archives(spark.createDataFrame(pages, SCHEMA), f"file://{tmp_path}/w", records=4)
