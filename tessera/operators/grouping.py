@@ -21,7 +21,7 @@ def alias_components(df: DataFrame, row: str, aliases: Column) -> DataFrame:
     return df.select(F.col(row).cast("long").alias(row)).distinct().join(found, F.col(row) == found["node"], "left").select(row, F.coalesce("label", row).alias("group"))
 
 
-def hash_rank(df: DataFrame, keys: list[str], digest: Column, digits: int = 2) -> DataFrame:
+def hash_rank(df: DataFrame, keys: list[str], digest: Column, digits: int = 4) -> DataFrame:
     """df's distinct keys with `rank` (from 0) by (digest, keys).
 
     Ranks are local to a prefix of the hexadecimal digest plus the number of keys with lesser prefixes, so that no task
@@ -58,8 +58,14 @@ def group_split(df: DataFrame, group: str, seed: int, test: float = 0.2, calibra
     return first.where(F.col("rank") < n_test).select(group, F.lit("test").alias("split")).unionByName(second)
 
 
+#: Groups that may be dealt one after another on the driver.
+MOST_GROUPS = 1_000_000
+
+
 def size_balanced_folds(sizes: list[tuple[object, int]], folds: int) -> dict[object, int]:
-    """Largest groups first, each to the fold with the fewest rows so far (the least number among equals)."""
+    """Largest groups first, each to the fold with the fewest rows so far (the least number among equals); at most MOST_GROUPS."""
+    if len(sizes) > MOST_GROUPS:
+        raise ValueError(f"at most {MOST_GROUPS} groups can be dealt by size; deal them by hash")
     load = [0] * min(folds, max(1, len(sizes)))
     out = {}
     for key, n in sorted(sizes, key=lambda s: (-s[1], str(s[0]))):

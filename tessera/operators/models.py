@@ -336,7 +336,7 @@ def select_scalar(df: DataFrame, features: list[str], target: str, family: str,
     Ridges come from the folds' sums, so a grid without kernels takes any number of rows; kernels take a bounded one.
     """
     rows = _log_rows(df, features, target, family)
-    fold_of = grouping.size_balanced_folds([(r["family"], r["count"]) for r in rows.groupBy("family").count().collect()], 5)
+    fold_of = grouping.size_balanced_folds([(r["family"], r["count"]) for r in rows.groupBy("family").count().limit(grouping.MOST_GROUPS + 1).collect()], 5)
     if len(fold_of) < 5:
         raise ValueError("five families are needed")
     folds = df.sparkSession.createDataFrame([(name, fold, i) for i, (name, fold) in enumerate(fold_of.items())], "family string, fold int, number int")
