@@ -1,4 +1,4 @@
-"""Extremely randomised trees and one-layer networks, fitted from sums over rows.
+"""Randomised, positive and boosted trees and one-layer networks, fitted from sums over rows.
 
 Each pass over the rows is one aggregate: a batch gives partial sums (and minima), which are added (or minimised) by key.
 Tables of LOCAL_VALUES numbers at most are held on the driver and give the same sums without jobs; results do not depend
@@ -177,6 +177,113 @@ def fit_positive_forests(df: DataFrame, features: list[str], targets: list[str],
     return out
 
 
+# ------------------------------------------------------------------------------------------------------------- boosting
+
+
+def edges_of(df: DataFrame, feature: str, bins: int) -> np.ndarray:
+    """At most bins - 1 thresholds: between neighbouring values if there are few, else quantiles up to a quarter of a bin."""
+    values = df.select(F.col(feature).cast("double").alias("v")).where("v IS NOT NULL")
+    few = [r[0] for r in values.distinct().limit(bins + 1).collect()]
+    if len(few) <= bins:
+        v = np.sort(np.array(few, np.float32)).astype(float)
+        return np.unique((v[1:] + v[:-1]) / 2)
+    return np.unique(np.array(values.approxQuantile("v", [k / bins for k in range(1, bins)], 0.25 / bins), np.float32).astype(float))
+
+
+class _Booster:
+    """Trees of one target, each grown from the residuals of those before it, the leaf of the largest gain first."""
+
+    def __init__(self, rows: Rows, p: int, target: int, edges: list[np.ndarray], leaves: int, least: int, rate: float):
+        self.rows, self.p, self.target, self.edges, self.leaves, self.least, self.rate = rows, p, target, edges, leaves, least, rate
+        self.width = max(len(e) for e in edges) + 1
+        sums = rows.total(lambda d: {0: np.array([len(d), d[:, target].sum()])}, 2)[0]
+        self.base, self.trees = float(sums[1] / sums[0]), []
+        # On the driver what rows have been given so far is kept; elsewhere it is worked out again.
+        self.given = np.full(len(rows.local), self.base) if rows.local is not None else None
+
+    def sums(self, tree: dict, nodes: set[int]) -> dict[int, np.ndarray]:
+        """Of each node counts and residuals by feature and bin."""
+        edges, p, width, target, base, trees = self.edges, self.p, self.width, self.target, self.base, list(self.trees)
+        kept = None if self.given is None else self.rows.local[:, target] - self.given
+
+        def work(data: np.ndarray) -> dict[int, np.ndarray]:
+            x, out = data[:, :p].astype(np.float32).astype(float), {}
+            r = data[:, target] - base - sum(_values(x, t) for t in trees) if kept is None else kept
+            for node, mine in _by_node(_leaves(x, tree), nodes):
+                held = np.zeros((p, width, 2))
+                for f in range(p):
+                    at = np.searchsorted(edges[f], x[mine, f])
+                    held[f, :, 0], held[f, :, 1] = np.bincount(at, minlength=width), np.bincount(at, r[mine], minlength=width)
+                out[node] = held.ravel()
+            return out
+
+        return {k: v.reshape(p, width, 2) for k, v in self.rows.total(work, 1 << 30).items()}
+
+    def best(self, held: np.ndarray) -> tuple[float, int, int]:
+        """The largest gain of a split, its feature and its edge; ties (up to rounding) go to the first."""
+        left = held.cumsum(axis=1)[:, :-1]
+        whole = held.sum(axis=1, keepdims=True)
+        right = whole - left
+        if not left.size:
+            return 0.0, 0, 0
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = left[..., 1] ** 2 / left[..., 0] + right[..., 1] ** 2 / right[..., 0] - whole[..., 1] ** 2 / whole[..., 0]
+        gain = np.where((left[..., 0] >= self.least) & (right[..., 0] >= self.least) & (np.arange(left.shape[1]) < np.array([len(e) for e in self.edges])[:, None]), gain, 0.0)
+        f, k = divmod(int(np.argmax(gain >= gain.max() * (1 - 1e-9))), gain.shape[1])
+        return float(gain.max()), f, k
+
+    def grow(self) -> bool:
+        """One tree more; False if nothing can be split."""
+        tree: dict[str, list] = {"left": [-1], "right": [-1], "feature": [0], "threshold": [0.0], "value": [0.0]}
+        held = self.sums(tree, {0})
+        found = {0: self.best(held[0])}
+        while len(found) < self.leaves:
+            most = max(v[0] for v in found.values())
+            node = min(n for n, v in found.items() if v[0] >= most * (1 - 1e-9))
+            gain, f, k = found.pop(node)
+            if gain <= 1e-12:
+                found[node] = (0.0, 0, 0)
+                break
+            at = len(tree["left"])
+            tree["left"][node], tree["right"][node], tree["feature"][node], tree["threshold"][node] = at, at + 1, f, float(self.edges[f][k])
+            for name, empty in (("left", -1), ("right", -1), ("feature", 0), ("threshold", 0.0), ("value", 0.0)):
+                tree[name] += [empty, empty]
+            # The right child has what the left one leaves.
+            held[at] = self.sums(tree, {at})[at]
+            held[at + 1] = held.pop(node) - held[at]
+            found |= {n: self.best(held[n]) for n in (at, at + 1)}
+        for node in found:
+            n, total = held[node][0].sum(axis=0)
+            tree["value"][node] = float(self.rate * total / n)
+        if len(found) == 1:
+            return False
+        self.trees.append(tree)
+        if self.given is not None:
+            self.given = self.given + _values(self.rows.local[:, : self.p].astype(np.float32).astype(float), tree)
+        return True
+
+
+def _values(x: np.ndarray, tree: dict) -> np.ndarray:
+    return tree_values(x, *(np.array(tree[k]) for k in ("left", "right", "feature", "threshold", "value")))
+
+
+def fit_leafwise(df: DataFrame, features: list[str], targets: list[str], trees: int = 80, leaves: int = 7, least: int = 8, rate: float = 0.1, bins: int = 255) -> list[dict]:
+    """A boosted ensemble per target, least squares over binned features: each tree has `leaves` leaves of `least` rows at least."""
+    rows = Rows(df, [*features, *targets])
+    out = []
+    try:
+        edges = [edges_of(df, f, bins) for f in features]
+        for i, t in enumerate(targets):
+            booster = _Booster(rows, len(features), len(features) + i, edges, leaves, least, rate)
+            while len(booster.trees) < trees and booster.grow():
+                pass
+            body = {"kind": "leafwise", "features": features, "targets": [t], "base": booster.base, "trees": booster.trees}
+            out.append(body | {"digest": canonical_digest(body)})
+    finally:
+        rows.close()
+    return out
+
+
 # ------------------------------------------------------------------------------------------------------------- networks
 
 
@@ -252,10 +359,13 @@ def predicted(df: DataFrame, state: dict) -> DataFrame:
             (w, v), (b, c) = (np.array(s["weights"][0]), np.array(s["weights"][1])), map(np.array, s["offsets"])
         else:
             trees = [tuple(np.array(t[k]) for k in ("left", "right", "feature", "threshold", "value")) for t in s["trees"]]
+            boosted = s["kind"] == "leafwise"
         for batch in batches:
             x = np.column_stack([np.array(batch.column(names.index(f)).to_numpy(zero_copy_only=False), float) for f in features])
             if s["kind"] == "network":
                 out = (np.tanh((x - mean[:p]) / scale[:p] @ w + b) @ v + c) * scale[p:] + mean[p:]
+            elif boosted:
+                out = (np.full(len(x), s["base"]) + sum(tree_values(x, *t) for t in trees)).reshape(-1, 1)
             else:
                 out = sum(tree_values(x, *t) for t in trees) / len(trees)
                 out = np.sqrt(out) if s["root"] else out

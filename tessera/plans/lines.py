@@ -302,15 +302,17 @@ def stored_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.predict_trees(table(spark, sf_dir, "part"), _TREES, "value").groupBy("value").agg(F.count(F.lit(1)).alias("parts"))
 
 
-@query("SELECT p_size > 25 AS large, count(*) AS parts, round(avg(p_retailprice), 6) AS mean, round(sqrt(avg(p_retailprice * p_retailprice)), 6) AS root FROM part GROUP BY 1")
+@query("SELECT p_size > 25 AS large, count(*) AS parts, round(avg(p_retailprice), 6) AS mean, round(sqrt(avg(p_retailprice * p_retailprice)), 6) AS root, round(avg(p_retailprice), 6) AS boosted FROM part GROUP BY 1")
 def two_leaf_forests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Randomised trees over one column of two values: whatever threshold is drawn, leaves are the means (or roots of mean squares) of both sides."""
     part = table(spark, sf_dir, "part").select((F.col("p_size") > 25).alias("large"), (F.col("p_size") > 25).cast("double").alias("x"), F.col("p_retailprice").alias("y"))
     out = part
+    (state,) = forests.fit_leafwise(part, ["x"], ["y"], trees=1, leaves=2, rate=1.0)
+    out = forests.predicted(out, json.loads(json.dumps(state))).withColumnRenamed("pred_y", "boosted")
     for name, squared in (("mean", False), ("root", True)):
         (state,) = forests.fit_positive_forests(part, ["x"], ["y"], squared=squared, trees=3)
         out = forests.predicted(out, json.loads(json.dumps(state))).withColumnRenamed("pred_y", name)
-    return out.groupBy("large").agg(F.count(F.lit(1)).alias("parts"), F.round(F.avg("mean"), 6).alias("mean"), F.round(F.avg("root"), 6).alias("root"))
+    return out.groupBy("large").agg(F.count(F.lit(1)).alias("parts"), F.round(F.avg("mean"), 6).alias("mean"), F.round(F.avg("root"), 6).alias("root"), F.round(F.avg("boosted"), 6).alias("boosted"))
 
 
 @query("""

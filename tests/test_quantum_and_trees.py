@@ -115,3 +115,28 @@ def test_network(spark, monkeypatch):
     monkeypatch.setattr(forests, "LOCAL_VALUES", 0)
     far = forests.fit_network(df.repartition(3), ["a"], ["u"], 2, 0.1, rounds=3)
     assert not short["converged"] and np.allclose(np.ravel(short["weights"][0]), np.ravel(far["weights"][0]))
+
+
+def test_leafwise_boosting(spark, monkeypatch):
+    x, y, df = wave(spark)
+    state = json.loads(json.dumps(forests.fit_leafwise(df, ["a", "b", "c"], ["u", "v"])))
+    for i, s in enumerate(state):
+        got = forests.predicted(df, s).toPandas()[f"pred_{s['targets'][0]}"].to_numpy()
+        assert ((got - y[:, i]) ** 2).mean() < 0.1 * y[:, i].var() and len(s["trees"]) == 80
+        for t in s["trees"]:
+            at, n = np.unique(forests._leaves(x.astype(np.float32).astype(float), t), return_counts=True)
+            assert len(at) <= 7 and n.min() >= 8
+    # One tree of two leaves at full rate: the best split of all, by brute force.
+    (one,) = forests.fit_leafwise(df, ["a"], ["v"], trees=1, leaves=2, least=1, rate=1.0)
+    def loss(e, a=x[:, 0], v=y[:, 1]):
+        return sum(((v[m] - v[m].mean()) ** 2).sum() for m in (a <= e, a > e))
+    values = np.sort(x[:, 0])
+    assert loss(one["trees"][0]["threshold"][0]) == pytest.approx(min(map(loss, (values[1:] + values[:-1]) / 2)))
+    flat = forests.fit_leafwise(df.withColumn("v", F.lit(1.5)), ["a"], ["v"])[0]
+    assert flat["trees"] == [] and forests.predicted(df.select("a"), flat).agg(F.min("pred_v"), F.max("pred_v")).first()[:] == (1.5, 1.5)
+    small = dict(trees=2, leaves=4)
+    assert len(forests.edges_of(df, "a", 16)) == 15 and len(forests.edges_of(df, "a", 255)) == 239
+    near = forests.fit_leafwise(df, ["a", "b"], ["u"], **small)[0]
+    monkeypatch.setattr(forests, "LOCAL_VALUES", 0)
+    far = forests.fit_leafwise(df.repartition(3), ["a", "b"], ["u"], **small)[0]
+    assert [t["threshold"] for t in near["trees"]] == [t["threshold"] for t in far["trees"]]
