@@ -610,3 +610,18 @@ def spectral_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = heads.fit_softplus(kernel, rows[:, 1] + 1, 0.5)
     response = np.logaddexp(0, kernel @ found["dual"] + found["intercept"])
     return spark.createDataFrame([(found["rank"], bool((response > 0).all()), found["reconstruction_error"] < 1e-9, len(rows))], "rank int, positive boolean, reconstructed boolean, rows long")
+
+
+@query("SELECT column_name AS name, row_number() OVER () - 1 AS place FROM (DESCRIBE part)")
+def schema_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The schema of parts as JSON, read again."""
+    fields = json.loads(json.dumps(gate.schema_json(table(spark, sf_dir, "part"))))["fields"]
+    return spark.createDataFrame([(f["name"], i) for i, f in enumerate(fields)], "name string, place long")
+
+
+@query("SELECT p_size > 25 AS large, count(*) AS parts, round(avg(p_retailprice), 1) AS predicted FROM part GROUP BY 1")
+def two_point_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A network over one column of two values: at the least squares it gives both sides' means."""
+    part = table(spark, sf_dir, "part").select((F.col("p_size") > 25).alias("large"), (F.col("p_size") > 25).cast("double").alias("x"), F.col("p_retailprice").alias("y"))
+    state = forests.fit_network(part, ["x"], ["y"], width=2, alpha=0.0, gate=1e-7, rounds=300)
+    return forests.predicted(part, json.loads(json.dumps(state))).groupBy("large").agg(F.count(F.lit(1)).alias("parts"), F.round(F.avg("pred_y"), 1).alias("predicted"))
