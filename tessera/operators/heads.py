@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import canonical_digest
+from ..storage import dropped, stored
 from .grouping import hash_folds
 from .metrics import kth_smallest
 
@@ -144,9 +145,10 @@ def select_ridge(df: DataFrame, features: list[str], targets: list[str], family:
     penalties = sorted({float(a) for a in alphas}, reverse=True)
     if not penalties or any(not np.isfinite(a) or a <= 0 for a in penalties):
         raise ValueError("finite positive penalties are needed")
-    dealt = df.join(hash_folds(df, family, folds, seed, "selection"), family)
+    # Written once: sums and errors read it, and folds are ranks over all families.
+    dealt = stored(df.select(*dict.fromkeys([family, *features, *targets])).join(hash_folds(df, family, folds, seed, "selection"), family), "selection-folds")
     parts = grams(dealt, [*features, *targets], by="fold")
-    if df.select(family).distinct().limit(3).count() < 3:
+    if dealt.select(family).distinct().limit(3).count() < 3:
         raise ValueError("selection needs at least three families")
     whole = sum(list(parts.values())[1:], next(iter(parts.values())))
     candidates: list[float | None] = [None, *penalties]
@@ -163,6 +165,7 @@ def select_ridge(df: DataFrame, features: list[str], targets: list[str], family:
     names = errors.columns[1:]
     within = errors.groupBy(family).agg(*[F.avg(n).alias(n) for n in names])
     macro = within.agg(*[F.avg(n).alias(n) for n in names]).first()
+    dropped(dealt)
     scores = {target: [macro[f"e{i}_{t}"] for i in range(len(candidates))] for t, target in enumerate(targets)}
     chosen = {target: next(i for i, s in enumerate(v) if s <= min(v) + TIE) for target, v in scores.items()}
     heads = {i: LinearHead.solve(whole, features, targets, candidates[i] or 1.0) for i in set(chosen.values())}

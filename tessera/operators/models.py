@@ -167,7 +167,7 @@ def select_hybrid(df: DataFrame, features: list[str], embedding: list[str], targ
 
     def residuals(rows: DataFrame) -> tuple[heads.LinearHead, DataFrame]:
         """The selected chemistry head of rows, and rows with their out-of-fold residuals."""
-        inner = rows.join(grouping.hash_folds(rows, family, 4, 42, "inner").withColumnRenamed("fold", "inner"), family)
+        inner = stored(rows.join(grouping.hash_folds(rows, family, 4, 42, "inner").withColumnRenamed("fold", "inner"), family), "inner-folds")
         out = None
         for k in range(4):
             p = heads.select_ridge(inner.where(F.col("inner") != k).drop("fold"), features, targets, family, alphas, seed=seed).head.predict()

@@ -50,6 +50,8 @@ def test_auxiliary_and_hybrid(rows):
     assert found["rows"] == 150 and found["metrics"]["u"]["rows"] > 0
     out = models.select_hybrid(rows, FEATURES, EMBEDDING, TARGETS, "family", alphas=(100.0, 0.1))
     assert out["residual"]["u"]["candidate"] == 0.1 and out["scores"]["u"][0] > min(out["scores"]["u"])
+    flat = models.select_hybrid(rows.withColumn("u", F.lit(2.0)), FEATURES, EMBEDDING, TARGETS, "family", alphas=(1.0,))
+    assert flat["residual"]["u"] == {"candidate": "none", "coef": [0.0, 0.0], "intercept": 0.0}
 
 
 def test_fusion_equals_decomposition(rows):
