@@ -6,13 +6,13 @@ weight and Gumbel noise are drawn.
 
 1. Texts are split into words block by block; a block keeps its distinct words, its distinct n-grams as tuples of word numbers,
    and each document's features as numbers of those.
-2. Distinct words of all blocks get ids: the dictionary. Blocks' tuples are restated in ids, and their counts are summed by tuple.
-3. Each distinct tuple's bytes are put together from the dictionary and hashed once. Counts of tuples add up to those of
-   buckets, which give the gains.
-4. A tuple's gain is joined back to the blocks that hold it, where the documents' features are summed.
+2. Blocks' words meet by word, get one id and are hashed in one of their rows: the dictionary. Blocks' tuples are restated in ids.
+3. Each distinct tuple's bytes are put together from the dictionary and hashed once (a word is its own tuple), and the bucket is joined
+   back to the blocks' counts, which add up to those of buckets and give the gains.
+4. Gains go back to the blocks, where the documents' features are summed.
 
 A word that every text has is in one row of each block, so no key is hotter than the number of blocks. Tables: blocks
-(stored once), distinct words, distinct tuples, 10,000 buckets.
+(stored once), their distinct words and tuples, 10,000 buckets (the only broadcast).
 
 Null texts have no words: no features, weight 0. A null doc_id is hashed as the empty text and ranks last among ties. Repeated rows
 get the same values and ranks of their own. A text of any length is one block. An empty table gives no rows, an empty target gains
@@ -25,8 +25,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .runtime import byte_blocks, give_back, masked, schema_of, stored, text_or_empty
@@ -37,7 +38,13 @@ SEED = "2024"
 #: Words that a document needs to be drawn; per cent of those documents that are.
 LEAST_WORDS, PER_CENT = 20, 10
 #: Bytes of text in a block: its row stays below a few MB.
-BLOCK = 2 << 20
+BLOCK = 4 << 20
+#: Gains are packed as numbers of 32 bits.
+_MIDDLE = 1 << 31
+
+
+def _width(distinct: int) -> str:
+    return "<u2" if distinct <= 1 << 16 else "<u4"
 
 
 def _dictionary(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
@@ -94,7 +101,7 @@ def blocks(docs: DataFrame, target: DataFrame, longest: int) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({
                     "block": [number], "aimed": [aimed], "rows": pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), kept),
                     "n_words": one(np.diff(first), pa.list_(pa.int64())), "n_features": one(n, pa.list_(pa.int64())),
-                    "features": one(features[order].astype("<i4").tobytes(), pa.binary()),
+                    "features": one(zstandard.compress(features[order].astype(_width(len(counts))).tobytes(), 1), pa.binary()),
                     "words": pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words),
                     "tuples": one([t.tolist() for x in tuples for t in x], pa.list_(pa.list_(pa.int32()))), "counts": one(counts, pa.list_(pa.int64())),
                 })
@@ -107,9 +114,14 @@ def blocks(docs: DataFrame, target: DataFrame, longest: int) -> DataFrame:
     return side(docs, False).unionByName(side(target, True))
 
 
-def _ratio(known: DataFrame, buckets: int) -> DataFrame:
+def _bucket(text: str, buckets: int) -> Column:
+    return F.crc32(F.col(text).cast("binary")) % buckets
+
+
+def _ratio(uses: DataFrame, buckets: int) -> DataFrame:
     """bucket and gain: the floored thousandfold logarithm of smoothed shares, of all buckets that occur."""
-    sums = known.groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t"))
+    t = F.sum(F.when(F.col("aimed"), F.col("n")).otherwise(0))
+    sums = uses.groupBy("bucket").agg((F.sum("n") - t).alias("s"), t.alias("t"))
     total = sums.agg(F.sum("s").alias("all_s"), F.sum("t").alias("all_t"))
     share = (F.col("t") + 1.0) * (F.col("all_s") + float(buckets)) / ((F.col("s") + 1.0) * (F.col("all_t") + float(buckets)))
     # One row of totals, and 10,000 buckets at most.
@@ -120,34 +132,38 @@ def weighed(docs: DataFrame, target: DataFrame, longest: int = 1, buckets: int =
     """docs' columns but text, then n_words, n_features and weight. target has the same columns; features are runs of 1 to longest words."""
     held = stored(blocks(docs, target, longest), "blocks")
     here = F.posexplode(F.arrays_zip(F.col("words").alias("word"), F.slice("counts", 1, F.size("words")).alias("n"))).alias("at", "one")
-    fresh = held.select("block", "aimed", here).select("block", "aimed", "at", "one.word", "one.n")
-    ids = stored(fresh.select("word").distinct().withColumn("id", F.monotonically_increasing_id()), "dictionary")
-    named = fresh.join(ids, "word")
-    uses = named.select("block", "aimed", "at", F.array("id").alias("gram"), "n")
+    fresh = held.select("block", here).select("block", "at", "one.word", "one.n", F.monotonically_increasing_id().alias("m"))
+    # The least number of a word's rows is its id. That row spells the word, and its hash goes to the word's other rows.
+    same = Window.partitionBy("word")
+    ided = fresh.withColumn("id", F.min("m").over(same)).withColumn("spelled", F.when(F.col("m") == F.col("id"), F.col("word")))
+    named = stored(ided.select("id", "spelled", "block", "at", "n", F.max(_bucket("spelled", buckets)).over(same).alias("bucket")), "named")
+    uses = named.select("block", "at", "n", "bucket")
     if longest > 1:
         names = named.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("at", "id"))).alias("names"))
-        grams = F.transform("tuples", lambda t: F.transform(t, lambda i: F.element_at("names", i + 1)["id"]))
-        more = held.join(names, "block").select("block", "aimed", F.size("words").alias("from"), "counts", F.posexplode(grams).alias("k", "gram"))
+        tuples = F.transform("tuples", lambda t: F.transform(t, lambda i: F.element_at("names", i + 1)["id"]))
         at = F.col("from") + F.col("k")
-        uses = uses.unionByName(more.select("block", "aimed", at.alias("at"), "gram", F.element_at("counts", at + 1).alias("n")))
-    uses = stored(uses, "uses")
-    aimed = F.sum(F.when(F.col("aimed"), F.col("n")).otherwise(0))
-    grams = uses.groupBy("gram").agg((F.sum("n") - aimed).alias("s"), aimed.alias("t"))
-    if longest > 1:
-        parts = grams.select("gram", "s", "t", F.posexplode("gram").alias("k", "id")).join(ids, "id")
-        grams = parts.groupBy("gram").agg(F.first("s").alias("s"), F.first("t").alias("t"), F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("k", "word"))), lambda x: x["word"])).alias("bytes"))
-    else:
-        grams = grams.withColumn("id", F.col("gram")[0]).join(ids, "id").withColumnRenamed("word", "bytes")
-    hashed = stored(grams.select("gram", "s", "t", (F.crc32(F.col("bytes").cast("binary")) % buckets).alias("bucket")), "tuples")
-    gains = hashed.join(F.broadcast(_ratio(hashed, buckets)), "bucket").select("gram", "gain")
-    back = uses.where("NOT aimed").join(gains, "gram").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("at", "gain"))).alias("gains"))
-    summed = held.where("NOT aimed").select("block", "rows", "n_words", "n_features", "features").join(back.select("block", F.transform("gains", lambda g: g["gain"]).alias("gains")), "block", "left")
+        used = held.join(names, "block").select("block", F.size("words").alias("from"), "counts", F.posexplode(tuples).alias("k", "gram"))
+        used = stored(used.select("block", at.alias("at"), "gram", F.element_at("counts", at + 1).alias("n")), "used")
+        spelled = named.where("spelled IS NOT NULL").select("id", F.col("spelled").alias("word"))
+        parts = used.select("gram").distinct().select("gram", F.posexplode("gram").alias("k", "id")).join(spelled, "id")
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "word"))), lambda x: x["word"]), " ")
+        grams = parts.groupBy("gram").agg(joined.alias("bytes")).select("gram", _bucket("bytes", buckets).alias("bucket"))
+        uses = stored(uses.unionByName(used.join(grams, "gram").select("block", "at", "n", "bucket")), "uses")
+    aimed = F.shiftright("block", 32).bitwiseAND(1) == 1
+    gains = F.broadcast(stored(_ratio(uses.withColumn("aimed", aimed), buckets), "gains"))
+    # A feature's place and gain as one number, in the order of places.
+    packed = F.shiftleft(F.col("at").cast("long"), 32) + F.col("gain") + _MIDDLE
+    back = uses.where(~aimed).join(gains, "bucket").groupBy("block").agg(F.sort_array(F.collect_list(packed)).alias("gains"))
+    summed = held.where("NOT aimed").select("block", "rows", "n_words", "n_features", "features").join(back, "block", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, n_words, n_features, features, gains in zip(*batch.columns[1:], strict=True):
                 n = np.asarray(n_features.values, np.int64)
-                value = np.asarray(gains.values, np.int64)[np.frombuffer(features.as_buffer(), "<i4")] if gains.is_valid and n.sum() else np.zeros(0, np.int64)
+                value = np.zeros(0, np.int64)
+                if gains.is_valid and n.sum():
+                    value = (np.asarray(gains.values, np.int64) & 0xFFFFFFFF) - _MIDDLE
+                    value = value[np.frombuffer(zstandard.decompress(features.as_buffer()), _width(len(value)))]
                 ends = np.concatenate([[0], np.cumsum(value)])
                 stop = np.cumsum(n)
                 yield pa.RecordBatch.from_arrays([rows.values, n_words.values, n_features.values, pa.array((ends[stop] - ends[stop - n]) // np.maximum(n, 1))], names=["row", "n_words", "n_features", "weight"])
