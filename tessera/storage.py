@@ -9,8 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below spark.checkpoint.dir, removed when the driver's JVM ends.
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path below spark.checkpoint.dir that nothing else uses; what is written there stays.
 
     Only where that setting is absent and all runs in one JVM (tests) is a temporary folder used and the setting made; on a
     cluster executors would not see such a folder, so there its absence is an error.
@@ -21,7 +21,12 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", base)
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder below spark.checkpoint.dir, removed when the driver's JVM ends."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(fresh_path(spark, name))
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.deleteOnExit(target)
     return fs.makeQualified(target).toString()
