@@ -124,6 +124,8 @@ class ChunkCodec:
         known = self._known(chunks)
         out: list[bytes] = [b""] * (len(offsets) - 1)
         todo = range(len(out))
+        # Windows that do not agree grow by twice as many chunks each time, so a text is parted a few times, whatever its length.
+        reach = 1
         while todo:
             rows = [self._parted(first[r], first[r + 1], chunks, known) for r in todo]
             windows = {w: None for _, joins in rows for w, *_ in joins}
@@ -135,11 +137,14 @@ class ChunkCodec:
                     own = ids[window]
                     vacuous = (before is not None and not left) or (after is not None and not right)
                     if vacuous or len(own) < len(left) + len(right) or not own.startswith(left) or not own.endswith(right):
-                        # No agreement, or nothing to agree on: both neighbours become part of the window.
+                        # No agreement, or nothing to agree on: the neighbours on both sides become part of the window.
                         wrong = True
-                        for k in (before, after):
-                            if k is not None:
-                                known[k] = None
+                        if before is not None:
+                            a = max(first[r], before - reach + 1)
+                            known[a : before + 1] = [None] * (before + 1 - a)
+                        if after is not None:
+                            b = min(first[r + 1], after + reach)
+                            known[after:b] = [None] * (b - after)
                     repaired.append(own[len(left) : len(own) - len(right)])
                 if wrong:
                     self.regrown += 1
@@ -148,6 +153,7 @@ class ChunkCodec:
                     more = iter(repaired)
                     out[r] = b"".join([next(more) if p is None else p for p in parts])
             todo = again
+            reach *= 2
         return out
 
     @staticmethod
@@ -155,18 +161,19 @@ class ChunkCodec:
         """A row's parts (None: the next join) and its joins: window, ids that it has to begin and end with, chunks on both sides."""
         parts: list[bytes | None] = []
         joins = []
-        open_ = left = b""
+        open_: list[bytes] = []
+        left = b""
         before = None
         for k in range(a, b):
             if known[k] is None:
-                open_ += chunks[k]
+                open_.append(chunks[k])
                 continue
             ids, head, tail, second, third, last_but_one, last = known[k]
-            joins.append((open_ + head, left, ids[second:third], before, k))
+            joins.append((b"".join([*open_, head]), left, ids[second:third], before, k))
             parts += [None, ids[second:last]]
-            open_, left, before = tail, ids[last_but_one:last], k
+            open_, left, before = [tail], ids[last_but_one:last], k
         if open_:
-            joins.append((open_, left, b"", before, None))
+            joins.append((b"".join(open_), left, b"", before, None))
             parts.append(None)
         return parts, joins
 
