@@ -21,8 +21,8 @@ along with the corpus, as for any aggregate.
 
 Tokens are runs without blanks, A-Z lowered, by their 64-bit hashes, then one end. Defined results: a null text counts as
 empty (one end); texts of any length are scored whole; repeated rows stay; without training documents N = V = 0, c = 0
-for all and every pair is absent; an empty table gives an empty one. Documents are read once to count and once per group of
-segments, and have to be a table whose files do not change meanwhile.
+for all and every pair is absent; an empty table gives an empty one. Documents are read once to count and once to number them in the shared folder, from where each group
+of segments reads them.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .probe_table import ProbeTable
-from .runtime import byte_blocks, id_remainder, map_batches, stored, text_or_empty
+from .runtime import byte_blocks, dropped, id_remainder, map_batches, stored, text_or_empty
 from .words import NOT_BLANK, mix, scan
 
 BITS_SET, ENTRY_BITS, LAMBDA = 5, 10, 0.75
@@ -412,10 +412,12 @@ def _routed(rows: DataFrame, model: Model, counted: Broadcast) -> DataFrame:
 def score(df: DataFrame, model: Model, held_out: Column) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of df."""
     frequent = model.frequent
-    rows = df.select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out.alias("held_out"), text_or_empty().alias("text"))
+    # Rows are numbered once, in a table: a scan that is planned anew between passes would number them otherwise.
+    rows = stored(df.select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out.alias("held_out"), text_or_empty().alias("text")), "lm-rows")
     known = df.sparkSession.sparkContext.broadcast(frequent)
     parts = (_passes if model.filter_bytes() <= MOST_PASSES * FILTER_BYTES else _routed)(rows, model, known)
     known.destroy()
+    dropped(rows)
     counts = _listed(model.counts, 1, model.least).withColumnRenamed("count", "c")
     places = parts.select("row", F.explode("open").alias("o")).select("row", "o.*")
     both = (F.col("count") < 0) & (F.col("before") < 0)

@@ -103,3 +103,27 @@ def test_filter_never_forgets():
     got = f.level(h)
     assert (got >= level).all() and (got > level).mean() < 0.05
     assert (f.level(h + np.uint64(1)) > 0).mean() < 0.05
+
+
+@pytest.mark.parametrize("passes", [0, 10_000])
+def test_scans_planned_anew_between_passes(spark, small, monkeypatch, tmp_path, passes):
+    """Files are split by the cores that are alive: an executor that comes or goes must not change which row is which."""
+    spark.read.parquet(f"{small}/documents.parquet").repartition(6).write.parquet(str(tmp_path / "d"))
+    df = spark.read.parquet(str(tmp_path / "d"))
+    monkeypatch.setattr(ngram_bloom, "FILTER_BYTES", 20_000)
+    monkeypatch.setattr(ngram_bloom, "MOST_PASSES", passes)
+    want = sorted(map(repr, ngram_bloom.digest(df).select("doc_id", "n_tokens", "n_known").collect()))
+    part, key, calls = ngram_bloom._part, "spark.sql.files.minPartitionNum", []
+
+    def replanned(*a):
+        spark.conf.set(key, str(1 + 7 * (len(calls) % 2)))
+        calls.append(a)
+        return part(*a)
+
+    monkeypatch.setattr(ngram_bloom, "_part", replanned)
+    try:
+        got = ngram_bloom.digest(df)
+        spark.conf.set(key, "5")
+        assert sorted(map(repr, got.select("doc_id", "n_tokens", "n_known").collect())) == want and (len(calls) > 1 or not passes)
+    finally:
+        spark.conf.unset(key)
