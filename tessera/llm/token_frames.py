@@ -148,7 +148,9 @@ def write_shards(df: DataFrame, tokenizer: str, path: str, shards: int | None =
     """Writes df's documents below path in shards (as many as df has partitions) and returns the stored manifest."""
     shards = shards or max(1, df.rdd.getNumPartitions())
     # Quantiles of doc_id alone: a range exchange would encode every text twice to sample the keys.
-    bounds = sorted({int(q) for q in df.select(F.col("doc_id").try_cast("long").cast("double").alias("doc_id")).approxQuantile("doc_id", [i / shards for i in range(1, shards)], 0.25 / shards)}) if shards > 1 else []
+    ids = df.select(F.col("doc_id").try_cast("long").cast("double").alias("doc_id"))
+    # As doubles, the largest ids round up beyond 64 bits.
+    bounds = sorted({min(int(q), 2**63 - 1) for q in ids.approxQuantile("doc_id", [i / shards for i in range(1, shards)], 0.25 / shards)}) if shards > 1 else []
     ordered = encoded(df, tokenizer, bounds).repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
     folder = path.rstrip("/")
 

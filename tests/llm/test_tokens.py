@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -187,3 +188,46 @@ def test_only_wanted_frames_are_read_and_damage_is_found(tmp_path):
     broken = raw[:at] + bytes([raw[at] ^ 0xFF]) + raw[at + 1 :]
     with pytest.raises(Exception):  # noqa: B017
         list(token_frames.FrameReader(Counting(broken), len(raw)).documents(np.array([7])))
+
+
+def test_long_texts_without_blanks(library):
+    """A text without words to join by is one window: its cost has to stay in proportion to its length."""
+    codec = chunked_bpe.ChunkCodec(word_bpe.WordEncoder(PATH))
+    r = random.Random(3)
+    block = "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(1 << 20)).encode()
+    times = []
+    for n in (2, 8):
+        data = b"".join(block[k * 977 :] + block[: k * 977] for k in range(n))
+        began = time.process_time()
+        at = chunked_bpe.cuts(np.frombuffer(data, np.uint8), np.array([0, len(data)])).tolist()
+        codec._parted(0, len(at) - 1, [data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], [None] * (len(at) - 1))
+        times.append(time.process_time() - began)
+    assert times[1] < 12 * times[0] + 0.5
+    text = block[: 1 << 18].decode()
+    (got,) = codec.encode(*laid_out([text.encode()]))
+    assert np.frombuffer(got, codec.words.width).tolist() == ids_of(library, text)
+
+
+def test_windows_that_regrow_many_times(library, monkeypatch):
+    """Joins that never agree grow to the whole text in a few rounds."""
+    codec = chunked_bpe.ChunkCodec(word_bpe.WordEncoder(PATH))
+    text = " ".join(f"word{i * i % 7919}" for i in range(40_000))
+    rounds, joined = [], chunked_bpe.ChunkCodec._joined
+
+    def disagree(self, windows):
+        rounds.append(len(windows))
+        found = joined(self, windows)
+        return found if len(windows) == 1 else {w: b"" for w in found}
+
+    monkeypatch.setattr(chunked_bpe.ChunkCodec, "_joined", disagree)
+    (got,) = codec.encode(*laid_out([text.encode()]))
+    assert np.frombuffer(got, codec.words.width).tolist() == ids_of(library, text) and len(rounds) <= 12
+
+
+def test_the_largest_ids_have_a_shard(spark):
+    ids = [2**63 - 1 - i for i in range(40)] + [-(2**63) + i for i in range(40)] + [0, None]
+    df = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string").repartition(4)
+    got = token_frames.digest(df, PATH).collect()
+    assert sorted(r.doc_id for r in got if r.doc_id is not None) == sorted(i for i in ids if i is not None) and len(got) == len(ids)
+    starts = [r.start for r in sorted(got, key=lambda r: (r.doc_id is not None, r.doc_id or 0))]
+    assert starts == sorted(starts)
