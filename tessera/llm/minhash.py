@@ -402,8 +402,8 @@ def deduplicated(df: DataFrame, shingle: int = 5, percent: int = 80) -> DataFram
 
 
 def digest(df: DataFrame, shingle: int = 4) -> DataFrame:
-    """The contract's row per document, with its own shingle width."""
-    return near_duplicates(df.select("doc_id", "text"), shingle)
+    """The contract's row per document, with its own shingle width; kept says whether the id is its component's, whatever rows share it."""
+    return near_duplicates(df.select("doc_id", "text"), shingle).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 #: The same rows by DuckDB, for tables without repeated or null ids: shared shingles of all pairs, then reachability.

@@ -94,6 +94,8 @@ def test_rows_that_share_an_id_stay_or_go_by_themselves(spark):
     assert len(left) == 9 and sum(x in "ghi" for x in left) == 1 and sum(x in "jk" for x in left) == 1
     flagged = minhash.near_duplicates(df).where("doc_id = 3").collect()
     assert {r.component_id for r in flagged} == {3} and sum(r.kept for r in flagged) in (1, 2)
+    # The contract's kept is about ids: rows that share a component's id are all kept.
+    assert all(r.kept == (r.doc_id == r.component_id) for r in minhash.digest(df).collect())
 
 
 def test_null_ids_link_as_others_do(spark, monkeypatch):
