@@ -37,6 +37,8 @@ from .words import ALPHANUMERIC, Words, scan
 
 WINDOW, DEPTH = 10, 16
 SHARD_BYTES, BLOCK_BYTES = 2 << 20, 16 << 20
+#: What an item weighs besides its text.
+ROW_BYTES = 256
 _U = np.uint64
 _END, _BASE = _U(0), _U(0x9E3779B97F4A7C15)
 
@@ -284,8 +286,9 @@ OUTPUTS = "n_words long, hits array<struct<start:bigint,end:bigint>>, items arra
 
 def _blocks(items: DataFrame) -> tuple[int, Callable[[int], Tests]]:
     """How many blocks the items make, and one of them by its number: each is collected by itself, and its text is bounded."""
-    rows = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull()).distinct()
-    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    rows = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]")).distinct()
+    # Items without words have no windows; others weigh as what the driver holds of them.
+    size = rows.agg(F.sum(F.octet_length("text").cast("long") + ROW_BYTES)).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
 
     def block(b: int) -> Tests:

@@ -143,3 +143,14 @@ def test_long_document(spark):
     df = documents(spark, [" ".join(words)])
     (row,) = suffix_array.digest(df.where("doc_id = 0"), spark.createDataFrame([(1, " ".join(words[250_000:250_050]))], ITEMS)).collect()
     assert (row.n_words, row.n_hit, row.longest_match) == (300_000, 50, 50)
+
+
+def test_items_without_words_are_not_collected(spark, monkeypatch):
+    items = spark.createDataFrame([(i, t) for i in range(300) for t in ("", " . ", None)] + [(900, "one two"), (901, "drei é")], ITEMS)
+    blocks, block = suffix_array._blocks(items)
+    seen, of = [], suffix_array.Tests.of
+    monkeypatch.setattr(suffix_array.Tests, "of", lambda ids, texts: seen.append(ids) or of(ids, texts))
+    block(0)
+    assert blocks == 1 and sorted(seen[0]) == [900, 901]
+    monkeypatch.setattr(suffix_array, "BLOCK_BYTES", 2 * suffix_array.ROW_BYTES)
+    assert suffix_array._blocks(items.unionByName(spark.createDataFrame([(i, "a") for i in range(20)], ITEMS)))[0] == 12
