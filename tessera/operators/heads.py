@@ -1,7 +1,7 @@
 """Model heads: fitted from aggregates over training rows, small states, predictions as expressions.
 
 Sums over rows (moments, Gram matrices, cross products) are one aggregate each; the driver solves systems whose size is
-the number of features. Kernel heads are quadratic in training rows and refuse more than MOST_KERNEL_ROWS.
+the number of features. Kernel heads are in `kernels`.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from .grouping import hash_folds
 from .metrics import kth_smallest
 from .refuse import finite
 
-MOST_KERNEL_ROWS, MOST_FEATURES = 4096, 2000
+MOST_FEATURES = 2000
 #: Rows whose medians one aggregate may take.
 MEDIAN_ROWS = 1 << 20
 ALPHAS = (0.01, 0.1, 1.0, 10.0, 100.0, 1000.0, 10000.0)
@@ -254,97 +254,6 @@ def median_imputed(df: DataFrame, columns: list[str], train: Column | None = Non
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(medians[c])) for c in kept}).drop(*[c for c in columns if c not in kept])
 
 
-# ---------------------------------------------------------------------------------------------------------- kernel heads
-
-
-def matrix(df: DataFrame, columns: list[str]) -> np.ndarray:
-    """Training rows on the driver, for heads that need all pairs of them; refused above MOST_KERNEL_ROWS."""
-    rows = df.select(*[F.col(c).cast("double") for c in columns]).limit(MOST_KERNEL_ROWS + 1).toPandas().to_numpy(float)
-    if len(rows) > MOST_KERNEL_ROWS:
-        raise ValueError(f"kernel heads take at most {MOST_KERNEL_ROWS} rows")
-    if not len(rows) or not np.isfinite(rows).all():
-        raise ValueError("finite training rows are needed")
-    return rows
-
-
-def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0)
-
-
-@dataclass
-class KernelHead:
-    """Centred dual ridge over a weighted mix of linear and RBF kernels of blocks of columns.
-
-    mix: (block, kind, weight); a linear kernel is divided by its block's mean squared row norm, an RBF uses
-    exp(-gamma d2 / columns). Blocks are standardised on training rows; inactive (constant) columns count as 0.
-    """
-
-    blocks: dict[str, list[str]]
-    mix: list[tuple[str, str, float]]
-    gamma: float
-    alpha: float
-    mean: dict[str, np.ndarray] | None = None
-    scale: dict[str, np.ndarray] | None = None
-    train: dict[str, np.ndarray] | None = None
-    trace: dict[str, float] | None = None
-    dual: np.ndarray | None = None
-    level: np.ndarray | None = None
-
-    def _kernel(self, x: dict[str, np.ndarray]) -> np.ndarray:
-        out = 0.0
-        for name, kind, weight in self.mix:
-            t = self.train[name]
-            if not self.trace[name]:
-                continue
-            k = x[name] @ t.T / self.trace[name] if kind == "linear" else np.exp(-self.gamma * distances(x[name], t) / t.shape[1])
-            out = out + weight * k
-        if np.isscalar(out):
-            raise ValueError("every block of this kernel is inactive")
-        return out
-
-    def _scaled(self, x: np.ndarray, at: dict[str, slice]) -> dict[str, np.ndarray]:
-        return {n: (x[:, s] - self.mean[n]) / self.scale[n] for n, s in at.items()}
-
-    def _slices(self) -> dict[str, slice]:
-        out, first = {}, 0
-        for n, c in self.blocks.items():
-            out[n] = slice(first, first + len(c))
-            first += len(c)
-        return out
-
-    def fit(self, df: DataFrame, targets: list[str]) -> KernelHead:
-        names = [c for b in self.blocks.values() for c in b]
-        rows = matrix(df, [*names, *targets])
-        x, y = rows[:, : len(names)], rows[:, len(names) :]
-        at = self._slices()
-        self.mean = {n: x[:, s].mean(0) for n, s in at.items()}
-        self.scale = {n: np.where((d := x[:, s].std(0)) > 0, d, 1.0) for n, s in at.items()}
-        self.train = self._scaled(x, at)
-        self.trace = {n: float((t * t).sum(1).mean()) for n, t in self.train.items()}
-        value, vector = np.linalg.eigh(self._kernel(self.train))
-        if value[0] < -1e-9 * max(1.0, value[-1]):
-            raise ValueError("the kernel is not positive semidefinite")
-        self.level = y.mean(0)
-        self.dual = vector @ ((vector.T @ (y - self.level)) / (np.maximum(value, 0)[:, None] + self.alpha))
-        return self
-
-    def predict(self, df: DataFrame, targets: list[str]) -> DataFrame:
-        """df with `pred_<target>`; the training rows (bounded) are broadcast."""
-        names = [c for b in self.blocks.values() for c in b]
-        shared = df.sparkSession.sparkContext.broadcast(self)
-        kept = df.columns
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            head = shared.value
-            for batch in batches:
-                x = np.column_stack([np.array(batch.column(kept.index(n)).to_numpy(zero_copy_only=False), float) for n in names])
-                p = head._kernel(head._scaled(x, head._slices())) @ head.dual + head.level
-                yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(p[:, i]) for i in range(len(targets))]], names=[*kept, *[f"pred_{t}" for t in targets]])
-
-        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *(f"pred_{t} double" for t in targets)])
-        return df.mapInArrow(run, schema)
-
-
 # ------------------------------------------------------------------------------------------------------- gradient heads
 
 
@@ -463,31 +372,6 @@ def fit_logistic(df: DataFrame, features: list[str], label: str, weight: str, al
     return head
 
 
-def fit_softplus(kernel: np.ndarray, y: np.ndarray, alpha: float) -> dict:
-    """Nonnegative response log(1 + exp(eta)), eta = F theta + b, F the kernel's eigenvectors times root eigenvalues.
-
-    Minimises half the squared error plus alpha / 2 |theta|^2 from the ridge start; refused if the gate isn't met.
-    """
-    value, vector = np.linalg.eigh((kernel + kernel.T) / 2)
-    if value[0] < -1e-9 * max(1.0, value[-1]):
-        raise ValueError("the kernel is not positive semidefinite")
-    kept = value > 1e-12 * max(value[-1], 1e-300)
-    f = vector[:, kept] * np.sqrt(value[kept])
-    target = np.log(np.expm1(np.maximum(y, 1e-6)))
-    level = target.mean()
-    start = np.append(np.linalg.solve(f.T @ f + alpha * np.eye(f.shape[1]), f.T @ (target - level)), level)
-
-    def value_and_gradient(theta: np.ndarray) -> tuple[float, np.ndarray]:
-        eta = f @ theta[:-1] + theta[-1]
-        r = np.logaddexp(0, eta) - y
-        s = r / (1 + np.exp(-np.clip(eta, -700, 700)))
-        return 0.5 * float(r @ r) + alpha / 2 * float(theta[:-1] @ theta[:-1]), np.append(f.T @ s + alpha * theta[:-1], s.sum())
-
-    theta = lbfgs(value_and_gradient, start, rounds=2000)
-    dual = vector[:, kept] @ (theta[:-1] / np.sqrt(value[kept]))
-    return {"dual": dual, "intercept": float(theta[-1]), "rank": int(kept.sum()), "least_eigenvalue": float(value[0]), "largest_eigenvalue": float(value[-1]), "reconstruction_error": float(np.abs(f @ f.T - kernel).max())}
-
-
 # --------------------------------------------------------------------------------------------------------------- trees
 
 

@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import canonical_digest, energy_density
-from ..storage import stored
-from . import grouping, heads, metrics, refuse
+from ..storage import dropped, stored
+from . import grouping, heads, kernels, metrics, refuse
 
 #: Penalties of the chemistry, embedding and residual heads, and of auxiliary targets.
 ALPHA = {"A": 1.0, "B": 5.0, "C": 10.0, "auxiliary": 100.0}
@@ -259,26 +259,28 @@ SCALAR_GRID = (("ridge", 0.1), ("ridge", 1.0), ("ridge", 10.0), ("rbf", 0.1), ("
 class ScalarHead:
     """exp(correction) of a positive target, from features standardised under weights by which families count alike.
 
-    Kind `ridge` holds a linear head of the logarithm. Kind `rbf` holds a weight per training row for the kernel
-    exp(-d2 / features) and an intercept that isn't penalised.
+    Kind `ridge` holds a linear head of the logarithm. Kind `rbf` holds the solution of the kernel exp(-d2 / features) and an
+    intercept that isn't penalised, of any number of rows.
     """
 
     kind: str
     alpha: float
     linear: heads.LinearHead
     active: list[str]
-    rows: np.ndarray | None = None
-    dual: np.ndarray | None = None
-    intercept: float = 0.0
+    solution: kernels.Solution | None = None
 
-    def _scaled(self, x: np.ndarray) -> np.ndarray:
-        at = [self.linear.features.index(c) for c in self.active]
-        return ((x - self.linear.mean) / self.linear.scale)[:, at]
+    def _scaled(self) -> list[Column]:
+        at = {c: (m, s) for c, m, s in zip(self.linear.features, self.linear.mean, self.linear.scale, strict=True)}
+        return [(F.col(c) - F.lit(at[c][0])) / F.lit(at[c][1]) for c in self.active]
 
-    def predict(self, x: np.ndarray) -> np.ndarray:
+    def mix(self) -> kernels.Mix:
+        return kernels.Mix(((0, len(self.active), "rbf", 1.0, 1 / len(self.linear.features)),))
+
+    def predicted(self, df: DataFrame, name: str) -> DataFrame:
+        """df with the prediction as column `name`."""
         if self.kind == "ridge":
-            return np.exp((x - self.linear.mean) / self.linear.scale @ np.array(self.linear.coef[0]) + self.linear.intercept[0])
-        return np.exp(np.exp(-heads.distances(self._scaled(x), self.rows) / len(self.linear.features)) @ self.dual + self.intercept)
+            return df.withColumn(name, self.column())
+        return self.solution.predicted(df, self._scaled(), name).withColumn(name, F.exp(F.col(name)[0]))
 
     def column(self) -> Column:
         """The prediction of a ridge as an expression."""
@@ -305,20 +307,12 @@ def _linear(g: heads.Gram, features: list[str], alpha: float) -> tuple[heads.Lin
     return heads.LinearHead.solve(one, features, ["log_y"], alpha), active
 
 
-def _with_kernel(head: ScalarHead, x: np.ndarray, log_y: np.ndarray, weight: np.ndarray) -> ScalarHead:
-    """head with the solution of (K + alpha / w) dual + intercept = log y under sum(dual) = 0: one bordered system."""
-    head.rows = head._scaled(x)
-    n = len(x)
-    system = np.ones((n + 1, n + 1))
-    system[:n, :n] = np.exp(-heads.distances(head.rows, head.rows) / x.shape[1]) + np.diag(head.alpha / weight)
-    system[n, n] = 0
-    found = np.linalg.solve(system, np.append(log_y, 0.0))
-    head.dual, head.intercept = found[:n], float(found[n])
-    return head
+def _packed(head: ScalarHead, rows: DataFrame, weight: float) -> DataFrame:
+    return kernels.packed(rows, head._scaled(), [F.col("log_y")], F.col("share") / F.lit(float(weight)))
 
 
 def fit_scalar(df: DataFrame, features: list[str], target: str, family: str, kind: str, alpha: float) -> ScalarHead:
-    """One head of all rows: a ridge of any number, a kernel of heads.MOST_KERNEL_ROWS at most."""
+    """One head of all rows, of any number."""
     rows = _log_rows(df, features, target, family)
     g = heads.grams(rows, [*features, "log_y"], weight="share")
     if not g:
@@ -326,14 +320,16 @@ def fit_scalar(df: DataFrame, features: list[str], target: str, family: str, kin
     head = ScalarHead(kind, alpha, *_linear(g[None], features, alpha))
     if kind == "ridge":
         return head
-    x = heads.matrix(rows, [*features, "log_y", "share"])
-    return _with_kernel(head, x[:, :-2], x[:, -2], x[:, -1] / g[None].weight)
+    packed = _packed(head, rows, g[None].weight)
+    head.solution = kernels.solve(packed, len(head.active), 1, head.mix(), alpha, True)
+    dropped(packed)
+    return head
 
 
 def select_scalar(df: DataFrame, features: list[str], target: str, family: str, grid: tuple[tuple[str, float], ...] = SCALAR_GRID) -> tuple[ScalarHead, list[float]]:
     """The head of the grid with the least family-balanced squared error out of five folds, in the target's own unit.
 
-    Ridges come from the folds' sums, so a grid without kernels takes any number of rows; kernels take a bounded one.
+    Ridges come from the folds' sums; a fold's kernels share their landmarks.
     """
     rows = _log_rows(df, features, target, family)
     fold_of = grouping.size_balanced_folds([(r["family"], r["count"]) for r in rows.groupBy("family").count().limit(grouping.MOST_GROUPS + 1).collect()], 5)
@@ -355,18 +351,19 @@ def select_scalar(df: DataFrame, features: list[str], target: str, family: str,
         names = [f"e{i}" for i in errors]
         within = dealt.groupBy("family").agg(*[F.avg(e).alias(n) for n, e in zip(names, errors.values(), strict=True)])
         scores |= dict(zip(errors, within.agg(*[F.avg(n) for n in names]).first(), strict=True))
-    if kernels := [i for i in range(len(grid)) if i not in errors]:
-        columns = heads.matrix(dealt, [*features, "y", "log_y", "share", "fold", "number"])
-        x, (y, log_y, share, fold, number) = columns[:, : len(features)], columns[:, len(features) :].T
-        for i in kernels:
-            squares = np.empty(len(y))
-            for k, g in parts.items():
-                rest, kind, alpha = whole - g, *grid[i]
-                own = fold != k
-                head = _with_kernel(ScalarHead(kind, alpha, *_linear(rest, features, alpha)), x[own], log_y[own], share[own] / rest.weight)
-                squares[~own] = (head.predict(x[~own]) - y[~own]) ** 2
-            at = number.astype(np.int64)
-            scores[i] = float((np.bincount(at, squares) / np.bincount(at)).mean())
+    if wanted := [i for i in range(len(grid)) if i not in errors]:
+        each = []
+        for k, g in parts.items():
+            rest, base, held = whole - g, None, dealt.where(F.col("fold") == k)
+            for i in wanted:
+                head = ScalarHead(*grid[i], *_linear(rest, features, grid[i][1]))
+                packed = packed if base else _packed(head, dealt.where(F.col("fold") != k), rest.weight)
+                base = base or kernels.landmarks(packed, len(head.active), head.mix())
+                head.solution = kernels.solve(packed, len(head.active), 1, head.mix(), grid[i][1], True, base)
+                held = head.predicted(held, f"p{i}")
+            each.append(held.groupBy("family").agg(*[F.avg((F.col(f"p{i}") - F.col("y")) ** 2).alias(f"e{i}") for i in wanted]))
+        found = functools.reduce(DataFrame.unionByName, each).agg(*[F.avg(f"e{i}") for i in wanted]).first()
+        scores |= dict(zip(wanted, found, strict=True))
     best = min(scores, key=lambda i: (scores[i], i))
     return fit_scalar(df, features, target, family, *grid[best]), [scores[i] for i in range(len(grid))]
 

@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import cells, chemistry, cohesion, evidence, forests, grouping, heads, models, prepare, refuse, trees
+from ..operators import cells, chemistry, cohesion, evidence, forests, grouping, heads, kernels, metrics, models, prepare, refuse, trees
 from ..sources import contracts, gate, singlepoint
-from ..storage import shared_folder
+from ..storage import dropped, shared_folder
 from .catalog import query, table
 from .structures import _parts, _texts, _values
 
@@ -276,7 +276,7 @@ SELECT n_name, round(my + (n_nationkey - mx) / sx * (n * c / sx) / (n + 2), 7) A
 def kernel_head_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dual ridge over a linear kernel of one column: the same line as from sums."""
     rows = table(spark, sf_dir, "nation").select("n_name", F.col("n_nationkey").cast("double").alias("x"), F.col("n_regionkey").cast("double").alias("y"))
-    head = heads.KernelHead({"p": ["x"]}, [("p", "linear", 1.0)], 1.0, 2.0).fit(rows, ["y"])
+    head = kernels.KernelHead({"p": ["x"]}, [("p", "linear", 1.0)], 1.0, 2.0).fit(rows, ["y"])
     return head.predict(rows, ["y"]).select("n_name", F.round("pred_y", 7).alias("predicted"))
 
 
@@ -604,12 +604,48 @@ def group_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT 2 AS rank, true AS positive, true AS reconstructed, count(*) AS rows FROM nation")
 def spectral_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A softplus response over a kernel of two columns: its rank, its responses above zero and the kernel rebuilt from its spectrum."""
-    rows = heads.matrix(table(spark, sf_dir, "nation").orderBy("n_nationkey"), ["n_nationkey", "n_regionkey"])
-    z = (rows - rows.mean(0)) / rows.std(0)
-    kernel = z @ z.T / 2
-    found = heads.fit_softplus(kernel, rows[:, 1] + 1, 0.5)
-    response = np.logaddexp(0, kernel @ found["dual"] + found["intercept"])
-    return spark.createDataFrame([(found["rank"], bool((response > 0).all()), found["reconstruction_error"] < 1e-9, len(rows))], "rank int, positive boolean, reconstructed boolean, rows long")
+    rows = heads.standardised(table(spark, sf_dir, "nation"), ["n_nationkey", "n_regionkey"])
+    x = [F.col("z_n_nationkey"), F.col("z_n_regionkey")]
+    found, told = kernels.fit_softplus(kernels.packed(rows, x, [F.col("n_regionkey") + 1]), 2, kernels.Mix(((0, 2, "linear", 1.0, 0.5),)), 0.5)
+    response = found.predicted(rows, x, "eta").select(metrics.softplus(F.col("eta")[0]).alias("r"))
+    return response.agg(F.lit(told["rank"]).alias("rank"), (F.min("r") > 0).alias("positive"), F.lit(told["reconstruction_error"] < 1e-9).alias("reconstructed"), F.count(F.lit(1)).alias("rows"))
+
+
+@query("""
+WITH r AS (SELECT l_linenumber > 3 AS late, l_quantity AS y FROM lineitem), m AS (SELECT avg(y) AS y, avg(late::INT) AS p FROM r),
+g AS (SELECT late, count(*) AS n, sum(r.y - m.y) AS s FROM r, m GROUP BY 1), k AS (SELECT exp(-0.5 / (p * (1 - p))) AS k, y FROM m),
+d AS (SELECT a.n AS n0, b.n AS n1, (a.s * (5 + b.n) - a.n * k * b.s) / ((5 + a.n) * (5 + b.n) - a.n * b.n * k * k) AS d0, ((5 + a.n) * b.s - b.n * k * a.s) / ((5 + a.n) * (5 + b.n) - a.n * b.n * k * k) AS d1, k, y FROM g a, g b, k WHERE NOT a.late AND b.late)
+SELECT false AS late, n0 AS lines, round(d0 + k * d1 + y, 6) AS predicted FROM d UNION ALL SELECT true, n1, round(k * d0 + d1 + y, 6) FROM d
+""")
+def kernel_head_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dual ridge over an RBF kernel of all lines: with two values of the feature the system of all rows is one of two sums."""
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_linenumber") > 3).alias("late"), F.col("l_quantity").cast("double").alias("y")).withColumn("x", F.col("late").cast("double"))
+    head = kernels.KernelHead({"p": ["x"]}, [("p", "rbf", 1.0)], 0.5, 5.0).fit(rows, ["y"])
+    return head.predict(rows, ["y"]).groupBy("late").agg(F.count(F.lit(1)).alias("lines"), F.round(F.avg("pred_y"), 6).alias("predicted"))
+
+
+@query("SELECT l_linestatus, count(*) AS lines, round(avg(l_quantity), 4) AS response FROM lineitem GROUP BY 1")
+def softplus_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A nonnegative response over an RBF kernel of all lines: almost without penalty it gives the means of both values."""
+    rows = table(spark, sf_dir, "lineitem").select("l_linestatus", F.col("l_quantity").cast("double").alias("y"))
+    x = [(F.col("l_linestatus") == "O").cast("double")]
+    packed = kernels.packed(rows, x, [F.col("y")])
+    found, _ = kernels.fit_softplus(packed, 1, kernels.Mix(((0, 1, "rbf", 1.0, 0.5),)), 1e-6)
+    dropped(packed)
+    return found.predicted(rows, x, "eta").groupBy("l_linestatus").agg(F.count(F.lit(1)).alias("lines"), F.round(F.avg(metrics.softplus(F.col("eta")[0])), 4).alias("response"))
+
+
+@query("""
+WITH f AS (SELECT p_size > 25 AS large, ln(p_retailprice) AS y, 1.0::DOUBLE / count(*) OVER (PARTITION BY p_brand) / (SELECT count(DISTINCT p_brand) FROM part) AS w FROM part),
+g AS (SELECT large, count(*) AS n, sum(w) AS w, sum(w * y) AS s FROM f GROUP BY 1), c AS (SELECT a.n AS n0, b.n AS n1, a.w AS w0, b.w AS w1, a.s AS s0, b.s AS s1, 1 - exp(-1 / (a.w * b.w)) AS c FROM g a, g b WHERE NOT a.large AND b.large),
+d AS (SELECT *, (s0 * w1 - w0 * s1) / ((0.1 + w0 * c) * w1 + w0 * (0.1 + w1 * c)) AS d, ((0.1 + w0 * c) * s1 + (0.1 + w1 * c) * s0) / ((0.1 + w0 * c) * w1 + w0 * (0.1 + w1 * c)) AS b FROM c)
+SELECT false AS large, n0 AS parts, round(exp(d * c + b), 5) AS predicted FROM d UNION ALL SELECT true, n1, round(exp(b - d * c), 5) FROM d
+""")
+def scalar_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A positive target by a kernel of its logarithm under families' weights, with a free level: two values of the feature, a system of two sums."""
+    part = table(spark, sf_dir, "part").select((F.col("p_size") > 25).alias("large"), (F.col("p_size") > 25).cast("double").alias("x"), "p_retailprice", "p_brand")
+    head = models.fit_scalar(part, ["x"], "p_retailprice", "p_brand", "rbf", 0.1)
+    return head.predicted(part, "predicted").groupBy("large").agg(F.count(F.lit(1)).alias("parts"), F.round(F.avg("predicted"), 5).alias("predicted"))
 
 
 @query("SELECT column_name AS name, row_number() OVER () - 1 AS place FROM (DESCRIBE part)")

@@ -26,7 +26,8 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below spark.checkpoint.dir, removed when the driver's JVM ends."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(fresh_path(spark, name))
+    path = fresh_path(spark, name)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.deleteOnExit(target)
     return fs.makeQualified(target).toString()

@@ -155,18 +155,6 @@ def test_ridge_equals_least_squares(spark):
     assert isinstance(heads.fit_residual(df, ["a"], ["b"], ["u"], "g").predict()["u"], type(F.lit(1)))
 
 
-def test_kernel_head_equals_direct_solve(spark):
-    rng = np.random.default_rng(2)
-    x, y = rng.normal(size=(40, 3)), rng.normal(size=40)
-    df = spark.createDataFrame([(*map(float, a), float(b)) for a, b in zip(x, y, strict=True)], "a double, b double, c double, y double")
-    head = heads.KernelHead({"p": ["a", "b"], "q": ["c"]}, [("p", "linear", 0.4), ("q", "rbf", 0.6)], 0.5, 0.1).fit(df, ["y"])
-    z = (x - x.mean(0)) / x.std(0)
-    k = 0.4 * z[:, :2] @ z[:, :2].T / (z[:, :2] ** 2).sum(1).mean() + 0.6 * np.exp(-0.5 * heads.distances(z[:, 2:], z[:, 2:]))
-    want = k @ np.linalg.solve(k + 0.1 * np.eye(40), y - y.mean()) + y.mean()
-    got = head.predict(df, ["y"]).toPandas()["pred_y"].to_numpy()
-    assert np.allclose(got, want, atol=1e-8)
-
-
 def test_logistic_gradient_and_refusals(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(60, 2))
@@ -182,14 +170,7 @@ def test_logistic_gradient_and_refusals(spark):
         heads.fit_logistic(df.where("y = 1"), ["a"], "y", "w", 0.1)
 
 
-def test_softplus_and_trees():
-    rng = np.random.default_rng(4)
-    x = rng.normal(size=(25, 2))
-    k = np.exp(-0.3 * heads.distances(x, x))
-    fit = heads.fit_softplus(k, np.abs(rng.normal(size=25)), 0.1)
-    assert (np.logaddexp(0, k @ fit["dual"] + fit["intercept"]) >= 0).all() and fit["reconstruction_error"] < 1e-8
-    with pytest.raises(ValueError):
-        heads.fit_softplus(-np.eye(4), np.ones(4), 1.0)
+def test_stored_trees():
     left, right, feature, threshold, value = map(np.array, ([1, -1, 3, -1, -1], [2, -1, 4, -1, -1], [0, 0, 1, 0, 0], [0.5, 0, 0.1, 0, 0], [0.0, 1, 0, 2, 3]))
     assert heads.tree_values(np.array([[0.5, 9], [0.6, 0.05], [0.6, 0.2]]), left, right, feature, threshold, value).tolist() == [1, 2, 3]
     with pytest.raises(ValueError):
