@@ -274,7 +274,7 @@ def pair_family_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH b AS (SELECT vec_id, CAST(list_sum([CASE WHEN embedding[i + 1] > 0 THEN CAST(1 AS BIGINT) << CAST(i AS INTEGER) ELSE 0 END FOR i IN range(63)]) AS BIGINT) bits FROM embeddings)
 SELECT q.vec_id, round(max(bit_count(q.bits & t.bits) / greatest(bit_count(q.bits | t.bits), 1)), 9) AS similarity, max(bit_count(q.bits & t.bits) / greatest(bit_count(q.bits | t.bits), 1)) < 0.35 AS ood
-FROM b q, b t WHERE q.vec_id % 50 = 0 AND t.vec_id % 50 <> 0 GROUP BY 1
+FROM b q, b t WHERE q.vec_id % 50 = 0 AND t.vec_id <> q.vec_id GROUP BY 1
 """)
 def nearest_tanimoto(spark: SparkSession, sf_dir: str) -> DataFrame:
     bits = table(spark, sf_dir, "embeddings").select("vec_id", scalar.sign_bits(F.col("embedding")).alias("bits"))
@@ -521,7 +521,7 @@ FROM w, e
 """)
 def trace_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All diagnostics of the hourly trace."""
-    out = diagnostics.diagnose_trace(hourly_trace(spark, sf_dir), 10).drop("acf").withColumn("warnings", F.array_join("warnings", "|"))
+    out = diagnostics.diagnose_trace(hourly_trace(spark, sf_dir), 10).withColumn("warnings", F.array_join("warnings", "|"))
     out = _rounded(out, 4, "mean", "sd", "first_half_mean", "last_half_mean", "half_shift", "block_se", "ess", "acf_se")
     return _rounded(_rounded(out, 3, "trend", "block_variance"), 6, "raw_g", "g")
 

@@ -191,14 +191,6 @@ def test_traces(spark):
     assert 10 < got["o"].g < 40 and 0.8 < got["iid"].g < 1.5 and got["flip"].g == 1 and got["flip"].ess_bound_applied
     assert got["flat"].status == "constant_or_numerically_unresolved" and got["flat"].ess is None and got["flat"].warnings
     assert abs(got["o"].mean - np.mean(ar)) < 1e-9 and abs(got["o"].sd - np.std(ar, ddof=1)) < 1e-9 and not got["o"].accuracy_validated
-    x = np.array(ar) - np.mean(ar)
-    direct = [float((x[: len(x) - k] * x[k:]).sum() / (x * x).sum()) for k in range(5)]
-    assert np.allclose(got["o"].acf[:5], direct)
-    for n, width in ((1, 8), (7, 4), (64, 8), (100, 16), (33, 32), (50, 64)):
-        v = rng.normal(size=n)
-        for most in {0, n // 2, n - 1}:
-            assert np.allclose(diagnostics.lag_sums(v, most, width), [v[: n - k] @ v[k:] for k in range(most + 1)])
-    assert np.allclose(diagnostics.autocorrelation(1e200 * np.array(ar)), diagnostics.autocorrelation(np.array(ar)))
     for bad, fault in ((trace(spark, range(31)), "too_few"), (trace(spark, range(33)), "divide"), (trace(spark, [*range(31), math.nan]), "nonfinite"), (trace(spark, range(32)).withColumn("t", F.col("t") * F.col("t")), "uniform")):
         with pytest.raises(ValueError, match=fault):
             diagnostics.diagnose_trace(bad, 4)
@@ -210,6 +202,45 @@ def test_traces(spark):
     assert [b.count() for b in diagnostics.blocks_of(frames, 4)] == [8] * 4
 
 
+def geyer(v):
+    """By definition, with all products of one lag in one sum."""
+    v = np.array(v, float)
+    n, x = len(v), v - v.mean()
+    x = x / np.abs(x).max()
+    acf = np.array([x[: n - k] @ x[k:] for k in range(n // 2 + 1)]) / (x @ x)
+    whole = (len(acf) - 1) // 2 + (len(acf) - 1) % 2
+    pairs = acf[: 2 * whole].reshape(-1, 2).sum(1)
+    stop = np.flatnonzero(pairs <= 0)
+    kept = np.minimum.accumulate(pairs[: stop[0]] if stop.size else pairs)
+    return pairs, len(kept), bool(stop.size), float(2 * kept.sum() - 1)
+
+
+@pytest.mark.parametrize("width,chunk", [(1 << 18, 4096), (64, 64), (16, 8), (256, 32)])
+def test_correlations_over_many_blocks(spark, monkeypatch, width, chunk):
+    """One series over many blocks and rounds of distances; lengths of all kinds, gaps in i, slow and fast decay."""
+    monkeypatch.setattr(diagnostics, "WIDTH", width)
+    monkeypatch.setattr(diagnostics, "CHUNK", chunk)
+    rng = np.random.default_rng(11)
+    slow = np.cumsum(rng.normal(size=1500))
+    series = {"slow": slow, "iid": rng.normal(size=777), "wave": np.sin(np.arange(1001) / 150), "huge": 1e200 * slow[:300], "two": [1.0, 2.0], "odd": rng.normal(size=65)}
+    df = None
+    for name, v in series.items():
+        one = trace(spark, v, observable=name)
+        df = one if df is None else df.union(one)
+    df = df.union(trace(spark, [3.0] * 40, observable="flat")).withColumn("i", F.when(F.col("observable") == "iid", F.col("i") * 1000 - 70_000).otherwise(F.col("i"))).repartition(5)
+    got = {r.observable: r for r in diagnostics.trace_correlations(df).collect()}
+    pairs = {}
+    for r in diagnostics.pair_correlations(df).collect():
+        pairs.setdefault(r.observable, {})[r.k] = r.pair
+    assert got["flat"].g is None and got["flat"].pairs is None and "flat" not in pairs
+    for name, v in series.items():
+        want, n, truncated, raw = geyer(v)
+        assert [pairs[name][k] for k in range(len(want))] == pytest.approx(want.tolist(), abs=1e-9) and len(pairs[name]) == len(want), name
+        r = got[name]
+        assert (r.pairs, r.truncated) == (n, truncated) and r.raw_g == pytest.approx(raw, rel=1e-9)
+        assert r.ess == pytest.approx(len(v) / min(max(raw, 1), len(v)))
+
+
 def test_first_valid_wins_and_preparation(spark):
     need = ["UUID", "smiles_list", "forcefield"]
     good = {"check_eq": "True", "temp": "300", "press": "1", "sp_ced": "9", "sp_total": "3", "sp_vdw": "1", "sp_ele": "2", "UUID": "u", "smiles_list": "C", "forcefield": "f"}
