@@ -278,7 +278,7 @@ FROM b q, b t WHERE q.vec_id % 50 = 0 AND t.vec_id <> q.vec_id GROUP BY 1
 """)
 def nearest_tanimoto(spark: SparkSession, sf_dir: str) -> DataFrame:
     bits = table(spark, sf_dir, "embeddings").select("vec_id", scalar.sign_bits(F.col("embedding")).alias("bits"))
-    return _rounded(domain.nearest_tanimoto(bits.where("vec_id % 50 <> 0"), bits.where("vec_id % 50 = 0"), "vec_id", "bits"), 9, "similarity")
+    return _rounded(domain.nearest_tanimoto(bits, bits.where("vec_id % 50 = 0"), "vec_id", "bits", own=True), 9, "similarity")
 
 
 @query("""

@@ -361,6 +361,29 @@ def test_queries_against_all_rows_in_blocks(spark, monkeypatch):
     assert {r.k: r.kernel_sum for r in domain.kernel_sums(vectors.limit(0), vectors.where("k < 2"), "k", "v", 0.5).collect()} == {0: None, 1: 0.0}
 
 
+def test_blocks_that_cannot_hold_a_neighbour_are_skipped(spark, monkeypatch):
+    """Families of similar bits: most pairs of blocks are out by their bounds, and the answers are those of all pairs."""
+    monkeypatch.setattr(domain, "QUERY_BLOCK", 16)
+    monkeypatch.setattr(domain, "TRAIN_BLOCK", 16)
+    r = np.random.default_rng(4)
+    heads_, flips = [int(sum(1 << int(b) for b in r.choice(60, k, replace=False))) for k in (3, 6, 12, 20, 30, 40, 50, 57)], r.integers(0, 60, (8, 40))
+    bits = [h ^ (1 << int(f)) for h, row in zip(heads_, flips, strict=True) for f in row] + [heads_[0], heads_[0], 0, 0, 7]
+    df = spark.createDataFrame(list(enumerate(bits)), "k long, bits long").repartition(4)
+    share = lambda a, b: (a & b).bit_count() / max((a | b).bit_count(), 1)
+    want = {k: max(share(b, t) for i, t in enumerate(bits) if i != k) for k, b in enumerate(bits)}
+    met, best = [], domain._best
+
+    def counted(pairs, *a):
+        met.append(pairs.count())
+        return best(pairs, *a)
+
+    monkeypatch.setattr(domain, "_best", counted)
+    got = {r.k: r.similarity for r in domain.nearest_tanimoto(df, df, "k", "bits", own=True).collect()}
+    assert got == pytest.approx(want)
+    n = -(-len(bits) // 16)
+    assert sum(met) < 0.5 * n * n, met
+
+
 def test_ranks_in_narrowing_brackets(spark, monkeypatch):
     monkeypatch.setattr(metrics, "RANKED", 3)
     r = np.random.default_rng(9)
