@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import components
+from ..storage import stored
+from .components import components, looked_up
 
 
 def alias_components(df: DataFrame, row: str, aliases: Column) -> DataFrame:
@@ -16,7 +17,8 @@ def alias_components(df: DataFrame, row: str, aliases: Column) -> DataFrame:
     """
     tied = df.select(F.col(row).cast("long").alias("v"), F.explode(aliases).alias("alias")).where("alias IS NOT NULL").distinct()
     heads = tied.groupBy("alias").agg(F.min("v").alias("u"))
-    links = tied.join(heads, "alias").where("u <> v").select("u", "v").distinct()
+    # Most rows may share one alias: its head is looked up where they are.
+    links = looked_up(stored(tied, "aliases"), stored(heads, "alias-heads"), "alias").where("u <> v").select("u", "v").distinct()
     found = components(links)
     return df.select(F.col(row).cast("long").alias(row)).distinct().join(found, F.col(row) == found["node"], "left").select(row, F.coalesce("label", row).alias("group"))
 
@@ -58,23 +60,64 @@ def group_split(df: DataFrame, group: str, seed: int, test: float = 0.2, calibra
     return first.where(F.col("rank") < n_test).select(group, F.lit("test").alias("split")).unionByName(second)
 
 
-#: Groups that may be dealt one after another on the driver.
-MOST_GROUPS = 1_000_000
+def ordered(df: DataFrame, by: list[Column]) -> DataFrame:
+    """df with `position`, its place (from 0) in the order of the columns: places within ranges, and the sizes of lesser ranges."""
+    placed = stored(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_place", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright("_place", 33)
+    # One row for each range.
+    counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    starts = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))
+    return placed.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn("position", F.col("_start") + F.col("_place").bitwiseAND((1 << 33) - 1)).drop("_part", "_start", "_place")
 
 
-def size_balanced_folds(sizes: list[tuple[object, int]], folds: int) -> dict[object, int]:
-    """Largest groups first, each to the fold with the fewest rows so far (the least number among equals); at most MOST_GROUPS."""
-    if len(sizes) > MOST_GROUPS:
-        raise ValueError(f"at most {MOST_GROUPS} groups can be dealt by size; deal them by hash")
-    load = [0] * min(folds, max(1, len(sizes)))
+def dealt_runs(counts: list[tuple[int, int]], folds: int) -> dict[int, list[tuple[int, list[int]]]]:
+    """Per size the runs in which its groups are dealt: the first group of a run, and the folds that take turns from there on.
+
+    counts: (size, number of groups). Largest sizes first; a group goes to the fold of the least load, the least number among equals. Folds
+    whose loads lie within one size of each other take turns until the next fold's load is reached, so there are at most `folds` runs of a size.
+    """
+    load = [0] * folds
     out = {}
-    for key, n in sorted(sizes, key=lambda s: (-s[1], str(s[0]))):
-        fold = load.index(min(load))
-        out[key] = fold
-        load[fold] += n
+    for size, left in sorted(counts, reverse=True):
+        runs, first = [], 0
+        while left:
+            order = sorted(range(folds), key=lambda j: (load[j], j))
+            low = order[0]
+            turns = [j for j in order if (load[j], j) < (load[low] + size, low)]
+            n = left
+            if len(turns) < folds:
+                nearest = order[len(turns)]
+                gap = load[nearest] - load[low]
+                n = min(left, (gap // size - (gap % size == 0 and nearest < low)) * len(turns))
+            runs.append((first, turns))
+            for i, j in enumerate(turns):
+                load[j] += size * (n // len(turns) + (i < n % len(turns)))
+            first, left = first + n, left - n
+        out[size] = runs
     return out
 
 
+def size_balanced_folds(df: DataFrame, group: str, folds: int) -> DataFrame:
+    """group, n (its rows) and fold: largest groups first (of equal ones that whose text is least), each to the fold with the fewest rows so far.
+
+    Any number of groups: the driver has the distinct sizes alone, of which there are at most the root of twice the rows.
+    """
+    sizes = stored(df.groupBy(group).agg(F.count(F.lit(1)).alias("n")), "group-sizes")
+    counts = [(r["n"], r["groups"]) for r in sizes.groupBy("n").agg(F.count(F.lit(1)).alias("groups")).collect()]
+    runs = dealt_runs(counts, min(folds, max(1, sum(g for _, g in counts))))
+    before, starts = 0, {}
+    for n, g in sorted(counts, reverse=True):
+        starts[n], before = before, before + g
+    spark = df.sparkSession
+    known = spark.createDataFrame([(n, starts[n], [f for f, _ in runs[n]], [t for _, t in runs[n]]) for n, _ in counts], "n long, start long, firsts array<long>, turns array<array<int>>")
+    placed = ordered(sizes.withColumn("_text", F.col(group).cast("string")), [F.desc("n"), F.asc("_text")])
+    rank = F.col("position") - F.col("start")
+    at = F.size(F.filter("firsts", lambda f: f <= F.col("_rank")))
+    found = looked_up(placed, known, "n", known=len(counts)).withColumn("_rank", rank).withColumn("_at", at).withColumn("_turn", F.element_at("turns", F.col("_at")))
+    fold = F.element_at("_turn", ((F.col("_rank") - F.element_at("firsts", F.col("_at"))) % F.size("_turn") + 1).cast("int"))
+    return found.select(group, "n", fold.cast("long").alias("fold"))
+
+
 def split_report(df: DataFrame, split: str, group: str) -> DataFrame:
     return df.groupBy(split).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(group).alias("groups"))
 

@@ -17,12 +17,10 @@ from pyspark.sql import functions as F
 from ..functions.scalar import canonical_digest
 from ..storage import dropped, stored
 from .grouping import hash_folds
-from .metrics import kth_smallest
+from .metrics import order_statistics
 from .refuse import finite
 
 MOST_FEATURES = 2000
-#: Rows whose medians one aggregate may take.
-MEDIAN_ROWS = 1 << 20
 ALPHAS = (0.01, 0.1, 1.0, 10.0, 100.0, 1000.0, 10000.0)
 TIE = 1e-12
 
@@ -238,20 +236,19 @@ def standardised(df: DataFrame, columns: list[str], train: Column | None = None)
     return df.join(F.broadcast(stats)).withColumns(z).drop(*stats.columns)
 
 
-def _median(df: DataFrame, column: str) -> float | None:
-    """The mean of the two middle values, by ranks; F.median would hold every distinct value in one place."""
-    n = df.where(F.col(column).isNotNull()).count()
-    low, high = (kth_smallest(df, column, k).first()[0] for k in ((n + 1) // 2, n // 2 + 1))
-    return None if low is None else (float(low) + float(high)) / 2
+def medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
+    """Per column the mean of its two middle values (null without any), by ranks of all columns together."""
+    total = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first() if columns else []
+    middle = order_statistics(df, {c: [(n + 1) // 2, n // 2 + 1] for c, n in zip(columns, total, strict=True)})
+    return {c: None if low is None else (float(low) + float(high)) / 2 for c, (low, high) in middle.items()}
 
 
 def median_imputed(df: DataFrame, columns: list[str], train: Column | None = None) -> DataFrame:
     """Columns with the training median in place of nulls, and `missing_<column>`; columns without any training value go."""
-    rows = df if train is None else df.where(train)
-    medians = {c: _median(rows, c) for c in columns} if rows.count() > MEDIAN_ROWS else rows.agg(*[F.median(c).alias(c) for c in columns]).first()
-    kept = [c for c in columns if medians[c] is not None]
+    found = medians(df if train is None else df.where(train), columns)
+    kept = [c for c in columns if found[c] is not None]
     out = df.withColumns({f"missing_{c}": F.col(c).isNull().cast("int") for c in kept})
-    return out.withColumns({c: F.coalesce(F.col(c), F.lit(medians[c])) for c in kept}).drop(*[c for c in columns if c not in kept])
+    return out.withColumns({c: F.coalesce(F.col(c), F.lit(found[c])) for c in kept}).drop(*[c for c in columns if c not in kept])
 
 
 # ------------------------------------------------------------------------------------------------------- gradient heads

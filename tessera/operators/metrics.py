@@ -63,6 +63,68 @@ def kth_smallest(df: DataFrame, value: str, k: Column | int) -> DataFrame:
     return counts.withColumn("upto", upto).where(F.col("upto") >= rank).agg(F.min(value).alias(value))
 
 
+def order_statistics(df: DataFrame, wanted: dict[str, list[int]]) -> dict[str, list[object]]:
+    """Per column the values of its ranks (from 1; null where there are fewer values), of all columns and ranks together.
+
+    Every round narrows all brackets by two aggregates over the table, whatever their number: sketches of what lies in each bracket, then
+    counts below, at and between the sketched values. Brackets of at most RANKED rows are ranked together at the end.
+    """
+    columns = list(wanted)
+    total = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first() if columns else []
+    n_of = dict(zip(columns, total, strict=True))
+    out: dict[tuple[str, int], object] = {(c, k): None for c in columns for k in wanted[c]}
+    # low and high are exclusive; below counts the values up to low.
+    open_ = {(c, k): (None, None, 0, n_of[c]) for c, k in out if 1 <= k <= n_of[c]}
+    small: dict[tuple[str, int], tuple] = {}
+
+    def inside(c: str, low: object, high: object) -> Column:
+        test = F.col(c).isNotNull()
+        test = test if low is None else test & (F.col(c) > F.lit(low))
+        return test if high is None else test & (F.col(c) < F.lit(high))
+
+    while open_:
+        small |= {key: b for key, b in open_.items() if b[3] <= RANKED}
+        open_ = {key: b for key, b in open_.items() if b[3] > RANKED}
+        if not open_:
+            break
+        width = 1e-4
+        sketches = []
+        for (c, k), (low, high, below, n) in open_.items():
+            share = (k - below) / n
+            ends = F.array(F.lit(max(0.0, share - 2 * width)), F.lit(min(1.0, share + 2 * width)))
+            sketches.append(F.percentile_approx(F.when(inside(c, low, high), F.col(c)), ends, F.lit(int(1 / width))))
+        ends_of = dict(zip(open_, df.agg(*[s.alias(f"s{i}") for i, s in enumerate(sketches)]).first(), strict=True))
+        counts = []
+        for (c, k), (low, high, _, _) in open_.items():
+            a, b = ends_of[c, k]
+            v, here = F.col(c), inside(c, low, high)
+            counts += [F.count(F.when(here & p, 1)) for p in (v < a, v == a, (v > a) & (v < b), (v == b) & F.lit(b > a))]
+        row = list(df.agg(*[x.alias(f"c{i}") for i, x in enumerate(counts)]).first())
+        after = {}
+        for i, ((c, k), (low, high, below, n)) in enumerate(open_.items()):
+            a, b = ends_of[c, k]
+            less, same, between, last = row[4 * i : 4 * i + 4]
+            edges = [(less, low, a), (same, a, None), (between, a, b), (last, b, None), (n - less - same - between - last, b, high)]
+            for part, (m, first, end) in enumerate(edges):
+                if k <= below + m:
+                    break
+                below += m
+            if part in (1, 3):
+                out[c, k] = first
+            else:
+                after[c, k] = (first, end, below, m)
+        open_ = after
+    if small:
+        keys = list(small)
+        entries = [F.when(inside(c, small[c, k][0], small[c, k][1]), F.struct(F.lit(i).alias("at"), F.col(c).cast("double").alias("v"))) for i, (c, k) in enumerate(keys)]
+        rows = df.select(F.explode(F.array_compact(F.array(*entries))).alias("e")).groupBy("e.at", "e.v").agg(F.count(F.lit(1)).alias("n"))
+        rank = F.element_at(F.array(*[F.lit(k - small[c, k][2]) for c, k in keys]), F.col("at") + 1)
+        upto = F.sum("n").over(Window.partitionBy("at").orderBy("v"))
+        for r in rows.withColumn("upto", upto).where(F.col("upto") >= rank).groupBy("at").agg(F.min("v").alias("v")).collect():
+            out[keys[r["at"]]] = r["v"]
+    return {c: [out[c, k] for k in wanted[c]] for c in columns}
+
+
 def conformal_radius(df: DataFrame, group: str, errors: dict[str, Column], alpha: float) -> DataFrame:
     """One row per component: groups, rank = ceil((groups + 1)(1 - alpha)) and the radius of that rank.
 

@@ -332,10 +332,9 @@ def select_scalar(df: DataFrame, features: list[str], target: str, family: str,
     Ridges come from the folds' sums; a fold's kernels share their landmarks.
     """
     rows = _log_rows(df, features, target, family)
-    fold_of = grouping.size_balanced_folds([(r["family"], r["count"]) for r in rows.groupBy("family").count().limit(grouping.MOST_GROUPS + 1).collect()], 5)
-    if len(fold_of) < 5:
+    folds = grouping.size_balanced_folds(rows, "family", 5).select("family", F.col("fold").cast("int").alias("fold"))
+    if folds.limit(5).count() < 5:
         raise ValueError("five families are needed")
-    folds = df.sparkSession.createDataFrame([(name, fold, i) for i, (name, fold) in enumerate(fold_of.items())], "family string, fold int, number int")
     dealt = stored(rows.join(folds, "family"), "scalar-folds")
     parts = {int(k): g for k, g in heads.grams(dealt, [*features, "log_y"], by="fold", weight="share").items()}
     whole = sum(list(parts.values())[1:], next(iter(parts.values())))

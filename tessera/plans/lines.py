@@ -553,8 +553,7 @@ SELECT p_brand, fold FROM r WHERE k > 0
 """)
 def size_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Brands dealt to four folds, the largest first, each to the fold with the fewest parts."""
-    sizes = [(r["p_brand"], r["count"]) for r in table(spark, sf_dir, "part").groupBy("p_brand").count().collect()]
-    return spark.createDataFrame(list(grouping.size_balanced_folds(sizes, 4).items()), "p_brand string, fold long")
+    return grouping.size_balanced_folds(table(spark, sf_dir, "part"), "p_brand", 4).select("p_brand", "fold")
 
 
 @query("""

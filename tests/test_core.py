@@ -263,7 +263,9 @@ def test_weights_splits_and_embargo(spark):
     assert not grouping.leaks(split, "family", "split").count() and split.select("split").distinct().count() == 3
     with pytest.raises(ValueError):
         grouping.group_split(df.where("family < 'f7'"), "family", 42)
-    assert grouping.size_balanced_folds([("a", 5), ("b", 3), ("c", 3), ("d", 1)], 2) == {"a": 0, "b": 1, "c": 1, "d": 0}
+    rows = spark.createDataFrame([(k,) for k, n in (("a", 5), ("b", 3), ("c", 3), ("d", 1)) for _ in range(n)], "g string")
+    assert {r.g: (r.n, r.fold) for r in grouping.size_balanced_folds(rows, "g", 2).collect()} == {"a": (5, 0), "b": (3, 1), "c": (3, 1), "d": (1, 0)}
+    assert grouping.size_balanced_folds(rows.limit(0), "g", 2).collect() == []
     kept = grouping.embargo(df, "row", [F.col("family"), F.col("pair")], [df.where("row = 0").select("family"), df.where("row = 1").select("pair")])
     assert {(r.family, r.pair) for r in kept.collect()} == {(f"f{i % 9}", f"p{i % 4}") for i in range(90) if i % 9 and i % 4 != 1}
     assert grouping.split_groups(df, "family", "row").count() == 9 and grouping.overlap(df, df, "pair").count() == 4
@@ -391,12 +393,73 @@ def test_ranks_in_narrowing_brackets(spark, monkeypatch):
         df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
         for k in (1, 2, len(values) // 2, len(values)):
             assert metrics.kth_smallest(df, "v", k).first()[0] == np.sort(values)[k - 1]
-    monkeypatch.setattr(heads, "MEDIAN_ROWS", 10)
     df = spark.createDataFrame([(float(v), None) for v in (5, 1, 2, 8)] * 5 + [(None, None)], "v double, w double")
     out = heads.median_imputed(df, ["v", "w"])
     assert out.columns == ["v", "missing_v"] and out.where("missing_v = 1").first()["v"] == 3.5
 
 
+def greedy(sizes, folds):
+    """One group after another, as the rule says."""
+    load, out = [0] * min(folds, max(1, len(sizes))), {}
+    for key, n in sorted(sizes.items(), key=lambda s: (-s[1], str(s[0]))):
+        out[key] = load.index(min(load))
+        load[out[key]] += n
+    return out
+
+
+def test_groups_are_dealt_by_runs(spark):
+    r = np.random.default_rng(1)
+    for folds in (1, 2, 3, 5, 9):
+        for _ in range(60):
+            sizes = {f"{i:03d}": int(n) for i, n in enumerate(r.choice([1, 1, 1, 2, 3, 7, 10, 40, 200], r.integers(1, 120)))}
+            runs = grouping.dealt_runs([(n, list(sizes.values()).count(n)) for n in set(sizes.values())], min(folds, len(sizes)))
+            got = {}
+            for n in set(sizes.values()):
+                for i, key in enumerate(sorted(k for k, m in sizes.items() if m == n)):
+                    first, turns = [x for x in runs[n] if x[0] <= i][-1]
+                    got[key] = turns[(i - first) % len(turns)]
+            assert got == greedy(sizes, folds)
+            assert all(len(x) <= folds for x in runs.values())
+    sizes = {f"g{i}": 1 + i % 4 * (i % 3) for i in range(400)}
+    df = spark.createDataFrame([(k,) for k, n in sizes.items() for _ in range(n)], "g string").repartition(6)
+    assert {x.g: x.fold for x in grouping.size_balanced_folds(df, "g", 5).collect()} == greedy(sizes, 5)
+
+
+def test_order_statistics_of_many_columns(spark, monkeypatch):
+    """A hundred columns take as many passes as one."""
+    monkeypatch.setattr(metrics, "RANKED", 20)
+    r = np.random.default_rng(2)
+    x = [r.normal(size=3000), r.integers(0, 3, 3000) * 1.0, np.repeat([1.0, 2.0, 3.0], 1000), np.where(r.random(3000) < 0.5, np.nan, r.normal(size=3000)), np.arange(3000.0)]
+    df = spark.createDataFrame([tuple(None if v != v else float(v) for v in row) for row in zip(*x, strict=True)], ", ".join(f"c{i} double" for i in range(5))).repartition(3)
+    ranks = [1, 2, 750, 1500, 1501, 3000, 3001, 0]
+    got = metrics.order_statistics(df, {f"c{i}": ranks for i in range(5)})
+    for i, v in enumerate(x):
+        v = np.sort(v[~np.isnan(v)])
+        assert got[f"c{i}"] == [float(v[k - 1]) if 1 <= k <= len(v) else None for k in ranks], i
+    tracker = spark.sparkContext.statusTracker()
+
+    def jobs(columns):
+        spark.sparkContext.setJobGroup(f"medians-{len(columns)}", "x")
+        found = heads.medians(wide, columns)
+        return found, len(tracker.getJobIdsForGroup(f"medians-{len(columns)}"))
+
+    monkeypatch.setattr(metrics, "RANKED", 1000)
+    wide = df.select("c0", *[(F.col("c0") * i).alias(f"w{i}") for i in range(99)])
+    one, all_ = jobs(["c0"]), jobs(wide.columns)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert all_[1] <= one[1] + 2 and all_[0]["w7"] == pytest.approx(7 * one[0]["c0"]) and len(all_[0]) == 100
+
+
+def test_a_hot_alias_is_looked_up(spark, monkeypatch):
+    from tessera.operators import components
+
+    monkeypatch.setattr(components, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(components, "HEAVY", 5)
+    df = spark.createDataFrame([(i, ["ring-free"] if i % 10 else [f"own {i}"]) for i in range(200)] + [(500, ["own 10", "own 20"]), (501, None)], "k long, a array<string>")
+    got = {r.k: r.group for r in grouping.alias_components(df, "k", F.col("a")).collect()}
+    assert {got[i] for i in range(200) if i % 10} == {1} and got[500] == got[20] == got[10] == 10 and got[501] == 501
+
+
 def test_categories_are_never_dropped(spark, monkeypatch):
     monkeypatch.setattr(heads, "MOST_FEATURES", 5)
     df = spark.createDataFrame([(float(i), i % 2, f"c{i % 6}", 1.0) for i in range(40)], "a double, y int, k string, w double")
