@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import cells, chemistry, cohesion, evidence, forests, grouping, heads, kernels, metrics, models, prepare, refuse, trees
+from ..operators import cells, chemistry, cohesion, evidence, forests, grouping, heads, kernels, metrics, models, prepare, refuse, sparse, trees
 from ..sources import contracts, gate, singlepoint
 from ..storage import dropped, shared_folder
 from .catalog import query, table
@@ -288,6 +288,17 @@ def logistic_intercept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.round(F.lit(head.intercept), 3).alias("intercept"), F.count(F.lit(1)).alias("rows"))
 
 
+@query("""
+WITH r AS (SELECT l_suppkey, l_suppkey % 2 AS odd, (l_returnflag = 'R')::INT AS y FROM lineitem)
+SELECT l_suppkey, round(avg(y), 3) AS chance, count(*) AS lines FROM r GROUP BY 1
+""")
+def logistic_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One feature and a category of many values, almost without penalty: each category's chance is its share."""
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_suppkey") % 2).alias("odd"), (F.col("l_returnflag") == "R").cast("int").alias("y"), F.lit(1.0).alias("w"))
+    head = sparse.fit_categories(rows, ["odd"], "y", "w", 1e-9, "l_suppkey")
+    return head.predict(rows).groupBy("l_suppkey").agg(F.round(F.avg(1 / (1 + F.exp(-F.col("logit")))), 3).alias("chance"), F.count(F.lit(1)).alias("lines"))
+
+
 _TREES = {
     "features": ["p_size", "p_retailprice"], "weights": [0.5, 2.0],
     "trees": [
