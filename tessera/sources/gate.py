@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import codecs
-import contextlib
 import hashlib
 import importlib.metadata
 import json
 import urllib.request
-import zipfile
 from collections.abc import Callable, Iterator
 
-import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,8 +17,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..operators.chemistry import with_canonical, with_scope
 from ..operators.refuse import finite
 from ..storage import stored
-from .columns import scalars
 from .contracts import AUXILIARY, CHECKPOINT, DATASET, Contract, Refused
+from .ranges import read_columns
 
 TARGETS = ("delta_d", "delta_p", "delta_h")
 LABELLED = ("sample_id", "smiles", *TARGETS, "label_kind")
@@ -110,100 +106,14 @@ def vector_table(spark: SparkSession, uri: str, size: int) -> DataFrame:
     return out
 
 
-class NonfiniteTokens:
-    """Bare NaN, Infinity and -Infinity where a value may stand become null; text inside quotes and escapes is kept.
-
-    Fed in pieces of any size: what may be the beginning of a token is held until the next piece.
-    """
-
-    TOKENS = ("-Infinity", "Infinity", "NaN")
-
-    def __init__(self) -> None:
-        self.held, self.quoted, self.escaped = "", False, False
-
-    def feed(self, text: str, last: bool = False) -> str:
-        text, out, i = self.held + text, [], 0
-        self.held = ""
-        while i < len(text):
-            c = text[i]
-            if self.quoted:
-                if self.escaped:
-                    self.escaped = False
-                elif c == "\\":
-                    self.escaped = True
-                elif c == '"':
-                    self.quoted = False
-            elif c == '"':
-                self.quoted = True
-            elif c in "NI-":
-                token = next((t for t in self.TOKENS if text.startswith(t, i)), None)
-                if token and (i + len(token) < len(text) or last):
-                    if i + len(token) == len(text) or not (text[i + len(token)].isalnum() or text[i + len(token)] in "_."):
-                        out.append("null")
-                        i += len(token)
-                        continue
-                elif not last and any(t.startswith(text[i:]) for t in self.TOKENS):
-                    self.held = text[i:]
-                    break
-            out.append(c)
-            i += 1
-        return "".join(out)
-
-
-#: The largest member of an archive that is read.
-MOST_MEMBER = 64 << 30
-
-
-def _pieces(uri: str, block: int = 1 << 20) -> Iterator[str]:
-    """The text of a JSON file, or of a ZIP file's one JSON member, in pieces and with nonfinite tokens made null."""
-    fs, path = located(uri)
-    with fs.open_input_file(path) as f, contextlib.ExitStack() as stack:
-        source = f
-        if f.read(2) == b"PK":
-            f.seek(0)
-            archive = stack.enter_context(zipfile.ZipFile(f))
-            members = [m for m in archive.infolist() if m.filename.lower().endswith(".json")]
-            if len(members) != 1 or members[0].file_size > MOST_MEMBER:
-                raise Refused("one JSON member of bounded size is needed")
-            source = stack.enter_context(archive.open(members[0]))
-        else:
-            f.seek(0)
-        decoder, transducer = codecs.getincrementaldecoder("utf-8-sig")(), NonfiniteTokens()
-        while data := source.read(block):
-            yield transducer.feed(decoder.decode(data))
-        yield transducer.feed(decoder.decode(b"", final=True), last=True)
-
-
 def column_json(spark: SparkSession, path: str, key: str, columns: str) -> DataFrame:
     """Rows of {"key": [..], "columns": {name: [..]}} in JSON files or in ZIP files of one JSON member, of any size.
 
-    Each file is read once, piece by piece, and only these two columns are kept, one scalar a row; positions bring them
+    Files are read by ranges in many tasks, and only these two columns are kept, one scalar a row; positions bring them
     together: file, position, key and a map of name to value. Nonfinite tokens are null. Columns of other lengths than
-    the keys', and values that are no numbers, refuse all.
+    the keys', and values that are no numbers, refuse all; so do broken texts.
     """
-    fields = pa.schema([("file", pa.string()), ("column", pa.string()), ("position", pa.int64()), ("text", pa.string()), ("value", pa.float64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for uri in batch.column(0).to_pylist():
-                rows = []
-                for at, places, value in scalars(_pieces(uri)):
-                    if at == (key,) and len(places) == 1:
-                        if not isinstance(value, str):
-                            raise Refused("a key is no text")
-                        rows.append((uri, None, places[0], value, None))
-                    elif len(at) == 2 and at[0] == columns and len(places) == 1:
-                        if isinstance(value, bool | str):
-                            raise Refused("a value is no number")
-                        rows.append((uri, at[1], places[0], None, value))
-                    if len(rows) == 8192:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)], schema=fields)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)], schema=fields)
-
-    files = spark.read.format("binaryFile").load(path).select("path")
-    read = stored(files.repartition("path").mapInArrow(run, "file string, column string, position long, text string, value double"), "columns")
+    read = stored(read_columns(spark, path, key, columns, located), "columns")
     sizes = read.groupBy("file", "column").agg(F.count(F.lit(1)).alias("n")).groupBy("file").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("column").isNull()).alias("keyed"))
     if sizes.where("least <> most OR NOT keyed").limit(1).count():
         raise Refused("columns differ in length")

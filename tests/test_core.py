@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalar
 from tessera.operators import diagnostics, domain, evidence, grouping, heads, metrics, prepare, refuse
-from tessera.sources import contracts, gate
+from tessera.sources import contracts, gate, ranges
 
 GOOD = {"dataset_id": "d", "sha256": "0" * 64, "label_kind": "synthetic", "source": "s", "license": "MIT", "rights_status": "approved", "permission_evidence": "e", "approved_by": "a", "training_allowed": True, "derived_weights_allowed": True, "local_evaluation_allowed": True}
 
@@ -80,14 +80,6 @@ def test_prediction_table(spark, tmp_path):
     assert text[0].startswith("sample_id,smiles,canonical_smiles,status,reasons") and text[1].startswith("a,,,,x|y,,")
 
 
-@pytest.mark.parametrize("size", [1, 2, 3, 7, 1000])
-def test_nonfinite_tokens_across_pieces(size):
-    text = '{"a": [NaN, -Infinity,Infinity, -1, "NaN \\" Infinity", "N"], "NaN": null, "b":-Infinity}'
-    t = gate.NonfiniteTokens()
-    got = "".join(t.feed(text[i : i + size], i + size >= len(text)) for i in range(0, len(text), size))
-    assert json.loads(got) == {"a": [None, None, None, -1, 'NaN " Infinity', "N"], "NaN": None, "b": None}
-
-
 def test_column_json_and_npz(spark, tmp_path):
     body = '{"SMILES": ["C", "CC"], "OTHER": [1], "SOLVATION": {"water": [1.5, NaN]}}'
     with zipfile.ZipFile(tmp_path / "x.zip", "w") as z:
@@ -107,17 +99,30 @@ def test_column_json_and_npz(spark, tmp_path):
     assert gate.digests(spark, str(tmp_path)).count() == 2
 
 
-@pytest.mark.parametrize("size", [1, 3, 1000])
-def test_scalars_of_a_stream(size):
-    from tessera.sources import columns
+@pytest.mark.parametrize("size", [1, 2, 3, 5, 7, 16, 64, 10_000])
+def test_column_json_split_at_any_byte(spark, tmp_path, size):
+    """Ranges of any size give the rows of the whole file: texts with escapes, quotes, brackets and letters of several bytes at every edge."""
+    keys = ["C", 'a"b', "\\", '\\"', "[]{},:", "é中😀", "NaN", "", " x\ty\n", "\\\\"]
+    values = {"water": [1.5, None, -2e-7, 0, None, 12345678901, None, 3, 4, 5], 'odd "name"]': [float(i) for i in range(10)]}
+    written = ", ".join(json.dumps(k, ensure_ascii=i % 2 == 0) for i, k in enumerate(keys))
+    water = " ,".join({1: "NaN", 4: "-Infinity", 6: "Infinity"}.get(i, json.dumps(v)) for i, v in enumerate(values["water"]))
+    body = f'\ufeff {{"OTHER": {{"SMILES": ["no"], "x": [[1, {{"y": "]}}"}}], NaN], "t": true}}, "SMILES"\n: [{written}] , "SOLVATION" : {{"water":[{water}], {json.dumps("odd " + chr(34) + "name" + chr(34) + "]")}: {json.dumps(values[list(values)[1]])}}}, "last": null}}\n'
+    (tmp_path / "x.json").write_bytes(body.encode())
+    got = ranges.read_columns(spark, f"file://{tmp_path}/x.json", "SMILES", "SOLVATION", gate.located, size if size > 1 or len(body) < 900 else 2)
+    rows = got.collect()
+    assert [r.text for r in sorted((r for r in rows if r.column is None), key=lambda r: r.position)] == keys
+    for name, want in values.items():
+        assert [r.value for r in sorted((r for r in rows if r.column == name), key=lambda r: r.position)] == want
+    assert len(rows) == 30
+
+
+@pytest.mark.parametrize("bad", [" ", "[1]", '{"SMILES": ["C"', '{"SMILES": ["C]}', '{"SMILES": ["C"]}}', '{"SMILES" ["C"]}', '{"SMILES": ["C",]}', '{"SMILES": ["C" "D"]}', '{"SMILES": ["C"], "SMILES": ["D"]}', '{"SMILES": ["C"]} x', '{"SMILES": ["C", tru]}', '{"SMILES": [["C"]]}', '{"SMILES": ["C"}]', "{,}"])
+def test_broken_column_json_is_refused(spark, tmp_path, bad):
+    (tmp_path / "x.json").write_text(bad)
+    for size in (3, 1000):
+        with pytest.raises(Exception, match="Refused"):
+            ranges.read_columns(spark, f"file://{tmp_path}/x.json", "SMILES", "SOLVATION", gate.located, size).collect()
 
-    body = '{"a": [1, "x, ]", -2.5e3, null, true], "b": {"c": [], "d": [[3], {"e": 4}]}, "f": "\\u00e9\\""}'
-    pieces = lambda t: [t[i : i + size] for i in range(0, len(t), size)]
-    assert list(columns.scalars(pieces(body))) == [(("a",), (0,), 1), (("a",), (1,), "x, ]"), (("a",), (2,), -2500.0), (("a",), (3,), None), (("a",), (4,), True), (("b", "d"), (0, 0), 3), (("b", "d", "e"), (1,), 4), (("f",), (), 'é"')]
-    assert list(columns.scalars(pieces(" 12 "))) == [((), (), 12)] and list(columns.scalars(pieces("{}"))) == []
-    for bad in ("", "{", "[1,]", '{"a":1,}', '{"a":1 "b":2}', "[1 2]", '{"a":1,"a":2}', "[01]", "1 2", "[}", '{"a"}', "nul", '"x', "{1:2}", "[1]]"):
-        with pytest.raises(contracts.Refused):
-            list(columns.scalars(pieces(bad)))
 
 
 def test_vectors(spark, tmp_path):
