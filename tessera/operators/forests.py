@@ -1,8 +1,7 @@
 """Randomised, positive and boosted trees and one-layer networks, fitted from sums over rows.
 
 Each pass over the rows is one aggregate: a batch gives partial sums (and minima), which are added (or minimised) by key.
-Tables of LOCAL_VALUES numbers at most are held on the driver and give the same sums without jobs; results do not depend
-on which, up to the rounding of sums. States are plain lists and go through JSON unchanged.
+States are plain lists and go through JSON unchanged.
 """
 
 from __future__ import annotations
@@ -18,7 +17,6 @@ from pyspark.sql import functions as F
 from ..functions.scalar import canonical_digest
 from .heads import lbfgs, tree_values
 
-LOCAL_VALUES = 4_000_000
 #: Trees that one pass grows together.
 TOGETHER = 16
 
@@ -36,18 +34,13 @@ class Rows:
         self.count = rows.count()
         if not self.count:
             raise ValueError("no training rows")
-        self.local = rows.toPandas().to_numpy(float) if self.count * len(columns) <= LOCAL_VALUES else None
-        self.rows = rows.persist() if self.local is None else None
+        self.rows = rows.persist()
 
     def close(self) -> None:
-        if self.rows is not None:
-            self.rows.unpersist()
+        self.rows.unpersist()
 
     def total(self, work: Work, summed: int) -> dict[int, np.ndarray]:
         """work of all rows: the first `summed` entries of each key's array are added, the others minimised."""
-        if self.local is not None:
-            return work(self.local)
-
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: dict[int, np.ndarray] = {}
             for batch in batches:
@@ -61,10 +54,13 @@ class Rows:
                 yield pa.RecordBatch.from_pydict({"key": pa.array([key], pa.int64()), "part": pa.array([part.tolist()], pa.list_(pa.float64()))})
 
         parts = self.rows.mapInArrow(run, "key long, part array<double>").select("key", F.posexplode("part").alias("at", "v"))
-        found = parts.groupBy("key").agg(F.max("at").alias("last")).collect()
-        out = {r["key"]: np.zeros(r["last"] + 1) for r in found}
-        for r in parts.groupBy("key", "at").agg(F.when(F.col("at") < summed, F.sum("v")).otherwise(F.min("v")).alias("v")).toLocalIterator():
-            out[r["key"]][r["at"]] = r["v"]
+        sums = parts.groupBy("key", "at").agg(F.when(F.col("at") < summed, F.sum("v")).otherwise(F.min("v")).alias("v")).toArrow()
+        keys, places, values = (sums.column(i).to_numpy() for i in range(3))
+        out: dict[int, np.ndarray] = {}
+        for key in np.unique(keys).tolist():
+            own = keys == key
+            out[key] = np.zeros(int(places[own].max()) + 1)
+            out[key][places[own]] = values[own]
         return out
 
 
@@ -198,17 +194,14 @@ class _Booster:
         self.width = max(len(e) for e in edges) + 1
         sums = rows.total(lambda d: {0: np.array([len(d), d[:, target].sum()])}, 2)[0]
         self.base, self.trees = float(sums[1] / sums[0]), []
-        # On the driver what rows have been given so far is kept; elsewhere it is worked out again.
-        self.given = np.full(len(rows.local), self.base) if rows.local is not None else None
 
     def sums(self, tree: dict, nodes: set[int]) -> dict[int, np.ndarray]:
-        """Of each node counts and residuals by feature and bin."""
+        """Of each node counts and residuals by feature and bin; residuals follow from the trees so far."""
         edges, p, width, target, base, trees = self.edges, self.p, self.width, self.target, self.base, list(self.trees)
-        kept = None if self.given is None else self.rows.local[:, target] - self.given
 
         def work(data: np.ndarray) -> dict[int, np.ndarray]:
             x, out = data[:, :p].astype(np.float32).astype(float), {}
-            r = data[:, target] - base - sum(_values(x, t) for t in trees) if kept is None else kept
+            r = data[:, target] - base - sum(_values(x, t) for t in trees)
             for node, mine in _by_node(_leaves(x, tree), nodes):
                 held = np.zeros((p, width, 2))
                 for f in range(p):
@@ -232,24 +225,38 @@ class _Booster:
         f, k = divmod(int(np.argmax(gain >= gain.max() * (1 - 1e-9))), gain.shape[1])
         return float(gain.max()), f, k
 
+    def _split(self, tree: dict[str, list], node: int, f: int, k: int) -> int:
+        """Splits a leaf; the left child's number, which the right one's follows."""
+        at = len(tree["left"])
+        tree["left"][node], tree["right"][node], tree["feature"][node], tree["threshold"][node] = at, at + 1, f, float(self.edges[f][k])
+        for name, empty in (("left", -1), ("right", -1), ("feature", 0), ("threshold", 0.0), ("value", 0.0)):
+            tree[name] += [empty, empty]
+        return at
+
+    def _left_sums(self, tree: dict[str, list], splits: dict[int, tuple[float, int, int]]) -> dict[int, np.ndarray]:
+        trial = {name: list(values) for name, values in tree.items()}
+        at = {node: self._split(trial, node, f, k) for node, (_, f, k) in splits.items()}
+        found = self.sums(trial, set(at.values()))
+        return {node: found[left] for node, left in at.items()}
+
     def grow(self) -> bool:
         """One tree more; False if nothing can be split."""
         tree: dict[str, list] = {"left": [-1], "right": [-1], "feature": [0], "threshold": [0.0], "value": [0.0]}
         held = self.sums(tree, {0})
         found = {0: self.best(held[0])}
+        # Sums of the left side of each leaf's best split: those of all leaves are gathered in one pass, before it is known which is split.
+        lefts: dict[int, np.ndarray] = {}
         while len(found) < self.leaves:
             most = max(v[0] for v in found.values())
             node = min(n for n, v in found.items() if v[0] >= most * (1 - 1e-9))
-            gain, f, k = found.pop(node)
-            if gain <= 1e-12:
-                found[node] = (0.0, 0, 0)
+            if found[node][0] <= 1e-12:
                 break
-            at = len(tree["left"])
-            tree["left"][node], tree["right"][node], tree["feature"][node], tree["threshold"][node] = at, at + 1, f, float(self.edges[f][k])
-            for name, empty in (("left", -1), ("right", -1), ("feature", 0), ("threshold", 0.0), ("value", 0.0)):
-                tree[name] += [empty, empty]
+            if node not in lefts:
+                lefts |= self._left_sums(tree, {n: v for n, v in found.items() if v[0] > 1e-12 and n not in lefts})
+            _, f, k = found.pop(node)
+            at = self._split(tree, node, f, k)
             # The right child has what the left one leaves.
-            held[at] = self.sums(tree, {at})[at]
+            held[at] = lefts.pop(node)
             held[at + 1] = held.pop(node) - held[at]
             found |= {n: self.best(held[n]) for n in (at, at + 1)}
         for node in found:
@@ -258,8 +265,6 @@ class _Booster:
         if len(found) == 1:
             return False
         self.trees.append(tree)
-        if self.given is not None:
-            self.given = self.given + _values(self.rows.local[:, : self.p].astype(np.float32).astype(float), tree)
         return True
 
 

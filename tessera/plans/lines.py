@@ -326,6 +326,24 @@ def two_leaf_forests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("large").agg(F.count(F.lit(1)).alias("parts"), F.round(F.avg("mean"), 6).alias("mean"), F.round(F.avg("root"), 6).alias("root"), F.round(F.avg("boosted"), 6).alias("boosted"))
 
 
+@query("""
+WITH v AS (SELECT 0 AS f, l_quantity::DOUBLE AS x, l_extendedprice AS y FROM lineitem UNION ALL SELECT 1, l_discount, l_extendedprice FROM lineitem UNION ALL SELECT 2, l_tax, l_extendedprice FROM lineitem),
+g AS (SELECT f, x, count(*) AS n, sum(y) AS s FROM v GROUP BY 1, 2),
+c AS (SELECT f, x, lead(x) OVER w AS nx, sum(n) OVER w AS nl, sum(s) OVER w AS sl, sum(n) OVER (PARTITION BY f) AS n, sum(s) OVER (PARTITION BY f) AS s FROM g WINDOW w AS (PARTITION BY f ORDER BY x)),
+b AS (SELECT * FROM c WHERE nx IS NOT NULL ORDER BY sl * sl / nl + (s - sl) * (s - sl) / (n - nl) DESC, f, x LIMIT 1)
+SELECT ['l_quantity', 'l_discount', 'l_tax'][f + 1] AS feature, round((x + nx) / 2, 5) AS threshold, CAST(nl AS BIGINT) AS lines, round(sl / nl, 4) AS low, round((s - sl) / (n - nl), 4) AS high FROM b
+""")
+def boosted_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first split of a boosted tree over three columns: the feature and threshold of the largest gain, and both sides' means."""
+    names = ["l_quantity", "l_discount", "l_tax"]
+    rows = table(spark, sf_dir, "lineitem").select(*[F.col(n).cast("double").alias(n) for n in names], F.col("l_extendedprice").cast("double").alias("y"))
+    (state,) = forests.fit_leafwise(rows, names, ["y"], trees=1, leaves=2, least=1, rate=1.0)
+    tree = state["trees"][0]
+    low = F.col(names[tree["feature"][0]]) <= F.lit(tree["threshold"][0])
+    out = forests.predicted(rows, json.loads(json.dumps(state)))
+    return out.agg(F.lit(names[tree["feature"][0]]).alias("feature"), F.lit(round(tree["threshold"][0], 5)).alias("threshold"), F.count(F.when(low, 1)).alias("lines"), F.round(F.avg(F.when(low, F.col("pred_y"))), 4).alias("low"), F.round(F.avg(F.when(~low, F.col("pred_y"))), 4).alias("high"))
+
+
 @query("""
 WITH l AS (SELECT l_orderkey f, l_linenumber p, (l_linenumber + 1) // 2 m, CASE WHEN l_linenumber % 2 = 0 THEN 0.1 ELSE -0.1 END s, l_tax, l_quantity / 10 x, l_discount * 10 y, l_linenumber * 1.0 z FROM lineitem),
 q AS (SELECT *, CASE WHEN abs(sum(s) OVER (PARTITION BY f, m)) < 1e-9 THEN s ELSE 0 END c, 0.2 + l_tax e FROM l),

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import importlib.metadata
 import json
+import os
 import urllib.request
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow.fs as pafs
@@ -207,39 +210,74 @@ def fresh(path: str) -> tuple[pafs.FileSystem, str]:
     return fs, at
 
 
-def write_json(path: str, value: object) -> None:
-    """A new file, indented; NaN and infinities are refused."""
+@contextlib.contextmanager
+def committed(path: str) -> Iterator[str]:
+    """A path beside `path` to write to; what is there becomes `path` in one step when all is written, or nothing does.
+
+    Of two writers of one path the first to end has it and the other is refused: local files are linked and folders renamed,
+    which fails where something is; other file systems are asked once more before the move.
+    """
+    fresh(path)
+    stage = f"{path.rstrip('/')}.{uuid.uuid4().hex}.part"
+    fs, part = located(stage)
+    _, at = located(path)
+    fs.create_dir(part.rsplit("/", 1)[0], recursive=True)
+    try:
+        yield stage
+        folder = fs.get_file_info(part).type == pafs.FileType.Directory
+        if isinstance(fs, pafs.LocalFileSystem):
+            try:
+                (os.rename if folder else os.link)(part, at)
+            except OSError as e:
+                raise Refused(f"{path} exists; nothing is overwritten") from e
+        else:
+            fresh(path)
+            fs.move(part, at)
+    finally:
+        kind = fs.get_file_info(part).type
+        if kind == pafs.FileType.Directory:
+            fs.delete_dir(part)
+        elif kind == pafs.FileType.File:
+            fs.delete_file(part)
+
+
+def _json_at(path: str, value: object) -> None:
     text = json.dumps(value, indent=2, allow_nan=False, ensure_ascii=False) + "\n"
-    fs, at = fresh(path)
-    fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
+    fs, at = located(path)
     with fs.open_output_stream(at) as f:
         f.write(text.encode())
 
 
+def write_json(path: str, value: object) -> None:
+    """A new file, indented; NaN and infinities are refused."""
+    with committed(path) as stage:
+        _json_at(stage, value)
+
+
 def write_rows(df: DataFrame, path: str, report: dict | None = None) -> None:
-    """JSON lines in a new folder, and a report beside them."""
-    fresh(path)
-    df.write.mode("errorifexists").json(f"{path}/observations")
-    if report is not None:
-        write_json(f"{path}/report.json", report)
+    """JSON lines in a new folder and a report beside them, as one commit."""
+    with committed(path) as stage:
+        df.write.mode("errorifexists").json(f"{stage}/observations")
+        if report is not None:
+            _json_at(f"{stage}/report.json", report)
 
 
 def write_predictions(df: DataFrame, path: str, targets: tuple[str, ...] = TARGETS) -> None:
     """Fixed columns, then value, lower and upper of each target; reasons joined by |; refused cells are blank."""
-    fresh(path)
-    if not df.limit(1).count():
-        raise Refused("no rows to predict")
-    columns = [*PREDICTION, *[f"{t}{s}" for t in targets for s in ("", "_lower", "_upper")]]
-    text = {c: F.array_join(c, "|") if c == "reasons" else F.col(c).cast("string") for c in columns}
-    df.select(*[F.coalesce(v, F.lit("")).alias(c) for c, v in text.items()]).write.mode("errorifexists").option("header", True).option("emptyValue", "").csv(path)
+    with committed(path) as stage:
+        if not df.limit(1).count():
+            raise Refused("no rows to predict")
+        columns = [*PREDICTION, *[f"{t}{s}" for t in targets for s in ("", "_lower", "_upper")]]
+        text = {c: F.array_join(c, "|") if c == "reasons" else F.col(c).cast("string") for c in columns}
+        df.select(*[F.coalesce(v, F.lit("")).alias(c) for c, v in text.items()]).write.mode("errorifexists").option("header", True).option("emptyValue", "").csv(stage)
 
 
 def write_bundle(df: DataFrame, path: str, manifest: dict, report: dict) -> None:
-    """Rows with a manifest whose permissions are all withdrawn: a second approval is needed before they are used."""
-    fresh(path)
-    df.write.mode("errorifexists").parquet(f"{path}/rows")
-    write_json(f"{path}/manifest.json", manifest | {k: False for k in manifest if k.endswith("_allowed")} | {"rights_status": "pending"})
-    write_json(f"{path}/report.json", report)
+    """Rows with a manifest whose permissions are all withdrawn, as one commit: a second approval is needed before they are used."""
+    with committed(path) as stage:
+        df.write.mode("errorifexists").parquet(f"{stage}/rows")
+        _json_at(f"{stage}/manifest.json", manifest | {k: False for k in manifest if k.endswith("_allowed")} | {"rights_status": "pending"})
+        _json_at(f"{stage}/report.json", report)
 
 
 def schema_json(df: DataFrame) -> dict:

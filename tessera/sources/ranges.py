@@ -139,9 +139,8 @@ def outline(tokens: _Tokens, first: int, depth: int) -> list[tuple[int, str, int
             if depth <= 3:
                 out += [(offset, "#", depth, None, n), (offset, kind, depth, None, 0)]
                 n = 0
-    if last is not None:
-        out += [(at, "#", depth, None, n), (at, "$", depth, last, 0)]
-    return out
+    out.append((at, "#", depth, None, n))
+    return out if last is None else [*out, (at, "$", depth, last, 0)]
 
 
 def _elements(tokens: _Tokens, depth: int, parts: dict[int, tuple[str | None, int]]) -> Iterator[tuple[str | None, int, str | None, float | None]]:
@@ -289,9 +288,8 @@ def read_columns(spark: SparkSession, path: str, key: str, columns: str, opened:
                 each, f = tokens(source, part, length, state)
                 with f:
                     rows = outline(each, part * size, depth)
-                if rows:
-                    offset, kind, deep, text, n = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_pydict({"file": [file] * len(rows), "part": pa.array([part] * len(rows), pa.int64()), "step": pa.array(range(len(rows)), pa.int64()), "offset": pa.array(offset, pa.int64()), "kind": list(kind), "depth": pa.array(deep, pa.int32()), "text": pa.array(text, pa.string()), "n": pa.array(n, pa.int64())})
+                offset, kind, deep, text, n = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_pydict({"file": [file] * len(rows), "part": pa.array([part] * len(rows), pa.int64()), "step": pa.array(range(len(rows)), pa.int64()), "offset": pa.array(offset, pa.int64()), "kind": list(kind), "depth": pa.array(deep, pa.int32()), "text": pa.array(text, pa.string()), "n": pa.array(n, pa.int64())})
 
     drawn = settled.repartition("file", "part").mapInArrow(lines, "file string, part long, step long, offset long, kind string, depth int, text string, n long")
 

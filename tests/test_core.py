@@ -80,6 +80,25 @@ def test_prediction_table(spark, tmp_path):
     assert text[0].startswith("sample_id,smiles,canonical_smiles,status,reasons") and text[1].startswith("a,,,,x|y,,")
 
 
+def test_sinks_are_one_commit(spark, tmp_path):
+    """Of two writers one fails, and what fails leaves nothing."""
+    path = str(tmp_path / "bundle")
+    with pytest.raises(contracts.Refused, match="exists"), gate.committed(path) as stage:
+        spark.range(2).write.parquet(stage)
+        gate.write_bundle(spark.range(3), path, {}, {"rows": 3})
+    assert spark.read.parquet(f"{path}/rows").count() == 3 and [p.name for p in tmp_path.iterdir()] == ["bundle"]
+    one = str(tmp_path / "one.json")
+    with pytest.raises(contracts.Refused, match="exists"), gate.committed(one) as stage:
+        gate._json_at(stage, 1)
+        gate.write_json(one, 2)
+    assert json.loads((tmp_path / "one.json").read_text()) == 2
+    failing = spark.range(8).select(F.raise_error(F.lit("lost")).cast("string").alias("x"))
+    for write in (lambda: gate.write_rows(failing, str(tmp_path / "r"), {}), lambda: gate.write_bundle(spark.range(1), str(tmp_path / "b"), {}, {"x": math.nan}), lambda: gate.write_json(str(tmp_path / "j"), math.inf)):
+        with pytest.raises(Exception, match="lost|JSON"):
+            write()
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["bundle", "one.json"]
+
+
 def test_column_json_and_npz(spark, tmp_path):
     body = '{"SMILES": ["C", "CC"], "OTHER": [1], "SOLVATION": {"water": [1.5, NaN]}}'
     with zipfile.ZipFile(tmp_path / "x.zip", "w") as z:

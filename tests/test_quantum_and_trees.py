@@ -68,26 +68,19 @@ def wave(spark, n=240):
     return x, y, spark.createDataFrame([(*map(float, a), *map(float, b)) for a, b in zip(x, y, strict=True)], "a double, b double, c double, u double, v double")
 
 
-@pytest.mark.parametrize("local", [1 << 30, 0])
-def test_extra_trees(spark, monkeypatch, local):
-    monkeypatch.setattr(forests, "LOCAL_VALUES", local)
-    x, y, df = wave(spark, 80 if not local else 240)
-    small = dict(trees=2, depth=2, leaf=3, seed=1) if not local else dict(trees=20, depth=8, leaf=2, tries=2, seed=1)
+def test_extra_trees(spark, monkeypatch):
+    x, y, df = wave(spark)
+    small = dict(trees=20, depth=8, leaf=2, tries=2, seed=1)
     state = json.loads(json.dumps(forests.fit_extra_trees(df.repartition(3), ["a", "b", "c"], ["u", "v"], **small)))
     got = forests.predicted(df, state).toPandas()[["pred_u", "pred_v"]].to_numpy()
     for t in state["trees"]:
         at = forests._leaves(x.astype(np.float32), t)
         for node in np.unique(at):
             assert (at == node).sum() >= small["leaf"] and np.allclose(t["value"][node], y[at == node].mean(0))
-    if local:
-        assert ((got - y) ** 2).mean(0).max() < 0.25 * y.var(0).max()
-        monkeypatch.setattr(forests, "TOGETHER", 3)
-        again = forests.fit_extra_trees(df, ["a", "b", "c"], ["u", "v"], **small)
-        assert [t["threshold"] for t in again["trees"]] == [t["threshold"] for t in state["trees"]]
-    else:
-        monkeypatch.setattr(forests, "LOCAL_VALUES", 1 << 30)
-        same = forests.fit_extra_trees(df, ["a", "b", "c"], ["u", "v"], **small)
-        assert [t["threshold"] for t in same["trees"]] == [t["threshold"] for t in state["trees"]]
+    assert ((got - y) ** 2).mean(0).max() < 0.25 * y.var(0).max()
+    monkeypatch.setattr(forests, "TOGETHER", 3)
+    again = forests.fit_extra_trees(df, ["a", "b", "c"], ["u", "v"], **small)
+    assert [t["threshold"] for t in again["trees"]] == [t["threshold"] for t in state["trees"]]
     with pytest.raises(ValueError):
         forests.predicted(df, state | {"root": True})
     with pytest.raises(ValueError):
@@ -106,23 +99,22 @@ def test_positive_forests(spark):
     assert constant["trees"][0]["left"] == [-1] and constant["trees"][0]["value"] == [[2.0]]
 
 
-def test_network(spark, monkeypatch):
+def test_network(spark):
     x, y, df = wave(spark)
     state = json.loads(json.dumps(forests.fit_network(df, ["a", "b", "c"], ["u", "v"], 12, 0.01, rounds=400, gate=1e-3)))
     got = forests.predicted(df, state).toPandas()[["pred_u", "pred_v"]].to_numpy()
     assert ((got - y) ** 2).mean(0).max() < 0.05 * y.var(0).max() and state["converged"]
     short = forests.fit_network(df, ["a"], ["u"], 2, 0.1, rounds=3)
-    monkeypatch.setattr(forests, "LOCAL_VALUES", 0)
     far = forests.fit_network(df.repartition(3), ["a"], ["u"], 2, 0.1, rounds=3)
     assert not short["converged"] and np.allclose(np.ravel(short["weights"][0]), np.ravel(far["weights"][0]))
 
 
-def test_leafwise_boosting(spark, monkeypatch):
+def test_leafwise_boosting(spark):
     x, y, df = wave(spark)
-    state = json.loads(json.dumps(forests.fit_leafwise(df, ["a", "b", "c"], ["u", "v"])))
+    state = json.loads(json.dumps(forests.fit_leafwise(df, ["a", "b", "c"], ["u", "v"], trees=40, rate=0.2)))
     for i, s in enumerate(state):
         got = forests.predicted(df, s).toPandas()[f"pred_{s['targets'][0]}"].to_numpy()
-        assert ((got - y[:, i]) ** 2).mean() < 0.1 * y[:, i].var() and len(s["trees"]) == 80
+        assert ((got - y[:, i]) ** 2).mean() < 0.1 * y[:, i].var() and len(s["trees"]) == 40
         for t in s["trees"]:
             at, n = np.unique(forests._leaves(x.astype(np.float32).astype(float), t), return_counts=True)
             assert len(at) <= 7 and n.min() >= 8
@@ -137,6 +129,5 @@ def test_leafwise_boosting(spark, monkeypatch):
     small = dict(trees=2, leaves=4)
     assert len(forests.edges_of(df, "a", 16)) == 15 and len(forests.edges_of(df, "a", 255)) == 239
     near = forests.fit_leafwise(df, ["a", "b"], ["u"], **small)[0]
-    monkeypatch.setattr(forests, "LOCAL_VALUES", 0)
     far = forests.fit_leafwise(df.repartition(3), ["a", "b"], ["u"], **small)[0]
     assert [t["threshold"] for t in near["trees"]] == [t["threshold"] for t in far["trees"]]
