@@ -13,8 +13,9 @@ Defined results: a null html is an empty payload and a null url `about:blank`; a
 its record carries no id (null refers_to where a group has null ids only); repeated rows stay; an empty table gives an
 archive without records and an empty result; columns other than page_id, url and html are not archived.
 
-One file is read by one task. `records` bounds the rows of a written file (4096 by default, some 20 MB of pages); files
-of other writers may hold up to 2 GB, Spark's limit for one binary value.
+One file is read by one task, so written files are bounded in bytes: records lie in folders by size, and a file holds 4096 records (`records`)
+of up to 64 KB, 256 of up to 1 MB, 16 of up to 16 MB or one larger one: 256 MB at most, or one record. Files of other writers may hold
+up to 2 GB, Spark's limit for one binary value.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ from .runtime import shared_folder, stored
 VERSION = b"WARC/1.1\r\n"
 END = "\r\n\r\n"
 BROADCAST_ROWS = 500_000
+#: Bytes of the records of the first class of sizes; each further class is of 16 times as much.
+CLASS_BYTES = 1 << 16
 LENGTH = re.compile(rb"\r\nContent-Length:[ \t]*([0-9]{1,18})[ \t]*(?=\r\n|$)", re.IGNORECASE)
 SCHEMA = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, offset long"
 # Digits of Spark's base 32 and of RFC 4648.
@@ -65,7 +68,7 @@ def record_rows(pages: DataFrame) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, records: int = 4096) -> None:
-    """Uncompressed archives below path, each the output of one task or a part of it."""
+    """Uncompressed archives below path, in a folder for each class of sizes, each the output of one task or a part of it."""
 
     def line(name: str, value: Column) -> Column:
         return F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
@@ -87,7 +90,12 @@ def write_archives(pages: DataFrame, path: str, records: int = 4096) -> None:
         line("Content-Length", F.octet_length(block).cast("string")),
         F.lit("\r\n"),
     )
-    record_rows(pages).select(F.concat(head, block).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", records).text(path)
+    written = record_rows(pages).select(F.concat(head, block).alias("value"))
+    size = F.octet_length("value")
+    kind = F.when(size <= CLASS_BYTES, 0).when(size <= CLASS_BYTES << 4, 1).when(size <= CLASS_BYTES << 8, 2).otherwise(3)
+    # An archive without records is a file all the same.
+    for k in sorted(r[0] for r in written.select(kind.alias("k")).distinct().collect()) or [0]:
+        written.where(kind == k).write.option("lineSep", END).option("maxRecordsPerFile", max(1, records >> 4 * k)).text(f"{path.rstrip('/')}/{k}")
 
 
 def candidates(data: bytes) -> tuple[np.ndarray, np.ndarray, list[int]]:
@@ -175,7 +183,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                         rows, size = [], 0
                 yield pa.RecordBatch.from_pylist(rows, fields)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(run, SCHEMA)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", True).load(path).select("content").mapInArrow(run, SCHEMA)
 
 
 def digest(pages: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ def test_payloads_read_back(spark, tmp_path):
     warc.write_archives(spark.createDataFrame(pages, SCHEMA), f"file://{tmp_path}/w", records=4)
     got = {r.page_id: r for r in warc.read_archives(spark, f"file://{tmp_path}/w").collect()}
     assert {i: got[i].payload.decode() for i in got} == {i: h for i, _, h in pages}
-    assert len(list((tmp_path / "w").glob("part-*"))) > 4
+    assert len(list((tmp_path / "w").rglob("part-*"))) > 4
 
 
 def test_headers_of_any_length(spark, tmp_path):
@@ -69,3 +69,16 @@ def test_pointer_jumping_keeps_the_chain():
     n = 1000
     at = np.arange(0, 3 * n, 3)
     assert warc.reachable(at, at + 3, 3 * n).tolist() == list(range(n))
+
+
+def test_files_are_bounded_in_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "CLASS_BYTES", 1000)
+    sizes = [0, 10, 300, 5_000, 15_000, 15_500, 200_000, 250_000, 300_000, 40, 1_000_000]
+    pages = [(i, f"http://h/{i}", chr(97 + i) * n) for i, n in enumerate(sizes * 4)]
+    df = spark.createDataFrame([(i, u, h + str(i)) for i, u, h in pages], SCHEMA).coalesce(2)
+    warc.write_archives(df, f"file://{tmp_path}/w", records=64)
+    files = [p for p in (tmp_path / "w").rglob("part-*")]
+    assert max(p.stat().st_size for p in files) <= 1_000_000 + 1000
+    assert {p.parent.name for p in files} == {"0", "1", "2", "3"}
+    got = {r.page_id: r.payload.decode() for r in warc.read_archives(spark, f"file://{tmp_path}/w").collect()}
+    assert got == {r.page_id: r.html for r in df.collect()}
