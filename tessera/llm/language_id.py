@@ -127,27 +127,52 @@ class ContextTrees:
         return out
 
 
+def _reached(rows: DataFrame) -> dict[str, int]:
+    """Per language the hash up to which its rows have SAMPLE_BYTES (the largest if they don't), rounded up to a prefix of few SAMPLE_BYTES.
+
+    A round counts bytes by the next PREFIX_BITS of the hash in the prefix that the last one ended in, of languages whose prefix still
+    holds much: so the rows that are sorted later are as few in a large corpus as in a small one.
+    """
+    done: dict[str, int] = {}
+    # Of each open language: its prefix and the bytes before it.
+    open_: dict[str, tuple[int, int]] | None = None
+    bits = 0
+    while open_ is None or open_:
+        bits += PREFIX_BITS
+        near, carried = rows, F.lit(0)
+        if open_ is not None:
+            at = F.create_map(*[F.lit(x) for lang, (prefix, _) in open_.items() for x in (lang, prefix)])
+            near = rows.where(F.col("lang").isin(list(open_)) & (F.shiftright("u", 63 - bits + PREFIX_BITS) == at[F.col("lang")]))
+            carried = F.create_map(*[F.lit(x) for lang, (_, before) in open_.items() for x in (lang, before)])[F.col("lang")]
+        parts = near.groupBy("lang", F.shiftright("u", 63 - bits).alias("part")).agg(F.sum("size").alias("size"))
+        before = carried + F.coalesce(F.sum("size").over(Window.partitionBy("lang").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        reached = parts.withColumn("before", before).where(F.col("before") < SAMPLE_BYTES)
+        found = reached.groupBy("lang").agg(F.max(F.struct("part", "before", "size")).alias("last")).select("lang", "last.*").limit(MOST_LANGUAGES + 1).collect()
+        if len(found) > MOST_LANGUAGES:
+            raise ValueError(f"more than {MOST_LANGUAGES} languages")
+        open_ = {}
+        for r in found:
+            if r["size"] > 8 * SAMPLE_BYTES and bits + PREFIX_BITS < 63:
+                open_[r["lang"]] = (r["part"], r["before"])
+            else:
+                done[r["lang"]] = ((r["part"] + 1) << (63 - bits)) - 1
+    return done
+
+
 def _sample(df: DataFrame, learned: Column) -> dict[str, list[bytes]]:
     """Lowered texts of each language, the first ones by a hash until they have SAMPLE_BYTES; of a longer text as many letters."""
     rows = df.where(learned & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}"))
     size = F.octet_length("text").cast("long")
     order = F.xxhash64(F.lit("sample"), F.col("doc_id").cast("string"), "text")
-    part = F.shiftrightunsigned("o", 64 - PREFIX_BITS)
-    rows = rows.select(order.alias("o"), "lang", "text", F.least(size, F.lit(SAMPLE_BYTES)).alias("size")).withColumn("part", part)
-    # The prefix of the hash in which a language reaches the bound (its last one if it doesn't): rows beyond are not looked at again.
-    parts = rows.groupBy("lang", "part").agg(F.sum("size").alias("size"))
-    before = F.coalesce(F.sum("size").over(Window.partitionBy("lang").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    reached = parts.withColumn("before", before).where(F.col("before") < SAMPLE_BYTES)
-    last = {r["lang"]: r["part"] for r in reached.groupBy("lang").agg(F.max("part").alias("part")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(last) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    rows = rows.select(F.shiftrightunsigned(order, 1).alias("u"), order.alias("o"), "lang", "text", F.least(size, F.lit(SAMPLE_BYTES)).alias("size"))
+    last = _reached(rows)
     if not last:
         return {}
     bound = F.create_map(*[F.lit(x) for pair in last.items() for x in pair])
     cut = F.when(F.col("size") < SAMPLE_BYTES, F.col("text")).otherwise(F.substring("text", 1, SAMPLE_BYTES))
     # Equal rows have equal hashes and are sent once, with their number.
-    near = rows.where(F.col("part") <= bound[F.col("lang")]).groupBy("lang", "part", "o", "size", cut.alias("text")).agg(F.count(F.lit(1)).alias("n"))
-    order_in = Window.partitionBy("lang").orderBy("part", "o", "text").rowsBetween(Window.unboundedPreceding, -1)
+    near = rows.where(F.col("u") <= bound[F.col("lang")]).groupBy("lang", "u", "o", "size", cut.alias("text")).agg(F.count(F.lit(1)).alias("n"))
+    order_in = Window.partitionBy("lang").orderBy("u", "o", "text").rowsBetween(Window.unboundedPreceding, -1)
     near = near.withColumn("before", F.coalesce(F.sum(F.col("size") * F.col("n")).over(order_in), F.lit(0))).where(F.col("before") < SAMPLE_BYTES)
     found: dict[str, list[bytes]] = {}
     for lang, _, text, each, n, held in sorted(near.select("lang", "before", "text", "size", "n", "before").collect()):

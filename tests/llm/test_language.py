@@ -152,3 +152,16 @@ def test_awkward_rows(spark):
     assert clash.columns.count("lang_pred") == 1 and {r.lang_pred for r in clash.collect()} == {"und"}
     kept = language_id.accepted(df.drop("lang_pred"), language_id.learn(df, language_id.learned_rows()))
     assert kept.columns == df.drop("lang_pred").columns and kept.where("doc_id = 3").count() == 2 and not kept.where("text IS NULL").count()
+
+
+def test_samples_do_not_depend_on_prefixes(spark, monkeypatch):
+    """Prefixes are narrowed until they hold few times the bound; the texts that are learned stay the same."""
+    r = random.Random(5)
+    rows = [(i, "".join(r.choice("abcd ") for _ in range(40)) + "x", "en" if i % 5 else "de") for i in range(3000)] + [(None, "the same text again", "en")] * 400
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    monkeypatch.setattr(language_id, "SAMPLE_BYTES", 600)
+    found = []
+    for bits in (1, 3, 12, 31):
+        monkeypatch.setattr(language_id, "PREFIX_BITS", bits)
+        found.append({k: sorted(v) for k, v in language_id._sample(df, language_id.learned_rows()).items()})
+    assert found[0] == found[1] == found[2] == found[3] and all(600 <= sum(map(len, v)) < 700 for v in found[0].values())
