@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import contextlib
+import dataclasses
 import hashlib
 import importlib.metadata
 import json
 import os
 import urllib.request
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,8 +50,14 @@ def file_digest(uri: str, block: int = 1 << 20) -> str:
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
-    """path and SHA-256 of every file below a folder, one task per group of files (files below 2 GB)."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    """path and sha256 of every file, streamed in blocks: files may be of any size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uri in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_pydict({"path": [uri], "sha256": [file_digest(uri)]})
+
+    return spark.read.format("binaryFile").load(path).select("path").mapInArrow(run, "path string, sha256 string")
 
 
 def gated(uri: str, manifest: str | bytes | dict, contract: Contract, purpose: str, blocked: tuple[str, ...] = (), digest: str = "sha256") -> dict:
@@ -126,7 +135,10 @@ def column_json(spark: SparkSession, path: str, key: str, columns: str) -> DataF
 
 
 class NpzSource(DataSource):
-    """spark.read.format("npz").load(path): smiles, targets[n x k] and target_names[k] of a NumPy archive, without pickles."""
+    """spark.read.format("npz").load(path): smiles, targets[n x k] and target_names[k] of a NumPy archive, without pickles.
+
+    Rows are read in ranges (of `rows` rows), each by its own task that seeks to them; of compressed members in one task, piece by piece.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -136,29 +148,111 @@ class NpzSource(DataSource):
         return "smiles string, targets array<double>"
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
-        return _NpzReader(self.options["path"], self.options.get("target_names"))
+        return _NpzReader(self.options["path"], self.options.get("target_names"), int(self.options.get("rows", 1 << 17)))
+
+
+@dataclasses.dataclass
+class _Member:
+    """An array of an archive: where its data begin (None: compressed), and its layout."""
+
+    name: str
+    offset: int | None
+    skip: int
+    dtype: object
+    shape: tuple[int, ...]
+    fortran: bool
+
+    @classmethod
+    def of(cls, archive: zipfile.ZipFile, f: object, name: str) -> _Member:
+        import numpy as np
+
+        info = archive.getinfo(f"{name}.npy")
+        with archive.open(info) as member:
+            version = np.lib.format.read_magic(member)
+            read = {(1, 0): np.lib.format.read_array_header_1_0, (2, 0): np.lib.format.read_array_header_2_0}.get(version)
+            if read is None:
+                raise Refused(f"{name} has an unknown version")
+            shape, fortran, dtype = read(member)
+            skip = member.tell()
+        if dtype.hasobject:
+            raise Refused(f"{name} holds objects")
+        offset = None
+        if info.compress_type == zipfile.ZIP_STORED:
+            f.seek(info.header_offset + 26)
+            sizes = f.read(4)
+            offset = info.header_offset + 30 + int.from_bytes(sizes[:2], "little") + int.from_bytes(sizes[2:], "little") + skip
+        return cls(name, offset, skip, dtype, shape, fortran)
+
+    def rows(self, f: object, first: int, end: int) -> object:
+        """Rows first to end - 1 of a stored member."""
+        import numpy as np
+
+        width, size = self.shape[1] if len(self.shape) > 1 else 1, self.dtype.itemsize
+
+        def read(at: int, n: int) -> object:
+            f.seek(self.offset + at * size)
+            return np.frombuffer(f.read(n * size), self.dtype)
+
+        if self.fortran and width > 1:
+            out = np.stack([read(c * self.shape[0] + first, end - first) for c in range(width)], axis=1)
+        else:
+            out = read(first * width, (end - first) * width)
+        return out.reshape(-1, width) if len(self.shape) > 1 else out
 
 
 class _NpzReader(DataSourceReader):
-    def __init__(self, path: str, names: str | None):
-        self.path, self.names = path, names
+    def __init__(self, path: str, names: str | None, rows: int):
+        self.path, self.names, self.rows = path, names, rows
+
+    def _members(self, f: object) -> tuple[zipfile.ZipFile, _Member, _Member]:
+        import numpy as np
+
+        archive = zipfile.ZipFile(f)
+        smiles, targets = (_Member.of(archive, f, n) for n in ("smiles", "targets"))
+        with archive.open("target_names.npy") as member:
+            names = np.lib.format.read_array(member, allow_pickle=False)
+        if len(smiles.shape) != 1 or names.ndim != 1 or targets.shape != (smiles.shape[0], len(names)):
+            raise Refused("shapes do not agree")
+        if self.names is not None and names.tolist() != self.names.split(","):
+            raise Refused("target names are not those of the manifest")
+        return archive, smiles, targets
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(self.path)]
+        fs, path = located(self.path)
+        with fs.open_input_file(path) as f:
+            _, smiles, targets = self._members(f)
+        n = smiles.shape[0]
+        if smiles.offset is None or targets.offset is None:
+            return [InputPartition(None)]
+        return [InputPartition((a, min(a + self.rows, n))) for a in range(0, n, self.rows)] or [InputPartition((0, 0))]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         import numpy as np
 
-        # A random-access file of any file system that Arrow opens; members are read one by one.
-        fs, path = located(partition.value)
-        with fs.open_input_file(path) as f, np.load(f, allow_pickle=False) as data:
-            smiles, targets, names = data["smiles"], data["targets"], data["target_names"]
-            if smiles.ndim != 1 or names.ndim != 1 or targets.shape != (len(smiles), len(names)):
-                raise Refused("shapes do not agree")
-            if self.names is not None and names.tolist() != self.names.split(","):
-                raise Refused("target names are not those of the manifest")
-            for s, t in zip(smiles.tolist(), targets.astype(float).tolist(), strict=True):
-                yield (str(s), t)
+        fs, path = located(self.path)
+        with fs.open_input_file(path) as f:
+            archive, smiles, targets = self._members(f)
+            if partition.value is not None:
+                pieces = iter([(smiles.rows(f, *partition.value), targets.rows(f, *partition.value))])
+            elif targets.fortran and targets.shape[1] > 1:
+                # Columns first, and compressed: a row's values lie far apart, so the member is read whole.
+                pieces = iter([tuple(np.lib.format.read_array(archive.open(f"{m.name}.npy"), allow_pickle=False) for m in (smiles, targets))])
+            else:
+                pieces = self._streamed(archive, smiles, targets)
+            for some, values in pieces:
+                for s, t in zip(some.tolist(), values.astype(float).tolist(), strict=True):
+                    yield (str(s), t)
+
+    def _streamed(self, archive: zipfile.ZipFile, smiles: _Member, targets: _Member) -> Iterator[tuple]:
+        import numpy as np
+
+        n, k = targets.shape
+        with archive.open("smiles.npy") as a, archive.open("targets.npy") as b:
+            a.read(smiles.skip)
+            b.read(targets.skip)
+            for first in range(0, n, self.rows):
+                m = min(self.rows, n - first)
+                yield np.frombuffer(a.read(m * smiles.dtype.itemsize), smiles.dtype), np.frombuffer(b.read(m * k * targets.dtype.itemsize), targets.dtype).reshape(m, k)
 
 
 def auxiliary_table(spark: SparkSession, uri: str, manifest: str | bytes | dict) -> DataFrame:

@@ -80,6 +80,26 @@ def test_prediction_table(spark, tmp_path):
     assert text[0].startswith("sample_id,smiles,canonical_smiles,status,reasons") and text[1].startswith("a,,,,x|y,,")
 
 
+@pytest.mark.parametrize("save", [np.savez, np.savez_compressed])
+@pytest.mark.parametrize("order", ["C", "F"])
+def test_archives_are_read_by_ranges(spark, tmp_path, save, order):
+    names, n = np.array(["a", "b", "c"]), 1000
+    smiles, targets = np.array(["C" * (1 + i % 7) + "é" for i in range(n)]), np.array(np.arange(3.0 * n).reshape(n, 3), order=order)
+    save(tmp_path / "t.npz", smiles=smiles, targets=targets, target_names=names)
+    spark.dataSource.register(gate.NpzSource)
+    df = spark.read.format("npz").option("rows", 150).load(str(tmp_path / "t.npz"))
+    assert df.rdd.getNumPartitions() == (7 if save is np.savez else 1)
+    got = sorted((r.targets[0], r.smiles, r.targets) for r in df.collect())
+    assert [g[1] for g in got] == smiles.tolist() and [g[2] for g in got] == targets.tolist()
+    for change, message in (({"targets": targets[1:]}, "shapes"), ({"smiles": np.array([{}] * n, object)}, "objects"), ({"targets": np.zeros((0, 3)), "smiles": smiles[:0]}, None)):
+        save(tmp_path / "u.npz", **{"smiles": smiles, "targets": targets, "target_names": names} | change)
+        if message:
+            with pytest.raises(Exception, match=message):
+                spark.read.format("npz").load(str(tmp_path / "u.npz")).collect()
+        else:
+            assert spark.read.format("npz").load(str(tmp_path / "u.npz")).collect() == []
+
+
 def test_sinks_are_one_commit(spark, tmp_path):
     """Of two writers one fails, and what fails leaves nothing."""
     path = str(tmp_path / "bundle")
