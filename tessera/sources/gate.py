@@ -50,14 +50,15 @@ def file_digest(uri: str, block: int = 1 << 20) -> str:
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
-    """path and sha256 of every file, streamed in blocks: files may be of any size."""
+    """path, length and SHA-256 of every file below a folder, streamed in blocks: files may be of any size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for uri in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_pydict({"path": [uri], "sha256": [file_digest(uri)]})
+            for uri, length in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield pa.RecordBatch.from_pydict({"path": [uri], "length": pa.array([length], pa.int64()), "sha256": [file_digest(uri)]})
 
-    return spark.read.format("binaryFile").load(path).select("path").mapInArrow(run, "path string, sha256 string")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    return files.mapInArrow(run, "path string, length long, sha256 string")
 
 
 def gated(uri: str, manifest: str | bytes | dict, contract: Contract, purpose: str, blocked: tuple[str, ...] = (), digest: str = "sha256") -> dict:
