@@ -72,5 +72,5 @@ def test_queries_equal_their_sql(spark, small, name):
 
 
 def test_every_query_is_registered():
-    assert [int(n[2:].split("_")[0]) for n in queries.queries()] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in queries.queries()] == list(range(1, 13))
     assert set(queries.oracle_sql()) <= set(queries.queries())
