@@ -150,62 +150,6 @@ def auxiliary_fit(df: DataFrame, row: str, features: list[str], targets: list[st
     return {"head": head.state(), "rows": kept.count(), "metrics": found, "independent_accuracy_validated": False}
 
 
-# ------------------------------------------------------------------------------------------------------------- hybrids
-
-
-def select_hybrid(df: DataFrame, features: list[str], embedding: list[str], targets: list[str], family: str, alphas: tuple[float, ...] = heads.ALPHAS, seed: int = 42) -> dict:
-    """Chemistry plus a residual on the embedding whose strength is chosen by nested family folds.
-
-    Candidates per target: none, constant, then penalties from the largest. In each of five outer folds the chemistry
-    head selects its own penalty on the other folds, whose residuals come from four inner folds. Ties within 1e-12 go to
-    the earlier candidate.
-    """
-    if df.select(family).distinct().limit(5).count() < 5:
-        raise ValueError("nested selection needs at least five families")
-    candidates: list[object] = ["none", "constant", *sorted({float(a) for a in alphas}, reverse=True)]
-    dealt = stored(df.join(grouping.hash_folds(df, family, 5, seed, "outer"), family), "outer-folds")
-
-    def residuals(rows: DataFrame) -> tuple[heads.LinearHead, DataFrame]:
-        """The selected chemistry head of rows, and rows with their out-of-fold residuals."""
-        inner = stored(rows.join(grouping.hash_folds(rows, family, 4, 42, "inner").withColumnRenamed("fold", "inner"), family), "inner-folds")
-        out = None
-        for k in range(4):
-            p = heads.select_ridge(inner.where(F.col("inner") != k).drop("fold"), features, targets, family, alphas, seed=seed).head.predict()
-            held = inner.where(F.col("inner") == k).withColumns({f"residual_{t}": F.col(t) - p[t] for t in targets})
-            out = held if out is None else out.unionByName(held)
-        return heads.select_ridge(rows.drop("fold"), features, targets, family, alphas, seed=seed).head, out.drop("inner")
-
-    errors = []
-    for k in range(5):
-        base, rest = residuals(dealt.where(F.col("fold") != k))
-        g = heads.grams(rest, [*embedding, *[f"residual_{t}" for t in targets]])[None]
-        p = base.predict()
-        held = dealt.where(F.col("fold") == k)
-        columns = {}
-        for i, c in enumerate(candidates):
-            extra = heads.LinearHead.solve(g, embedding, [f"residual_{t}" for t in targets], c).predict() if isinstance(c, float) else None
-            for j, t in enumerate(targets):
-                more = F.lit(0.0) if c == "none" else F.lit(float(g.total[len(embedding) + j] / g.weight)) if c == "constant" else extra[f"residual_{t}"]
-                columns[f"e{i}_{j}"] = F.abs(F.col(t) - p[t] - more)
-        errors.append(held.select(family, *[v.alias(n) for n, v in columns.items()]))
-    every = errors[0]
-    for e in errors[1:]:
-        every = every.unionByName(e)
-    names = every.columns[1:]
-    macro = every.groupBy(family).agg(*[F.avg(n).alias(n) for n in names]).agg(*[F.avg(n).alias(n) for n in names]).first()
-    scores = {t: [macro[f"e{i}_{j}"] for i in range(len(candidates))] for j, t in enumerate(targets)}
-    chosen = {t: next(i for i, s in enumerate(v) if s <= min(v) + heads.TIE) for t, v in scores.items()}
-    base, rest = residuals(dealt)
-    g = heads.grams(rest, [*embedding, *[f"residual_{t}" for t in targets]])[None]
-    found = {}
-    for j, t in enumerate(targets):
-        c = candidates[chosen[t]]
-        h = heads.LinearHead.solve(g, embedding, [f"residual_{t}" for t in targets], c if isinstance(c, float) else 1.0)
-        coef = h.coef[j] if isinstance(c, float) else [0.0] * len(embedding)
-        found[t] = {"candidate": c, "coef": coef, "intercept": 0.0 if c == "none" else h.intercept[j]}
-    return {"base": base.state(), "residual": found, "candidates": candidates, "scores": scores, "independent_accuracy_validated": False}
-
-
 # -------------------------------------------------------------------------------------------------------------- fusion
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import cells, chemistry, cohesion, evidence, forests, grouping, heads, kernels, metrics, models, prepare, refuse, sparse, trees
+from ..operators import cells, chemistry, cohesion, evidence, forests, grouping, heads, kernels, metrics, models, nested, prepare, refuse, sparse, trees
 from ..sources import contracts, gate, singlepoint
 from ..storage import dropped, shared_folder
 from .catalog import query, table
@@ -639,6 +639,26 @@ def spectral_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return response.agg(F.lit(told["rank"]).alias("rank"), (F.min("r") > 0).alias("positive"), F.lit(told["reconstruction_error"] < 1e-9).alias("reconstructed"), F.count(F.lit(1)).alias("rows"))
 
 
+@query("""
+WITH r AS (SELECT p_brand AS f, p_retailprice AS y, p_size::DOUBLE AS e FROM part),
+o AS (SELECT f, (row_number() OVER (ORDER BY sha256('outer-42' || chr(0) || f), f) - 1) % 5 AS o FROM (SELECT DISTINCT f FROM r)),
+i AS (SELECT f, k, (row_number() OVER (PARTITION BY k ORDER BY sha256('inner-42' || chr(0) || f), f) - 1) % 4 AS j FROM o, (SELECT unnest(range(5)) AS k) WHERE o <> k),
+s AS (SELECT k, j, count(*) AS n, sum(y) AS y FROM r JOIN i USING (f) GROUP BY 1, 2), w AS (SELECT k, sum(n) AS n, sum(y) AS y FROM s GROUP BY 1),
+d AS (SELECT k, e, r.y - (w.y - s.y) / (w.n - s.n) AS v FROM r JOIN i USING (f) JOIN s USING (k, j) JOIN w USING (k)),
+g AS (SELECT k, count(*) AS n, avg(e) AS e, stddev_pop(e) AS se, avg(v) AS v, covar_pop(e, v) AS c FROM d GROUP BY 1),
+h AS (SELECT f, r.y - w.y / w.n AS off, g.v, (r.e - g.e) / g.se * g.n * g.c / g.se AS z, g.n FROM r JOIN o USING (f) JOIN w ON o.o = w.k JOIN g ON o.o = g.k),
+m AS (SELECT f, avg(abs(off)) AS a, avg(abs(off - v)) AS b, avg(abs(off - v - z / (n + 100))) AS c, avg(abs(off - v - z / (n + 1))) AS d FROM h GROUP BY 1),
+t AS (SELECT unnest([{'at': 0, 'candidate': 'none', 'score': avg(a)}, {'at': 1, 'candidate': 'constant', 'score': avg(b)}, {'at': 2, 'candidate': '100.0', 'score': avg(c)}, {'at': 3, 'candidate': '1.0', 'score': avg(d)}]) AS t FROM m)
+SELECT t.candidate AS candidate, round(t.score, 6) AS score, row_number() OVER (ORDER BY CASE WHEN t.score <= (SELECT min(t.score) FROM t) + 1e-12 THEN 0 ELSE 1 END, t."at") = 1 AS chosen FROM t
+""")
+def hybrid_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested selection of a residual on parts' sizes by folds of folds of brands; the chemistry head has a constant feature, so it gives means."""
+    part = table(spark, sf_dir, "part").select("p_brand", F.lit(1.0).alias("x"), F.col("p_size").cast("double").alias("e"), F.col("p_retailprice").alias("y"))
+    found = nested.select_hybrid(part, ["x"], ["e"], ["y"], "p_brand", (100.0, 1.0))
+    rows = [(str(c), round(s, 6), c == found["residual"]["y"]["candidate"]) for c, s in zip(found["candidates"], found["scores"]["y"], strict=True)]
+    return spark.createDataFrame(rows, "candidate string, score double, chosen boolean")
+
+
 @query("""
 WITH r AS (SELECT l_linenumber > 3 AS late, l_quantity AS y FROM lineitem), m AS (SELECT avg(y) AS y, avg(late::INT) AS p FROM r),
 g AS (SELECT late, count(*) AS n, sum(r.y - m.y) AS s FROM r, m GROUP BY 1), k AS (SELECT exp(-0.5 / (p * (1 - p))) AS k, y FROM m),

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import cells, heads, kernels, models
+from tessera.operators import cells, heads, kernels, models, nested
 
 FEATURES, EMBEDDING, TARGETS = ["a", "b"], ["e0", "e1"], ["u"]
 
@@ -48,9 +48,9 @@ def test_train_calibrate_evaluate_predict(spark, rows):
 def test_auxiliary_and_hybrid(rows):
     found = models.auxiliary_fit(rows, "sample_id", FEATURES, TARGETS, [F.col("family")], [rows.where("family = 'f0'").select("family")], "family")
     assert found["rows"] == 150 and found["metrics"]["u"]["rows"] > 0
-    out = models.select_hybrid(rows, FEATURES, EMBEDDING, TARGETS, "family", alphas=(100.0, 0.1))
+    out = nested.select_hybrid(rows, FEATURES, EMBEDDING, TARGETS, "family", alphas=(100.0, 0.1))
     assert out["residual"]["u"]["candidate"] == 0.1 and out["scores"]["u"][0] > min(out["scores"]["u"])
-    flat = models.select_hybrid(rows.withColumn("u", F.lit(2.0)), FEATURES, EMBEDDING, TARGETS, "family", alphas=(1.0,))
+    flat = nested.select_hybrid(rows.withColumn("u", F.lit(2.0)), FEATURES, EMBEDDING, TARGETS, "family", alphas=(1.0,))
     assert flat["residual"]["u"] == {"candidate": "none", "coef": [0.0, 0.0], "intercept": 0.0}
 
 
