@@ -109,6 +109,15 @@ def test_network(spark):
     assert not short["converged"] and np.allclose(np.ravel(short["weights"][0]), np.ravel(far["weights"][0]))
 
 
+def test_sums_by_a_shuffle_are_the_same(spark, monkeypatch):
+    _, _, df = wave(spark, 90)
+    small = dict(trees=2, depth=3, leaf=3, seed=1)
+    few = forests.fit_extra_trees(df.repartition(3), ["a", "b", "c"], ["u", "v"], **small)
+    monkeypatch.setattr(forests, "FEW_TASKS", 0)
+    many = forests.fit_extra_trees(df.repartition(3), ["a", "b", "c"], ["u", "v"], **small)
+    assert [t["threshold"] for t in few["trees"]] == [t["threshold"] for t in many["trees"]]
+
+
 def test_leafwise_boosting(spark):
     x, y, df = wave(spark)
     state = json.loads(json.dumps(forests.fit_leafwise(df, ["a", "b", "c"], ["u", "v"], trees=40, rate=0.2)))
