@@ -1,7 +1,8 @@
 """LM scoring: a log-frequency Bloom filter of quantised n-gram counts, broadcast to workers.
 
 Counting. Tasks count tokens and pairs of neighbouring tokens (n = 2) of the training documents and send each distinct
-one once, packed by segment of its hash, to as many reducers as spark.sql.shuffle.partitions names. A reducer keeps exact
+one once, packed by segment of its hash, to as many reducers as spark.sql.shuffle.partitions names. There is a segment
+for every SEGMENT_BYTES of text, or as many as reducers; a reducer takes its segments in order, and holds one at a time. It keeps exact
 token counts and turns pair counts c into levels q = 1 + floor(log2 c); a pair of level q is put into its segment's
 filter q times, as (pair, 1) to (pair, q). A filter is an array of 64-bit words; an entry sets BITS_SET bits of one word
 and there are ENTRY_BITS bits for each entry.
@@ -16,12 +17,11 @@ exact, and p1 and C1 are at every size: FREQUENT changes no result. The filter i
 each group of segments takes one pass over the documents and is destroyed before the next is read, and a text's parts
 are summed. Beyond MOST_PASSES groups the pairs go to the filter instead: each block of documents sends its distinct
 pairs to their segments by a shuffle and gets their levels back, with the same scores. So neither what is broadcast nor
-the number of passes grows with the corpus. A reducer holds one segment's pairs: raise spark.sql.shuffle.partitions
-along with the corpus, as for any aggregate.
+the number of passes grows with the corpus. A reducer holds one segment's pairs, about those of SEGMENT_BYTES of text.
 
 Tokens are runs without blanks, A-Z lowered, by their 64-bit hashes, then one end. Defined results: a null text counts as
 empty (one end); texts of any length are scored whole; repeated rows stay; without training documents N = V = 0, c = 0
-for all and every pair is absent; an empty table gives an empty one. Documents are read once to count and once to number them in the shared folder, from where each group
+for all and every pair is absent; an empty table gives an empty one. Documents are read once for their size, once to count and once to number them in the shared folder, from where each group
 of segments reads them.
 """
 
@@ -38,11 +38,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .probe_table import ProbeTable
-from .runtime import byte_blocks, dropped, id_remainder, map_batches, stored, text_or_empty
+from .runtime import byte_blocks, dropped, give_back, id_remainder, map_batches, stored, text_or_empty
 from .words import NOT_BLANK, mix, scan
 
 BITS_SET, ENTRY_BITS, LAMBDA = 5, 10, 0.75
 FREQUENT, FILTER_BYTES = 1 << 20, 64 << 20
+#: Text whose pairs one segment has.
+SEGMENT_BYTES = 8 << 20
+#: Text that is worked on at a time, as arrays of many times its size.
+WORK_BYTES = 1 << 20
 #: Groups of filters that are broadcast; of a larger filter each pair is sent to its segment.
 MOST_PASSES = 8
 #: Distinct pairs that a counting task holds before it sends them.
@@ -177,18 +181,19 @@ def _gathered(df: DataFrame, segments: int) -> DataFrame:
             for n in (1, 2):
                 merged(n)
                 h, c = held[n][0]
+                kind = "<u4" if c.max(initial=0) < 1 << 32 else "<u8"
                 cut = np.searchsorted(segment(h, segments), np.arange(segments + 1))
                 full = np.flatnonzero(np.diff(cut))
                 yield pa.RecordBatch.from_pydict({
                     "n": pa.array(np.full(len(full), n, np.int32)),
                     "segment": pa.array(full.astype(np.int32)),
                     "hashes": pa.array([h[cut[i] : cut[i + 1]].tobytes() for i in full.tolist()], pa.binary()),
-                    "counts": pa.array([c[cut[i] : cut[i + 1]].astype("<u4" if c.max() < 1 << 32 else "<u8").tobytes() for i in full.tolist()], pa.binary()),
+                    "counts": pa.array([c[cut[i] : cut[i + 1]].astype(kind).tobytes() for i in full.tolist()], pa.binary()),
                 })
                 held[n] = [(np.zeros(0, _U), np.zeros(0, np.int64))]
 
         for batch in batches:
-            for block in byte_blocks(batch, "text"):
+            for block in byte_blocks(batch, "text", WORK_BYTES):
                 h, at = tokens(block.column("text"))
                 for n, grams in ((1, h), (2, pairs(h, at))):
                     held[n].append(counted(grams, np.ones(len(grams), np.int64)))
@@ -205,24 +210,35 @@ def _gathered(df: DataFrame, segments: int) -> DataFrame:
 def _counts(df: DataFrame, segments: int) -> DataFrame:
     """Per n and segment: exact token counts (n = 1) or the filter (n = 2), and how many tokens have each bit length."""
 
+    def reduced(n: int, s: int, parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        h, c = counted(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        lengths = np.bincount(np.floor(np.log2(c)).astype(np.int64) + 1, minlength=64)
+        return pa.RecordBatch.from_pydict({
+            "n": pa.array([n], pa.int32()), "segment": pa.array([s], pa.int32()), "total": pa.array([int(c.sum())]), "distinct": pa.array([len(h)]),
+            "lengths": pa.array([lengths.tolist()], pa.list_(pa.int64())),
+            "hashes": pa.array([h.tobytes() if n == 1 else b""], pa.binary()), "counts": pa.array([c.tobytes() if n == 1 else b""], pa.binary()),
+            "filter": pa.array([filled(h, c).tobytes() if n == 2 else b""], pa.binary()),
+        })
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], list] = {}
+        at, held = None, []
         for batch in batches:
-            for n, s, h, c in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for n, s, h, c in zip(*batch.columns, strict=True):
+                if at != (n.as_py(), s.as_py()):
+                    if held:
+                        yield reduced(*at, held)
+                    at, held = (n.as_py(), s.as_py()), []
+                h, c = h.as_py(), c.as_py()
                 h = np.frombuffer(h, _U)
-                held.setdefault((n, s), []).append((h, np.frombuffer(c, "<u4" if len(c) == 4 * len(h) else "<u8").astype(np.int64)))
-        for n, s in sorted(held):
-            h, c = counted(*(np.concatenate(x) for x in zip(*held.pop((n, s)), strict=True)))
-            lengths = np.bincount(np.floor(np.log2(c)).astype(np.int64) + 1, minlength=64)
-            yield pa.RecordBatch.from_pydict({
-                "n": pa.array([n], pa.int32()), "segment": pa.array([s], pa.int32()), "total": pa.array([int(c.sum())]), "distinct": pa.array([len(h)]),
-                "lengths": pa.array([lengths.tolist()], pa.list_(pa.int64())),
-                "hashes": pa.array([h.tobytes() if n == 1 else b""], pa.binary()), "counts": pa.array([c.tobytes() if n == 1 else b""], pa.binary()),
-                "filter": pa.array([filled(h, c).tobytes() if n == 2 else b""], pa.binary()),
-            })
+                held.append((h, np.frombuffer(c, "<u4" if len(c) == 4 * len(h) else "<u8").astype(np.int64)))
+        if held:
+            yield reduced(*at, held)
+        give_back()
 
-    dealt = _gathered(df, segments).repartitionById(segments, "segment")
-    return stored(dealt.mapInArrow(run, "n int, segment int, total long, distinct long, lengths array<long>, hashes binary, counts binary, filter binary"), "ngrams")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Neighbours go to one reducer, which gets them in order.
+    dealt = _gathered(df, segments).repartitionById(parts, F.floor(F.col("segment") * parts / segments).cast("int")).sortWithinPartitions("n", "segment")
+    return stored(dealt.mapInArrow(run, "n int, segment int, total long, distinct long, lengths array<long>, hashes binary, counts binary, filter binary"), "ngrams", large=True)
 
 
 def _listed(counts: DataFrame, low: int, high: int) -> DataFrame:
@@ -253,8 +269,9 @@ class Model:
         size = [sizes.get(s, 8) for s in range(self.segments)]
         first = 0
         while first < self.segments:
-            last = first + 1
-            while last < self.segments and sum(size[first : last + 1]) <= FILTER_BYTES:
+            last, held = first + 1, size[first]
+            while last < self.segments and held + size[last] <= FILTER_BYTES:
+                held += size[last]
                 last += 1
             # Filled in place: the driver holds one group and one segment at a time.
             each = np.array(size[first:last], np.int64) // 8
@@ -270,8 +287,10 @@ class Model:
 
 def train(df: DataFrame) -> Model:
     """The model of all rows of df."""
-    segments = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = _counts(df.select(text_or_empty().alias("text")), segments)
+    texts = df.select(text_or_empty().alias("text"))
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    segments = max(-(-size // SEGMENT_BYTES), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    counts = _counts(texts, segments)
     total, distinct = counts.where("n = 1").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     lengths = {r["bits"]: r["words"] for r in counts.where("n = 1").select(F.posexplode("lengths").alias("bits", "words")).groupBy("bits").agg(F.sum("words").alias("words")).collect()}
     held, bits = 0, 64
@@ -326,7 +345,7 @@ def _part(rows: DataFrame, counted: Broadcast, group: Broadcast, first: bool) ->
 
     def step(batch: pa.RecordBatch) -> Iterator[dict]:
         frequent, filters = counted.value, group.value
-        for block in byte_blocks(batch, "text"):
+        for block in byte_blocks(batch, "text", WORK_BYTES):
             h, at = tokens(block.column("text"))
             grams = pairs(h, at)
             own = np.flatnonzero(filters.covers(grams))
@@ -356,12 +375,12 @@ def _routed(rows: DataFrame, model: Model, counted: Broadcast) -> DataFrame:
     kind, segments = rows.schema["doc_id"].dataType.simpleString(), model.segments
 
     def pack(batch: pa.RecordBatch) -> Iterator[dict]:
-        for block in byte_blocks(batch, "text"):
+        for block in byte_blocks(batch, "text", WORK_BYTES):
             h, at = tokens(block.column("text"))
             whole = [0, block.num_rows]
             yield {"block": block.column("row").slice(0, 1)} | {c: pa.ListArray.from_arrays(whole, block.column(c)) for c in _ROW} | {"size": pa.ListArray.from_arrays(whole, pa.array(np.diff(at))), "tokens": pa.array([h.tobytes()], pa.binary())}
 
-    blocks = stored(map_batches(rows, pack, f"block long, row array<long>, doc_id array<{kind}>, held_out array<boolean>, size array<long>, tokens binary"), "lm-blocks")
+    blocks = stored(map_batches(rows, pack, f"block long, row array<long>, doc_id array<{kind}>, held_out array<boolean>, size array<long>, tokens binary"), "lm-blocks", large=True)
 
     def unpacked(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
         size = batch.column("size")[i].values.to_numpy()
@@ -381,17 +400,22 @@ def _routed(rows: DataFrame, model: Model, counted: Broadcast) -> DataFrame:
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at = None, -1
         for batch in batches:
-            out: tuple[list, list, list] = ([], [], [])
-            for s, block, payload in zip(*batch.columns, strict=True):
-                words = np.frombuffer(payload.as_buffer(), _U)
-                if not block.is_valid:
-                    held, at = Filters(words.copy(), np.array([len(words)]), s.as_py(), segments), s.as_py()
+            names, blocks_ = batch.column("segment").to_numpy(), batch.column("block")
+            payload = [np.frombuffer(v.as_buffer(), _U) for v in batch.column("payload")]
+            asks, told = [], []
+            # Rows of one segment follow each other, its filter first; all that a batch asks of it is looked up at once.
+            for own in np.split(np.arange(len(names)), np.flatnonzero(np.diff(names)) + 1):
+                if len(own) and not blocks_[int(own[0])].is_valid:
+                    held, at = Filters(payload[own[0]].copy(), np.array([len(payload[own[0]])]), int(names[own[0]]), segments), names[own[0]]
+                    own = own[1:]
+                if not len(own):
                     continue
+                asked = np.concatenate([payload[i] for i in own])
                 # A segment without pairs has no filter: no pair of it was ever seen.
-                level = held.level(words) if at == s.as_py() else np.zeros(len(words), np.int64)
-                for into, value in zip(out, (block.as_py(), s.as_py(), level.astype(np.uint8).tobytes()), strict=True):
-                    into.append(value)
-            yield pa.RecordBatch.from_pydict({"block": pa.array(out[0], pa.int64()), "segment": pa.array(out[1], pa.int32()), "levels": pa.array(out[2], pa.binary())})
+                level = (held.level(asked) if at == names[own[0]] else np.zeros(len(asked), np.int64)).astype(np.uint8)
+                asks += own.tolist()
+                told += [x.tobytes() for x in np.split(level, np.cumsum([len(payload[i]) for i in own])[:-1])]
+            yield pa.RecordBatch.from_pydict({"block": blocks_.take(pa.array(asks, pa.int64())), "segment": batch.column("segment").take(pa.array(asks, pa.int64())), "levels": pa.array(told, pa.binary())})
 
     levels = dealt.mapInArrow(answer, "block long, segment int, levels binary")
     back = blocks.join(levels.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("segment", "levels"))).alias("levels")), "block")

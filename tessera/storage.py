@@ -33,10 +33,17 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return fs.makeQualified(target).toString()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and reread: lineage is cut and lost executors lose nothing."""
+#: Parquet looks at the size of pages and row groups after 100 rows; rows of megabytes have to be looked at one by one.
+LARGE_ROWS = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1", "parquet.block.size": str(8 << 20)}
+
+
+def stored(df: DataFrame, name: str, large: bool = False) -> DataFrame:
+    """df written to the shared folder and reread: lineage is cut and lost executors lose nothing.
+
+    large: rows of up to megabytes. They are written in row groups of about 8 MB, so that neither writers nor readers hold hundreds of them.
+    """
     path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**(LARGE_ROWS if large else {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

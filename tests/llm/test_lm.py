@@ -127,3 +127,25 @@ def test_scans_planned_anew_between_passes(spark, small, monkeypatch, tmp_path,
         assert sorted(map(repr, got.select("doc_id", "n_tokens", "n_known").collect())) == want and (len(calls) > 1 or not passes)
     finally:
         spark.conf.unset(key)
+
+
+def test_reducers_hold_a_small_segment_at_a_time(spark, small, monkeypatch):
+    """However few partitions a shuffle has, pairs are counted in many segments, of which equal hashes share one."""
+    df = spark.read.parquet(f"{small}/documents.parquet").limit(60)
+    size = df.selectExpr("sum(octet_length(text))").first()[0]
+    monkeypatch.setattr(ngram_bloom, "SEGMENT_BYTES", size // 600, raising=False)
+    model = ngram_bloom.train(df)
+    segments = model.counts.where("n = 2").select("segment", "distinct").collect()
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4" and len(segments) == len({r[0] for r in segments}) > 500
+    assert max(r[1] for r in segments) * 100 < sum(r[1] for r in segments)
+
+
+def test_large_rows_lie_in_small_row_groups(spark):
+    import pyarrow.parquet as pq
+
+    from tessera.storage import stored
+
+    rows = stored(spark.range(0, 30, 1, 1).selectExpr("id", "randstr(1000000, 7) AS v"), "large", large=True)
+    (path,) = (f.removeprefix("file://") for f in rows.inputFiles())
+    meta = pq.ParquetFile(path).metadata
+    assert meta.num_row_groups > 3 and rows.count() == 30
