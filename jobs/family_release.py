@@ -36,14 +36,17 @@ def first_line(text: Column) -> Column:
 
 def labelled(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """One row for each document that has labels: doc_id, quality, reason (null where it is kept), features and aliases."""
-    words = F.regexp_count("text", F.lit(_WORD)).cast("long")
-    each = documents.select("doc_id", "text").groupBy("doc_id").agg(F.min("text").alias("text"), (F.count_distinct(F.coalesce(F.sha2("text", 256), F.lit(""))) > 1).alias("several"))
-    known = each.withColumns({"words": F.coalesce(words, F.lit(0)), "known": F.lit(True)})
-    known = known.select(
-        "doc_id", "several", "words", "known",
+    words = F.coalesce(F.regexp_count("text", F.lit(_WORD)).cast("long"), F.lit(0))
+    digest = lambda text: F.unhex(F.sha2(text, 256))
+    # Texts stay where they are read: what follows needs their digests and sizes. An id of several texts is refused, whichever text it has here.
+    rows = documents.select("doc_id", digest("text").alias("whole"), digest(first_line(F.col("text"))).alias("line"), words.alias("words"), F.length("text").alias("length"))
+    each = rows.groupBy("doc_id").agg(*[F.min(c).alias(c) for c in ("line", "words", "length")], F.min("whole").alias("whole"), F.max("whole").alias("other"), F.max(F.col("whole").isNull()).alias("blank"))
+    several = (F.col("whole") != F.col("other")) | (F.col("blank") & F.col("whole").isNotNull())
+    known = each.select(
+        "doc_id", F.coalesce(several, F.lit(False)).alias("several"), "words", F.lit(True).alias("known"),
         F.log1p("words").alias(FEATURES[0]),
-        F.when(F.col("words") > 0, F.length("text") / F.col("words")).alias(FEATURES[1]),
-        F.array(F.concat(F.lit("t:"), F.sha2("text", 256)), F.concat(F.lit("l:"), F.sha2(first_line(F.col("text")), 256))).alias("aliases"),
+        F.when(F.col("words") > 0, F.col("length") / F.col("words")).alias(FEATURES[1]),
+        F.array(F.concat(F.lit(b"t"), "whole"), F.concat(F.lit(b"l"), "line")).alias("aliases"),
     )
     marks = labels.groupBy("doc_id", F.col("quality").cast("double").alias("quality")).agg(F.count(F.lit(1)).alias("repeats"))
     rows = marks.join(known, "doc_id", "left")

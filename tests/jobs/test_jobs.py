@@ -158,3 +158,11 @@ def test_command_lines(tmp_path, small):
 def test_jobs_import_no_training_operators():
     code = "import sys, jobs.queries; assert not [m for m in sys.modules if m.startswith(('tessera.llm', 'corpus_pipeline'))]"
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
+
+
+def test_release_shuffles_no_texts(spark, small):
+    from jobs.family_release import labelled
+
+    plan = labelled(spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet"))._jdf.queryExecution().executedPlan().toString()
+    # Under an exchange, no aggregate and no sort takes a text along.
+    assert "partial_min(text" not in plan and "count(distinct" not in plan
