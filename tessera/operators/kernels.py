@@ -1,6 +1,7 @@
 """Kernel systems over any number of rows: (K + alpha / w) dual + b = values, and what follows from their solutions.
 
-Training rows are packed into blocks in the shared folder; no row but the landmarks is ever on the driver.
+Training rows are packed into blocks in the shared folder; no row but the landmarks is ever on the driver. Rows of a task that are equal
+in all but their weights are one row with the sum of their weights, which has the same solution: the fit costs what distinct rows cost.
 
 1. Landmarks. Rows with the largest residual diagonal are added, twice as many each time, chosen by pivoted Cholesky within blocks and
    then among the blocks' candidates, until K = F F' up to CAPTURED of its trace, F = K(rows, landmarks) W^-1/2. A smooth or linear
@@ -34,6 +35,8 @@ FIRST_RANK, MOST_RANK = 64, 1024
 #: Shares of the trace and of the values' norm.
 CAPTURED, VERIFIED, TOLERANCE = 1e-9, 1e-6, 1e-10
 ROUNDS = 500
+#: Rows in which a task looks for equal ones at a time; fewer than a share of DISTINCT are held for the next.
+MERGED, DISTINCT = 16 * BLOCK, 0.5
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -65,14 +68,28 @@ def _array(value, columns: int) -> np.ndarray:
     return np.frombuffer(value.as_buffer(), np.float64).reshape(-1, columns)
 
 
+def merged(parts: list[np.ndarray]) -> list[np.ndarray]:
+    """x, y, w and key of rows, those of equal x and y once, with the sum of their weights."""
+    x, y, w, key = parts
+    # -0.0 and 0.0 are equal.
+    both = np.ascontiguousarray(np.column_stack([x, y]) + 0.0)
+    _, first, at = np.unique(both.view(np.dtype((np.void, both.dtype.itemsize * both.shape[1]))).ravel(), return_index=True, return_inverse=True)
+    return [x[first], y[first], np.bincount(at.ravel(), w[:, 0], len(first))[:, None], key[first]]
+
+
 def packed(df: DataFrame, x: list[Column], y: list[Column], w: Column | None = None, key: Column | None = None) -> DataFrame:
-    """Blocks of rows: block, x, y, w (binaries of doubles, row by row) and key (of longs), in the shared folder."""
+    """Blocks of rows: block, x, y, w (binaries of doubles, row by row) and key (of longs), in the shared folder. Without a key, equal rows of a task may be one."""
     number = lambda c: c.cast("double")
     rows = df.select(F.array(*map(number, x)).alias("x"), F.array(*map(number, y)).cast("array<double>").alias("y"), (F.lit(1.0) if w is None else number(w)).alias("w"), (F.lit(0) if key is None else key).cast("long").alias("key"))
-    p, t = len(x), len(y)
+    p, t, equal = len(x), len(y), key is None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held, size = TaskContext.get().partitionId() << 32, [], 0
+        number, held, size, most = TaskContext.get().partitionId() << 32, [], 0, MERGED if equal else BLOCK
+
+        def checked(parts: list[np.ndarray]) -> list[np.ndarray]:
+            if not all(np.isfinite(a).all() for a in parts[:3]):
+                raise ValueError("finite rows are needed")
+            return merged(parts)
 
         def done(parts: list[np.ndarray]) -> pa.RecordBatch:
             nonlocal number
@@ -87,12 +104,25 @@ def packed(df: DataFrame, x: list[Column], y: list[Column], w: Column | None = N
             flat = [c.flatten().to_numpy(zero_copy_only=False) for c in batch.columns[:2]]
             held.append([flat[0].astype(float).reshape(batch.num_rows, p), flat[1].astype(float).reshape(batch.num_rows, t), batch.column(2).to_numpy(zero_copy_only=False)[:, None].astype(float), batch.column(3).to_numpy(zero_copy_only=False)])
             size += batch.num_rows
-            while size >= BLOCK:
-                whole = [np.concatenate(a) for a in zip(*held, strict=True)]
+            if size < most:
+                continue
+            whole = [np.concatenate(a) for a in zip(*held, strict=True)]
+            if equal:
+                whole = checked(whole)
+                # Where few are equal, they are packed and others are looked at.
+                if len(whole[0]) <= DISTINCT * MERGED:
+                    held, size = [whole], len(whole[0])
+                    continue
+            while len(whole[0]) >= BLOCK:
                 yield done([a[:BLOCK] for a in whole])
-                held, size = [[a[BLOCK:] for a in whole]], size - BLOCK
+                whole = [a[BLOCK:] for a in whole]
+            held, size = [whole], len(whole[0])
         if size:
-            yield done([np.concatenate(a) for a in zip(*held, strict=True)])
+            whole = [np.concatenate(a) for a in zip(*held, strict=True)]
+            if equal:
+                whole = checked(whole)
+            for i in range(0, len(whole[0]), BLOCK):
+                yield done([a[i : i + BLOCK] for a in whole])
 
     return stored(rows.mapInArrow(run, "block long, x binary, y binary, w binary, key binary"), "kernel-rows")
 
@@ -194,6 +224,8 @@ class Landmarks:
     half: np.ndarray
     trace: float = 0.0
     left: float = 0.0
+    #: What is left of the trace, rows counted by their weights.
+    weighted: float = 0.0
 
     @property
     def captured(self) -> bool:
@@ -241,14 +273,15 @@ def landmarks(rows: DataFrame, p: int, mix: Mix) -> Landmarks:
             if (d < -1e-12).any():
                 raise ValueError("the kernel is not positive semidefinite")
             # Residuals below rounding are none.
-            yield {"size": [-1.0], "sums": np.array([d.sum(), np.maximum(d - (f * f).sum(1), 0).sum()]).tobytes(), "x": b""}
+            rest = np.maximum(d - (f * f).sum(1), 0)
+            yield {"size": [-1.0], "sums": np.array([d.sum(), rest.sum(), _array(row["w"], 1)[:, 0] @ rest]).tobytes(), "x": b""}
             at, size = here.pivots(a, most)
             for i, s in zip(at, size, strict=True):
                 yield {"size": [s], "sums": b"", "x": a[i].tobytes()}
 
-        told = stored(_each(rows.select("x"), step, "size double, sums binary, x binary"), "kernel-candidates")
+        told = stored(_each(rows.select("x", "w"), step, "size double, sums binary, x binary"), "kernel-candidates")
         sums = total(told.where("size < 0").select("sums"), lambda row: np.frombuffer(row["sums"].as_buffer(), np.float64))
-        found.trace, found.left = (float(sums[0]), float(sums[1])) if len(sums) else (0.0, 0.0)
+        found.trace, found.left, found.weighted = map(float, sums) if len(sums) else (0.0, 0.0, 0.0)
         best = [] if found.captured or len(found.x) >= MOST_RANK else told.where("size > 0").orderBy(F.desc("size"), "x").limit(4 * more).select("x").collect()
         dropped(told)
         if not best:
@@ -438,7 +471,7 @@ def _conjugate(rows: DataFrame, p: int, t: int, mix: Mix, alpha: float, intercep
 def fit_softplus(rows: DataFrame, p: int, mix: Mix, alpha: float, gate: float = 1e-5, rounds: int = 200) -> tuple[Solution, dict]:
     """The nonnegative response log(1 + exp(eta)), eta of the kernel's span plus a free level, and the kernel's spectrum.
 
-    Minimises half the squared error plus alpha / 2 of eta's squared norm, by damped Newton steps on the landmarks' features
+    Minimises half the squared error (by the rows' weights) plus alpha / 2 of eta's squared norm, by damped Newton steps on the landmarks' features
     from the ridge of the inverse responses; a step is one pass of sums. The kernel has to be captured by MOST_RANK landmarks,
     however many rows there are, and the gradient's largest entry has to pass the gate.
     """
@@ -448,9 +481,9 @@ def fit_softplus(rows: DataFrame, p: int, mix: Mix, alpha: float, gate: float =
     r = base.half.shape[1]
 
     def begin(row: dict) -> np.ndarray:
-        f, y = base.features(_array(row["x"], p)), _array(row["y"], 1)
+        f, y, w = base.features(_array(row["x"], p)), _array(row["y"], 1), _array(row["w"], 1)
         f = np.column_stack([f, np.ones(len(f)), np.log(np.expm1(np.maximum(y, 1e-6)))])
-        return (f.T @ f).ravel()
+        return (f.T @ (w * f)).ravel()
 
     g = total(rows, begin)
     if not len(g):
@@ -461,12 +494,12 @@ def fit_softplus(rows: DataFrame, p: int, mix: Mix, alpha: float, gate: float =
 
     def at(theta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         def sums(row: dict) -> np.ndarray:
-            f, y = base.features(_array(row["x"], p)), _array(row["y"], 1)[:, 0]
+            f, y, w = base.features(_array(row["x"], p)), _array(row["y"], 1)[:, 0], _array(row["w"], 1)[:, 0]
             f = np.column_stack([f, np.ones(len(f))])
             eta = f @ theta
             off, s = np.logaddexp(0, eta) - y, 1 / (1 + np.exp(-np.clip(eta, -700, 700)))
-            bend = np.maximum(s * s + off * s * (1 - s), 1e-3 * s * s)
-            return np.concatenate([[0.5 * float(off @ off)], f.T @ (off * s), (f.T @ (bend[:, None] * f)).ravel()])
+            bend = w * np.maximum(s * s + off * s * (1 - s), 1e-3 * s * s)
+            return np.concatenate([[0.5 * float(w @ (off * off))], f.T @ (w * off * s), (f.T @ (bend[:, None] * f)).ravel()])
 
         v = total(rows, sums)
         return float(v[0] + alpha / 2 * (theta[:-1] @ theta[:-1])), v[1 : r + 2] + ridge @ theta, v[r + 2 :].reshape(r + 1, r + 1) + ridge
@@ -488,7 +521,7 @@ def fit_softplus(rows: DataFrame, p: int, mix: Mix, alpha: float, gate: float =
         raise ValueError("the fit did not reach its gradient gate")
     spectrum = np.linalg.eigvalsh(g[:r, :r]) if r else np.zeros(1)
     kept = spectrum > 1e-12 * max(spectrum[-1], 1e-300)
-    told = {"rank": int(kept.sum()), "least_eigenvalue": float(spectrum[kept].min(initial=np.inf)), "largest_eigenvalue": float(spectrum[-1]), "reconstruction_error": base.left, "passes": n}
+    told = {"rank": int(kept.sum()), "least_eigenvalue": float(spectrum[kept].min(initial=np.inf)), "largest_eigenvalue": float(spectrum[-1]), "reconstruction_error": base.weighted, "passes": n}
     return Solution(mix, p, theta[r:], base.x, (base.half @ theta[:r])[:, None], rank=r), told
 
 

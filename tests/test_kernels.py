@@ -104,3 +104,14 @@ def test_softplus_response(spark, monkeypatch, block):
     monkeypatch.setattr(kernels, "MOST_RANK", 5)
     with pytest.raises(ValueError, match="dimensions"):
         kernels.fit_softplus(rows, 2, mix, 0.1)
+
+
+def test_equal_rows_are_packed_once(spark):
+    df = spark.range(0, 200_000, 1, 2).select((F.col("id") % 2).cast("double").alias("x"), (F.col("id") % 10).cast("double").alias("y"))
+    rows, mix = kernels.packed(df, [F.col("x")], [F.col("y")]), kernels.Mix(((0, 1, "rbf", 1.0, 0.5),))
+    held = rows.select(F.sum(F.octet_length("w") / 8)).first()[0]
+    assert held <= 20 and kernels.total(rows, lambda r: np.frombuffer(r["w"].as_buffer()).sum(keepdims=True)) == [200_000]
+    found, told = kernels.fit_softplus(rows, 1, mix, 1e-6)
+    # Almost without penalty both values' responses are their means; the spectrum is that of all rows.
+    assert np.allclose(np.logaddexp(0, found.values(np.array([[0.0], [1.0]])))[:, 0], [4, 5], atol=1e-6)
+    assert told["largest_eigenvalue"] == pytest.approx(100_000 * (1 + np.exp(-0.5)))
