@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar
 from ..operators import cells, chemistry, cohesion, evidence, forests, grouping, heads, kernels, metrics, models, nested, prepare, refuse, sparse, trees
 from ..sources import contracts, gate, singlepoint
-from ..storage import dropped, shared_folder
+from ..storage import dropped, shared_folder, stored
 from .catalog import query, table
 from .structures import _parts, _texts, _values
 
@@ -106,12 +106,19 @@ def rows_and_bundle_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def column_json_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as one object of columns with bare NaN and Infinity, read by its two columns; what isn't finite is null."""
     value = F.when(F.col("p_size") % 7 == 0, "NaN").when(F.col("p_size") % 11 == 0, "-Infinity").otherwise(F.concat(F.col("p_size").cast("string"), F.lit(".5")))
-    # The file format itself is one object; a fixture of the parts' size.
-    rows = table(spark, sf_dir, "part").agg(F.sort_array(F.collect_list(F.struct("p_partkey", "p_brand", value.alias("v")))).alias("a"))
-    joined = lambda f, by: F.array_join(F.transform("a", f), by)
-    text = F.concat(F.lit('{"SMILES": ["'), joined(lambda x: x["p_brand"], '", "'), F.lit('"], "OTHER": {"x": [1, NaN, "] a", {}]}, "SOLVATION": {"water": ['), joined(lambda x: x["v"], ", "), F.lit("]}}"))
+    # The file format itself is one object, written by one task; it gets lines of 4,096 parts that others have joined, in order.
+    placed = table(spark, sf_dir, "part").select("p_partkey", "p_brand", value.alias("v")).repartitionByRange("p_partkey").sortWithinPartitions("p_partkey").withColumn("at", F.monotonically_increasing_id())
+    joined = lambda c, by: F.array_join(F.transform(F.sort_array("a"), lambda x: x[c]), by)
+    chunks = placed.groupBy(F.shiftright("at", 12).alias("chunk")).agg(F.collect_list(F.struct("at", "p_brand", "v")).alias("a"))
+    lines = stored(chunks.select("chunk", joined("p_brand", '", "').alias("keys"), joined("v", ", ").alias("values")), "column-lines")
+    first = lines.agg(F.min("chunk")).first()[0]
+    comma = F.when(F.col("chunk") == F.lit(first), "").otherwise(", ")
+    marks = spark.createDataFrame([(0, -1, '{"SMILES": ['), (2, -1, '], "OTHER": {"x": [1, NaN, "] a", {}]}, "SOLVATION": {"water": ['), (4, -1, "]}}")], "section int, chunk long, value string")
+    keys = lines.select(F.lit(1).alias("section"), "chunk", F.concat(comma, F.lit('"'), "keys", F.lit('"')).alias("value"))
+    values = lines.select(F.lit(3).alias("section"), "chunk", F.concat(comma, "values").alias("value"))
     folder = shared_folder(spark, "columns")
-    rows.select(text.alias("value")).coalesce(1).write.text(folder)
+    marks.unionByName(keys).unionByName(values).repartition(1).sortWithinPartitions("section", "chunk").select("value").write.text(folder)
+    dropped(lines)
     out = gate.column_json(spark, _file(spark, folder), "SMILES", "SOLVATION").withColumn("v", F.col("value")["water"])
     return out.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.count("v").alias("finite"), F.round(F.sum("v"), 2).alias("total"))
 
