@@ -21,6 +21,8 @@ from .heads import lbfgs, tree_values
 TOGETHER, FEW_TASKS = 16, 16
 
 Work = Callable[[np.ndarray], dict[int, np.ndarray]]
+#: Of rows that are summed over again and again, in one task.
+TASK_BYTES = 64 << 20
 
 
 class Rows:
@@ -34,7 +36,9 @@ class Rows:
         self.count = rows.count()
         if not self.count:
             raise ValueError("no training rows")
-        self.rows = rows.persist()
+        # Files of few bytes may hold many rows: each task gets about TASK_BYTES of doubles.
+        tasks = -(-self.count * len(columns) * 8 // TASK_BYTES)
+        self.rows = (rows.repartition(tasks) if tasks > rows.rdd.getNumPartitions() else rows).persist()
         self.tasks = self.rows.rdd.getNumPartitions()
 
     def close(self) -> None:

@@ -83,3 +83,12 @@ def test_refusals(rows):
             nested.select_hybrid(bad, ["a"], ["e0"], ["u"], "family")
     with pytest.raises(ValueError, match="penalties"):
         nested.select_hybrid(rows, ["a"], ["e0"], ["u"], "family", alphas=())
+
+
+def test_rows_are_spread_by_their_size(spark, monkeypatch):
+    from tessera.operators import forests
+
+    monkeypatch.setattr(forests, "TASK_BYTES", 8000, raising=False)
+    rows = forests.Rows(spark.range(0, 5000, 1, 1).selectExpr("id AS a", "id % 3 AS b"), ["a", "b"])
+    assert rows.tasks == 10 and rows.total(lambda d: {0: d.sum(0)}, 1 << 30)[0].tolist() == [5000 * 4999 / 2, 4999]
+    rows.close()
